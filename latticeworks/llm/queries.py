@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeworks.llm import mixing, packing, quality, secrets, sharding
+from latticeworks.llm import fixity, mixing, packing, quality, secrets, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -41,10 +45,63 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_law(sharding.shard_by_bytes(_table(spark, sf_dir, "documents")))
 
 
+def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit drill: every record of ``pages``, against a replica that a fixed rule has damaged."""
+    return fixity.audit(_table(spark, sf_dir, "pages"), fixity.damaged())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_secret_scan, op4_quality_rules, op6_mix_sources, op7_best_fit_packing, op8_sharding]
+    own = [op1_exact_top_k, op2_secret_scan, op4_quality_rules, op6_mix_sources, op7_best_fit_packing, op8_sharding, op10_merkle_audit]
     return {f.__name__: f for f in own}
 
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT * FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+WHERE rank <= 10
+"""
+
+_LEVEL = """
+l{n} AS (
+  SELECT file, node // 16 AS node, sha256(string_agg(hash || ':' || start || ':' || "end", ',' ORDER BY l{p}.node)) AS hash, min(start) AS start, max("end") AS "end"
+  FROM l{p} GROUP BY file, l{p}.node // 16),"""
+
+#: Height 4 holds up to 65,536 records a file; the tree stops at the first level with one node, so the root is the lowest level without a node 1.
+OP10_SQL = (
+    """
+WITH r AS (
+  SELECT page_id, url, 'WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '')
+      || '>\r\nWARC-Target-URI: ' || coalesce(url, '') || '\r\nContent-Type: text/html\r\nContent-Length: '
+      || octet_length(encode(coalesce(html, ''))) || '\r\n\r\n' || coalesce(html, '') || '\r\n\r\n' AS record FROM pages),
+h AS (
+  SELECT page_id, sha256(record) AS hash, octet_length(encode(record)) AS length,
+    CAST('0x' || substr(md5(coalesce(url, '')), 1, 8) AS BIGINT) % 64 < 2 AS corrupt FROM r),
+f AS (
+  SELECT *, CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || hash), 1, 8) AS BIGINT)
+    % greatest(1, (SELECT (count(*) + 4095) // 4096 FROM h)) AS file FROM h),
+l0 AS (
+  SELECT page_id, file, row_number() OVER w - 1 AS node, CAST(sum(length) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) - length AS start,
+    CAST(sum(length) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end", hash, corrupt FROM f WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, hash)),"""
+    + "".join(_LEVEL.format(n=n, p=n - 1) for n in (1, 2, 3, 4))
+    + """
+h0 AS (SELECT max(node) AS top FROM l0),
+roots AS (
+  SELECT file, hash FROM l1 WHERE (SELECT top FROM h0) < 16
+  UNION ALL SELECT file, hash FROM l2 WHERE (SELECT top FROM h0) BETWEEN 16 AND 255
+  UNION ALL SELECT file, hash FROM l3 WHERE (SELECT top FROM h0) BETWEEN 256 AND 4095
+  UNION ALL SELECT file, hash FROM l4 WHERE (SELECT top FROM h0) >= 4096)
+SELECT page_id, file, node AS leaf, start, "end", l0.hash AS sha256, roots.hash AS root, corrupt FROM l0 JOIN roots USING (file)
+"""
+).replace("\\r\\n", "\r\n")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_top_k": OP1_SQL, "op10_merkle_audit": OP10_SQL}
