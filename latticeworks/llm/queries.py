@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeworks.llm import fixity, mixing, packing, quality, secrets, sharding, topk
+from latticeworks.llm import fixity, mixing, neardup, packing, quality, secrets, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +45,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_law(sharding.shard_by_bytes(_table(spark, sf_dir, "documents")))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    like = neardup.Similarity(words=3, percent=85)
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), like).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An audit drill: every record of ``pages``, against a replica that a fixed rule has damaged."""
     return fixity.audit(_table(spark, sf_dir, "pages"), fixity.damaged())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_top_k, op2_secret_scan, op4_quality_rules, op6_mix_sources, op7_best_fit_packing, op8_sharding, op10_merkle_audit]
+    own = [op1_exact_top_k, op2_secret_scan, op4_quality_rules, op6_mix_sources, op7_best_fit_packing, op8_sharding, op9_minhash_near_dedup, op10_merkle_audit]
     return {f.__name__: f for f in own}
 
 
@@ -69,6 +74,22 @@ SELECT * FROM (
 WHERE rank <= 10
 """
 
+_WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP9_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(text=_LOWER)}, []) AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, d.doc_id = m AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id) USING (doc_id)
+"""
+
 _LEVEL = """
 l{n} AS (
   SELECT file, node // 16 AS node, sha256(string_agg(hash || ':' || start || ':' || "end", ',' ORDER BY l{p}.node)) AS hash, min(start) AS start, max("end") AS "end"
@@ -104,4 +125,4 @@ SELECT page_id, file, node AS leaf, start, "end", l0.hash AS sha256, roots.hash
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL, "op10_merkle_audit": OP10_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_merkle_audit": OP10_SQL}
