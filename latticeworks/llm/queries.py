@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeworks.llm import fixity, mixing, neardup, packing, quality, secrets, sharding, topk
+from latticeworks.llm import fixity, mixing, neardup, packing, quality, secrets, sharding, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,7 +60,7 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_top_k, op2_secret_scan, op4_quality_rules, op6_mix_sources, op7_best_fit_packing, op8_sharding, op9_minhash_near_dedup, op10_merkle_audit]
+    own = [op1_exact_top_k, op2_secret_scan, op4_quality_rules, op5_substring_dedup, op6_mix_sources, op7_best_fit_packing, op8_sharding, op9_minhash_near_dedup, op10_merkle_audit]
     return {f.__name__: f for f in own}
 
 
@@ -77,6 +81,18 @@ WHERE rank <= 10
 _WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP5_SQL = f"""
+WITH w AS (SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w),
+k AS (SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS k FROM g),
+r AS (SELECT doc_id, i FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM p ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(t.n, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM w LEFT JOIN t USING (doc_id)
+"""
+
 OP9_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(text=_LOWER)}, []) AS ws FROM documents),
 s AS (
@@ -125,4 +141,4 @@ SELECT page_id, file, node AS leaf, start, "end", l0.hash AS sha256, roots.hash
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_merkle_audit": OP10_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_merkle_audit": OP10_SQL}
