@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeworks.llm import fixity, mixing, neardup, packing, quality, secrets, sharding, substrings, topk
+from latticeworks.llm import fixity, mixing, neardup, packing, quality, scoring, secrets, sharding, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op3_context_mixing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_top_k, op2_secret_scan, op4_quality_rules, op5_substring_dedup, op6_mix_sources, op7_best_fit_packing, op8_sharding, op9_minhash_near_dedup, op10_merkle_audit]
+    own = [op1_exact_top_k, op2_secret_scan, op3_context_mixing_score, op4_quality_rules, op5_substring_dedup, op6_mix_sources, op7_best_fit_packing, op8_sharding, op9_minhash_near_dedup, op10_merkle_audit]
     return {f.__name__: f for f in own}
 
 
