@@ -6,13 +6,15 @@ that a pair at the similarity threshold exceeds it with a chance below 1e-6. By
 the threshold agrees, in one of the signature's chunks, but for as many symbols as errors are allowed there; every way
 to leave out that many symbols of a chunk is indexed, so all pairs within the threshold meet in a bucket.
 
-In a bucket, each document is first compared with a few chosen ones (rounds of stars: linear in the bucket), and
-confirmed links merge components. Only buckets that still hold several components are then compared pairwise, in
-blocks of bounded size and across components only; signatures filter the pairs, full sets confirm them. A pair that
-is left out this way is one whose documents are connected already, so components are those of all links.
+Buckets are read in order, large ones in blocks: signatures filter the pairs, and each task gives a spanning forest of
+the pairs it found near, not the pairs. Components of these forests are clusters; every link lies inside one. A
+cluster's shingle sets then meet once, in blocks, where near pairs that aren't connected yet are confirmed on the full
+sets; again only a spanning forest of links is given. A pair that is left out is one whose documents are connected
+already, so the components are those of all links.
 
-Scale: texts are read twice and shuffled once at most for the confirmation; index rows are 16 bytes; components are
-found by rounds of label propagation over tables in the shared folder, nothing is collected.
+Scale: texts are read twice and shuffled once; index rows are 24 bytes and only those of shared buckets carry a
+signature; rows made are at most in proportion to documents, whatever a group's size. Components are found by star
+rounds over tables in the shared folder; nothing is collected. Blocks bound what a task holds.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; fewer words than a shingle
 make one shingle; null ``doc_id`` rows are classes of their own if blank, else take part under the smallest id of
@@ -35,8 +37,8 @@ from latticeworks.llm._store import materialize, parts
 from latticeworks.llm._text import gram_hashes, mix64, odd_constants, text_slices, words_of
 
 SYMBOLS = 64
-BLOCK = 512
-STAR_ROUNDS = 3
+#: Members of a bucket, documents and shingles of a cluster that are compared as one block.
+BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 512, 1024, 1 << 21
 _U = np.uint64
 
 
@@ -148,51 +150,160 @@ def bucket_keys(sig: np.ndarray, chunks: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _index(classes: DataFrame, like: Similarity) -> DataFrame:
-    """(bucket, id) for every key of every class."""
+    """(bucket, slot, id) for every key of every class; slot numbers the keys of a signature."""
     chunks = like.chunks
+    slots = np.arange(SYMBOLS, dtype=np.int8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
                 ids = np.repeat(part.column("id").to_numpy(), SYMBOLS)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(sig, chunks).ravel().view(np.int64)), pa.array(ids)], names=["bucket", "id"])
-
-    return classes.select("id", "sig").mapInArrow(run, "bucket long, id long")
-
-
-def _close(pairs: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs (a, b) whose signatures are within the distance and whose set sizes allow the similarity."""
-    limit = like.distance
-    own = classes.select("id", "sig", "n_shingles")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("n")), "a").join(own.select(F.col("id").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("m")), "b")
-    both = both.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * like.percent).select("a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("x", "y"))
-            yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= limit))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs whose full sets have the similarity. Sets are made anew from the texts of the documents in question."""
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(_sigs(part), chunks).ravel().view(np.int64)), pa.array(np.tile(slots, part.num_rows)), pa.array(ids)], names=["bucket", "slot", "id"])
+
+    return classes.select("id", "sig").mapInArrow(run, "bucket long, slot byte, id long")
+
+
+def _sigs(batch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+
+
+class Forest:
+    """Union-find over ids; says whether an edge joins two trees."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        top = x
+        while (y := up.get(top, top)) != top:
+            top = y
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows that come by ``keys``; each holds one group or many small ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            x = batch.column(k).to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+            change[0] |= not held or held[-1].column(k)[-1].as_py() != x[0]
+        starts = np.flatnonzero(change)
+        if not len(starts):
+            held.append(batch)
+            continue
+        if held or starts[-1] > 0:
+            held.append(batch.slice(0, int(starts[-1])))
+            yield pa.Table.from_batches(held)
+        held = [batch.slice(int(starts[-1]))]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near_forest(members: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b): for each task a spanning forest of the pairs that share a bucket, are near by signature and alike in size.
+
+    A pair that shares several buckets counts in the one of its lowest slot only. Buckets are cut into blocks of at
+    most BUCKET_BLOCK members, and each pair of blocks is a group of its own.
+    """
+    limit, percent, chunks = like.distance, like.percent, like.chunks
+    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")), "bucket")
+    own = sized.withColumn("blocks", F.ceil(F.col("k") / BUCKET_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = own.select("bucket", "slot", "id", "block", other.alias("with")).select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "slot", "id", "block")
+    dealt = dealt.join(classes.select("id", "n_shingles", "sig"), "id").repartition(parts(members) * 2, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for table in _groups(batches, ["bucket", "i", "j"]):
+            bucket, i, j, slot, ids, block, size = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "slot", "id", "block", "n_shingles"))
+            sig = _sigs(table)
+            keys = bucket_keys(sig, chunks)
+            group = np.cumsum(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            a_out, b_out = [], []
+            for d in range(1, 2 * BUCKET_BLOCK * 8):
+                if d >= len(ids):
+                    break
+                a = np.flatnonzero(group[d:] == group[:-d])
+                if not len(a):
+                    break
+                for at in range(0, len(a), 65_536):
+                    x = a[at : at + 65_536]
+                    y = x + d
+                    x, y = (v[(i[x] == j[x]) | (block[x] != block[y])] for v in (x, y))
+                    alike = (np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent) & (ids[x] != ids[y])
+                    x, y = x[alike], y[alike]
+                    near = (sig[x] != sig[y]).sum(axis=1) <= limit
+                    x, y = x[near], y[near]
+                    first = (keys[x] == keys[y]).argmax(axis=1) == slot[x]
+                    for p, q in zip(ids[x[first]].tolist(), ids[y[first]].tolist(), strict=True):
+                        if forest.join(p, q):
+                            a_out.append(p)
+                            b_out.append(q)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _links(clusters: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b): spanning forests of the links, confirmed on full sets made anew from the texts of clustered documents."""
+    limit, percent = like.distance, like.percent
+    sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = clusters.join(sizes, "cluster").select("id", "cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             grams, offsets = shingles(words_of(batch.column("text"), lower=True), like.words)
-            sets = pa.LargeListArray.from_arrays(pa.array(offsets.astype(np.int64)), pa.array(grams.view(np.int64))).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "grams"])
+            raw = [grams[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "cluster", "blocks", "block")] + [pa.array(raw, pa.binary())], names=["id", "cluster", "blocks", "block", "grams"])
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, grams array<long>"), "neardup-sets", "lz4")
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    both = pairs.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * like.percent).select("a", "b")
+    made = texts.join(own, "id").dropDuplicates(["id"]).select("id", "cluster", "blocks", "block", "text").mapInArrow(sets, "id long, cluster long, blocks int, block int, grams binary")
+    dealt = made.select("id", "cluster", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "block", "grams")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        cross = key[1].as_py() != key[2].as_py()
+        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+        own = [np.frombuffer(x, _U) for x in table.column("grams").to_pylist()]
+        sizes = np.array([len(x) for x in own], np.int64)
+        ends = np.cumsum(sizes)
+        flat = np.concatenate(own)
+        sig = signatures(flat, np.append(0, ends))
+        tree = np.arange(len(ids))  # label of each document's tree
+        a, b = [], []
+        for r in range(len(ids)):
+            open_ = (tree[r + 1 :] != tree[r]) & (np.minimum(sizes[r], sizes[r + 1 :]) * 100 >= np.maximum(sizes[r], sizes[r + 1 :]) * percent)
+            if cross:
+                open_ &= block[r + 1 :] != block[r]
+            to = np.flatnonzero(open_) + r + 1
+            to = to[(sig[to] != sig[r]).sum(axis=1) <= limit]
+            if not len(to):
+                continue
+            grams = np.concatenate([own[t] for t in to])
+            at = np.minimum(np.searchsorted(own[r], grams), sizes[r] - 1)
+            shared = np.add.reduceat((own[r][at] == grams).astype(np.int64), np.cumsum(sizes[to]) - sizes[to])
+            for t in to[shared * 100 >= (sizes[r] + sizes[to] - shared) * percent]:
+                if tree[t] != tree[r]:
+                    a.append(ids[r])
+                    b.append(ids[t])
+                    tree[tree == tree[t]] = tree[r]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def components(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -213,36 +324,6 @@ def components(ids: DataFrame, links: DataFrame) -> DataFrame:
     return ids.join(edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _across(members: DataFrame, like: Similarity, spark_parts: int) -> DataFrame:
-    """All pairs of one bucket and different components within the signature distance, in blocks of at most BLOCK by BLOCK.
-
-    A bucket of n members has n / BLOCK blocks, and each pair of blocks is a group of its own, so no task holds more.
-    """
-    limit = like.distance
-    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    own = sized.withColumns({"blocks": blocks}).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.select("bucket", "id", "comp", "sig", "block", other.alias("with"))
-    dealt = dealt.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "comp", "sig", "block").repartition(spark_parts, "bucket", "i", "j")
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        block, ids, comp = (table.column(c).to_numpy() for c in ("block", "id", "comp"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for r in rows:
-            near = columns[(comp[columns] != comp[r]) & ((sig[columns] != sig[r]).sum(axis=1) <= limit)]
-            if i == j:
-                near = near[ids[near] > ids[r]]
-            a.append(np.minimum(ids[near], ids[r]))
-            b.append(np.maximum(ids[near], ids[r]))
-        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
-
 def row_id():
     """A number that a row's content decides, the same in every scan; equal only for repeated rows."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
@@ -255,30 +336,11 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     full = all_docs.where("n_shingles > 0")
     classes = materialize(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.min("uid").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "neardup-classes")
     index = _index(classes, like)
-    shared = index.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("bucket")
+    shared = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     members = materialize(index.join(shared, "bucket", "left_semi"), "neardup-members")
+    clusters = components(classes.select("id", "n_shingles"), _near_forest(members, classes, like)).withColumnRenamed("comp", "cluster")
     texts = base.select(F.col("uid").alias("id"), "text")
-    ids = classes.select("id")
-
-    links, seen, comps = None, None, ids.withColumn("comp", F.col("id"))
-    for turn in range(STAR_ROUNDS):
-        # One document of each bucket, by hash, is compared with those of its bucket in other components.
-        here = members.join(comps, "id")
-        center = here.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("c"), F.count_distinct("comp").alias("n") if turn else F.lit(2).alias("n")).where("n > 1")
-        pairs = here.join(center, "bucket").where("comp <> c.comp").select(F.least("id", F.col("c.id")).alias("a"), F.greatest("id", F.col("c.id")).alias("b")).distinct()
-        pairs = pairs.join(seen, ["a", "b"], "left_anti") if seen is not None else pairs
-        near = materialize(_close(pairs, classes, like), "neardup-near")
-        seen = near if seen is None else seen.unionByName(near)
-        found = _confirmed(near, texts, like)
-        links = materialize(found if links is None else links.unionByName(found), "neardup-links")
-        comps = materialize(components(ids, links), "neardup-comps")
-    # What is left: buckets with several components, all pairs across them.
-    here = members.join(comps, "id")
-    open_ = here.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    rest = here.join(open_, "bucket", "left_semi").join(classes.select("id", "sig"), "id")
-    near = materialize(_across(rest, like, parts(docs) * 2).join(seen, ["a", "b"], "left_anti"), "neardup-near")
-    links = materialize(links.unionByName(_confirmed(near, texts, like)), "neardup-links")
-    comps = materialize(components(ids, links), "neardup-comps")
+    comps = components(classes.select("id"), _links(materialize(clusters, "neardup-clusters"), texts, like))
 
     named = classes.select("s1", "s2", "id", "low").join(comps, "id")
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
