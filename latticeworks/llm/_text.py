@@ -6,6 +6,9 @@ multi-byte UTF-8 character, so bytes and characters agree.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes that a kernel works on at a time.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 
@@ -26,15 +29,26 @@ def byte_sizes(text: pa.Array) -> np.ndarray:
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut the batches so that each holds about ``budget`` bytes of text, and one row at least."""
-    for batch in batches:
-        sizes = byte_sizes(batch.column(column))
-        ends = np.cumsum(sizes + 64)
-        start = 0
-        while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + budget, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    try:
+        for batch in batches:
+            sizes = byte_sizes(batch.column(column))
+            ends = np.cumsum(sizes + 64)
+            start = 0
+            while start < batch.num_rows:
+                base = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + budget, side="right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay while the executor's JVM goes on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 @dataclass
