@@ -18,9 +18,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,10 +117,6 @@ def sizes_of(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def _unit(seed: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", "uid", F.lit(seed)), F.lit(1 << 40))
-
-
 def _choose(sized: DataFrame, rest: list[tuple[int, float]], rows: dict[int, int], seed: int) -> DataFrame:
     """Adds ``extra``: 1 for documents chosen so that each pattern's chosen sizes come near its rest, else 0.
 
@@ -129,50 +125,44 @@ def _choose(sized: DataFrame, rest: list[tuple[int, float]], rows: dict[int, int
     """
     spark = sized.sparkSession
     wanted = spark.createDataFrame([(p, r, max(1, min(1 << 20, rows[p] // BUCKET_ROWS))) for p, r in rest if r > 0], "pattern int, rest double, buckets long")
-    keyed = sized.join(F.broadcast(wanted), "pattern", "left").withColumn("h", _unit(seed))
+    keyed = sized.join(F.broadcast(wanted), "pattern", "left").withColumn("h", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 40)))
     keyed = keyed.withColumn("bucket", F.when(F.col("rest").isNotNull(), F.floor(F.col("h").cast("double") / float(1 << 40) * F.col("buckets"))).cast("long"))
-    sums: dict[int, list[tuple[int, int]]] = {}
-    for x in keyed.where("bucket is not null").groupBy("pattern", "bucket").agg(F.sum("size").alias("size")).collect():  # rows / BUCKET_ROWS
-        sums.setdefault(x.pattern, []).append((x.bucket, x.size))
-    limits = []
-    for p, r in rest:
-        if r <= 0:
-            continue
-        seen = 0
-        for b, s in sorted(sums.get(p, [])):
-            if seen + s > r:
-                limits.append((p, b, r - seen))
-                break
-            seen += s
-        else:
-            limits.append((p, 1 << 60, 0.0))
-    limit = spark.createDataFrame(limits, "pattern int, at long, gap double")
-    keyed = keyed.join(F.broadcast(limit), "pattern", "left")
-    sure = keyed.where("at is null or bucket <> at").withColumn("extra", F.when(F.col("bucket") < F.col("at"), 1).otherwise(0))
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["h", "uid"], kind="stable").reset_index(drop=True)
-        gap, extra = float(group["gap"].iloc[0]), []
-        for s in group["size"]:
-            extra.append(int(s <= gap))
-            gap -= s * extra[-1]
-        group["extra"] = extra
-        left = group[(group["extra"] == 0) & (group["size"] < 2 * gap)]
-        if len(left):
-            group.loc[(left["size"] - gap).abs().idxmin(), "extra"] = 1
-        return group[[*base, "extra"]]
+    upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = keyed.where("bucket is not null").groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("size")).withColumn("seen", F.sum("size").over(upto))
+    limit = sums.where("seen > rest and seen - size <= rest").select("pattern", F.col("bucket").alias("at"), (F.col("rest") - F.col("seen") + F.col("size")).alias("gap"))
+    keyed = keyed.join(F.broadcast(limit), "pattern", "left")  # a row for each pattern at most
+    below = F.col("bucket").isNotNull() & (F.col("at").isNull() | (F.col("bucket") < F.col("at")))
+    sure = keyed.where("at is null or bucket is null or bucket <> at").withColumn("extra", below.cast("int"))
 
     base = sized.columns
     schema = T.StructType([*sized.schema.fields, T.StructField("extra", T.IntegerType())])
-    edge = keyed.where("bucket = at").groupBy("pattern").applyInPandas(fill, schema)
+
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [("h", "ascending"), ("size", "ascending")]))
+        sizes, gap = group.column("size").to_pylist(), group.column("gap")[0].as_py()
+        extra = []
+        for s in sizes:
+            extra.append(int(s <= gap))
+            gap -= s * extra[-1]
+        left = [(abs(s - gap), i) for i, s in enumerate(sizes) if not extra[i] and s < 2 * gap]
+        if left:
+            extra[min(left)[1]] = 1
+        return group.select(base).append_column("extra", pa.array(extra, pa.int32()))
+
+    edge = keyed.where("bucket = at").groupBy("pattern").applyInArrow(fill, schema)
     return sure.select(*base, "extra").unionByName(edge)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = 20_240_602) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every document: taken is its size times its repeats."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = 20_240_602, keep_rows: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and repeats of every document: taken is its size times its repeats.
+
+    With ``keep_rows`` the whole input row comes along as the struct ``row``.
+    """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.monotonically_increasing_id().alias("uid"))
-    sized = materialize(sizes_of(base, ["doc_id", "source", "uid"]), "mix-sizes")
+    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    rows_kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_rows else []
+    base = docs.select(doc_id.alias("doc_id"), source.alias("source"), "text", F.xxhash64(doc_id, source, "text").alias("uid"), *rows_kept)
+    sized = materialize(sizes_of(base, ["doc_id", "source", "uid", *(["row"] if keep_rows else [])]), "mix-sizes")
     # One row for each source: what the flow works on.
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     found.sort(key=lambda x: (x.source is None, (x.source or "").encode("utf-32-be", "surrogatepass")))
@@ -189,4 +179,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_R
     table = F.broadcast(spark.createDataFrame(plan, "pattern int, own string, source_size long, target double, whole int"))
     keyed = sized.join(table, F.col("source").eqNullSafe(F.col("own"))).drop("own")
     chosen = _choose(keyed, rest, rows, seed)
-    return chosen.select("doc_id", "source", "uid", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
+    repeats = F.col("whole") + F.col("extra")
+    return chosen.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), *(["row"] if keep_rows else []))
