@@ -1,4 +1,4 @@
-"""Registry of the engine's queries: name, DataFrame form and SQL form."""
+"""All registered queries of the engine."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from latticeworks.plans import evaluation, matching, modes, numeric, relational, signals, splits, text  # noqa: F401
+from latticeworks.registry import ORACLE, QUERIES
+from latticeworks.streaming import incremental  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
