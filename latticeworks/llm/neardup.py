@@ -39,6 +39,8 @@ from latticeworks.llm._text import gram_hashes, mix64, odd_constants, text_slice
 SYMBOLS = 64
 #: Members of a bucket, documents and shingles of a cluster that are compared as one block.
 BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 512, 1024, 1 << 21
+#: Ids that a task joins before it gives its edges and begins anew.
+FOREST_IDS = 1 << 20
 _U = np.uint64
 
 
@@ -190,6 +192,11 @@ class Forest:
         self.up[max(x, y)] = min(x, y)
         return True
 
+    def batch(self) -> pa.RecordBatch:
+        """Edges (a, b) from each id to its tree's smallest."""
+        ids = list(self.up)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([self.root(x) for x in ids], pa.int64())], names=["a", "b"])
+
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups from rows that come by ``keys``; each holds one group or many small ones."""
@@ -234,7 +241,6 @@ def _near_forest(members: DataFrame, classes: DataFrame, like: Similarity) -> Da
             sig = _sigs(table)
             keys = bucket_keys(sig, chunks)
             group = np.cumsum(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-            a_out, b_out = [], []
             for d in range(1, 2 * BUCKET_BLOCK * 8):
                 if d >= len(ids):
                     break
@@ -251,14 +257,31 @@ def _near_forest(members: DataFrame, classes: DataFrame, like: Similarity) -> Da
                     x, y = x[near], y[near]
                     first = (keys[x] == keys[y]).argmax(axis=1) == slot[x]
                     for p, q in zip(ids[x[first]].tolist(), ids[y[first]].tolist(), strict=True):
-                        if forest.join(p, q):
-                            a_out.append(p)
-                            b_out.append(q)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                        forest.join(p, q)
+            if len(forest.up) > FOREST_IDS:
+                yield forest.batch()
+                forest.up.clear()
+        yield forest.batch()
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: neighbouring tasks' forests are read together and made one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            for p, q in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                forest.join(p, q)
+            if len(forest.up) > FOREST_IDS:
+                yield forest.batch()
+                forest.up.clear()
+        yield forest.batch()
+
+    return materialize(edges, "neardup-forest").coalesce(max(1, parts(edges) // 8)).mapInArrow(run, "a long, b long")
+
+
 def _links(clusters: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     """(a, b): spanning forests of the links, confirmed on full sets made anew from the texts of clustered documents."""
     limit, percent = like.distance, like.percent
@@ -338,7 +361,7 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     index = _index(classes, like)
     shared = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     members = materialize(index.join(shared, "bucket", "left_semi"), "neardup-members")
-    clusters = components(classes.select("id", "n_shingles"), _near_forest(members, classes, like)).withColumnRenamed("comp", "cluster")
+    clusters = components(classes.select("id", "n_shingles"), _thinned(_near_forest(members, classes, like))).withColumnRenamed("comp", "cluster")
     texts = base.select(F.col("uid").alias("id"), "text")
     comps = components(classes.select("id"), _links(materialize(clusters, "neardup-clusters"), texts, like))
 
