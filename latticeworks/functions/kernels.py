@@ -1,0 +1,274 @@
+"""Array kernels on measured series, in numpy over Arrow batches: monotone cubic regridding, peaks and feature sets."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: The common grid, and the window in which two of the feature sets look.
+GRID = np.linspace(0.0, 90.0, 4096)
+WINDOW = (10.0, 70.0)
+
+
+def pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Monotone piecewise cubic interpolation (Fritsch and Butland's slopes); NaN outside [x[0], x[-1]]."""
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    if len(x) == 2:
+        slope = np.array([d[0], d[0]])
+    else:
+        slope = np.zeros(len(x))
+        w1, w2 = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
+        same = d[:-1] * d[1:] > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope[1:-1] = np.where(same, (w1 + w2) / (w1 / d[:-1] + w2 / d[1:]), 0.0)
+        for end, near, far, a, b in ((0, 0, 1, h[0], h[1]), (-1, -1, -2, h[-1], h[-2])):
+            s = ((2 * a + b) * d[near] - a * d[far]) / (a + b)
+            if s * d[near] <= 0:
+                s = 0.0
+            elif d[near] * d[far] <= 0 and abs(s) > 3 * abs(d[near]):
+                s = 3 * d[near]
+            slope[end] = s
+    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(x) - 2)
+    u = (at - x[k]) / h[k]
+    out = y[k] * (1 + 2 * u) * (1 - u) ** 2 + h[k] * slope[k] * u * (1 - u) ** 2 + y[k + 1] * u**2 * (3 - 2 * u) + h[k] * slope[k + 1] * u**2 * (u - 1)
+    return np.where((at < x[0]) | (at > x[-1]), np.nan, out)
+
+
+def clean_series(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Finite points in order of x, the first of equal x."""
+    fine = np.isfinite(x) & np.isfinite(y)
+    x, y = x[fine], y[fine]
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    first = np.ones(len(x), bool)
+    first[1:] = np.diff(x) > 0
+    return x[first], y[first]
+
+
+def preprocess_one(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int, int, float, float, int] | None:
+    """Series on the grid: values in [0, 1], first and last bin of the mask, first and last x, points; None if it fails."""
+    x, y = clean_series(x, y)
+    n = len(x)
+    if n < 2:
+        return None
+    y = np.maximum(y, 0)
+    inside = (x >= GRID[0]) & (x <= GRID[-1])
+    x, y = x[inside], y[inside]
+    if len(x) < 2:
+        return None
+    y = np.sqrt(y)
+    y = y / y.max() if y.max() > 0 else np.zeros_like(y)
+    grid = np.clip(np.nan_to_num(pchip(x, y, GRID)), 0, 1)
+    mask = np.flatnonzero((GRID >= x[0]) & (GRID <= x[-1]))
+    lo, hi = (int(mask[0]), int(mask[-1])) if len(mask) else (0, -1)
+    grid[:lo] = 0
+    grid[hi + 1 :] = 0
+    return grid, lo, hi, float(x[0]), float(x[-1]), n
+
+
+def preprocess(df: DataFrame, key: str) -> DataFrame:
+    """key, y (4096 floats), lo, hi, x_min, x_max, n, failed for rows with arrays x and y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
+                    a, b = (np.array([np.nan if v is None else v for v in z or []], float) for z in (x, y))
+                    n = min(len(a), len(b))
+                    out.append(preprocess_one(a[:n], b[:n]) or (np.zeros(len(GRID)), 0, -1, None, None, 0))
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key), pa.array([list(g) for g in columns[0]], pa.list_(pa.float32())), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32()), strict=True)), pa.array([h < 0 for h in columns[2]])],
+                    names=[key, "y", "lo", "hi", "x_min", "x_max", "n", "failed"],
+                )
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, "x", "y").mapInArrow(run, f"{key} {kind}, y array<float>, lo int, hi int, x_min double, x_max double, n int, failed boolean")
+
+
+# --- peaks ---------------------------------------------------------------------------------------------------------
+
+
+def prominences(y: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Height of each peak over the higher of its two lowest surroundings, and that base."""
+    out, bases = np.empty(len(peaks)), np.empty(len(peaks))
+    for k, p in enumerate(peaks):
+        higher = np.flatnonzero(y[:p] > y[p])
+        left = y[(higher[-1] if len(higher) else 0) : p + 1].min()
+        higher = np.flatnonzero(y[p + 1 :] > y[p])
+        right = y[p : (p + 1 + higher[0] if len(higher) else len(y))].min()
+        bases[k] = max(left, right)
+        out[k] = y[p] - bases[k]
+    return out, bases
+
+
+def find_peaks(y: np.ndarray, prominence: float, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of local maxima (middle of plateaus) at least ``distance`` apart, highest first, with their prominences and half-prominence widths."""
+    change = np.flatnonzero(np.diff(y) != 0)
+    starts, ends = np.concatenate([[0], change + 1]), np.concatenate([change, [len(y) - 1]])
+    inner = (starts > 0) & (ends < len(y) - 1)
+    a, b = starts[inner], ends[inner]
+    top = (y[a - 1] < y[a]) & (y[b + 1] < y[b])
+    peaks = (a[top] + b[top]) // 2
+    keep = np.ones(len(peaks), bool)
+    for k in np.argsort(y[peaks], kind="stable")[::-1]:
+        if keep[k]:
+            near = np.abs(peaks - peaks[k]) < distance
+            near[k] = False
+            keep &= ~near
+    peaks = peaks[keep]
+    height, bases = prominences(y, peaks)
+    fine = height >= prominence
+    peaks, height = peaks[fine], height[fine]
+    widths = np.empty(len(peaks))
+    for k, p in enumerate(peaks):
+        level = y[p] - height[k] / 2
+        i = p
+        while i > 0 and y[i] > level:
+            i -= 1
+        left = i + (level - y[i]) / (y[i + 1] - y[i]) if y[i] < level else float(i)
+        j = p
+        while j < len(y) - 1 and y[j] > level:
+            j += 1
+        right = j - (level - y[j]) / (y[j - 1] - y[j]) if y[j] < level else float(j)
+        widths[k] = right - left
+    return peaks, height, widths
+
+
+def smooth(y: np.ndarray, size: int, edges: str) -> np.ndarray:
+    """Moving mean; beyond the ends the series is mirrored (``reflect``) or zero (``zero``)."""
+    half = size // 2
+    pad = np.pad(y, (half, size - 1 - half), mode="symmetric") if edges == "reflect" and len(y) > half else np.pad(y, (half, size - 1 - half))
+    sums = np.concatenate([[0.0], np.cumsum(pad)])
+    return (sums[size:] - sums[:-size]) / size
+
+
+def gini(y: np.ndarray, empty: float) -> float:
+    total = y.sum()
+    if not len(y) or total <= 0:
+        return empty
+    return float((len(y) + 1 - 2 * (np.cumsum(np.sort(y)) / total).sum()) / len(y))
+
+
+def _corr(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.corrcoef(a, b)[0, 1]) if len(a) > 1 and a.std() > 1e-12 and b.std() > 1e-12 else 0.0
+
+
+def _moment(y: np.ndarray, k: int, guard: float = 0.0) -> float:
+    sd = y.std() + guard
+    return float((((y - y.mean()) / sd) ** k).mean()) if sd > 0 else 0.0
+
+
+def _median(x: np.ndarray) -> float:
+    return float(np.median(x)) if len(x) else np.nan
+
+
+def features_a(y: np.ndarray, lo: int, hi: int) -> dict[str, float] | None:
+    """Set A: the masked part of the window, at least 100 points."""
+    mask = np.zeros(len(GRID), bool)
+    mask[lo : hi + 1] = True
+    window = (GRID >= WINDOW[0]) & (GRID <= WINDOW[1])
+    pick = mask & window
+    v, x = y[pick], GRID[pick]
+    if len(v) < 100:
+        return None
+    level, d = np.median(v) + 1e-6, np.diff(v)
+    mad = np.median(np.abs(d - np.median(d)))
+    peaks, _, widths = find_peaks(smooth(v, 7, "reflect"), 5 * (1.4826 * mad + 1e-6), 3)
+    fwhm, at = widths * (GRID[1] - GRID[0]), x[peaks]
+    fine = (fwhm > 0.005) & (fwhm < 5)
+    low, high = fwhm[fine & (at < 40)], fwhm[fine & (at >= 40)]
+    f_lo, f_hi = (_median(z) if len(z) >= 3 else np.nan for z in (low, high))
+    gaps = np.diff(at[at >= 40])
+    wide = smooth(v, 201, "reflect")
+    p = np.percentile(v, [5, 25, 95, 99.9])
+    return {
+        "coverage": mask.mean(), "noise_roughness": 1.4826 * mad / level, "noise_lag1_autocorr": _corr(d[:-1], d[1:]), "peak_sharpness": np.abs(d).max() / level, "total_variation": np.abs(d).sum() / (v.sum() + 1e-6),
+        "bg_p05": p[0] / level, "bg_p25": p[1] / level, "int_median": np.median(v) / level, "int_p95": p[2] / level, "int_skew": _moment(v, 3, 1e-6), "int_kurtosis": _moment(v, 4, 1e-6),
+        "frac_gt_01": (v > 0.1).mean(), "frac_gt_03": (v > 0.3).mean(), "frac_gt_05": (v > 0.5).mean(), "gini": gini(v, 0.0), "sparsity": (v < 0.01).mean(), "peak_density": len(peaks) / (x[-1] - x[0]),
+        "fwhm_median": _median(fwhm[fine]), "fwhm_lo": f_lo, "fwhm_hi": f_hi, "fwhm_trend": f_hi - f_lo, "doublet_frac": float(((gaps > 0.05) & (gaps < 0.4)).mean()) if len(gaps) else 0.0,
+        "halo_strength": (wide.max() - np.percentile(wide, 10)) / level, "dyn_range": p[3] / (p[0] + 1e-6), "win_cover": pick.sum() / window.sum(),
+    }
+
+
+def features_b(y: np.ndarray, lo: int, hi: int) -> dict[str, float] | None:
+    """Set B: all masked points, at least 20."""
+    v, x = y[lo : hi + 1], GRID[lo : hi + 1]
+    if len(v) < 20:
+        return None
+    step = GRID[1] - GRID[0]
+    d2 = np.abs(np.diff(v, 2))
+    flat = d2[d2 <= np.median(d2)]
+    narrow = smooth(v, max(3, int(round(0.5 / step)) | 1), "zero")
+    wide = smooth(v, max(3, int(round(4.0 / step)) | 1), "zero")
+    third = max(1, len(v) // 3)
+    peaks, _, widths = find_peaks(v, 0.05, 3)
+    fwhm, at = widths * step, x[peaks]
+    span = max(x[-1] - x[0], 1e-6)
+    halves = [(at < np.median(x)).sum(), (at >= np.median(x)).sum()]
+    out = {f"p{p:02d}": float(z) for p, z in zip((5, 25, 50, 75, 90), np.percentile(v, [5, 25, 50, 75, 90]), strict=True)}
+    return out | {
+        "mean": v.mean(), "std": v.std(), "skew": _moment(v, 3), "kurtosis": _moment(v, 4) - 3, "frac_gt_01": (v > 0.1).mean(), "frac_gt_03": (v > 0.3).mean(), "total_variation": np.abs(np.diff(v)).mean(), "gini": gini(v, np.nan),
+        "mask_frac": len(v) / len(GRID), "roughness": 1.4826 * np.median(flat) / max(np.median(v), 1e-6), "hf_noise": (v - narrow).std(), "max_slope": np.abs(np.gradient(v)).max(), "bg_p10": np.percentile(narrow, 10),
+        "bg_curvature": np.percentile(narrow[:third], 10) - np.percentile(narrow[-third:], 10), "n_peaks": 10 * len(peaks) / span, "peak_density_ratio": (halves[0] + 1) / (halves[1] + 1), "median_fwhm": _median(fwhm),
+        "p90_fwhm": float(np.percentile(fwhm, 90)) if len(fwhm) else np.nan, "fwhm_theta_corr": _corr(at, fwhm) if len(at) >= 3 and at.std() > 1 else np.nan, "halo_bump": (wide.max() - np.percentile(wide, 10)) / max(np.median(wide), 1e-6), "n_points": float(len(v)),
+    }
+
+
+def features_c(y: np.ndarray, lo: int, hi: int) -> dict[str, float] | None:
+    """Set C: the whole window, which the mask must cover."""
+    pick = np.flatnonzero((GRID >= WINDOW[0]) & (GRID <= WINDOW[1]))
+    if lo > pick[0] or hi < pick[-1]:
+        return None
+    v, x = y[pick], GRID[pick]
+    d = np.diff(v)
+    noise = 1.4826 * np.median(np.abs(d - np.median(d))) / np.sqrt(2) + 1e-9
+    quarter = len(v) // 4
+    p = np.percentile(v, [10, 25, 50, 75, 95])
+    nine, wide = smooth(v, 9, "reflect"), smooth(v, 181, "reflect")
+    peaks, height, widths = find_peaks(nine, max(6 * noise, 0.01), 5)
+    fwhm, at = widths * (GRID[1] - GRID[0]), x[peaks]
+    relative = height / max(height.max(), 1e-9) if len(height) else height
+    low, high = fwhm[at < 40], fwhm[at >= 40]
+    doublets = []
+    for i in range(len(peaks)):
+        near = (x >= at[i] + 0.10) & (x <= at[i] + 0.45)
+        ratio = nine[near].max() / max(nine[peaks[i]], 1e-9) if near.any() else 0.0
+        doublets.append(0.25 <= ratio <= 0.75)
+    halo = wide.max() - np.median(wide)
+    q = lambda z, p_: float(np.percentile(z, p_)) if len(z) else np.nan
+    return {
+        "noise_pt": noise, "roughness_tv": np.abs(d).sum() / (v.sum() + 1e-6), "autocorr_1": _corr(d[:-1], d[1:]), "autocorr_3": _corr(d[:-3], d[3:]), "bg_p10": p[0], "bg_curv": np.percentile(v[:quarter], 10) - np.percentile(v[-quarter:], 10),
+        "skew": _moment(v, 3), "kurtosis": _moment(v, 4) - 3, "gini": gini(v, 0.0), "iqr": p[3] - p[1], "frac_low": (v < 1.3 * p[0]).mean(), "p95_p50": (p[4] - p[2]) / (p[2] + 1e-6), "snr": (np.percentile(nine, 99.5) - p[0]) / noise,
+        "max_slope": np.abs(np.gradient(v)).max(), "n_peaks_per_deg": len(peaks) / (x[-1] - x[0]), "n_strong_peaks": float((relative > 0.15).sum()), "fwhm_median": _median(fwhm), "fwhm_p25": q(fwhm, 25), "fwhm_p75": q(fwhm, 75),
+        "fwhm_trend": _median(high) - _median(low) if len(low) >= 2 and len(high) >= 2 else np.nan, "mean_prom_rel": float(relative.mean()) if len(relative) else np.nan, "peak_h_mean": float(nine[peaks].mean()) if len(peaks) else np.nan, "peak_h_p25": q(nine[peaks], 25),
+        "doublet_frac": float(np.mean(doublets)) if doublets else 0.0, "halo_height": halo, "halo_frac": halo / max(wide.max(), 1e-9),
+    }
+
+
+SETS = {"a": features_a, "b": features_b, "c": features_c}
+
+
+def features(df: DataFrame, key: str, which: str) -> DataFrame:
+    """key and one double column a feature for preprocessed rows (y, lo, hi); all null where the set doesn't apply."""
+    f = SETS[which]
+    probe = np.abs(np.sin(np.arange(len(GRID)) / 37.0))
+    names = list(f(probe, 0, len(GRID) - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = []
+                for y, lo, hi in zip(part.column("y").to_pylist(), part.column("lo").to_pylist(), part.column("hi").to_pylist(), strict=True):
+                    own = f(np.array(y, float), lo, hi) or {}
+                    rows.append([None if own.get(n) is None or not np.isfinite(own[n]) else float(own[n]) for n in names])
+                yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], names=[key, *names])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, "y", "lo", "hi").mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))

@@ -1 +1,212 @@
-"""To come."""
+"""Diffraction queries: cells, reflections, structure factors, profiles. Cells and wavelengths come from ``part``."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from latticeworks.functions import crystal as X
+from latticeworks.functions import profile as R
+from latticeworks.operators.metrics import roc_auc
+from latticeworks.registry import query
+
+_CELL_SQL = "SELECT p_partkey, 3 + p_size / 10.0::DOUBLE AS a, 4 + p_size % 7 / 2.0::DOUBLE AS b, 5.0::DOUBLE AS c, 90.0::DOUBLE AS al, 90.0 + p_size % 10::DOUBLE AS be, CASE WHEN p_size % 3 = 0 THEN 120.0 ELSE 90.0 END::DOUBLE AS ga FROM part"
+
+
+def _cells(t):
+    s = F.col("p_size")
+    return t.part.select("p_partkey", (3 + s / 10.0).alias("a"), (4 + (s % 7) / 2.0).alias("b"), F.lit(5.0).alias("c"), F.lit(90.0).alias("al"), (90.0 + (s % 10)).alias("be"), F.when(s % 3 == 0, 120.0).otherwise(90.0).alias("ga"))
+
+
+_VOLUME = "a * b * c * sqrt(greatest(1 - cos(radians(al))*cos(radians(al)) - cos(radians(be))*cos(radians(be)) - cos(radians(ga))*cos(radians(ga)) + 2*cos(radians(al))*cos(radians(be))*cos(radians(ga)), 1e-12))"
+
+
+@query(f"SELECT p_partkey, round({_VOLUME}, 5) AS volume, round(ln({_VOLUME}), 6) AS log_volume FROM ({_CELL_SQL})")
+def cell_volume(t):
+    v = X.cell_volume(*(F.col(c) for c in ("a", "b", "c", "al", "be", "ga")))
+    return _cells(t).select("p_partkey", F.round(v, 5).alias("volume"), F.round(F.ln(v), 6).alias("log_volume"))
+
+
+@query(f"SELECT p_partkey, round(1 / a, 6) AS ra, round(1 / (a * sin(radians(ga))), 6) AS ra_oblique, round(1 / c, 6) AS rc FROM ({_CELL_SQL})")
+def reciprocal_vectors(t):
+    return _cells(t).select("p_partkey", F.round(1 / F.col("a"), 6).alias("ra"), F.round(1 / (F.col("a") * F.sin(F.radians("ga"))), 6).alias("ra_oblique"), F.round(1 / F.col("c"), 6).alias("rc"))
+
+
+_HKL_SQL = """h AS (SELECT h, k, l, h*h + k*k + l*l AS n FROM (SELECT unnest(range(-3, 4)) AS h), (SELECT unnest(range(-3, 4)) AS k), (SELECT unnest(range(-3, 4)) AS l) WHERE h <> 0 OR k <> 0 OR l <> 0)"""
+
+
+def _hkl(spark, top: int = 3):
+    """All index triples up to ``top``: a fixed table of 342 rows."""
+    axis = F.sequence(F.lit(-top).cast("long"), F.lit(top).cast("long"))
+    out = spark.range(1).select(F.explode(axis).alias("h")).select("h", F.explode(axis).alias("k")).select("h", "k", F.explode(axis).alias("l"))
+    return out.where("h <> 0 or k <> 0 or l <> 0").withColumn("n", F.expr("h*h + k*k + l*l"))
+
+
+_ORBIT_SQL = f"""{_HKL_SQL}, o AS (SELECT list_sort([abs(h), abs(k), abs(l)]) AS key, n FROM h), u AS (SELECT key[3] AS h, key[2] AS k, key[1] AS l, n, count(*) AS multiplicity FROM o GROUP BY ALL)"""
+
+
+def _orbits(spark):
+    """Cubic orbits: triples equal up to order and signs, with their number."""
+    key = F.array_sort(F.array(F.abs("h"), F.abs("k"), F.abs("l")))
+    return _hkl(spark).select(key.alias("key"), "n").groupBy(F.col("key")[2].alias("h"), F.col("key")[1].alias("k"), F.col("key")[0].alias("l"), "n").agg(F.count(F.lit(1)).alias("multiplicity"))
+
+
+@query(f"WITH {_ORBIT_SQL} SELECT h, k, l, multiplicity FROM u")
+def hkl_enumeration(t):
+    return _orbits(t.spark).select("h", "k", "l", "multiplicity")
+
+
+_BRAGG_SQL = f"{_ORBIT_SQL}, d AS (SELECT DISTINCT 3 + p_size / 10.0::DOUBLE AS a FROM part), b AS (SELECT a, h, k, l, n, multiplicity, a / sqrt(n) AS d, 1.5406 / (2 * a / sqrt(n)) AS s FROM d, u)"
+
+
+def _bragg(t):
+    """Reflections of each different cell edge; the orbit table is fixed and small."""
+    edges = t.part.select((3 + F.col("p_size") / 10.0).alias("a")).distinct()
+    both = edges.join(F.broadcast(_orbits(t.spark)))
+    d = F.col("a") / F.sqrt("n")
+    return both.withColumn("d", d).withColumn("two_theta", X.bragg(F.lit(1.5406), d)).where("two_theta is not null")
+
+
+@query(f"WITH {_BRAGG_SQL} SELECT a, h, k, l, round(d, 6) AS d, round(degrees(2 * asin(s)), 6) AS two_theta FROM b WHERE s <= 1")
+def bragg_positions(t):
+    return _bragg(t).select("a", "h", "k", "l", F.round("d", 6).alias("d"), F.round("two_theta", 6).alias("two_theta"))
+
+
+# Rock salt: four metal and four halide sites; the structure factor is a sum of cosines and sines over sites.
+_SITES = [(e, x, y, z) for e, sx in ((11.0, 0.0), (17.0, 0.5)) for x, y, z in ((sx, 0.0, 0.0), (sx, 0.5, 0.5), (sx + 0.5 if sx == 0 else 0.0, 0.0, 0.5), (sx + 0.5 if sx == 0 else 0.0, 0.5, 0.0))]
+_SITES_SQL = "t(f, x, y, z) AS (VALUES " + ", ".join(f"({f}::DOUBLE, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for f, x, y, z in _SITES) + ")"
+
+
+@query(f"""WITH {_BRAGG_SQL}, {_SITES_SQL}, f AS (SELECT a, h, k, l, any_value(s) AS s, any_value(d) AS d, any_value(multiplicity) AS m, sum(f * exp(-1.5 / (4 * d * d)) * cos(2 * pi() * (h * x + k * y + l * z))) AS re, sum(f * exp(-1.5 / (4 * d * d)) * sin(2 * pi() * (h * x + k * y + l * z))) AS im FROM b, t WHERE s <= 1 GROUP BY a, h, k, l)
+SELECT a, h, k, l, round(re * re + im * im, 4) AS f2, round(m * (re * re + im * im) * (1 + pow(cos(2 * asin(s)), 2)) / (s * s * cos(asin(s))), 2) AS intensity FROM f""")
+def structure_factor(t):
+    """Sites are a fixed array, so the sum is an array fold in each row; no row is made for a site."""
+    sites = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("fxyz", s, strict=True))) for s in _SITES))
+    damp = F.exp(-1.5 / (4 * F.col("d") * F.col("d")))
+    phase = lambda s: 2 * F.pi() * (F.col("h") * s["x"] + F.col("k") * s["y"] + F.col("l") * s["z"])
+    part = lambda g: F.aggregate(F.transform(sites, lambda s: s["f"] * damp * g(phase(s))), F.lit(0.0), lambda a, v: a + v)
+    f = _bragg(t).withColumns({"re": part(F.cos), "im": part(F.sin)}).withColumn("f2", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    return f.select("a", "h", "k", "l", F.round("f2", 4).alias("f2"), F.round(F.col("multiplicity") * F.col("f2") * X.lorentz_polarisation(F.col("two_theta")), 2).alias("intensity"))
+
+
+@query("""SELECT p_partkey, round(18 * (1 - w) * exp(-3.0 * (k / 150.0)) + 18 * w * exp(-3.0 * ((k + 1) / 150.0)), 6) AS f FROM (SELECT p_partkey, floor(p_size / 100.0 * 150) AS k, p_size / 100.0::DOUBLE * 150 - floor(p_size / 100.0::DOUBLE * 150) AS w FROM part)""")
+def form_factor_interp(t):
+    """Linear interpolation in a table on 601 nodes by index arithmetic."""
+    at = F.col("p_size") / 100.0 * 150
+    k = F.floor(at)
+    w = at - k
+    node = lambda i: F.exp(F.lit(-3.0) * (i / 150.0))
+    return t.part.select("p_partkey", F.round(18 * (1 - w) * node(k) + 18 * w * node(k + 1), 6).alias("f"))
+
+
+_TT = "(20.0::DOUBLE + p_size)"
+
+
+@query(f"""SELECT p_partkey, round(least(greatest(sqrt(greatest(2e-3 * pow(tan(radians({_TT} / 2)), 2) - 1e-3 * tan(radians({_TT} / 2)) + 3e-3, 0) + pow(degrees(0.9 * 1.5406 / (10 * (20.0::DOUBLE + p_size % 9) * cos(radians({_TT} / 2)))), 2) + pow(degrees(4 * 1e-3 * tan(radians({_TT} / 2))), 2)), 0.03), 2.0), 6) AS fwhm FROM part""")
+def fwhm_model(t):
+    w = X.fwhm(20.0 + F.col("p_size"), 2e-3, -1e-3, 3e-3, 20.0 + F.col("p_size") % 9, F.lit(1e-3), F.lit(1.5406))
+    return t.part.select("p_partkey", F.round(w, 6).alias("fwhm"))
+
+
+@query("SELECT p_partkey, round(0.4 * 2 / (pi() * 0.5 * (1 + 4 * pow((p_size / 50.0::DOUBLE - 0.5) / 0.5, 2))) + 0.6 * sqrt(4 * ln(2) / pi()) / 0.5 * exp(-4 * ln(2) * pow((p_size / 50.0::DOUBLE - 0.5) / 0.5, 2)), 6) AS y FROM part")
+def pseudo_voigt(t):
+    return t.part.select("p_partkey", F.round(X.pseudo_voigt(F.col("p_size") / 50.0, F.lit(0.5), F.lit(0.5), F.lit(0.4)), 6).alias("y"))
+
+
+@query("SELECT p_partkey, round(pow(0.64 * pow(cos(p_size / 32.0::DOUBLE), 2) + pow(sin(p_size / 32.0::DOUBLE), 2) / 0.8, -1.5), 6) AS texture FROM part")
+def march_dollase(t):
+    return t.part.select("p_partkey", F.round(X.march_dollase(F.col("p_size") / 32.0, F.lit(0.8)), 6).alias("texture"))
+
+
+@query(f"SELECT p_partkey, round({_TT} + 0.02 - 0.05 * cos(radians({_TT} / 2)), 6) AS position FROM part")
+def peak_shift(t):
+    return t.part.select("p_partkey", F.round(X.shifted(20.0 + F.col("p_size"), F.lit(0.02), F.lit(-0.05)), 6).alias("position"))
+
+
+@query("WITH x AS (SELECT p_partkey, p_size / 25.0::DOUBLE - 1 AS x FROM part) SELECT p_partkey, round(greatest(0.1 + 0.05 * x - 0.08 * (2*x*x - 1) + 0.02 * (4*x*x*x - 3*x), 0), 6) AS background FROM x")
+def chebyshev_background(t):
+    return t.part.select("p_partkey", F.round(X.chebyshev(F.col("p_size") / 25.0 - 1, [F.lit(c) for c in (0.1, 0.05, -0.08, 0.02)]), 6).alias("background"))
+
+
+@query("SELECT p_partkey, round(0.3 * exp(-0.5 * pow((p_size - 24.0::DOUBLE) / 6, 2)), 6) AS halo FROM part")
+def halo(t):
+    return t.part.select("p_partkey", F.round(X.gaussian_halo(F.col("p_size").cast("double"), F.lit(24.0), F.lit(6.0), F.lit(0.3)), 6).alias("halo"))
+
+
+@query("""SELECT op, array_to_string(r, ',') AS rotation FROM (VALUES ('x,y,z', [1,0,0,0,1,0,0,0,1]), ('-x, -y, z+1/2', [-1,0,0,0,-1,0,0,0,1]), ('y,x,-z', [0,1,0,1,0,0,0,0,-1]), ('x-y,x,z+1/6', [1,-1,0,1,0,0,0,0,1])) v(op, r)""")
+def symop_parse(t):
+    ops = t.spark.createDataFrame([(o,) for o in ("x,y,z", "-x, -y, z+1/2", "y,x,-z", "x-y,x,z+1/6")], "op string")
+    return ops.select("op", F.array_join(F.transform(X.symop_rotation(F.col("op")), lambda v: v.cast("string")), ",").alias("rotation"))
+
+
+def _structures(t):
+    cubic = [[1, 0, 0, 0, 1, 0, 0, 0, 1], [-1, 0, 0, 0, -1, 0, 0, 0, 1], [0, 1, 0, 0, 0, 1, 1, 0, 0], [0, 0, 1, 1, 0, 0, 0, 1, 0]]
+    numbers = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+    a = 4 + F.col("p_size") / 25.0
+    sites = numbers([0, 0, 0, 0.5, 0.5, 0.5])
+    return t.part.groupBy("p_size").agg(F.min("p_partkey").alias("p_partkey")).select("p_partkey", F.array(a, a, a, F.lit(90.0), F.lit(90.0), F.lit(90.0)).alias("cell"), sites.alias("sites"), F.array(F.lit("Na"), F.lit("Cl")).alias("elements"), F.array(*(F.lit(v) for op in cubic for v in op)).alias("rotations"), F.lit(1.5406).alias("wavelength"))
+
+
+@query()
+def generator(t):
+    """A simulated pattern for each different structure, seeded by its id."""
+    return R.simulate(_structures(t), "p_partkey").select("p_partkey", "seed", "status", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 3).alias("area"), F.size("y").alias("bins"))
+
+
+@query()
+def counting_noise(t):
+    """Bins of the simulated patterns over half of the maximum."""
+    return R.simulate(_structures(t), "p_partkey").select("p_partkey", F.posexplode("y").alias("bin", "y")).where("y > 0.5")
+
+
+@query()
+def profile_integration(t):
+    """Where the pattern's mass lies: the mean over ten-degree bands."""
+    y = R.simulate(_structures(t), "p_partkey").select("p_partkey", F.posexplode("y").alias("bin", "y"))
+    return y.groupBy("p_partkey", F.floor(F.col("bin") / 455).alias("band")).agg(F.avg("y").alias("mean"))
+
+
+def _domains(t):
+    """Two domains told apart by label parity, eight features each."""
+    f = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    return t.embeddings.select("vec_id", (F.col("label") % 2).cast("double").alias("label"), array_to_vector(f).alias("features"), f.alias("f"))
+
+
+@query()
+def domain_gbt(t):
+    """A boosted-tree classifier of the two domains, trained on hashed three quarters; its AUC on the rest."""
+    own = _domains(t)
+    test = F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=0).fit(own.where(~test))
+    auc = BinaryClassificationEvaluator().evaluate(model.transform(own.where(test)))
+    return t.spark.createDataFrame([(float(auc), model.getNumTrees)], "auc double, trees int")
+
+
+@query()
+def permutation_importance(t):
+    """Loss of AUC when one feature is exchanged between rows of the test part, by a hashed rank. The score is the mean difference direction of the two domains."""
+    own = _domains(t).select("vec_id", "label", F.col("f"))
+    mean = own.select("label", F.posexplode("f").alias("k", "v")).groupBy("k").agg((F.avg(F.when(F.col("label") == 1, F.col("v"))) - F.avg(F.when(F.col("label") == 0, F.col("v")))).alias("w"))
+    weights = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("w"))  # eight numbers
+    scored = own.join(F.broadcast(weights))
+    dot = lambda f: F.aggregate(F.zip_with(f, F.col("w"), lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
+    other = own.select((F.pmod(F.col("vec_id") + 1, F.lit(1 << 40))).alias("vec_id"), F.col("f").alias("g"))
+    both = scored.join(other, "vec_id")
+    base = both.select("label", dot(F.col("f")).alias("s"), F.lit(-1).alias("k"))
+    changed = both.select("label", "f", "g", "w", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    swapped = F.transform("f", lambda x, i: F.when(i == F.col("k"), F.get("g", i)).otherwise(x))
+    every = base.unionByName(changed.select("label", dot(swapped).alias("s"), "k"))
+    auc = roc_auc(every, "s", F.col("label") == 1, "k")
+    whole = auc.where("k = -1").select(F.col("auc").alias("whole"))
+    return auc.where("k >= 0").join(F.broadcast(whole)).select("k", F.round(F.col("whole") - F.col("auc"), 6).alias("loss"))
+
+
+@query("""WITH l AS (SELECT label % 2 AS side, vec_id % 3 AS pair, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings), c AS (SELECT pair, v, count(*) FILTER (WHERE side = 1) AS n1, count(*) FILTER (WHERE side = 0) AS n0 FROM l GROUP BY ALL),
+u AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY pair ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM c)
+SELECT pair, round(sum(n1 * (under + n0 / 2.0::DOUBLE)) / (sum(n1) * sum(n0)), 6) AS auc, CAST(sum(n1) AS BIGINT) AS n_real, CAST(sum(n0) AS BIGINT) AS n_synth FROM u GROUP BY pair HAVING sum(n1) >= 10 AND sum(n0) >= 10""")
+def domain_report(t):
+    """AUC of one feature for each pair of domains with enough rows."""
+    own = t.embeddings.select((F.col("label") % 2 == 1).alias("side"), (F.col("vec_id") % 3).alias("pair"), F.col("embedding")[0].cast("double").alias("v"))
+    return roc_auc(own, "v", F.col("side"), "pair").where("n1 >= 10 and n0 >= 10").select("pair", F.round("auc", 6).alias("auc"), F.col("n1").alias("n_real"), F.col("n0").alias("n_synth"))

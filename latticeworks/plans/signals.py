@@ -1 +1,164 @@
-"""To come."""
+"""Features of series and vectors that have a relational form: differences, moments, noise, averages, peaks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from latticeworks.functions import kernels as K
+from latticeworks.plans.common import SERIES_SQL, by_user, series
+from latticeworks.registry import query
+
+_S = f"s AS ({SERIES_SQL})"
+_W = "PARTITION BY user_id ORDER BY i"
+
+
+@query(f"WITH {_S} SELECT user_id, i, round(y - lag(y) OVER ({_W}), 6) AS d1, round(y - 2 * lag(y) OVER ({_W}) + lag(y, 2) OVER ({_W}), 6) AS d2 FROM s")
+def differences(t):
+    y, back = F.col("y"), lambda k: F.lag("y", k).over(by_user())
+    return series(t).select("user_id", "i", F.round(y - back(1), 6).alias("d1"), F.round(y - 2 * back(1) + back(2), 6).alias("d2"))
+
+
+@query(f"WITH {_S}, d AS (SELECT user_id, y, y - lag(y) OVER ({_W}) AS d FROM s) SELECT user_id, round(avg(abs(d)), 6) AS mean_step, round(sum(abs(d)) / sum(y), 6) AS relative FROM d GROUP BY user_id")
+def total_variation(t):
+    d = series(t).withColumn("d", F.abs(F.col("y") - F.lag("y").over(by_user())))
+    return d.groupBy("user_id").agg(F.round(F.avg("d"), 6).alias("mean_step"), F.round(F.sum("d") / F.sum("y"), 6).alias("relative"))
+
+
+@query(f"WITH {_S}, c AS (SELECT user_id, y, sum(y) OVER (PARTITION BY user_id ORDER BY y, i ROWS UNBOUNDED PRECEDING) AS cum FROM s), n AS (SELECT user_id, count(*) AS n, sum(y) AS total, sum(cum) AS cums FROM c GROUP BY 1) SELECT user_id, round((n + 1 - 2 * cums / total) / n, 6) AS gini FROM n")
+def gini(t):
+    up = Window.partitionBy("user_id").orderBy("y", "i").rowsBetween(Window.unboundedPreceding, 0)
+    n = series(t).withColumn("cum", F.sum("y").over(up)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"), F.sum("cum").alias("cums"))
+    return n.select("user_id", F.round((F.col("n") + 1 - 2 * F.col("cums") / F.col("total")) / F.col("n"), 6).alias("gini"))
+
+
+@query(f"WITH {_S}, d AS (SELECT user_id, y - lag(y) OVER ({_W}) AS d FROM s), m AS (SELECT user_id, quantile_cont(d, 0.5) AS m FROM d GROUP BY 1) SELECT user_id, round(1.4826 * quantile_cont(abs(d - m), 0.5), 6) AS noise FROM d JOIN m USING (user_id) GROUP BY user_id")
+def mad_noise(t):
+    d = series(t).select("user_id", (F.col("y") - F.lag("y").over(by_user())).alias("d"))
+    m = d.groupBy("user_id").agg(F.percentile("d", F.lit(0.5)).alias("m"))
+    return d.join(m, "user_id").groupBy("user_id").agg(F.round(1.4826 * F.percentile(F.abs(F.col("d") - F.col("m")), F.lit(0.5)), 6).alias("noise"))
+
+
+@query(f"WITH {_S}, l AS (SELECT user_id, y, lag(y) OVER ({_W}) AS a, lag(y, 3) OVER ({_W}) AS b FROM s) SELECT user_id, round(corr(y, a), 6) AS lag1, round(corr(y, b), 6) AS lag3 FROM l GROUP BY user_id")
+def lag_autocorr(t):
+    lagged = series(t).select("user_id", "y", F.lag("y").over(by_user()).alias("a"), F.lag("y", 3).over(by_user()).alias("b"))
+    return lagged.groupBy("user_id").agg(F.round(F.corr("y", "a"), 6).alias("lag1"), F.round(F.corr("y", "b"), 6).alias("lag3"))
+
+
+@query(f"""WITH {_S}, m AS (SELECT user_id, avg(y) AS mu, stddev_pop(y) AS sd FROM s GROUP BY 1)
+SELECT user_id, round(avg(pow((y - mu) / sd, 3)), 5) AS skew, round(avg(pow((y - mu) / sd, 4)) - 3, 5) AS excess, round(avg(pow((y - mu) / (sd + 1e-6), 3)), 5) AS z3, round(avg(pow((y - mu) / (sd + 1e-6), 4)), 5) AS z4 FROM s JOIN m USING (user_id) GROUP BY user_id""")
+def moments(t):
+    """Two conventions: population skewness and excess kurtosis, and raw standardised moments with a guarded deviation."""
+    s = series(t)
+    m = s.groupBy("user_id").agg(F.avg("y").alias("mu"), F.stddev_pop("y").alias("sd"))
+    z = (F.col("y") - F.col("mu")) / (F.col("sd") + 1e-6)
+    return s.join(m, "user_id").groupBy("user_id").agg(F.round(F.skewness("y"), 5).alias("skew"), F.round(F.kurtosis("y"), 5).alias("excess"), F.round(F.avg(F.pow(z, 3)), 5).alias("z3"), F.round(F.avg(F.pow(z, 4)), 5).alias("z4"))
+
+
+@query(f"WITH {_S} SELECT user_id, round(avg(CAST(y > 10 AS INTEGER)), 6) AS above, round(avg(CAST(y < 1 AS INTEGER)), 6) AS below FROM s GROUP BY 1")
+def fraction_thresholds(t):
+    return series(t).groupBy("user_id").agg(F.round(F.avg((F.col("y") > 10).cast("int")), 6).alias("above"), F.round(F.avg((F.col("y") < 1).cast("int")), 6).alias("below"))
+
+
+@query(f"WITH {_S} SELECT user_id, i, round(coalesce(sum(y) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 0) / 7, 6) AS mean7 FROM s")
+def moving_average(t):
+    """Seven-point mean with zeros beyond the ends: the divisor stays 7."""
+    return series(t).select("user_id", "i", F.round(F.sum("y").over(by_user().rowsBetween(-3, 3)) / 7, 6).alias("mean7"))
+
+
+@query(f"""WITH {_S}, n AS (SELECT user_id, count(*) AS n, list(y ORDER BY i) AS ys FROM s GROUP BY 1), k AS (SELECT user_id, n, ys, unnest(range(1, n + 1)) AS i FROM n)
+SELECT user_id, i, round(list_sum(list_transform(range(i - 3, i + 4), lambda j: ys[CASE WHEN j < 1 THEN 1 - j WHEN j > n THEN 2 * n + 1 - j ELSE j END])) / 7, 6) AS mean7 FROM k""")
+def moving_average_reflect(t):
+    """Seven-point mean with the ends mirrored, edge points repeated: positions beyond an end are folded back."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
+    s = series(t).withColumn("n", n)
+    spread = s.select("user_id", "i", "n", F.explode(F.sequence(F.col("i") - 3, F.col("i") + 3)).alias("j"))
+    at = F.when(F.col("j") < 1, 1 - F.col("j")).when(F.col("j") > F.col("n"), 2 * F.col("n") + 1 - F.col("j")).otherwise(F.col("j"))
+    values = s.select("user_id", F.col("i").alias("j"), "y")
+    return spread.select("user_id", "i", at.alias("j")).join(values, ["user_id", "j"]).groupBy("user_id", "i").agg(F.round(F.sum("y") / 7, 6).alias("mean7"))
+
+
+@query(f"""WITH {_S}, g AS (SELECT user_id, CASE WHEN lag(y) OVER ({_W}) IS NULL THEN lead(y) OVER ({_W}) - y WHEN lead(y) OVER ({_W}) IS NULL THEN y - lag(y) OVER ({_W}) ELSE (lead(y) OVER ({_W}) - lag(y) OVER ({_W})) / 2 END AS g FROM s) SELECT user_id, round(max(abs(g)), 6) AS steepest FROM g GROUP BY 1""")
+def gradient_max(t):
+    a, b = F.lag("y").over(by_user()), F.lead("y").over(by_user())
+    g = F.when(a.isNull(), b - F.col("y")).when(b.isNull(), F.col("y") - a).otherwise((b - a) / 2)
+    return series(t).select("user_id", F.abs(g).alias("g")).groupBy("user_id").agg(F.round(F.max("g"), 6).alias("steepest"))
+
+
+_PEAKS_SQL = f"{_S}, p AS (SELECT *, lag(y) OVER ({_W}) AS a, lead(y) OVER ({_W}) AS b FROM s), k AS (SELECT user_id, i, x, y FROM p WHERE y > a AND y > b)"
+
+
+def _peaks(t):
+    p = series(t).withColumns({"a": F.lag("y").over(by_user()), "b": F.lead("y").over(by_user())})
+    return p.where("y > a and y > b").select("user_id", "i", "x", "y")
+
+
+@query(f"WITH {_PEAKS_SQL} SELECT user_id, i, round(x, 6) AS x, y FROM k")
+def local_maxima(t):
+    return _peaks(t).select("user_id", "i", F.round("x", 6).alias("x"), "y")
+
+
+@query(f"WITH {_PEAKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY y DESC, i) AS r, max(y) OVER (PARTITION BY user_id) AS top FROM k) SELECT user_id, i, y, r AS rank FROM r WHERE r <= 5 AND y >= 0.05 * top")
+def top_n_peaks(t):
+    own = Window.partitionBy("user_id")
+    r = _peaks(t).withColumns({"rank": F.row_number().over(own.orderBy(F.desc("y"), "i")), "top": F.max("y").over(own)})
+    return r.where("rank <= 5 and y >= 0.05 * top").select("user_id", "i", "y", "rank")
+
+
+@query(f"WITH {_PEAKS_SQL}, g AS (SELECT user_id, lead(x) OVER (PARTITION BY user_id ORDER BY i) - x AS gap FROM k) SELECT user_id, round(avg(CAST(gap BETWEEN 0.5 AND 2.0 AS INTEGER)), 6) AS doublets FROM g WHERE gap IS NOT NULL GROUP BY 1")
+def adjacent_gap_fraction(t):
+    gap = F.lead("x").over(by_user()) - F.col("x")
+    return _peaks(t).select("user_id", gap.alias("gap")).where("gap is not null").groupBy("user_id").agg(F.round(F.avg(F.col("gap").between(0.5, 2.0).cast("int")), 6).alias("doublets"))
+
+
+@query(f"WITH {_PEAKS_SQL} SELECT k.user_id, k.i, count(s.x) FILTER (WHERE s.y / k.y BETWEEN 0.25 AND 0.75) > 0 AS shoulder FROM k LEFT JOIN s ON s.user_id = k.user_id AND s.x BETWEEN k.x + 0.5 AND k.x + 2.5 GROUP BY k.user_id, k.i")
+def shoulder_probe(t):
+    """A point at a quarter to three quarters of the peak's height, just after it. The probe is a range frame over x in millionths, not a join."""
+    near = Window.partitionBy("user_id").orderBy(F.round(F.col("x") * 1_000_000).cast("long"))
+    after = F.collect_list("y").over(near.rangeBetween(500_000, 2_500_000))
+    p = series(t).withColumns({"a": F.lag("y").over(by_user()), "b": F.lead("y").over(by_user()), "after": after}).where("y > a and y > b")
+    return p.select("user_id", "i", F.exists("after", lambda v: (v / F.col("y")).between(0.25, 0.75)).alias("shoulder"))
+
+
+@query(f"""WITH {_S}, h AS (SELECT user_id, max(CAST(floor(x / 3) AS INTEGER)) AS top FROM s GROUP BY 1), b AS (SELECT user_id, CAST(floor(x / 3) AS INTEGER) AS bin, avg(y) AS y FROM s GROUP BY 1, 2), p AS (SELECT a.user_id AS one, c.user_id AS other, corr(a.y, c.y) AS r, count(*) AS n FROM b a JOIN b c ON a.bin = c.bin AND c.user_id = a.user_id + 1 GROUP BY 1, 2) SELECT one, other, round(r, 6) AS r, n FROM p""")
+def profile_correlation(t):
+    """Correlation of each binned series with the next one's."""
+    b = series(t).groupBy("user_id", F.floor(F.col("x") / 3).cast("int").alias("bin")).agg(F.avg("y").alias("y"))
+    a = b.select(F.col("user_id").alias("one"), (F.col("user_id") + 1).alias("other"), "bin", F.col("y").alias("a"))
+    c = b.select(F.col("user_id").alias("other"), "bin", F.col("y").alias("c"))
+    return a.join(c, ["other", "bin"]).groupBy("one", "other").agg(F.round(F.corr("a", "c"), 6).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+# --- kernels in numpy: no relational form --------------------------------------------------------------------------
+
+
+def _arrays(t):
+    """One row a series with sorted x and y arrays."""
+    return series(t).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p")).select("user_id", F.transform("p", lambda p: p["x"]).alias("x"), F.transform("p", lambda p: p["y"]).alias("y"))
+
+
+@query()
+def preprocess_series(t):
+    return K.preprocess(_arrays(t), "user_id")
+
+
+@query()
+def regrid_pchip(t):
+    """The regridded series in long form: every value of the common grid that is not zero."""
+    own = K.preprocess(_arrays(t), "user_id")
+    return own.select("user_id", F.posexplode("y").alias("bin", "value")).where("value > 0")
+
+
+@query()
+def feature_set_a(t):
+    return K.features(K.preprocess(_arrays(t), "user_id"), "user_id", "a")
+
+
+@query()
+def feature_set_b(t):
+    return K.features(K.preprocess(_arrays(t), "user_id"), "user_id", "b")
+
+
+@query()
+def feature_set_c(t):
+    return K.features(K.preprocess(_arrays(t), "user_id"), "user_id", "c")

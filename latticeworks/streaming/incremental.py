@@ -1 +1,77 @@
-"""To come."""
+"""Restartable ingestion: streams over files with checkpoints, micro-batch appends, retries, and resumed batches."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from latticeworks.registry import Tables, query
+
+
+def event_stream(spark: SparkSession, folder: str, max_files: int = 4, glob: str = "*") -> DataFrame:
+    """Events as a stream over a folder of Parquet files, a few files at a time. Their time has no zone, which watermarks refuse, so it is read as UTC time."""
+    like = spark.read.option("pathGlobFilter", glob).parquet(folder)
+    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def windowed_counts(stream: DataFrame, length: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Counts by tumbling window and type; state older than the watermark is dropped."""
+    return stream.withWatermark("ts", delay).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def without_repeats(stream: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
+    """First arrivals by key within the watermark."""
+    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+
+
+def append_batches(stream: DataFrame, target: str, checkpoint: str, key: str) -> None:
+    """Process what there is and stop. A batch is written as a whole under its number, so a batch that is run again after a failure replaces itself: nothing is lost or doubled."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't done yet."""
+    return todo.join(done.select(key), key, "left_anti")
+
+
+def merge_retries(old: DataFrame, new: DataFrame, key: str, failed: str) -> DataFrame:
+    """Old rows, those that had failed replaced by their retry where there is one; a second merge of the same retries changes nothing."""
+    columns = [c for c in old.columns if c != key]
+    retry = new.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_retried"))
+    use = F.col(failed) & F.coalesce(F.col("_retried"), F.lit(False))
+    return old.join(retry, key, "left").select(key, *(F.when(use, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in columns))
+
+
+@query()
+def stream_window_counts(t: Tables) -> DataFrame:
+    """Daily counts by type, computed by the stream over the events file to its end."""
+    name = f"counts_{id(t)}"
+    stream = windowed_counts(event_stream(t.spark, t.sf_dir, glob="events.parquet"))
+    place = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="latticeworks-")
+    run = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{place}/{name}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.table(name)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 3 AND event_id % 4 <> 0 THEN round(value * 2, 4) ELSE round(value, 4) END AS value, event_id % 10 = 3 AND event_id % 4 = 0 AS failed FROM events")
+def retry_merge(t: Tables) -> DataFrame:
+    """Every tenth row had failed; three quarters of the retries came through."""
+    bad = F.col("event_id") % 10 == 3
+    old = t.events.select("event_id", F.col("value"), bad.alias("failed"))
+    new = t.events.where(bad & (F.col("event_id") % 4 != 0)).select("event_id", (F.col("value") * 2).alias("value"), F.lit(False).alias("failed"))
+    return merge_retries(old, new, "event_id", "failed").select("event_id", F.round("value", 4).alias("value"), "failed")
+
+
+@query("SELECT user_id, count(*) AS events, count(*) FILTER (WHERE gap > 86400) + 1 AS sessions FROM (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000000.0 AS gap FROM events) GROUP BY user_id")
+def sessions(t: Tables) -> DataFrame:
+    """Runs of a user's events without a gap over a day."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.expr("timestampdiff(MICROSECOND, before, ts)") / 1e6
+    return t.events.withColumn("before", F.lag("ts").over(own)).withColumn("gap", gap).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), (F.count_if(F.col("gap") > 86400) + 1).alias("sessions"))
