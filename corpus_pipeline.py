@@ -22,9 +22,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id, and of repeated rows one."""
     kept = neardup.near_duplicates(docs).where("kept").select("uid").distinct()
+    keyed = docs.select(neardup.row_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(kept, "uid")
     one = F.row_number().over(Window.partitionBy("uid").orderBy("uid"))
-    keyed = docs.withColumn("uid", neardup.row_id()).join(kept, "uid")
-    return keyed.withColumn("own_number", one).where("own_number = 1").select(*docs.columns)
+    return keyed.withColumn("turn", one).where("turn = 1").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

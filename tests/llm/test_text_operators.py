@@ -1,0 +1,239 @@
+"""Filters, scans, scores and substring removal against brute force, on messy rows."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from samples import messy_rows, prose
+
+from latticeworks.llm import mixmodel, quality, queries, scoring, secrets, substrings
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def by_row(rows):
+    return sorted(map(repr, rows))
+
+
+# --- quality -------------------------------------------------------------------------------------------------------
+
+
+def quality_brute(text):
+    text = text or ""
+    w = words(text)
+    where = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = set()
+    for i in range(len(w) - 7):
+        if where[tuple(w[i : i + 8])] > 1:
+            covered |= set(range(i, i + 8))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)
+
+
+def test_quality_measures(spark, messy, nothing):
+    got = quality.quality_rules(messy).collect()
+    assert by_row((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == by_row((r[0], *quality_brute(r[1])) for r in messy_rows())
+    assert all(not (r.base_failed and r.kept) for r in got)
+    assert quality.filter_quality(messy).columns == messy.columns
+    assert quality.filter_quality(messy).count() == sum(r.kept for r in got)
+    assert quality.quality_rules(nothing).count() == quality.filter_quality(nothing).count() == 0
+
+
+def test_quality_verdicts(spark):
+    rng = random.Random(2)
+    clean, line = prose(rng, 300), prose(rng, 12).replace("\n", " ")
+    texts = {"clean": clean, "repeated": " ".join(words(clean)[:60]) + " " + " ".join(words(clean)[:60]), "lines": "\n".join([line] * 9 + [prose(rng, 20)]), "symbols": " ".join(w + "%%" for w in words(clean)), "short": "a few words"}
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).collect()}
+    assert [k for i, k in enumerate(texts) if got[i]] == ["clean"]
+
+
+# --- secrets -------------------------------------------------------------------------------------------------------
+
+
+def der(tag, body):
+    size = len(body)
+    head = bytes([size]) if size < 128 else (lambda b: bytes([0x80 | len(b)]) + b)(size.to_bytes((size.bit_length() + 7) // 8, "big"))
+    return bytes([tag]) + head + body
+
+
+def rsa_key(rng):
+    number = lambda n: der(2, b"\x01" + bytes(rng.randrange(256) for _ in range(n)))
+    return der(0x30, der(2, b"\x00") + b"".join(number(n) for n in (64, 3, 63, 32, 32, 32, 32, 32)))
+
+
+def pkcs8(rng):
+    return der(0x30, der(2, b"\x00") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + b"\x05\x00") + der(4, rsa_key(rng)))
+
+
+def ssh_key(rng):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\x00" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(bytes(rng.randrange(256) for _ in range(136)))
+
+
+def token(head, body, seal=b"s" * 32):
+    enc = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    return ".".join(enc(x) for x in (json.dumps(head).encode(), json.dumps(body).encode(), seal))
+
+
+def kinds(text):
+    return [k for k, _, _ in secrets.find(text)]
+
+
+def test_base_spans():
+    text = 'é Password: "abc12" token=sec-ret_1x AKIA' + "Z" * 16 + " api_key = 'k.k=k/k+' apikey:short secret:\t123456 " + "a1" * 12 + " " + "0" * 23
+    got = secrets.find(text)
+    assert [(k, text[a:b]) for k, a, b in got] == [("assign", "token=sec-ret_1x"), ("access", "AKIA" + "Z" * 16), ("assign", "api_key = 'k.k=k/k+"), ("hex", "a1" * 12)]
+    assert secrets.base_spans("ſecret=abcdefgh toKen=abcdefgh") == []  # not ASCII letters
+
+
+def test_dropped_matches_use_up_their_text():
+    assert kinds("password=token: abcdefgh") == []
+
+
+@pytest.mark.parametrize("make", [rsa_key, pkcs8])
+def test_keys_are_confirmed_by_structure(make):
+    rng = random.Random(3)
+    key = make(rng)
+    text = base64.b64encode(key).decode()
+    assert "der_key" in kinds(f"x {text} y") and "der_key" in kinds(key.hex())
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{text}\n-----END RSA PRIVATE KEY-----"
+    assert "pem_key" in kinds(pem)
+    broken = bytearray(key)
+    broken[2] ^= 1  # an outer length that doesn't add up
+    assert not {"der_key", "pem_key"} & set(kinds(base64.b64encode(bytes(broken)).decode()))
+    assert "pem_key" not in kinds(pem.replace(text, base64.b64encode(bytes(rng.randrange(256) for _ in range(300))).decode()))
+
+
+def test_ssh_keys_and_signed_tokens():
+    rng = random.Random(4)
+    key = ssh_key(rng)
+    assert "ssh_key" in kinds(base64.b64encode(key).decode()) and "ssh_key" not in kinds(base64.b64encode(key[:-1]).decode())
+    good = token({"alg": "HS256", "typ": "JWT"}, {"sub": 1})
+    assert kinds(f"bearer {good}, next") == ["signed_token"]
+    assert kinds(token({"typ": "JWT"}, {"sub": 1})) == [] and kinds(token({"alg": "HS256"}, ["no object"])) == [] and kinds(token({"alg": "HS256"}, {}, b"x")) == []
+
+
+def test_scan_digest_and_redact(spark, messy, nothing):
+    extra = [(900, "token=abcdef123456 and token=abcdef123456"), (901, None), (None, "secret: " + "f0" * 20)]
+    docs = messy.select("doc_id", "text", "n_chars").unionByName(spark.createDataFrame([(i, t, len(t or "")) for i, t in extra], "doc_id long, text string, n_chars long"))
+    rows = [(r[0], r[1]) for r in messy_rows()] + extra
+    got = secrets.digest(secrets.scan(docs)).collect()
+    want = []
+    for i, t in rows:
+        spans = secrets.find(t)
+        base = [s for s in spans if s[0] in secrets.KINDS[:3]]
+        n = Counter(k for k, _, _ in base)
+        want.append((i, n["assign"], n["access"], n["hex"], hashlib.sha256(secrets.joined(base).encode()).hexdigest(), secrets.joined(spans)))
+    assert by_row(map(tuple, got)) == by_row(want)
+    clean = {r.doc_id: r for r in secrets.redact(docs).where("doc_id >= 900 or doc_id is null").collect()}
+    assert clean[900].text == "[REDACTED] and [REDACTED]" and clean[900].n_chars == 25 and clean[901].text is None
+    assert all(not secrets.find(r.text) for r in secrets.redact(docs).collect())
+    assert secrets.scan(nothing).count() == secrets.redact(nothing).count() == 0
+
+
+# --- substrings ----------------------------------------------------------------------------------------------------
+
+
+def removed(texts, width):
+    split = [words(t) for t in texts]
+    count = Counter(tuple(w[i : i + width]) for w in split for i in range(len(w) - width + 1))
+    out = []
+    for w in split:
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if count[tuple(w[i : i + width])] > 1:
+                gone |= set(range(i, i + width))
+        out.append((len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("width,gram,hot", [(35, 8, 4096), (6, 3, 4096), (6, 3, 1), (12, 4, 1)])
+def test_substring_removal(messy, monkeypatch, width, gram, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 2000)
+    want = removed([r[1] for r in messy_rows()], width)
+    got = substrings.remove_repeats(messy, width, gram).collect()
+    assert by_row((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == by_row((r[0], *w) for r, w in zip(messy_rows(), want, strict=True))
+
+
+def test_substring_removal_of_nothing(nothing):
+    assert substrings.remove_repeats(nothing).count() == 0
+
+
+def test_fm_index_counts():
+    rng = np.random.default_rng(0)
+    text = np.append(rng.integers(1, 5, 300), 0)
+    index = substrings.FMIndex(text, 8)
+    for _ in range(200):
+        n = int(rng.integers(1, 8))
+        at = int(rng.integers(0, 300 - n))
+        pattern = text[at : at + n] if rng.random() < 0.7 else rng.integers(1, 5, n)
+        low, high = np.array([0]), np.array([index.n])
+        for c in pattern[::-1]:
+            low, high = index.extend(np.array([c]), low, high)
+        assert max(0, int(high[0] - low[0])) == sum((text[i : i + n] == pattern).all() for i in range(301 - n))
+
+
+# --- scoring -------------------------------------------------------------------------------------------------------
+
+
+def test_base_scores(messy):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = [(r[0], [*words((r[1] or "").translate(lower)), "\n"]) for r in messy_rows()]
+    out = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    count = Counter(t for d, ts in tokens if not out(d) for t in ts)
+    n, v = sum(count.values()), len(count)
+    want = by_row((d, out(d), len(ts), sum(count[t] > 0 for t in ts), n, round(sum(math.log10((count[t] + 1) / (n + v + 1)) for t in ts), 6)) for d, ts in tokens)
+    got = scoring.score(messy).collect()
+    assert by_row((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 and r.bits_per_byte > 0 for r in got)
+    same = {r.score for r in got if r.n_tokens == len(words(messy_rows()[0][1])) + 1 and r.doc_id == 0}
+    assert len(same) == 1  # repeated rows score alike
+
+
+def test_scores_of_nothing(nothing):
+    assert scoring.score(nothing).count() == 0
+
+
+def test_model_is_a_distribution_and_learns():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    train = Counter(rng.choice(["the", "of", "and", "lattice", "phase"]) for _ in range(2000)) + Counter(prose(rng, 1500).split())
+    names = list(train)
+    table = np.zeros(mixmodel.SLOTS * 2, np.float32)
+    mixmodel.count(table, pa.array(names), np.array([train[x] for x in names]))
+    mixer = mixmodel.Mixer()
+    for _ in range(20):
+        mixer.learn(table, pa.array(names), np.array([train[x] for x in names]))
+    scorer = mixmodel.Scorer(table, mixmodel.pooled([(mixer.weights, mixer.seen, 1.0)]))
+    flat = mixmodel.Scorer(np.zeros_like(table), mixmodel.Mixer())
+    held = pa.array([*(["the", "of", "and"] * 20), *prose(rng, 200).split()])
+    assert scorer.log10(held).sum() > flat.log10(held).sum() / 2
+    # All one-byte tokens with their terminators cannot have more than the whole probability.
+    ones = pa.array([chr(c) for c in range(33, 127)])
+    assert (10 ** scorer.log10(ones)).sum() < 1
+    assert scorer.log10(pa.array(["the", "the"]))[0] == scorer.log10(pa.array(["the"]))[0]
+
+
+def test_held_out_bits_beat_an_unmixed_model(spark):
+    """On sf0.01, held-out documents take fewer bits a byte than with equal weights, and under 3."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no tables")
+    got = queries.op3_context_mixing_score(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("-sum(score) / log10(2) / sum(n_bytes) as b").first().b
+    assert got < 3.0
