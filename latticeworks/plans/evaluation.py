@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from latticeworks.operators.metrics import by_value, ks_statistic, masked_mean, masked_median, micro_f1, roc_auc, set_counts
+from latticeworks.operators import metrics as E
+from latticeworks.operators.metrics import by_value, masked_mean, masked_median, micro_f1, set_counts
 from latticeworks.plans.common import PRED_SQL, hash_mod, hash_unit, predictions
 from latticeworks.registry import query
 
@@ -175,8 +176,8 @@ def system_breakdown(t):
 
 @query("""WITH s AS (SELECT o_custkey % 2 = 0 AS side, o_totalprice AS v FROM orders), c AS (SELECT v, count(*) FILTER (WHERE side) AS n1, count(*) FILTER (WHERE NOT side) AS n0 FROM s GROUP BY v),
 u AS (SELECT sum(n1) OVER w / sum(n1) OVER ()::DOUBLE AS f1, sum(n0) OVER w / sum(n0) OVER ()::DOUBLE AS f0 FROM c WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)) SELECT round(max(abs(f1 - f0)), 6) AS ks FROM u""")
-def ks_test(t):
-    return ks_statistic(t.orders, "o_totalprice", F.col("o_custkey") % 2 == 0).select(F.round("ks", 6).alias("ks"))
+def ks_statistic(t):
+    return E.ks_statistic(t.orders, "o_totalprice", F.col("o_custkey") % 2 == 0).select(F.round("ks", 6).alias("ks"))
 
 
 @query("""WITH s AS (SELECT n_regionkey, c_custkey % 2 = 0 AS side, c_acctbal AS v FROM customer JOIN nation ON c_nationkey = n_nationkey), c AS (SELECT n_regionkey, v, count(*) FILTER (WHERE side) AS n1, count(*) FILTER (WHERE NOT side) AS n0 FROM s GROUP BY ALL),
@@ -184,16 +185,16 @@ u AS (SELECT n_regionkey, sum(n1) OVER w / sum(n1) OVER (PARTITION BY n_regionke
 SELECT n_regionkey, round(max(abs(f1 - f0)), 6) AS ks FROM u GROUP BY 1""")
 def ks_statistic_by_group(t):
     own = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return ks_statistic(own, "c_acctbal", F.col("c_custkey") % 2 == 0, "n_regionkey").select("n_regionkey", F.round("ks", 6).alias("ks"))
+    return E.ks_statistic(own, "c_acctbal", F.col("c_custkey") % 2 == 0, "n_regionkey").select("n_regionkey", F.round("ks", 6).alias("ks"))
 
 
 _AUC_SQL = f"WITH {_P}, c AS (SELECT round(p, 2) AS v, count(*) FILTER (WHERE truth = 1) AS n1, count(*) FILTER (WHERE truth = 0) AS n0 FROM p GROUP BY 1), u AS (SELECT *, coalesce(sum(n0) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM c)"
 
 
 @query(f"{_AUC_SQL} SELECT round(sum(n1 * (under + n0 / 2.0::DOUBLE)) / (sum(n1) * sum(n0)), 6) AS auc FROM u")
-def roc_auc_ties(t):
+def roc_auc(t):
     scored = predictions(t).withColumn("v", F.round("p", 2))
-    return roc_auc(scored, "v", F.col("truth") == 1).select(F.round("auc", 6).alias("auc"))
+    return E.roc_auc(scored, "v", F.col("truth") == 1).select(F.round("auc", 6).alias("auc"))
 
 
 @query(f"{_AUC_SQL} SELECT v, round(sum(n1) OVER w / sum(n1) OVER ()::DOUBLE, 6) AS tpr, round(sum(n0) OVER w / sum(n0) OVER ()::DOUBLE, 6) AS fpr FROM u WINDOW w AS (ORDER BY v DESC ROWS UNBOUNDED PRECEDING)")
@@ -273,7 +274,7 @@ k AS (SELECT pos, max(abs(f1 - f0)) AS ks FROM u GROUP BY pos) SELECT pos, round
 def top_k_features(t):
     """Features ranked by KS distance between two domains."""
     long = t.embeddings.select("label", F.posexplode(F.slice("embedding", 1, 6)).alias("pos", "v")).select("label", (F.col("pos") + 1).cast("long").alias("pos"), F.col("v").cast("double").alias("v"))
-    return ks_statistic(long, "v", F.col("label") % 2 == 0, "pos").orderBy(F.desc("ks"), "pos").limit(3).select("pos", F.round("ks", 6).alias("ks"))
+    return E.ks_statistic(long, "v", F.col("label") % 2 == 0, "pos").orderBy(F.desc("ks"), "pos").limit(3).select("pos", F.round("ks", 6).alias("ks"))
 
 
 @query("""WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer), m AS (SELECT quantile_cont(v, 0.5) AS m FROM f) SELECT c_custkey, round(coalesce(v, m), 4) AS filled, coalesce(v, -1) AS flagged FROM f, m""")

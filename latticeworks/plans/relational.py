@@ -213,7 +213,6 @@ def fold_summary_std(t):
     return own.groupBy("n_regionkey").agg(F.when(F.count("c_acctbal") > 1, F.round(F.stddev_pop("c_acctbal"), 6)).alias("sd_pop"), F.round(F.stddev_samp(log), 6).alias("sd_log"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers, sum(CAST(o_orderstatus = 'F' AS BIGINT)) AS finished, round(avg(o_totalprice), 4) AS mean_price FROM orders")
 def _counters(t):
     return t.orders.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
 
