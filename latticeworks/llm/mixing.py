@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,13 +33,13 @@ MAX_REPEATS = 3
 BUCKET_ROWS = 2048
 
 
-def targets(sizes: list[int], weights: list[float], most: int = MAX_REPEATS) -> list[float]:
-    """Shares of the sum of sizes by weight; a share stops at ``most`` times its size and the excess is shared anew among the others, until none is above."""
-    total, out = float(sum(sizes)), [0.0] * len(sizes)
-    open_, rest = list(range(len(sizes))), total
+def targets(sizes: list[int], weights: list[float], most: int = MAX_REPEATS, total: int | None = None) -> list[float]:
+    """Shares of the total (the sum of sizes, if not given) by weight; a share stops at ``most`` times its size and the excess is shared anew among the others, until none is above."""
+    out = [0.0] * len(sizes)
+    open_, rest = list(range(len(sizes))), float(sum(sizes) if total is None else total)
     while open_:
         unit = rest / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * unit > most * sizes[i]]
+        full = {i for i in open_ if weights[i] * unit > most * sizes[i]}
         if not full:
             for i in open_:
                 out[i] = weights[i] * unit
@@ -47,7 +47,7 @@ def targets(sizes: list[int], weights: list[float], most: int = MAX_REPEATS) ->
         for i in full:
             out[i] = float(most * sizes[i])
             rest -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        open_ = [i for i in open_ if i not in full]
     return out
 
 
@@ -153,31 +153,50 @@ def _choose(sized: DataFrame, rest: list[tuple[int, float]], rows: dict[int, int
     return sure.select(*base, "extra").unionByName(edge)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = 20_240_602, keep_rows: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and repeats of every document: taken is its size times its repeats.
+def _members(docs: DataFrame, source: str) -> Column:
+    """The sources of a row as a sorted array without repeats: one for a plain column, any number for an array column."""
+    if isinstance(docs.schema[source].dataType, T.ArrayType):
+        return F.array_sort(F.array_distinct(F.coalesce(F.col(source).cast("array<string>"), F.array(F.lit(None).cast("string")))))
+    return F.array(F.col(source).cast("string"))
 
-    With ``keep_rows`` the whole input row comes along as the struct ``row``.
+
+def _in_order(name: str | None) -> tuple[bool, bytes]:
+    """Code point order, null last."""
+    return name is None, (name or "").encode("utf-32-be", "surrogatepass")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = 20_240_602, keep_rows: bool = False, source: str = "source") -> DataFrame:
+    """doc_id, sources, size, source_size, target, taken and repeats of every document: taken is its size times its repeats.
+
+    ``source`` names a column with one source, or an array of those that a document belongs to; source_size and target
+    are those of the first. With ``keep_rows`` the whole input row comes along as the struct ``row``.
     """
     spark = docs.sparkSession
-    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    doc_id, members = F.col("doc_id").cast("long"), _members(docs, source)
     rows_kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_rows else []
-    base = docs.select(doc_id.alias("doc_id"), source.alias("source"), "text", F.xxhash64(doc_id, source, "text").alias("uid"), *rows_kept)
-    sized = materialize(sizes_of(base, ["doc_id", "source", "uid", *(["row"] if keep_rows else [])]), "mix-sizes")
-    # One row for each source: what the flow works on.
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
-    found.sort(key=lambda x: (x.source is None, (x.source or "").encode("utf-32-be", "surrogatepass")))
-    sizes = [x.size or 0 for x in found]
-    quotas = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(found))], most)
-    given = flow([((i,), s) for i, s in enumerate(sizes)], quotas, most)
+    base = docs.select(doc_id.alias("doc_id"), members.alias("sources"), F.to_json(members).alias("own"), "text", F.xxhash64(doc_id, F.to_json(members), "text").alias("uid"), *rows_kept)
+    sized = materialize(sizes_of(base, ["doc_id", "sources", "own", "uid", *(["row"] if keep_rows else [])]), "mix-sizes")
+    # One row for each membership pattern: what the flow works on.
+    found = sized.groupBy("own").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
+    found.sort(key=lambda x: x.own)
+    names = sorted({s for x in found for s in x.sources}, key=_in_order)
+    number = {s: i for i, s in enumerate(names)}
+    patterns = [(tuple(number[s] for s in x.sources), x["size"] or 0) for x in found]
+    sizes = [0] * len(names)
+    for own, n in patterns:
+        for s in own:
+            sizes[s] += n
+    quotas = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(names))], most, sum(n for _, n in patterns))
+    given = flow(patterns, quotas, most)
     plan, rest, rows = [], [], {}
     for i, x in enumerate(found):
-        words = sum(given[i].values())
-        whole = min(most, int(words // sizes[i])) if sizes[i] else 0
-        plan.append((i, x.source, sizes[i], quotas[i], whole))
-        rest.append((i, words - whole * sizes[i] if whole < most else 0.0))
-        rows[i] = x.rows
+        words, (own, size) = sum(given[i].values()), patterns[i]
+        whole = min(most, int(words // size)) if size else 0
+        first = min(own, default=None)
+        plan.append((i, x.own, sizes[first] if own else None, quotas[first] if own else None, whole))
+        rest.append((i, words - whole * size if whole < most else 0.0))
+        rows[i] = x["rows"]
     table = F.broadcast(spark.createDataFrame(plan, "pattern int, own string, source_size long, target double, whole int"))
-    keyed = sized.join(table, F.col("source").eqNullSafe(F.col("own"))).drop("own")
-    chosen = _choose(keyed, rest, rows, seed)
+    chosen = _choose(sized.join(table, "own"), rest, rows, seed)
     repeats = F.col("whole") + F.col("extra")
-    return chosen.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), *(["row"] if keep_rows else []))
+    return chosen.select("doc_id", "sources", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), *(["row"] if keep_rows else []))

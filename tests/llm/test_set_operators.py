@@ -180,8 +180,9 @@ def test_mix(spark, messy, nothing):
     assert by_row((r.doc_id, r["size"], r.source_size) for r in got) == by_row((r[0], size(r[1]), by_source[r[3]]) for r in rows)
     taken = Counter()
     for r in got:
-        assert r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 3 * r["size"] and r.taken == r.repeats * r["size"] and r.row.doc_id == r.doc_id
-        taken[r.source] += r.taken
+        (source,) = r.sources
+        assert r.target == pytest.approx(want[source]) and 0 <= r.taken <= 3 * r["size"] and r.taken == r.repeats * r["size"] and r.row.doc_id == r.doc_id
+        taken[source] += r.taken
     largest = {s: max(size(r[1]) for r in rows if r[3] == s) for s in names}
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in names)
     again = mixing.mix(messy.repartition(5)).collect()
@@ -192,10 +193,23 @@ def test_mix(spark, messy, nothing):
 def test_mix_comes_near_on_many_documents(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randint(1, 60)), "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(8000)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("sources").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
     assert all(abs(r.t - r.g) <= 40 for r in got)
 
 
+def test_mix_of_overlapping_sources(spark):
+    rng = random.Random(3)
+    kinds = [["a"], ["b"], ["a", "b"], ["b", "a", "b"], [], None, ["c", None]]
+    rows = [(i, prose(rng, rng.randint(20, 60)), kinds[i % len(kinds)]) for i in range(700)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    total = sum(r["size"] for r in got)
+    taken = Counter()
+    for r in got:
+        assert r.taken <= 3 * r["size"] and (r.sources or r.taken == 0)
+        taken[tuple(r.sources)] += r.taken
+    assert abs(sum(taken.values()) - total) < 0.02 * total and len({tuple(r.sources) for r in got}) == 6
+
+
 # --- near duplicates -----------------------------------------------------------------------------------------------
 
 
