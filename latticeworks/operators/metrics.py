@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticeworks.operators.ranks import running_sums
+
 
 def masked_mean(value: Column, mask: Column) -> Column:
     """Mean of value over rows with the mask; null if there are none."""
@@ -30,12 +32,12 @@ def set_counts(predicted: Column, true: Column) -> tuple[Column, Column, Column]
 def by_value(df: DataFrame, value: str, side: Column, *keys: str) -> DataFrame:
     """Counts of each side at each distinct value, with running counts up to it: what KS, AUC and ROC need.
 
-    Values are counted before the window, so what one task orders is the distinct values of a key.
+    Values are counted first and ordered in buckets, so no task orders all of them.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(side).alias("n1"), F.count_if(~side).alias("n0"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return counts.withColumns({"c1": F.sum("n1").over(upto), "c0": F.sum("n0").over(upto), "t1": F.sum("n1").over(whole), "t0": F.sum("n0").over(whole)})
+    totals = counts.groupBy(*keys).agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
+    run = running_sums(counts, value, {"c1": F.col("n1"), "c0": F.col("n0")}, keys)
+    return run.join(totals, list(keys)) if keys else run.join(F.broadcast(totals))
 
 
 def ks_statistic(df: DataFrame, value: str, side: Column, *keys: str) -> DataFrame:

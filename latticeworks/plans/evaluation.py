@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from latticeworks.operators import metrics as E
 from latticeworks.operators.metrics import by_value, masked_mean, masked_median, micro_f1, set_counts
+from latticeworks.operators.ranks import running_sums
 from latticeworks.plans.common import PRED_SQL, hash_mod, hash_unit, predictions
 from latticeworks.registry import query
 
@@ -76,11 +76,11 @@ t(target) AS (VALUES (0.80::DOUBLE), (0.90::DOUBLE), (0.95::DOUBLE))
 SELECT target, max(i) AS i, round(max_by(p, i), 6) AS threshold FROM t LEFT JOIN o ON acc >= target GROUP BY target""")
 def threshold_calibration(t):
     """The confidence at the last rank whose running precision reaches the target; null if none does."""
-    # Running counts by distinct confidence; within one confidence ranks differ by id only, so ties are ordered there.
-    order = Window.orderBy(F.desc("p"), "doc_id")
-    curve = predictions(t).select("p", F.row_number().over(order).alias("i"), F.avg((F.col("truth") == 1).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("acc"))
+    falling = predictions(t).select("doc_id", "p", "truth", (-F.col("p")).alias("order"))
+    run = running_sums(falling, "order", {"i": F.lit(1), "right": (F.col("truth") == 1).cast("long")}, ties=["doc_id"])
+    curve = run.select("p", "i", (F.col("right") / F.col("i")).alias("acc"))
     targets = t.spark.createDataFrame([(0.80,), (0.90,), (0.95,)], "target double")
-    best = targets.join(curve, F.col("acc") >= F.col("target"), "left")
+    best = F.broadcast(targets).join(curve, F.col("acc") >= F.col("target"), "left")
     return best.groupBy("target").agg(F.max("i").alias("i"), F.round(F.max_by("p", "i"), 6).alias("threshold"))
 
 

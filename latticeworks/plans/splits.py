@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from latticeworks.operators.folds import group_folds
+from latticeworks.operators.ranks import take_by_hash
 from latticeworks.plans.common import hash_unit
 from latticeworks.registry import query
 
@@ -24,9 +25,9 @@ _HOLD_SQL = f"k AS ({_KEY_SQL}), g AS (SELECT key, row_number() OVER (ORDER BY m
 def group_holdout(t):
     """Two percent of the groups, by hash rank."""
     k = _keyed(t)
-    g = k.select("key").distinct()
-    g = g.select("key", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("h|"), F.col("key"))), "key")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    return k.join(g, "key").select("p_partkey", F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.02)), "val").otherwise("train").alias("split"))
+    g = k.select("key").distinct().withColumn("h", F.md5(F.concat(F.lit("h|"), F.col("key"))))
+    g = take_by_hash(g, "h", ["key"], lambda n: F.greatest(F.lit(1), F.floor(n * 0.02)))
+    return k.join(g, "key").select("p_partkey", F.when(F.col("taken"), "val").otherwise("train").alias("split"))
 
 
 _STRAT_SQL = f"""k AS ({_KEY_SQL}), g AS (SELECT key, min(stratum) AS stratum, count(*) AS size, max(p_size) AS top FROM k GROUP BY key),
@@ -37,10 +38,9 @@ s AS (SELECT key, stratum, CASE WHEN n >= 2 AND r <= greatest(1, round_even(n *
 def _group_split(t):
     k = _keyed(t)
     g = k.groupBy("key").agg(F.min("stratum").alias("stratum"))
-    own = Window.partitionBy("stratum")
-    r = g.withColumns({"r": F.row_number().over(own.orderBy(F.md5(F.concat(F.lit("s|"), F.col("key"))), "key")), "n": F.count(F.lit(1)).over(own)})
-    val = (F.col("n") >= 2) & (F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.05, 0)))
-    return k, r.select("key", F.col("stratum").alias("group_stratum"), F.when(val, "val").otherwise("train").alias("split"))
+    g = g.withColumn("h", F.md5(F.concat(F.lit("s|"), F.col("key"))))
+    g = take_by_hash(g, "h", ["key"], lambda n: F.when(n >= 2, F.greatest(F.lit(1), F.bround(n * 0.05, 0))).otherwise(0), ["stratum"])
+    return k, g.select("key", F.when(F.col("taken"), "val").otherwise("train").alias("split"))
 
 
 @query(f"WITH {_STRAT_SQL} SELECT p_partkey, split FROM k JOIN s USING (key)")
@@ -57,17 +57,10 @@ def group_key_leakage(t):
 
 @query("SELECT doc_id, CASE WHEN r <= greatest(1, floor(n * 0.05)) THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('r|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)")
 def row_stratified_split(t):
-    """Five percent of each stratum. A stratum may hold most rows, so its limit is found on hash buckets first and only the limit's bucket is ranked."""
-    h = F.md5(F.concat(F.lit("r|"), F.col("doc_id").cast("string")))
-    own = t.documents.select("doc_id", "lang", h.alias("h")).withColumn("bucket", F.substring("h", 1, 3))
-    sizes = own.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("k"))
-    sizes = sizes.withColumns({"before": F.coalesce(F.sum("k").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("k").over(Window.partitionBy("lang"))})
-    placed = own.join(sizes, ["lang", "bucket"]).withColumn("quota", F.greatest(F.lit(1), F.floor(F.col("n") * 0.05)))
-    edge = placed.where("before < quota and before + k > quota").withColumn("r", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("h", "doc_id")))
-    sure = placed.where("before >= quota or before + k <= quota").withColumn("r", F.lit(0))
-    test = F.col("before") + F.col("r") <= F.col("quota")
-    both = sure.withColumn("split", F.when(F.col("before") + F.col("k") <= F.col("quota"), "test").otherwise("train")).unionByName(edge.withColumn("split", F.when(test, "test").otherwise("train")))
-    return both.select("doc_id", "split")
+    """Five percent of each stratum, by hash rank."""
+    own = t.documents.select("doc_id", "lang", F.md5(F.concat(F.lit("r|"), F.col("doc_id").cast("string"))).alias("h"))
+    own = take_by_hash(own, "h", ["doc_id"], lambda n: F.greatest(F.lit(1), F.floor(n * 0.05)), ["lang"])
+    return own.select("doc_id", F.when(F.col("taken"), "test").otherwise("train").alias("split"))
 
 
 _FOLD_SQL = """
