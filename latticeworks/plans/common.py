@@ -19,7 +19,7 @@ def series(t: Tables) -> DataFrame:
     """(user_id, i, x, y): points of each user's series, i from 1."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.select("user_id", (micros / 28_800_000_000.0).cast("double").alias("x"), F.col("value").alias("y"), F.row_number().over(order).alias("i"))
+    return t.events.select("user_id", (micros / 28_800_000_000.0).cast("double").alias("x"), F.col("value").alias("y"), F.row_number().over(order).cast("long").alias("i"))
 
 
 def by_user() -> Window:

@@ -212,14 +212,14 @@ def masked_losses(t):
     return predictions(t).where("toxic = 0").select("doc_id", F.round(bce, 6).alias("bce"), F.round(F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5), 6).alias("smooth_l1"))
 
 
-@query("SELECT vec_id, list_position(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)), list_max(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)))) - 1 AS k, round(list_max(list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE)))) / list_sum(list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE)))), 6) AS p FROM embeddings")
+@query("SELECT vec_id, CAST(list_position(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)), list_max(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)))) - 1 AS BIGINT) AS k, round(list_max(list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE)))) / list_sum(list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE)))), 6) AS p FROM embeddings")
 def softmax_argmax(t):
     v = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
     own = t.embeddings.select("vec_id", v.alias("v")).withColumn("e", F.transform("v", lambda x: F.exp(x - F.array_max("v"))))
     return own.select("vec_id", (F.array_position("v", F.array_max("v")) - 1).cast("long").alias("k"), F.round(F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 6).alias("p"))
 
 
-@query(f"WITH {_P} SELECT source, count(*) AS n, sum(CAST(p >= 0.9 AS BIGINT)) AS confident, round(max(p), 6) AS top FROM p GROUP BY source")
+@query(f"WITH {_P} SELECT source, count(*) AS n, CAST(sum(CAST(p >= 0.9 AS BIGINT)) AS BIGINT) AS confident, round(max(p), 6) AS top FROM p GROUP BY source")
 def probability_scan(t):
     return predictions(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") >= 0.9).alias("confident"), F.round(F.max("p"), 6).alias("top"))
 

@@ -101,7 +101,7 @@ def local_maxima(t):
 @query(f"WITH {_PEAKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY y DESC, i) AS r, max(y) OVER (PARTITION BY user_id) AS top FROM k) SELECT user_id, i, y, r AS rank FROM r WHERE r <= 5 AND y >= 0.05 * top")
 def top_n_peaks(t):
     own = Window.partitionBy("user_id")
-    r = _peaks(t).withColumns({"rank": F.row_number().over(own.orderBy(F.desc("y"), "i")), "top": F.max("y").over(own)})
+    r = _peaks(t).withColumns({"rank": F.row_number().over(own.orderBy(F.desc("y"), "i")).cast("long"), "top": F.max("y").over(own)})
     return r.where("rank <= 5 and y >= 0.05 * top").select("user_id", "i", "y", "rank")
 
 
