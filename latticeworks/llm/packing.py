@@ -8,8 +8,9 @@ patterns with multiplicities. Each piece gets its rank among the pieces of its l
 the rank decides its pattern, sequence and offset.
 
 Scale: tokens are made once and written with their pieces (if asked for) to the shared folder; everything after moves
-a few numbers a piece. Ranks use buckets of hashed ids, so that no length, however common, is ranked in one task. The
-broadcast table of rank intervals is bounded by the number of patterns, at most a few thousand.
+the pieces that share a sequence only. Ranks use as many buckets of hashed rows as the commonest length asks for, so
+that no length is ranked in one task. The broadcast table of rank intervals is bounded by the number of patterns, at
+most a few thousand.
 
 Defined results: a null or empty text is the end token alone; null or repeated ``doc_id`` rows are packed as documents
 of their own; extra columns are ignored; an empty table gives an empty result. ``<|endoftext|>`` in a text becomes the
@@ -32,7 +33,8 @@ from latticeworks.llm._store import materialize
 from latticeworks.llm._text import text_slices
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-_BUCKETS = 64
+#: Pieces of one length that one window ranks.
+BUCKET_ROWS = 20_000
 #: Texts with this go to the tokenizer itself, which has it as a special token.
 _SPECIAL = "<|endoftext|>"
 
@@ -145,18 +147,18 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
     return out
 
 
-def _ranks(pieces: DataFrame) -> DataFrame:
+def _ranks(pieces: DataFrame, buckets: int) -> DataFrame:
     """Adds ``rank``: the number of a piece among those of its length, from 0, without gaps.
 
     Each length is divided into buckets of hashed rows; a window ranks within a bucket, and the bucket's first rank is
-    a prefix sum over at most 1,024 x 64 counts, a bounded table.
+    a prefix sum over the counts of buckets.
     """
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("uid", "piece"), F.lit(_BUCKETS)).cast("int"))
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("uid", "piece"), F.lit(buckets)))
     counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "bucket").orderBy("uid", "piece")
-    return keyed.withColumn("own", F.row_number().over(own) - 1).join(F.broadcast(counts), ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("own")).drop("bucket", "own", "first")
+    return keyed.withColumn("own", F.row_number().over(own) - 1).join(counts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("own")).drop("bucket", "own", "first")
 
 
 def _intervals(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
@@ -180,10 +182,15 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, size: int = 1024, end
     spark = docs.sparkSession
     pieces = materialize(tokenize(docs, json_path, ranks_path, size, end_id, keep_ids), "pieces")
     counts = {x.length: x.n for x in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+    # Full pieces are sequences as they are: any number of their own does, so they are neither ranked nor shuffled.
+    full = pieces.where(F.col("length") == size).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    counts.pop(size, None)
     flat = [(length, *row) for length, rows in _intervals(plan(counts, size)) for row in rows]
-    # An interval is looked up by its length and the slice of ranks it begins in; intervals of one length don't overlap.
+    # A row for each length with its rank intervals, which don't overlap: as many as there are patterns, a few thousand.
     table = spark.createDataFrame(flat, "length long, low long, high long, sequence long, offset long")
     own = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "sequence", "offset"))).alias("intervals"))
     hit = F.element_at(F.filter("intervals", lambda x: (x["low"] <= F.col("rank")) & (F.col("rank") < x["high"])), 1)
-    placed = _ranks(pieces).join(F.broadcast(own), "length").withColumn("hit", hit)
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("hit.sequence") + F.col("rank") - F.col("hit.low")).alias("sequence_id"), F.col("hit.offset").alias("offset"))
+    buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
+    placed = _ranks(pieces.where(F.col("length") < size), buckets).join(F.broadcast(own), "length").withColumn("hit", hit)
+    return full.unionByName(placed.select(*columns, (F.col("hit.sequence") + F.col("rank") - F.col("hit.low")).alias("sequence_id"), F.col("hit.offset").alias("offset")))
