@@ -286,6 +286,7 @@ def _links(clusters: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame
     """(a, b): spanning forests of the links, confirmed on full sets made anew from the texts of clustered documents."""
     limit, percent = like.distance, like.percent
     sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    sizes = materialize(sizes, "neardup-sizes")  # a plain join follows, whose hot clusters can be split
     own = clusters.join(sizes, "cluster").select("id", "cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
