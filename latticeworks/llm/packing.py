@@ -8,8 +8,8 @@ patterns with multiplicities. Each piece gets its rank among the pieces of its l
 the rank decides its pattern, sequence and offset.
 
 Scale: tokens are made once and written with their pieces (if asked for) to the shared folder; everything after moves
-the pieces that share a sequence only. Ranks use as many buckets of hashed rows as the commonest length asks for, so
-that no length is ranked in one task. The broadcast table of rank intervals is bounded by the number of patterns, at
+the pieces that share a sequence only. Ranks use as many buckets of hashed rows as each length's count asks for, so that
+no length is ranked in one task. The broadcast table of rank intervals is bounded by the number of patterns, at
 most a few thousand.
 
 Defined results: a null or empty text is the end token alone; null or repeated ``doc_id`` rows are packed as documents
@@ -34,7 +34,7 @@ from latticeworks.llm._text import text_slices
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: Pieces of one length that one window ranks.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 #: Texts with this go to the tokenizer itself, which has it as a special token.
 _SPECIAL = "<|endoftext|>"
 
@@ -147,13 +147,14 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
     return out
 
 
-def _ranks(pieces: DataFrame, buckets: int) -> DataFrame:
+def _ranks(pieces: DataFrame, lengths: dict[int, int]) -> DataFrame:
     """Adds ``rank``: the number of a piece among those of its length, from 0, without gaps.
 
-    Each length is divided into buckets of hashed rows; a window ranks within a bucket, and the bucket's first rank is
-    a prefix sum over the counts of buckets.
+    Each length is divided into as many buckets of hashed rows as its count (``lengths``) asks for; a window ranks
+    within a bucket, and the bucket's first rank is a prefix sum over the counts of buckets.
     """
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("uid", "piece"), F.lit(buckets)))
+    buckets = pieces.sparkSession.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in lengths.items()], "length long, buckets long")
+    keyed = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("uid", "piece"), F.col("buckets"))).drop("buckets")
     counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -191,6 +192,5 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, size: int = 1024, end
     table = spark.createDataFrame(flat, "length long, low long, high long, sequence long, offset long")
     own = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "sequence", "offset"))).alias("intervals"))
     hit = F.element_at(F.filter("intervals", lambda x: (x["low"] <= F.col("rank")) & (F.col("rank") < x["high"])), 1)
-    buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
-    placed = _ranks(pieces.where(F.col("length") < size), buckets).join(F.broadcast(own), "length").withColumn("hit", hit)
+    placed = _ranks(pieces.where(F.col("length") < size), counts).join(F.broadcast(own), "length").withColumn("hit", hit)
     return full.unionByName(placed.select(*columns, (F.col("hit.sequence") + F.col("rank") - F.col("hit.low")).alias("sequence_id"), F.col("hit.offset").alias("offset")))
