@@ -309,14 +309,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tup
     runs = all_docs.select("uid", F.explode("runs").alias("r")).select("uid", "r.m", "r.f", "r.start", "r.n", "r.again")
     often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).where("c > 1 or again").select("m")
     occurrences = materialize(runs.join(often, "m", "left_semi").drop("again"), "substring-occurrences")
-    distinct = occurrences.groupBy("m", "f").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "start")).alias("rep"))
+    distinct = occurrences.groupBy("m", "f").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "start", "n")).alias("rep"))
     distinct = materialize(distinct, "substring-distinct")
-    hot = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("m", F.lit(True).alias("hot"))
+    hot = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("m")
     # One document of each different fragment gives its text; of hot minimizers every occurrence does, window by window.
-    asked = distinct.join(hot, "m", "left_anti").join(occurrences.select("m", "f", "n", "uid", "start"), ["m", "f"])
-    asked = asked.select("uid", F.struct("m", "f", "start", "n", F.lit(False).alias("hot"), F.when((F.col("rep.uid") == F.col("uid")) & (F.col("rep.start") == F.col("start")), F.col("copies")).alias("copies")).alias("x"))
-    many = occurrences.join(hot, "m").select("uid", F.struct("m", "f", "start", "n", F.lit(True).alias("hot"), F.lit(1).cast("long").alias("copies")).alias("x"))
-    asked = asked.unionByName(many).groupBy("uid").agg(F.filter(F.collect_set("x"), lambda x: x["copies"].isNotNull()).alias("asked"))
+    piece = lambda start, n, is_hot, copies: F.struct("m", "f", start.alias("start"), n.alias("n"), F.lit(is_hot).alias("hot"), copies.alias("copies")).alias("x")
+    asked = distinct.join(hot, "m", "left_anti").select("rep.uid", piece(F.col("rep.start"), F.col("rep.n"), False, F.col("copies")))
+    many = occurrences.join(hot, "m", "left_semi").select("uid", piece(F.col("start"), F.col("n"), True, F.lit(1).cast("long")))
+    others = occurrences.select("uid", F.lit(None).cast(asked.schema["x"].dataType).alias("x"))
+    asked = asked.unionByName(many).unionByName(others).groupBy("uid").agg(F.collect_set("x").alias("asked"))
     texts = materialize(base.select("uid", "text").join(asked, "uid").dropDuplicates(["uid"]), "substring-texts")
     pieces = materialize(_pieces(texts.where(F.size("asked") > 0), width), "substring-pieces")
     each = pieces.groupBy("key", "f").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"), F.first("n_words").alias("n_words"))
