@@ -259,7 +259,7 @@ def _pieces(docs: DataFrame, width: int) -> DataFrame:
                     for i in range(a, a + n):
                         window = b" ".join(words[i : i + width])
                         key = int.from_bytes(hashlib.blake2b(window, digest_size=16).digest()[:8], "big", signed=True)
-                        out.append((key, key, uid, i, True, 1, width, window.decode("utf-8", "surrogatepass")))
+                        out.append((key, key, uid, i, True, x["copies"], width, window.decode("utf-8", "surrogatepass")))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.string())
             columns = zip(*out, strict=True) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _PIECE.split(", ")])
@@ -313,9 +313,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tup
     distinct = materialize(distinct, "substring-distinct")
     hot = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("m")
     # One document of each different fragment gives its text; of hot minimizers every occurrence does, window by window.
+    # Repeated rows share a uid and meet in one set: an occurrence carries how many rows have it.
     piece = lambda start, n, is_hot, copies: F.struct("m", "f", start.alias("start"), n.alias("n"), F.lit(is_hot).alias("hot"), copies.alias("copies")).alias("x")
     asked = distinct.join(hot, "m", "left_anti").select("rep.uid", piece(F.col("rep.start"), F.col("rep.n"), False, F.col("copies")))
-    many = occurrences.join(hot, "m", "left_semi").select("uid", piece(F.col("start"), F.col("n"), True, F.lit(1).cast("long")))
+    many = occurrences.join(hot, "m", "left_semi").groupBy("uid", "m", "f", "start", "n").agg(F.count(F.lit(1)).alias("rows"))
+    many = many.select("uid", piece(F.col("start"), F.col("n"), True, F.col("rows")))
     others = occurrences.select("uid", F.lit(None).cast(asked.schema["x"].dataType).alias("x"))
     asked = asked.unionByName(many).unionByName(others).groupBy("uid").agg(F.collect_set("x").alias("asked"))
     texts = materialize(base.select("uid", "text").join(asked, "uid").dropDuplicates(["uid"]), "substring-texts")

@@ -169,6 +169,17 @@ def test_substring_removal(messy, monkeypatch, width, gram, hot):
     assert by_row((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == by_row((r[0], *w) for r, w in zip(messy_rows(), want, strict=True))
 
 
+@pytest.mark.parametrize("hot", [0, 4096])
+def test_repeated_rows_repeat_on_both_paths(spark, monkeypatch, hot):
+    """Windows that occur in repeated rows only: of one id, and of null ids."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = random.Random(11)
+    one, two, single = (prose(rng, 40) for _ in range(3))
+    rows = [(1, one), (1, one), (None, two), (None, two), (2, single)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 12, 4).collect()
+    assert by_row((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == by_row((i, *w) for (i, _), w in zip(rows, removed([t for _, t in rows], 12), strict=True))
+
+
 def test_substring_removal_of_nothing(nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
