@@ -3,7 +3,8 @@
 Base patterns find assignments, access keys and long hex runs. Further candidates, found by shape alone, are reported
 only if their content parses: base64 and hex runs are decoded and must hold a DER key structure whose nested lengths
 add up, or an OpenSSH key whose length-prefixed fields fill it; PEM blocks must decode so; signed tokens must have a
-JSON header with ``alg`` and a JSON object as payload.
+JSON header with ``alg`` and a JSON object as payload. Runs go on over line ends, real or written out as escapes, and
+over joints of string literals; a key may begin anywhere in a run and ends where its own lengths say.
 
 One pass over whole texts, no shuffle. Offsets are code points, the end is exclusive.
 
@@ -18,7 +19,8 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,10 +34,20 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
-_HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
-_TOKEN = re.compile(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+# Keys are often wrapped, pasted with their line ends written out, or cut into string literals.
+_GAP = r"""(?:\s|\\+[nrt]|\\+(?=/)|["']\s*[+,.\\]?\s*["'])"""
+_GAPS = re.compile(_GAP + "+")
+_HEX_GAPS = re.compile(r"(?:[:\s]|\\+[nrt]|\\+x)+")
+_PEM = re.compile(r"""-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\"'-]*?)-----END \1-----""")
+_B64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]|\\+/){{20,}}+(?:{_GAP}++[A-Za-z0-9+/_-]++)*+")
+_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{2,}+(?:(?:[:\s]|\\+[nrt]|\\+x)++[0-9A-Fa-f]++)*+")
+#: Where a key may begin: the head of a DER sequence with a version number, or OpenSSH's magic.
+_B64_HEAD = re.compile(r"M[A-H].CA[Q-Za-f]|MI[E-T]|b3BlbnNzaC1rZXktdjEA")
+_HEX_HEAD = re.compile(r"30(?:[0-7].|81..|82.{4}|83.{6}|84.{8})0201|6f70656e7373682d6b65792d763100")
+#: Characters of the shortest key that is looked for.
+_B64_LEAST, _HEX_LEAST = 48, 64
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+(?=\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*+))")
+_TOKEN_HEAD = re.compile("(?=e[yw])")
 
 #: Kinds in the order that breaks ties between spans with the same start; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "pem_key", "der_key", "ssh_key", "signed_token")
@@ -136,6 +148,77 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
+def _key_size(head: bytes) -> int:
+    """Bytes of the key that begins with ``head``, by its own lengths; 0 if it doesn't say."""
+    if head[:1] == b"\x30" and len(head) > 1:
+        n = head[1] & 0x7F if head[1] >= 0x80 else 0
+        return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
+    at, fields = 15, 3
+    while fields:
+        if at + 4 > len(head):
+            return 0
+        at += 4 + int.from_bytes(head[at : at + 4], "big")
+        fields -= 1
+    public = int.from_bytes(head[at : at + 4], "big")
+    if at + 4 > len(head) or not 1 <= public <= 16:
+        return 0
+    at += 4
+    for _ in range(public + 1):  # the public keys and the private part
+        if at + 4 > len(head):
+            return 0
+        at += 4 + int.from_bytes(head[at : at + 4], "big")
+    return at
+
+
+def _hidden_keys(text: str, start: int, end: int, gaps: re.Pattern, head: re.Pattern, code: Callable[[str], bytes | None], bits: int, least: int) -> Iterator[Span]:
+    """Keys inside the run text[start:end] of encoded characters with ``gaps`` between: each place that looks like a key's head is decoded for as long as its lengths say."""
+    pieces, places, offsets, size = [], [], [], 0
+    for gap_start, gap_end in [*((g.start(), g.end()) for g in gaps.finditer(text, start, end)), (end, end)]:
+        if gap_start > start:
+            pieces.append(text[start:gap_start])
+            places.append(start)
+            offsets.append(size)
+            size += gap_start - start
+        start = gap_end
+    if size < least:
+        return
+    run = "".join(pieces)
+    if bits == 4:
+        run = run.lower()
+    place = lambda i: (k := bisect_right(offsets, i) - 1, places[k] + i - offsets[k])[1]
+    at = 0
+    while m := head.search(run, at):
+        at = m.start() + 1
+        der = run[m.start()] in "M3"
+        # Twelve bytes hold the head of a sequence; the fields of an OpenSSH key lie anywhere.
+        first = code(run[m.start() : m.start() + 96 // bits]) if der else code(_even(run[m.start() :], bits))
+        chars = -(-_key_size(first or b"") * 8 // bits)
+        if least <= chars <= size - m.start() and (kind := _key_kind(code(run[m.start() : m.start() + chars]))):
+            at = m.start() + chars
+            yield kind, place(m.start()), place(at - 1) + 1
+
+
+def _even(run: str, bits: int) -> str:
+    """The run cut to whole bytes."""
+    return run[: len(run) // 4 * 4] if bits == 6 else run[: len(run) // 2 * 2]
+
+
+def _pem_body(body: str) -> str:
+    """The encoded part of a PEM block: line ends that were written out are lines, string literals are joined, headers end at the blank line after them."""
+    body = re.sub(r"\\+r\\+n|\\+[nr]|\r\n?", "\n", re.sub(r"\\+/", "/", body))
+    body = re.sub(r"""["'][^\S\n]*[+,.\\]?\s*["']""", "", body).replace("\\t", " ")
+    lines = [x.strip(" \t\"'\\") for x in body.split("\n")]
+    heads = [i for i, x in enumerate(lines) if ":" in x]
+    if not heads:
+        return "".join("".join(lines).split())
+    rest = lines[heads[-1] + 1 :]
+    for i, x in enumerate(rest):
+        if not x and any(rest[i:]):
+            rest = rest[i:]
+            break
+    return "".join("".join(rest).split()) or "".join(x for x in body.split() if len(x) >= 32 and ":" not in x)
+
+
 def is_signed_token(text: str) -> bool:
     """Whether text is header.payload.signature with a JSON header that names ``alg`` and a JSON object as payload."""
     header, payload, signature = text.split(".")
@@ -154,21 +237,42 @@ def confirmed_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            body = m[2].split("\n\n", 1)[-1] if ":" in m[2] else m[2]
-            data = _b64("".join(body.split()))
+            data = _b64(_pem_body(m[2]))
             if _key_kind(data) or data and "ENCRYPTED" in (m[1] + m[2]):
                 out.append(("pem_key", m.start(), m.end()))
     for m in _B64.finditer(text):
-        if kind := _key_kind(_b64(m[0])):
-            out.append((kind, m.start(), m.end()))
+        for kind, start, end in _hidden_keys(text, m.start(), m.end(), _GAPS, _B64_HEAD, _b64, 6, _B64_LEAST):
+            padding = len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+            out.append((kind, start, end + padding))
     for m in _HEX_ANY.finditer(text):
-        if kind := _key_kind(bytes.fromhex(m[0])):
-            out.append((kind, m.start(), m.end()))
-    if "eyJ" in text or "ey" in text and "." in text:
-        out += [("signed_token", m.start(), m.end()) for m in _TOKEN.finditer(text) if m[0][:2] in ("ey", "ew") and is_signed_token(m[0])]
+        if m.end() - m.start() >= _HEX_LEAST:
+            out += _hidden_keys(text, m.start(), m.end(), _HEX_GAPS, _HEX_HEAD, bytes.fromhex, 4, _HEX_LEAST)
+    if "." in text and ("ey" in text or "ew" in text):
+        out += _tokens(text)
     return out
 
 
+def _tokens(text: str) -> Iterator[Span]:
+    """Signed tokens that begin at any place of a segment where a JSON object may."""
+    done = 0
+    for m in _TOKEN.finditer(text):
+        if m.start() < done or not _TOKEN_HEAD.search(m[0]) or not _is_object(m[1]):
+            continue
+        for head in _TOKEN_HEAD.finditer(m[0]):
+            start, end = m.start() + head.start(), m.end(2)
+            if m.end() - start >= 10 and is_signed_token(text[start:end]):
+                yield "signed_token", start, end
+                done = end
+                break
+
+
+def _is_object(part: str) -> bool:
+    try:
+        return isinstance(json.loads(_b64(part) or b""), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
 def _ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

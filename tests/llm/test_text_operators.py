@@ -126,6 +126,38 @@ def test_ssh_keys_and_signed_tokens():
     assert kinds(token({"typ": "JWT"}, {"sub": 1})) == [] and kinds(token({"alg": "HS256"}, ["no object"])) == [] and kinds(token({"alg": "HS256"}, {}, b"x")) == []
 
 
+def wrapped(text, n, end):
+    return end.join(text[i : i + n] for i in range(0, len(text), n))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", '\\n"\n  "', '\\n" +\n  "', " "])
+def test_pem_keys_with_any_line_end(end):
+    text = base64.b64encode(rsa_key(random.Random(7))).decode()
+    pem = end.join(["-----BEGIN RSA PRIVATE KEY-----", wrapped(text, 64, end), "-----END RSA PRIVATE KEY-----"])
+    assert "pem_key" in kinds(f'{{"key": "{pem}"}}')
+    sealed = base64.b64encode(bytes(random.Random(8).randrange(256) for _ in range(320))).decode()
+    locked = end.join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", wrapped(sealed, 64, end), "-----END RSA PRIVATE KEY-----"])
+    assert "pem_key" in kinds(f'{{"key": "{locked}"}}')
+
+
+@pytest.mark.parametrize("make,kind", [(rsa_key, "der_key"), (pkcs8, "der_key"), (ssh_key, "ssh_key")])
+def test_keys_in_wrapped_and_glued_runs(make, kind):
+    key = make(random.Random(9))
+    text = base64.b64encode(key).decode()
+    for body in (wrapped(text, 64, "\n"), wrapped(text, 76, "\r\n"), wrapped(text, 64, "\\n"), text.replace("/", "\\/"), wrapped(key.hex(), 60, "\n"), key.hex(":")):
+        for before, after in (("key: ", " end"), ("key: ", "\nnext line"), ("a/b_c-", "/x"), ('"\\n', '\\n"')):
+            whole = before + body + after
+            found = [(a, b) for k, a, b in secrets.find(whole) if k == kind]
+            assert found == [(len(before), len(before) + len(body))], whole
+    assert kind not in kinds(wrapped(text[:-8], 64, "\n"))
+
+
+def test_tokens_begin_at_any_segment():
+    good = token({"alg": "HS256", "typ": "JWT"}, {"sub": 1})
+    for before in ("", "prefix_", "id-", "www.example12345.", "abcdefghijkl.mnop.", "they-"):
+        assert [(k, a) for k, a, _ in secrets.find(before + good)] == [("signed_token", len(before))]
+
+
 def test_scan_digest_and_redact(spark, messy, nothing):
     extra = [(900, "token=abcdef123456 and token=abcdef123456"), (901, None), (None, "secret: " + "f0" * 20)]
     docs = messy.select("doc_id", "text", "n_chars").unionByName(spark.createDataFrame([(i, t, len(t or "")) for i, t in extra], "doc_id long, text string, n_chars long"))
