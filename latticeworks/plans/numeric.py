@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from latticeworks.functions import crystal as X
 from latticeworks.functions import profile as R
 from latticeworks.operators.metrics import roc_auc
+from latticeworks.operators.ranks import running_sums
 from latticeworks.registry import query
 
+#: Shuffles of each feature that permutation importance averages over.
+REPEATS = 5
+
 _CELL_SQL = "SELECT p_partkey, 3 + p_size / 10.0::DOUBLE AS a, 4 + p_size % 7 / 2.0::DOUBLE AS b, 5.0::DOUBLE AS c, 90.0::DOUBLE AS al, 90.0 + p_size % 10::DOUBLE AS be, CASE WHEN p_size % 3 = 0 THEN 120.0 ELSE 90.0 END::DOUBLE AS ga FROM part"
 
 
@@ -186,21 +190,28 @@ def domain_gbt(t):
 
 @query()
 def permutation_importance(t):
-    """Loss of AUC when one feature is exchanged between rows of the test part, by a hashed rank. The score is the mean difference direction of the two domains."""
-    own = _domains(t).select("vec_id", "label", F.col("f"))
-    mean = own.select("label", F.posexplode("f").alias("k", "v")).groupBy("k").agg((F.avg(F.when(F.col("label") == 1, F.col("v"))) - F.avg(F.when(F.col("label") == 0, F.col("v")))).alias("w"))
-    weights = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("w"))  # eight numbers
-    scored = own.join(F.broadcast(weights))
-    dot = lambda f: F.aggregate(F.zip_with(f, F.col("w"), lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
-    other = own.select((F.pmod(F.col("vec_id") + 1, F.lit(1 << 40))).alias("vec_id"), F.col("f").alias("g"))
-    both = scored.join(other, "vec_id")
-    base = both.select("label", dot(F.col("f")).alias("s"), F.lit(-1).alias("k"))
-    changed = both.select("label", "f", "g", "w", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-    swapped = F.transform("f", lambda x, i: F.when(i == F.col("k"), F.get("g", i)).otherwise(x))
-    every = base.unionByName(changed.select("label", dot(swapped).alias("s"), "k"))
-    auc = roc_auc(every, "s", F.col("label") == 1, "k")
-    whole = auc.where("k = -1").select(F.col("auc").alias("whole"))
-    return auc.where("k >= 0").join(F.broadcast(whole)).select("k", F.round(F.col("whole") - F.col("auc"), 6).alias("loss"))
+    """Loss of AUC on the test part when one feature is shuffled among its rows, mean of REPEATS shuffles, for every vector component.
+
+    The score is the mean difference direction of the two domains in the other rows. A shuffle gives the row of each
+    rank by id the feature of the row of that rank by a seeded hash; both ranks are without gaps.
+    """
+    f = F.transform("embedding", lambda x: x.cast("double"))
+    own = t.embeddings.select("vec_id", (F.col("label") % 2).cast("double").alias("label"), f.alias("f")).where("label is not null and f is not null and forall(f, x -> x is not null and not isnan(x))")
+    test = F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0
+    mean = own.where(~test).select("label", F.posexplode("f").alias("k", "v")).groupBy("k").agg((F.avg(F.when(F.col("label") == 1, F.col("v"))) - F.avg(F.when(F.col("label") == 0, F.col("v")))).alias("w"))
+    weights = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("w"))  # one number a component
+    rows = own.where(test).withColumn("h", F.xxhash64("f"))
+    dot = F.aggregate(F.zip_with("f", "w", lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
+    scored = rows.join(F.broadcast(weights)).withColumn("s", dot)
+    placed = running_sums(scored, "vec_id", {"rank": F.lit(1)}, ties=["h", "label"])
+    drawn = rows.select("vec_id", "h", F.col("f").alias("g"), F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("repeat"))
+    drawn = running_sums(drawn.withColumn("draw", F.xxhash64("vec_id", "h", "repeat")), "draw", {"rank": F.lit(1)}, ["repeat"], ["vec_id", "h"])
+    both = placed.join(drawn.select("rank", "repeat", "g"), "rank")
+    changes = F.zip_with(F.zip_with("f", "g", lambda x, y: y - x), "w", lambda d, w: d * w)
+    changed = both.select("label", "s", "repeat", F.posexplode(changes).alias("k", "d")).select("label", (F.col("s") + F.col("d")).alias("s"), "k", "repeat")
+    auc = roc_auc(changed, "s", F.col("label") == 1, "k", "repeat")
+    whole = roc_auc(scored.select("label", "s"), "s", F.col("label") == 1).select(F.col("auc").alias("whole"))
+    return auc.join(F.broadcast(whole)).groupBy("k").agg(F.round(F.avg(F.col("whole") - F.col("auc")), 6).alias("loss"))
 
 
 @query("""WITH l AS (SELECT label % 2 AS side, vec_id % 3 AS pair, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings), c AS (SELECT pair, v, count(*) FILTER (WHERE side = 1) AS n1, count(*) FILTER (WHERE side = 0) AS n0 FROM l GROUP BY ALL),

@@ -69,6 +69,16 @@ def test_partitioning_does_not_matter(spark, name, tmp_path):
     assert sorted(map(repr, run(spark, SF).collect())) == sorted(map(repr, run(spark, str(tmp_path)).collect()))
 
 
+def test_permutation_importance_of_every_feature(spark, tmp_path):
+    """Ids with gaps and neighbours of one label, one repeated row: only the tenth of ten features tells the domains apart."""
+    rng = np.random.default_rng(1)
+    rows = [(i * 10, int(i >= 300), [*rng.normal(size=9).tolist(), float(rng.normal() + 4 * (i >= 300))]) for i in range(600)]
+    spark.createDataFrame([*rows, rows[0]], "vec_id long, label int, embedding array<float>").repartition(4).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.k: r.loss for r in catalog.queries()["permutation_importance"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(10))
+    assert got[9] > 0.3 and all(abs(got[k]) < 0.05 for k in range(9))
+
+
 def test_ordering_a_pair_twice_changes_nothing(spark):
     pairs = spark.createDataFrame([(1.5, 1.2), (None, 1.2), (1.2, None), (1.0, 2.0), (None, None)], "p double, s double")
     both = F.col("p").isNotNull() & F.col("s").isNotNull()
