@@ -20,8 +20,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, and of repeated rows one."""
-    kept = neardup.near_duplicates(docs).where("kept").select("uid").distinct()
+    """One document of each group of near duplicates: the one with the smallest id (nulls last), of equal ids the one with the smallest uid, and of repeated rows one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
+    kept = neardup.near_duplicates(docs).groupBy("component").agg(first.alias("first")).select("first.uid")
     keyed = docs.select(neardup.row_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(kept, "uid")
     one = F.row_number().over(Window.partitionBy("uid").orderBy("uid"))
     return keyed.withColumn("turn", one).where("turn = 1").select("row.*")

@@ -354,7 +354,10 @@ def row_id():
 
 
 def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
-    """uid, doc_id, n_shingles, component_id and kept of every row of ``docs``; uid is row_id()."""
+    """uid, doc_id, n_shingles, component_id, component and kept of every row of ``docs``; uid is row_id().
+
+    ``component`` names the group also where its ids are null or repeated: the smallest uid that stands for one of its classes.
+    """
     base = docs.select(row_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_docs = materialize(signed(base, like), "neardup-signed")
     full = all_docs.where("n_shingles > 0")
@@ -368,7 +371,7 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
 
     named = classes.select("s1", "s2", "id", "low").join(comps, "id")
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "comp").select("s1", "s2", "component_id")
-    out = full.join(named, ["s1", "s2"]).select("uid", "doc_id", "n_shingles", "component_id")
-    out = out.unionByName(all_docs.where("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = named.join(lows, "comp").select("s1", "s2", "component_id", F.col("comp").alias("component"))
+    out = full.join(named, ["s1", "s2"]).select("uid", "doc_id", "n_shingles", "component_id", "component")
+    out = out.unionByName(all_docs.where("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("uid").alias("component")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

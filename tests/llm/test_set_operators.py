@@ -326,6 +326,18 @@ def test_query_equals_sql(spark, name):
     assert by_row(map(tuple, got.values.tolist())) == by_row(map(tuple, want.values.tolist()))
 
 
+def test_one_of_each_group_stays_without_usual_ids(spark):
+    """Near copies with null ids, with one id for different texts, and with both."""
+    stage = pytest.importorskip("corpus_pipeline").keep_one_of_each_group
+    rng = random.Random(12)
+    a, b, c, alone = (prose(rng, 200) for _ in range(4))
+    rows = [(None, a), (None, a + " more"), (None, a + " most"), (5, b), (5, b + " more"), (5, b), (6, b + " most"), (None, c), (9, c + " more"), (7, alone), (None, ""), (8, None)]
+    got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    groups = {a[:50]: [None], b[:50]: [5], c[:50]: [9], alone[:50]: [7], "": [None, 8]}
+    for start, ids in groups.items():
+        assert sorted((r.doc_id for r in got if (r.text or "")[:50] == start), key=str) == sorted(ids, key=str)
+
+
 def test_pipeline_stages(spark, messy, nothing, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)
