@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from samples import messy_rows, prose
 
 from latticeworks.llm import mixmodel, quality, queries, scoring, secrets, substrings
@@ -247,38 +248,162 @@ def test_base_scores(messy):
     assert len(same) == 1  # repeated rows score alike
 
 
-def test_scores_of_nothing(nothing):
-    assert scoring.score(nothing).count() == 0
+def slow_paths(rows, symbols=None):
+    """log10 of each row's path, one decision at a time: rows are (contexts, the most telling last, path as a string of bits, training count). The first context's counts are those of ``symbols``, if given."""
+    seen = Counter()
+    for contexts, path, n in rows:
+        for j, bit in enumerate(path):
+            for k, c in enumerate(contexts):
+                seen[k, c, path[:j], bit] += n if k or not symbols else 0
+    for path, n in (symbols or {}).items():
+        for j, bit in enumerate(path):
+            seen[0, None, path[:j], bit] += n
+    edges = lambda n, es: sum(n >= e for e in es)
+    grid = [-12 + 0.75 * i for i in range(33)]
+
+    def look(contexts, path, j, left_out):
+        counts = [[seen[k, c, path[:j], b] - (left_out and path[j] == b) for b in "01"] for k, c in enumerate(contexts)]
+        return [math.log((max(b, 0) + 0.05) / (max(a, 0) + 0.05)) for a, b in counts], (edges(sum(counts[-1]), (1, 2, 8, 64, 1024)), edges(sum(counts[-2]), (1, 16)))
+
+    def mixed(weights, odds, gate):
+        w = weights[gate]
+        return min(12, max(-12, sum(a * b for a, b in zip(w, [*odds, 0.25], strict=True))))
+
+    def cell(logit):
+        x = (logit + 12) * (32 / 24 * (1 - 1e-6))
+        return int(x), x - int(x)
+
+    out = [0.0] * len(rows)
+    for j in range(max(len(p) for _, p, _ in rows)):
+        live = [i for i, (_, p, _) in enumerate(rows) if len(p) > j]
+        size = len(rows[0][0])
+        weights, squares = {(a, b): [1.5 / size] * (size + 1) for a in range(6) for b in range(3)}, {}
+        map_ = {(a, b, x): [4 * (1 - 1 / (1 + math.exp(-g))), 4 / (1 + math.exp(-g))] for a in range(6) for b in range(3) for x, g in enumerate(grid)}
+        known = [i for i in live if rows[i][2]]
+        for at in range(0, len(known), 4096):
+            slope, mass = {g: [0.0] * (size + 1) for g in weights}, Counter()
+            for i in known[at : at + 4096]:
+                contexts, path, n = rows[i]
+                odds, gate = look(contexts, path, j, True)
+                logit, bit = mixed(weights, odds, gate), int(path[j])
+                mass[gate] += n
+                for k, x in enumerate([*odds, 0.25]):
+                    slope[gate][k] += (bit - 1 / (1 + math.exp(-logit))) * n * x
+                low, share = cell(logit)
+                map_[(*gate, low)][bit] += n * (1 - share)
+                map_[(*gate, low + 1)][bit] += n * share
+            for g, w in weights.items():
+                for k in range(size + 1):
+                    d = slope[g][k] / max(mass[g], 1e-9)
+                    squares[g, k] = 0.98 * squares.get((g, k), 1e-6) + 0.02 * d * d
+                    w[k] += 0.02 * d / math.sqrt(squares[g, k])
+        for i in live:
+            contexts, path, _ = rows[i]
+            odds, gate = look(contexts, path, j, False)
+            logit = mixed(weights, odds, gate)
+            low, share = cell(logit)
+            a, b = ((lambda z: z[1] / sum(z))(map_[(*gate, x)]) for x in (low, low + 1))
+            p = 0.5 / (1 + math.exp(-logit)) + 0.5 * (a + (b - a) * share)
+            out[i] += math.log10(p if path[j] == "1" else 1 - p)
+    return out
+
+
+def slow_scores(rows):
+    """The model's score of each document, written from its description; only the code of the commonest tokens is taken from the operator."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    docs = [[*(w.encode() for w in words((t or "").translate(lower))), b"\n"] for _, t in rows]
+    train = [zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2 for d, _ in rows]
+    count = Counter(t for ts, own in zip(docs, train, strict=True) for t in ts if own)
+    n = sum(count.values())
+    listed = {t: c for t, c in count.items() if c >= max(4, -(-n // 65536))} | {b"\n": count[b"\n"]}
+    codes = scoring.Codes(listed, n)
+    bits = [format(int(c) >> (codes.width - int(m)), f"0{m}b") for c, m in zip(codes.code, codes.length, strict=True)]
+    path = {t: bits[int(codes.find(np.array([xxhash.xxh64_intdigest(t)], np.uint64))[0])] for t in listed}
+    pairs, symbols = Counter(), Counter({b: int(m) for b, m in zip(bits, codes.mass, strict=True)})
+    for ts, own in zip(docs, train, strict=True):
+        for w, t in zip([None, *ts], ts, strict=False):
+            pairs[w, path.get(t, bits[codes.escape])] += own
+    order = sorted(pairs, key=lambda p: (2**64 - 1 if p[0] is None else xxhash.xxh64_intdigest(p[0]), p[1]))
+    tail = lambda w: (b"   " + w)[-3:] if w is not None else b"\0\0\0"
+    logs = dict(zip(order, slow_paths([((None, tail(w)[-1:], tail(w), w), p, pairs[w, p]) for w, p in order], symbols), strict=True))
+    rare = sorted({t for ts in docs for t in ts} - set(listed))
+    edges = Counter()
+    for t in rare:
+        for i in range(len(t) + 1):
+            edges[(t + b" ")[: i + 1]] += count[t]
+    assert sum(c > 0 for c in edges.values()) <= 4096  # one block: the order within it doesn't matter
+    byte = lambda e: format(e[-1], "08b")
+    back = lambda e, k: (b"    " + e[:-1])[-k:]
+    spelled = dict(zip(edges, slow_paths([((back(e, 1), back(e, 2), back(e, 4), back(e, 3), e[:-1]), byte(e), c) for e, c in edges.items()]), strict=True)) if edges else {}
+    out = []
+    for ts in docs:
+        own = [logs[w, path.get(t, bits[codes.escape])] + (0 if t in listed else sum(spelled[(t + b" ")[: i + 1]] for i in range(len(t) + 1))) for w, t in zip([None, *ts], ts, strict=False)]
+        sums, seen = [sum(own)], Counter()
+        for rate in (100, 1000, 10000):
+            total, seen = 0.0, Counter()
+            for i, (t, x) in enumerate(zip(ts, own, strict=True)):
+                total += math.log10((seen[t] + rate * 10**x) / (i + rate)) if seen[t] else x + math.log10(rate / (i + rate))
+                seen[t] += 1
+            sums.append(total)
+        best = max(sums)
+        out.append(best + math.log10(sum(10 ** (s - best) for s in sums) / 4))
+    return out
+
 
+def test_scores_equal_a_slow_model(spark):
+    rows = [(r[0], r[1]) for r in messy_rows() if len(r[1] or "") < 500] + [(77, "x" * 700), (84, "AB Ab ab " * 50)]
+    got = scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda d, s: (d is None, d or 0, s)
+    got, want = sorted((key(r.doc_id, r.score) for r in got)), sorted(key(d, s) for (d, _), s in zip(rows, slow_scores(rows), strict=True))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    np.testing.assert_allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-4)
+
+
+def test_scores_depend_on_the_table_alone(spark, messy, monkeypatch):
+    """Not on partitions or chunks; but on the order of words."""
+    docs = messy.select("doc_id", "text")
+    want = by_row((r.doc_id, r.score, r.base_score) for r in scoring.score(docs.coalesce(1)).collect())
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", 5000)
+    assert by_row((r.doc_id, r.score, r.base_score) for r in scoring.score(docs.repartition(7)).collect()) == want
+    monkeypatch.setattr(scoring, "RANGE_TYPES", 50)
+    monkeypatch.setattr(scoring, "RANGE_PAIRS", 500)
+    many = [by_row((r.doc_id, r.score) for r in scoring.score(docs.repartition(n)).collect()) for n in (1, 5)]
+    assert many[0] == many[1]
+    text = prose(random.Random(1), 200)
+    turned = " ".join(reversed(words(text)))
+    got = {r.doc_id: r.score for r in scoring.score(docs.unionByName(spark.createDataFrame([(9002, text), (9009, turned)], "doc_id long, text string"))).collect()}
+    assert got[9002] != got[9009]
+
+
+def test_counts_are_exact_beyond_single_precision():
+    assert scoring.added(np.array([0, 0, 1]), np.array([2**60, 1, 5]), 2).tolist() == [2**60 + 1, 5]
+    code, n = np.array([0, 1], np.int64), np.array([2**40, 2**40 + 1000])
+    full, _, *_ = mixmodel.Counts(np.zeros(2), code, n, 1).level(0)
+    np.testing.assert_allclose(full, math.log((2**40 + 1000.05) / (2**40 + 0.05)), rtol=1e-6)
+
+
+def test_paths_are_a_distribution():
+    """Over all symbols, after a word that was seen and after one that wasn't, probabilities add up to one."""
+    rng = np.random.default_rng(3)
+    codes = scoring.Codes({str(i).encode(): int(c) for i, c in enumerate(rng.integers(1, 400, 60))}, 20_000)
+    symbol, word = np.tile(np.arange(len(codes)), 3), np.repeat([0, 1, 2], len(codes))
+    count = np.where(word < 2, rng.integers(0, 4, len(word)), 0)
+    code, length = codes.code[symbol], codes.length[symbol]
+    own = [mixmodel.Shared(symbol, codes.code, codes.length, codes.mass, codes.width), mixmodel.Counts(word // 2, code, count, codes.width, mixmodel.SECOND_EDGES), mixmodel.Counts(word, code, count, codes.width, mixmodel.FIRST_EDGES)]
+    logs = mixmodel.log10_paths(own, code, length, count, codes.width)
+    np.testing.assert_allclose(np.bincount(word, 10**logs), 1, rtol=1e-5)
+    assert sum(2.0 ** -codes.length) == 1
 
-def test_model_is_a_distribution_and_learns():
-    import pyarrow as pa
-
-    rng = random.Random(6)
-    train = Counter(rng.choice(["the", "of", "and", "lattice", "phase"]) for _ in range(2000)) + Counter(prose(rng, 1500).split())
-    names = list(train)
-    table = np.zeros(mixmodel.SLOTS * 2, np.float32)
-    mixmodel.count(table, pa.array(names), np.array([train[x] for x in names]))
-    mixer = mixmodel.Mixer()
-    for _ in range(20):
-        mixer.learn(table, pa.array(names), np.array([train[x] for x in names]))
-    scorer = mixmodel.Scorer(table, mixmodel.pooled([(mixer.weights, mixer.seen, 1.0)]))
-    flat = mixmodel.Scorer(np.zeros_like(table), mixmodel.Mixer())
-    held = pa.array([*(["the", "of", "and"] * 20), *prose(rng, 200).split()])
-    assert scorer.log10(held).sum() > flat.log10(held).sum() / 2
-    # All one-byte tokens with their terminators cannot have more than the whole probability.
-    ones = pa.array([chr(c) for c in range(33, 127)])
-    assert (10 ** scorer.log10(ones)).sum() < 1
-    assert scorer.log10(pa.array(["the", "the"]))[0] == scorer.log10(pa.array(["the"]))[0]
-    np.testing.assert_allclose(mixmodel.log10_by([scorer, flat], ones), [scorer.log10(ones), flat.log10(ones)])
+
+def test_scores_of_nothing(nothing):
+    assert scoring.score(nothing).count() == 0
 
 
 def test_held_out_bits(spark):
-    """On sf0.01, held-out documents take under 2.5 bits a byte, and less than the base score says; without domains, more than with them."""
+    """On sf0.01, held-out documents take under 2.5 bits a byte, and less than the base score says."""
     import os
 
     if not os.path.isdir("/root/testdata/sf0.01"):
         pytest.skip("no tables")
-    total = lambda df: df.where("held_out").selectExpr("-sum(score) / log10(2) / sum(n_bytes) as b", "sum(score) as s", "sum(base_score) as u").first()
-    got, plain = total(queries.op3_context_mixing_score(spark, "/root/testdata/sf0.01")), total(scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").drop("lang")))
-    assert got.b < 2.5 and got.s > got.u and got.s > plain.s
+    got = queries.op3_context_mixing_score(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("-sum(score) / log10(2) / sum(n_bytes) as b", "sum(score) as s", "sum(base_score) as u").first()
+    assert got.b < 2.5 and got.s > got.u
