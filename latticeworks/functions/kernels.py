@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 #: The common grid, and the window in which two of the feature sets look.
 GRID = np.linspace(0.0, 90.0, 4096)
 WINDOW = (10.0, 70.0)
+STEP = float(GRID[1] - GRID[0])
 
 
 def pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -69,6 +70,18 @@ def preprocess_one(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int, int,
     return grid, lo, hi, float(x[0]), float(x[-1]), n
 
 
+def arrays_of(column: pa.Array) -> list[np.ndarray]:
+    """The float arrays of a list column; a null list is empty, a null value NaN."""
+    values, at = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return [values[a:b] if ok else values[:0] for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), valid.tolist(), strict=True)]
+
+
+def list_column(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """A list column of equally long rows."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel(), kind))
+
+
 def preprocess(df: DataFrame, key: str) -> DataFrame:
     """key, y (4096 floats), lo, hi, x_min, x_max, n, failed for rows with arrays x and y."""
 
@@ -77,13 +90,12 @@ def preprocess(df: DataFrame, key: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
-                    a, b = (np.array([np.nan if v is None else v for v in z or []], float) for z in (x, y))
+                for a, b in zip(arrays_of(part.column("x")), arrays_of(part.column("y")), strict=True):
                     n = min(len(a), len(b))
                     out.append(preprocess_one(a[:n], b[:n]) or (np.zeros(len(GRID)), 0, -1, None, None, 0))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array([list(g) for g in columns[0]], pa.list_(pa.float32())), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32()), strict=True)), pa.array([h < 0 for h in columns[2]])],
+                    [part.column(key), list_column(np.array(columns[0], np.float32), pa.float32()), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32()), strict=True)), pa.array([h < 0 for h in columns[2]])],
                     names=[key, "y", "lo", "hi", "x_min", "x_max", "n", "failed"],
                 )
 
@@ -141,9 +153,10 @@ def find_peaks(y: np.ndarray, prominence: float, distance: int) -> tuple[np.ndar
 
 
 def smooth(y: np.ndarray, size: int, edges: str) -> np.ndarray:
-    """Moving mean; beyond the ends the series is mirrored (``reflect``) or zero (``zero``)."""
-    half = size // 2
-    pad = np.pad(y, (half, size - 1 - half), mode="symmetric") if edges == "reflect" and len(y) > half else np.pad(y, (half, size - 1 - half))
+    """Moving mean over an odd ``size``; beyond the ends the series is mirrored (``reflect``) or zero (``zero``, as long as the longer of series and window)."""
+    if edges == "zero":
+        return np.convolve(y, np.ones(size) / size, mode="same")
+    pad = np.pad(y, size // 2, mode="symmetric")
     sums = np.concatenate([[0.0], np.cumsum(pad)])
     return (sums[size:] - sums[:-size]) / size
 
@@ -155,102 +168,100 @@ def gini(y: np.ndarray, empty: float) -> float:
     return float((len(y) + 1 - 2 * (np.cumsum(np.sort(y)) / total).sum()) / len(y))
 
 
-def _corr(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.corrcoef(a, b)[0, 1]) if len(a) > 1 and a.std() > 1e-12 and b.std() > 1e-12 else 0.0
+def _corr(a: np.ndarray, b: np.ndarray, flat: float = np.nan) -> float:
+    """Correlation; ``flat`` if one side doesn't vary."""
+    return float(np.corrcoef(a, b)[0, 1]) if len(a) > 1 and a.std() >= 1e-12 and b.std() >= 1e-12 else flat
 
 
 def _moment(y: np.ndarray, k: int, guard: float = 0.0) -> float:
+    """Standardised central moment; NaN of a constant series without a guard."""
     sd = y.std() + guard
-    return float((((y - y.mean()) / sd) ** k).mean()) if sd > 0 else 0.0
+    return float((((y - y.mean()) / sd) ** k).mean()) if sd > 0 else np.nan
 
 
-def _median(x: np.ndarray) -> float:
-    return float(np.median(x)) if len(x) else np.nan
+def _median(x: np.ndarray, least: int = 1) -> float:
+    return float(np.median(x)) if len(x) >= least else np.nan
 
 
 def features_a(y: np.ndarray, lo: int, hi: int) -> dict[str, float] | None:
-    """Set A: the masked part of the window, at least 100 points."""
-    mask = np.zeros(len(GRID), bool)
-    mask[lo : hi + 1] = True
-    window = (GRID >= WINDOW[0]) & (GRID <= WINDOW[1])
-    pick = mask & window
-    v, x = y[pick], GRID[pick]
+    """Set A: the masked part of the window, at least 100 points. Widths and doublet gaps are those of peaks with a plausible width."""
+    x = GRID[lo : hi + 1]
+    inside = (x >= WINDOW[0]) & (x <= WINDOW[1])
+    v, x = y[lo : hi + 1][inside], x[inside]
     if len(v) < 100:
         return None
     level, d = np.median(v) + 1e-6, np.diff(v)
     mad = np.median(np.abs(d - np.median(d)))
     peaks, _, widths = find_peaks(smooth(v, 7, "reflect"), 5 * (1.4826 * mad + 1e-6), 3)
-    fwhm, at = widths * (GRID[1] - GRID[0]), x[peaks]
+    fwhm, at = widths * STEP, x[peaks]
     fine = (fwhm > 0.005) & (fwhm < 5)
-    low, high = fwhm[fine & (at < 40)], fwhm[fine & (at >= 40)]
-    f_lo, f_hi = (_median(z) if len(z) >= 3 else np.nan for z in (low, high))
+    fwhm, at = fwhm[fine], at[fine]
+    f_lo, f_hi = _median(fwhm[at < 40], 3), _median(fwhm[at >= 40], 3)
     gaps = np.diff(at[at >= 40])
     wide = smooth(v, 201, "reflect")
-    p = np.percentile(v, [5, 25, 95, 99.9])
+    p = np.percentile(v, [5, 25, 50, 95, 99.9])
     return {
-        "coverage": mask.mean(), "noise_roughness": 1.4826 * mad / level, "noise_lag1_autocorr": _corr(d[:-1], d[1:]), "peak_sharpness": np.abs(d).max() / level, "total_variation": np.abs(d).sum() / (v.sum() + 1e-6),
-        "bg_p05": p[0] / level, "bg_p25": p[1] / level, "int_median": np.median(v) / level, "int_p95": p[2] / level, "int_skew": _moment(v, 3, 1e-6), "int_kurtosis": _moment(v, 4, 1e-6),
-        "frac_gt_01": (v > 0.1).mean(), "frac_gt_03": (v > 0.3).mean(), "frac_gt_05": (v > 0.5).mean(), "gini": gini(v, 0.0), "sparsity": (v < 0.01).mean(), "peak_density": len(peaks) / (x[-1] - x[0]),
-        "fwhm_median": _median(fwhm[fine]), "fwhm_lo": f_lo, "fwhm_hi": f_hi, "fwhm_trend": f_hi - f_lo, "doublet_frac": float(((gaps > 0.05) & (gaps < 0.4)).mean()) if len(gaps) else 0.0,
-        "halo_strength": (wide.max() - np.percentile(wide, 10)) / level, "dyn_range": p[3] / (p[0] + 1e-6), "win_cover": pick.sum() / window.sum(),
+        "coverage": (hi + 1 - lo) / len(GRID), "noise_roughness": 1.4826 * mad / level, "noise_lag1_autocorr": _corr(d[:-1], d[1:]), "peak_sharpness": np.abs(d).max() / level,
+        "total_variation": np.abs(d).sum() / (v.sum() + 1e-6), "bg_p05": p[0] / level, "bg_p25": p[1] / level, "int_median": p[2] / level, "int_p95": p[3] / level, "int_skew": _moment(v, 3, 1e-6),
+        "int_kurtosis": _moment(v, 4, 1e-6), "frac_gt_01": (v > 0.1).mean(), "frac_gt_03": (v > 0.3).mean(), "frac_gt_05": (v > 0.5).mean(), "gini": gini(v, 0.0), "sparsity": (v < 0.01).mean(),
+        "peak_density": len(peaks) / (x[-1] - x[0] + 1e-6), "fwhm_median": _median(fwhm), "fwhm_lo": f_lo, "fwhm_hi": f_hi, "fwhm_trend": f_hi - f_lo,
+        "halo_strength": (wide.max() - np.percentile(wide, 10)) / level, "doublet_frac": float(((gaps > 0.05) & (gaps < 0.4)).mean()) if len(gaps) else 0.0, "dyn_range": p[4] / (p[0] + 1e-6),
+        "win_cover": len(v) / ((GRID >= WINDOW[0]) & (GRID <= WINDOW[1])).sum(),
     }
 
 
 def features_b(y: np.ndarray, lo: int, hi: int) -> dict[str, float] | None:
-    """Set B: all masked points, at least 20."""
+    """Set B: all masked points, at least 20. Peak density is relative to the maxima that noise of the same step size would make."""
     v, x = y[lo : hi + 1], GRID[lo : hi + 1]
     if len(v) < 20:
         return None
-    step = GRID[1] - GRID[0]
-    d2 = np.abs(np.diff(v, 2))
-    flat = d2[d2 <= np.median(d2)]
-    narrow = smooth(v, max(3, int(round(0.5 / step)) | 1), "zero")
-    wide = smooth(v, max(3, int(round(4.0 / step)) | 1), "zero")
-    third = max(1, len(v) // 3)
+    d, bend = np.diff(v), np.abs(np.diff(v, 2))
+    flat = bend[bend <= np.median(bend)]
+    narrow, wide = (smooth(v, max(3, round(degrees / STEP) // 2 * 2 + 1), "zero") for degrees in (0.5, 4.0))
+    third = max(3, len(narrow) // 3)
     peaks, _, widths = find_peaks(v, 0.05, 3)
-    fwhm, at = widths * step, x[peaks]
-    span = max(x[-1] - x[0], 1e-6)
-    halves = [(at < np.median(x)).sum(), (at >= np.median(x)).sum()]
-    out = {f"p{p:02d}": float(z) for p, z in zip((5, 25, 50, 75, 90), np.percentile(v, [5, 25, 50, 75, 90]), strict=True)}
-    return out | {
-        "mean": v.mean(), "std": v.std(), "skew": _moment(v, 3), "kurtosis": _moment(v, 4) - 3, "frac_gt_01": (v > 0.1).mean(), "frac_gt_03": (v > 0.3).mean(), "total_variation": np.abs(np.diff(v)).mean(), "gini": gini(v, np.nan),
-        "mask_frac": len(v) / len(GRID), "roughness": 1.4826 * np.median(flat) / max(np.median(v), 1e-6), "hf_noise": (v - narrow).std(), "max_slope": np.abs(np.gradient(v)).max(), "bg_p10": np.percentile(narrow, 10),
-        "bg_curvature": np.percentile(narrow[:third], 10) - np.percentile(narrow[-third:], 10), "n_peaks": 10 * len(peaks) / span, "peak_density_ratio": (halves[0] + 1) / (halves[1] + 1), "median_fwhm": _median(fwhm),
-        "p90_fwhm": float(np.percentile(fwhm, 90)) if len(fwhm) else np.nan, "fwhm_theta_corr": _corr(at, fwhm) if len(at) >= 3 and at.std() > 1 else np.nan, "halo_bump": (wide.max() - np.percentile(wide, 10)) / max(np.median(wide), 1e-6), "n_points": float(len(v)),
+    enough, fwhm, at = len(peaks) >= 3, widths * STEP, x[peaks]
+    by_noise = max(len(v) * 0.5 / (np.pi * np.sqrt((d**2).mean() + 1e-12)), 1)
+    p = np.percentile(v, [5, 10, 25, 50, 75, 90])
+    return dict(zip(("p05", "p10", "p25", "p50", "p75", "p90"), p.tolist(), strict=True)) | {
+        "mean_i": v.mean(), "std_i": v.std(), "skew_i": _moment(v, 3), "kurt_i": _moment(v, 4) - 3, "frac_gt_01": (v > 0.1).mean(), "frac_gt_03": (v > 0.3).mean(), "total_variation": np.abs(d).mean(),
+        "roughness": 1.4826 * np.median(flat) / max(p[3], 1e-6) if len(flat) > 10 else np.nan, "hf_noise": (v - narrow[: len(v)]).std(), "max_slope": np.abs(np.gradient(v)).max(), "bg_p10": np.percentile(narrow, 10),
+        "bg_curvature": np.percentile(narrow[:third], 10) - np.percentile(narrow[-third:], 10), "gini": gini(v, np.nan), "n_peaks": 10 * len(peaks) / max(x[-1] - x[0], 1), "peak_density_ratio": len(peaks) / by_noise,
+        "median_fwhm": _median(fwhm, 3), "p90_fwhm": float(np.percentile(fwhm, 90)) if enough else np.nan, "fwhm_theta_corr": _corr(at, fwhm) if enough and at.std() > 1 else np.nan,
+        "halo_bump": (wide.max() - np.percentile(wide, 10)) / max(np.median(wide), 1e-6), "mask_frac": len(v) / len(GRID),
     }
 
 
 def features_c(y: np.ndarray, lo: int, hi: int) -> dict[str, float] | None:
-    """Set C: the whole window, which the mask must cover."""
+    """Set C: the whole window, which the mask must cover. Peak heights and prominences are relative to the smoothed maximum; doublets are looked for beside strong peaks at wide angles."""
     pick = np.flatnonzero((GRID >= WINDOW[0]) & (GRID <= WINDOW[1]))
     if lo > pick[0] or hi < pick[-1]:
         return None
-    v, x = y[pick], GRID[pick]
+    v, n = y[pick], len(pick)
     d = np.diff(v)
     noise = 1.4826 * np.median(np.abs(d - np.median(d))) / np.sqrt(2) + 1e-9
-    quarter = len(v) // 4
+    quarter = n // 4
     p = np.percentile(v, [10, 25, 50, 75, 95])
     nine, wide = smooth(v, 9, "reflect"), smooth(v, 181, "reflect")
-    peaks, height, widths = find_peaks(nine, max(6 * noise, 0.01), 5)
-    fwhm, at = widths * (GRID[1] - GRID[0]), x[peaks]
-    relative = height / max(height.max(), 1e-9) if len(height) else height
+    top, halo = max(nine.max(), 1e-6), wide.max() - np.median(wide)
+    peaks, prominence, widths = find_peaks(nine, max(6 * noise, 0.01), 5)
+    fwhm, at, height = widths * STEP, GRID[pick[peaks]], nine[peaks] / top
     low, high = fwhm[at < 40], fwhm[at >= 40]
-    doublets = []
-    for i in range(len(peaks)):
-        near = (x >= at[i] + 0.10) & (x <= at[i] + 0.45)
-        ratio = nine[near].max() / max(nine[peaks[i]], 1e-9) if near.any() else 0.0
-        doublets.append(0.25 <= ratio <= 0.75)
-    halo = wide.max() - np.median(wide)
+    strong = peaks[(height > 0.25) & (at > 50)]
+    near, far = int(0.10 / STEP), int(0.45 / STEP) + 1
+    beside = [nine[k + near : min(k + far, n)] for k in strong]
+    doublets = [len(z) >= 3 and 0.25 * nine[k] <= z.max() <= 0.75 * nine[k] for k, z in zip(strong, beside, strict=True)]
     q = lambda z, p_: float(np.percentile(z, p_)) if len(z) else np.nan
     return {
-        "noise_pt": noise, "roughness_tv": np.abs(d).sum() / (v.sum() + 1e-6), "autocorr_1": _corr(d[:-1], d[1:]), "autocorr_3": _corr(d[:-3], d[3:]), "bg_p10": p[0], "bg_curv": np.percentile(v[:quarter], 10) - np.percentile(v[-quarter:], 10),
-        "skew": _moment(v, 3), "kurtosis": _moment(v, 4) - 3, "gini": gini(v, 0.0), "iqr": p[3] - p[1], "frac_low": (v < 1.3 * p[0]).mean(), "p95_p50": (p[4] - p[2]) / (p[2] + 1e-6), "snr": (np.percentile(nine, 99.5) - p[0]) / noise,
-        "max_slope": np.abs(np.gradient(v)).max(), "n_peaks_per_deg": len(peaks) / (x[-1] - x[0]), "n_strong_peaks": float((relative > 0.15).sum()), "fwhm_median": _median(fwhm), "fwhm_p25": q(fwhm, 25), "fwhm_p75": q(fwhm, 75),
-        "fwhm_trend": _median(high) - _median(low) if len(low) >= 2 and len(high) >= 2 else np.nan, "mean_prom_rel": float(relative.mean()) if len(relative) else np.nan, "peak_h_mean": float(nine[peaks].mean()) if len(peaks) else np.nan, "peak_h_p25": q(nine[peaks], 25),
-        "doublet_frac": float(np.mean(doublets)) if doublets else 0.0, "halo_height": halo, "halo_frac": halo / max(wide.max(), 1e-9),
+        "noise_pt": noise, "roughness_tv": np.abs(d).mean(), "autocorr_1": _corr(v[:-1], v[1:], 0.0), "autocorr_3": _corr(v[:-3], v[3:], 0.0), "snr": (np.percentile(nine, 99.5) - p[0]) / noise, "bg_p10": p[0],
+        "bg_curv": np.percentile(v[:quarter], 10) - np.percentile(v[-quarter:], 10), "skew": _moment(v, 3), "kurtosis": _moment(v, 4) - 3, "gini": gini(v, 0.0), "iqr": p[3] - p[1], "frac_low": (v < 1.3 * p[0]).mean(),
+        "n_peaks_per_deg": len(peaks) / (n * STEP), "fwhm_median": _median(fwhm), "fwhm_p25": q(fwhm, 25), "fwhm_p75": q(fwhm, 75), "fwhm_trend": _median(high, 2) - _median(low, 2),
+        "mean_prom_rel": float(prominence.mean() / top) if len(peaks) else np.nan, "peak_h_mean": float(height.mean()) if len(peaks) else np.nan, "peak_h_p25": q(height, 25), "max_slope": np.abs(np.gradient(v)).max(),
+        "halo_height": halo, "halo_frac": halo / max(wide.max(), 1e-6), "doublet_frac": float(np.mean(doublets)) if doublets else np.nan, "p95_p50": (p[4] - p[2]) / (p[2] + 1e-6), "n_strong_peaks": float((prominence / top > 0.15).sum()),
     }
 
 
+#: Names, limits and orders of the three sets.
 SETS = {"a": features_a, "b": features_b, "c": features_c}
 
 
@@ -265,8 +276,8 @@ def features(df: DataFrame, key: str, which: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = []
-                for y, lo, hi in zip(part.column("y").to_pylist(), part.column("lo").to_pylist(), part.column("hi").to_pylist(), strict=True):
-                    own = f(np.array(y, float), lo, hi) or {}
+                for y, lo, hi in zip(arrays_of(part.column("y")), part.column("lo").to_pylist(), part.column("hi").to_pylist(), strict=True):
+                    own = (f(y, lo, hi) if len(y) == len(GRID) and lo is not None and hi is not None else None) or {}
                     rows.append([None if own.get(n) is None or not np.isfinite(own[n]) else float(own[n]) for n in names])
                 yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], names=[key, *names])
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -52,10 +54,181 @@ def test_gini_and_smoothing():
     assert K.smooth(np.ones(20), 7, "zero")[0] == pytest.approx(4 / 7)
 
 
+# --- the feature sets, once more, in plain Python ------------------------------------------------------------------
+
+
+def pct(v, p):
+    v, at = sorted(v), (len(v) - 1) * p / 100
+    low = int(at)
+    return v[low] + (v[min(low + 1, len(v) - 1)] - v[low]) * (at - low)
+
+
+def mean(v):
+    return sum(v) / len(v)
+
+
+def sd(v):
+    return math.sqrt(mean([(x - mean(v)) ** 2 for x in v]))
+
+
+def moment(v, k, guard=0.0):
+    m, s = mean(v), sd(v) + guard
+    return mean([((x - m) / s) ** k for x in v])
+
+
+def correlation(a, b):
+    x, y = mean(a), mean(b)
+    return mean([(p - x) * (q - y) for p, q in zip(a, b, strict=True)]) / (sd(a) * sd(b))
+
+
+def gini(v):
+    v, total, run, out = sorted(v), sum(v), 0.0, 0.0
+    for x in v:
+        run += x
+        out += run / total
+    return (len(v) + 1 - 2 * out) / len(v)
+
+
+def moving(v, size, mirror):
+    half, n = size // 2, len(v)
+    get = lambda i: v[i] if 0 <= i < n else (v[-i - 1] if i < 0 else v[2 * n - 1 - i]) if mirror else 0.0
+    return [sum(get(j) for j in range(i - half, i + half + 1)) / size for i in range(n)]
+
+
+def peaks_of(v, prominence, distance):
+    """(position, prominence, width at half prominence) of each peak."""
+    top, i = [], 1
+    while i < len(v) - 1:
+        j = i
+        while j < len(v) - 1 and v[j + 1] == v[i]:
+            j += 1
+        if v[i - 1] < v[i] and j < len(v) - 1 and v[j + 1] < v[i]:
+            top.append((i + j) // 2)
+        i = j + 1
+    kept = []
+    for p in sorted(top, key=lambda p: -v[p]):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+    out = []
+    for p in sorted(kept):
+        bases = []
+        for step in (-1, 1):
+            low, q = v[p], p
+            while 0 <= q < len(v) and v[q] <= v[p]:
+                low, q = min(low, v[q]), q + step
+            bases.append(low)
+        height = v[p] - max(bases)
+        if height < prominence:
+            continue
+        level, ends = v[p] - height / 2, []
+        for step in (-1, 1):
+            q = p
+            while 0 <= q + step < len(v) and v[q] > level:
+                q += step
+            ends.append(q - step * (level - v[q]) / (v[q - step] - v[q]) if v[q] < level else q)
+        out.append((p, height, ends[1] - ends[0]))
+    return out
+
+
+def diff(v):
+    return [b - a for a, b in zip(v, v[1:], strict=False)]
+
+
+def slopes(v):
+    return max(abs(x) for x in [v[1] - v[0], v[-1] - v[-2], *((c - a) / 2 for a, c in zip(v, v[2:], strict=False))])
+
+
+def middle(v, least=1):
+    return pct(v, 50) if len(v) >= least else math.nan
+
+
+def share(v, test):
+    return mean([float(test(x)) for x in v])
+
+
+def slow_a(y, lo, hi):
+    x, v = zip(*((g, y[i]) for i, g in enumerate(K.GRID) if lo <= i <= hi and 10 <= g <= 70), strict=True)
+    d, level = diff(v), middle(v) + 1e-6
+    mid = middle(d)
+    mad = middle([abs(z - mid) for z in d])
+    found = peaks_of(moving(v, 7, True), 5 * (1.4826 * mad + 1e-6), 3)
+    fine = [(x[p], w * K.STEP) for p, _, w in found if 0.005 < w * K.STEP < 5]
+    low, high, wide = [w for a, w in fine if a < 40], [w for a, w in fine if a >= 40], moving(v, 201, True)
+    gaps = diff([a for a, _ in fine if a >= 40])
+    return {
+        "coverage": (hi - lo + 1) / 4096, "noise_roughness": 1.4826 * mad / level, "noise_lag1_autocorr": correlation(d[:-1], d[1:]), "peak_sharpness": max(map(abs, d)) / level, "total_variation": sum(map(abs, d)) / (sum(v) + 1e-6),
+        "bg_p05": pct(v, 5) / level, "bg_p25": pct(v, 25) / level, "int_median": middle(v) / level, "int_p95": pct(v, 95) / level, "int_skew": moment(v, 3, 1e-6), "int_kurtosis": moment(v, 4, 1e-6),
+        "frac_gt_01": share(v, lambda z: z > 0.1), "frac_gt_03": share(v, lambda z: z > 0.3), "frac_gt_05": share(v, lambda z: z > 0.5), "gini": gini(v), "sparsity": share(v, lambda z: z < 0.01),
+        "peak_density": len(found) / (x[-1] - x[0] + 1e-6), "fwhm_median": middle([w for _, w in fine]), "fwhm_lo": middle(low, 3), "fwhm_hi": middle(high, 3), "fwhm_trend": middle(high, 3) - middle(low, 3),
+        "halo_strength": (max(wide) - pct(wide, 10)) / level, "doublet_frac": share(gaps, lambda g: 0.05 < g < 0.4) if gaps else 0.0, "dyn_range": pct(v, 99.9) / (pct(v, 5) + 1e-6), "win_cover": len(v) / sum(10 <= g <= 70 for g in K.GRID),
+    }
+
+
+def slow_b(y, lo, hi):
+    x, v = K.GRID[lo : hi + 1].tolist(), list(y[lo : hi + 1])
+    d, bend = diff(v), [abs(z) for z in diff(diff(v))]
+    limit = middle(bend)
+    flat = [z for z in bend if z <= limit]
+    narrow, wide = moving(v, 23, False), moving(v, 183, False)
+    third, found = max(3, len(v) // 3), peaks_of(v, 0.05, 3)
+    widths, at = [w * K.STEP for _, _, w in found], [x[p] for p, _, _ in found]
+    noise = max(len(v) * 0.5 / (math.pi * math.sqrt(mean([z * z for z in d]) + 1e-12)), 1)
+    return {f"p{p:02d}": pct(v, p) for p in (5, 10, 25, 50, 75, 90)} | {
+        "mean_i": mean(v), "std_i": sd(v), "skew_i": moment(v, 3), "kurt_i": moment(v, 4) - 3, "frac_gt_01": share(v, lambda z: z > 0.1), "frac_gt_03": share(v, lambda z: z > 0.3), "total_variation": mean([abs(z) for z in d]),
+        "roughness": 1.4826 * middle(flat) / max(middle(v), 1e-6), "hf_noise": sd([a - b for a, b in zip(v, narrow, strict=True)]), "max_slope": slopes(v), "bg_p10": pct(narrow, 10), "bg_curvature": pct(narrow[:third], 10) - pct(narrow[-third:], 10),
+        "gini": gini(v), "n_peaks": 10 * len(found) / max(x[-1] - x[0], 1), "peak_density_ratio": len(found) / noise, "median_fwhm": middle(widths, 3), "p90_fwhm": pct(widths, 90) if len(found) >= 3 else math.nan,
+        "fwhm_theta_corr": correlation(at, widths) if len(found) >= 3 and sd(at) > 1 else math.nan, "halo_bump": (max(wide) - pct(wide, 10)) / max(middle(wide), 1e-6), "mask_frac": len(v) / 4096,
+    }
+
+
+def slow_c(y, lo, hi):
+    x, v = zip(*((g, y[i]) for i, g in enumerate(K.GRID) if 10 <= g <= 70), strict=True)
+    v, d, n = list(v), diff(v), len(v)
+    mid = middle(d)
+    noise = 1.4826 * middle([abs(z - mid) for z in d]) / math.sqrt(2) + 1e-9
+    nine, wide = moving(v, 9, True), moving(v, 181, True)
+    found, top = peaks_of(nine, max(6 * noise, 0.01), 5), max(max(nine), 1e-6)
+    widths, heights = [w * K.STEP for _, _, w in found], [nine[p] / top for p, _, _ in found]
+    strong = [p for p, _, _ in found if nine[p] / top > 0.25 and x[p] > 50]
+    beside = [(nine[p], nine[p + 4 : min(p + 21, n)]) for p in strong]  # 0.10 and 0.45 degrees in steps of 0.022
+    low, high = [w for w, (p, _, _) in zip(widths, found, strict=True) if x[p] < 40], [w for w, (p, _, _) in zip(widths, found, strict=True) if x[p] >= 40]
+    p10, halo = pct(v, 10), max(wide) - middle(wide)
+    return {
+        "noise_pt": noise, "roughness_tv": mean([abs(z) for z in d]), "autocorr_1": correlation(v[:-1], v[1:]), "autocorr_3": correlation(v[:-3], v[3:]), "snr": (pct(nine, 99.5) - p10) / noise, "bg_p10": p10,
+        "bg_curv": pct(v[: n // 4], 10) - pct(v[-(n // 4) :], 10), "skew": moment(v, 3), "kurtosis": moment(v, 4) - 3, "gini": gini(v), "iqr": pct(v, 75) - pct(v, 25), "frac_low": share(v, lambda z: z < 1.3 * p10),
+        "n_peaks_per_deg": len(found) / (n * K.STEP), "fwhm_median": middle(widths), "fwhm_p25": pct(widths, 25) if widths else math.nan, "fwhm_p75": pct(widths, 75) if widths else math.nan, "fwhm_trend": middle(high, 2) - middle(low, 2),
+        "mean_prom_rel": mean([h for _, h, _ in found]) / top if found else math.nan, "peak_h_mean": mean(heights) if found else math.nan, "peak_h_p25": pct(heights, 25) if found else math.nan, "max_slope": slopes(v),
+        "halo_height": halo, "halo_frac": halo / max(max(wide), 1e-6), "doublet_frac": mean([float(len(z) >= 3 and 0.25 * h <= max(z) <= 0.75 * h) for h, z in beside]) if strong else math.nan,
+        "p95_p50": (pct(v, 95) - middle(v)) / (middle(v) + 1e-6), "n_strong_peaks": float(sum(h / top > 0.15 for _, h, _ in found)),
+    }
+
+
+def pattern(seed, doublets):
+    """Noise, a halo and peaks, some of them with a neighbour."""
+    rng = np.random.default_rng(seed)
+    y = 0.05 + 0.03 * np.exp(-((K.GRID - 28) ** 2) / 60) + rng.normal(0, 0.003, len(K.GRID))
+    for at in rng.uniform(12, 68, 25):
+        for shift, share_ in ((0, 1.0), (0.25, 0.5 * doublets)):
+            y += rng.uniform(0.1, 0.8) * share_ * np.exp(-((K.GRID - at - shift) ** 2) / (2 * rng.uniform(0.03, 0.12) ** 2))
+    return np.clip(y / y.max(), 0, 1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("which,slow", [("a", slow_a), ("b", slow_b), ("c", slow_c)])
+def test_feature_sets_equal_their_definitions(which, slow, seed):
+    y, lo, hi = pattern(seed, seed % 2), [0, 300, 400, 0][seed], [4095, 3900, 3500, 4095][seed]
+    got, want = K.SETS[which](y, lo, hi), slow(y, lo, hi)
+    assert list(got) == list(want)
+    for name, value in want.items():
+        assert float(got[name]) == pytest.approx(value, rel=1e-9, abs=1e-12, nan_ok=True), name
+
+
 def test_feature_sets_apply_their_conditions():
     y = np.abs(np.sin(np.arange(len(K.GRID)) / 50))
     assert K.features_a(y, 0, 50) is None and K.features_b(y, 0, 5) is None and K.features_c(y, 1000, 4095) is None
     assert len(K.features_a(y, 0, 4095)) == 25 and len(K.features_b(y, 0, 4095)) == 26 and len(K.features_c(y, 0, 4095)) == 26
+    still = K.features_b(np.full(len(K.GRID), 0.5), 0, 4095)
+    assert math.isnan(still["skew_i"]) and math.isnan(still["median_fwhm"]) and still["n_peaks"] == 0
 
 
 def test_cubic_reflections_have_known_multiplicities():
