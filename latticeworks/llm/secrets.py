@@ -6,7 +6,9 @@ add up, or an OpenSSH key whose length-prefixed fields fill it; PEM blocks must
 JSON header with ``alg`` and a JSON object as payload. Runs go on over line ends, real or written out as escapes, and
 over joints of string literals; a key may begin anywhere in a run and ends where its own lengths say.
 
-One pass over whole texts, no shuffle. Offsets are code points, the end is exclusive.
+One pass over whole texts, no shuffle. Offsets are code points, the end is exclusive. Time is in proportion to a text's
+length, whatever it holds: patterns never go back over a run, an armoured block begins at the last header before its
+end, and a key's lengths are read in place, so that nothing is decoded that isn't a key.
 
 Defined results: a null text is an empty one, without spans; a null ``doc_id`` is carried through; repeated rows are
 scanned one by one; extra columns are kept by ``redact`` and ignored by ``scan``; an empty table gives an empty result.
@@ -20,7 +22,7 @@ import hashlib
 import json
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +37,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 # Keys are often wrapped, pasted with their line ends written out, or cut into string literals.
-_GAP = r"""(?:\s|\\+[nrt]|\\+(?=/)|["']\s*[+,.\\]?\s*["'])"""
+_GAP = r"""(?:\s|\\{1,8}[nrt]|\\{1,8}(?=/)|["']\s*+(?:[+,.\\]\s*+)?["'])"""
 _GAPS = re.compile(_GAP + "+")
-_HEX_GAPS = re.compile(r"(?:[:\s]|\\+[nrt]|\\+x)+")
-_PEM = re.compile(r"""-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\"'-]*?)-----END \1-----""")
-_B64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]|\\+/){{20,}}+(?:{_GAP}++[A-Za-z0-9+/_-]++)*+")
-_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{2,}+(?:(?:[:\s]|\\+[nrt]|\\+x)++[0-9A-Fa-f]++)*+")
+_HEX_GAPS = re.compile(r"(?:[:\s]|\\{1,8}[nrt]|\\{1,8}x)+")
+_ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,64}PRIVATE KEY)-----")
+_ARMOURED = re.compile(r"""[A-Za-z0-9+/=\s:,.\\"'-]*""")
+_B64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]|\\{{1,8}}/){{20,}}+(?:{_GAP}++[A-Za-z0-9+/_-]++)*+")
+_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{2,}+(?:(?:[:\s]|\\{1,8}[nrt]|\\{1,8}x)++[0-9A-Fa-f]++)*+")
 #: Where a key may begin: the head of a DER sequence with a version number, or OpenSSH's magic.
 _B64_HEAD = re.compile(r"M[A-H].CA[Q-Za-f]|MI[E-T]|b3BlbnNzaC1rZXktdjEA")
 _HEX_HEAD = re.compile(r"30(?:[0-7].|81..|82.{4}|83.{6}|84.{8})0201|6f70656e7373682d6b65792d763100")
@@ -48,6 +51,8 @@ _HEX_HEAD = re.compile(r"30(?:[0-7].|81..|82.{4}|83.{6}|84.{8})0201|6f70656e7373
 _B64_LEAST, _HEX_LEAST = 48, 64
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+(?=\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*+))")
 _TOKEN_HEAD = re.compile("(?=e[yw])")
+_JSON = json.JSONDecoder()
+_OBJECT = re.compile(r"""\{[ \t\r\n]*+(?:\}|"(?:[^"\\\x00-\x1f]|\\.)*+"[ \t\r\n]*+:)""")
 
 #: Kinds in the order that breaks ties between spans with the same start; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "pem_key", "der_key", "ssh_key", "signed_token")
@@ -64,76 +69,139 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _der(data: bytes, at: int) -> tuple[int, int, int] | None:
-    """Tag, start and end of the content of the element at ``at``, or None if it doesn't fit."""
-    if at + 2 > len(data):
+class Encoded:
+    """Bytes of a run of hex or standard base64 characters from one place on; reads decode only what they ask for."""
+
+    def __init__(self, run: str, start: int, bits: int):
+        self.run, self.start, self.bits = run, start, bits
+        self.head = self._decoded(0, 72)
+
+    def __len__(self) -> int:
+        return (len(self.run) - self.start) * self.bits // 8
+
+    def _decoded(self, at: int, n: int) -> bytes:
+        if self.bits == 4:
+            part = self.run[self.start + 2 * at : self.start + 2 * (at + n)]
+            return bytes.fromhex(part[: len(part) // 2 * 2])
+        part = self.run[self.start + at // 3 * 4 : self.start + -(-(at + n) // 3) * 4]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        return binascii.a2b_base64(part + "=" * (-len(part) % 4))[at % 3 : at % 3 + n]
+
+    def read(self, at: int, n: int) -> bytes:
+        return self.head[at : at + n] if at + n <= len(self.head) else self._decoded(at, n)
+
+
+class Plain:
+    """Bytes that are there already."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def read(self, at: int, n: int) -> bytes:
+        return self.data[at : at + n]
+
+
+def _der(data: Encoded | Plain, at: int, limit: int) -> tuple[int, int, int] | None:
+    """Tag, start and end of the content of the element at ``at``, or None if it doesn't end by ``limit``."""
+    head = data.read(at, 6)
+    if len(head) < 2:
         return None
-    tag, first, at = data[at], data[at + 1], at + 2
-    if first < 0x80:
-        size = first
-    else:
-        n = first & 0x7F
-        if not 1 <= n <= 4 or at + n > len(data):
+    tag, size, at = head[0], head[1], at + 2
+    if size >= 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or len(head) < 2 + n:
             return None
-        size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        size, at = int.from_bytes(head[2 : 2 + n], "big"), at + n
         if size < 0x80:
             return None
-    return (tag, at, at + size) if at + size <= len(data) else None
+    return (tag, at, at + size) if at + size <= limit else None
 
 
-def _children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """Elements that fill data[start:end] exactly, or None."""
-    out = []
+#: A key has no more elements than this: a version, eight numbers, further primes, attributes.
+_MOST_ELEMENTS = 16
+
+
+def _der_key(data: Encoded | Plain) -> int:
+    """Bytes of the private key at the start of data, 0 if there is none: one DER sequence that its elements fill exactly, an integer version first, then key numbers, a named algorithm with an octet string, or an EC octet string."""
+    whole = _der(data, 0, len(data))
+    if whole is None or whole[0] != 0x30:
+        return 0
+    tags, at, end, size = [], whole[1], whole[2], 0
+    while at < end:
+        found = _der(data, at, end)
+        if found is None or len(tags) == _MOST_ELEMENTS:
+            return 0
+        tag, start, at = found
+        tags.append(tag)
+        size += at - start
+        if len(tags) == 1:
+            fine = tag == 0x02 and at - start == 1
+        elif len(tags) == 2:
+            # What follows the version tells which kind of key it may be.
+            fine = tag == 0x02 or tag == 0x04 and at - start >= 20 or tag == 0x30 and _named(data, start, at)
+        elif tags[1] == 0x02:
+            fine = tag in (0x02, 0x30)
+        else:
+            fine = tags[1] == 0x30 and (len(tags) > 3 or tag == 0x04) or tags[1] == 0x04 and tag in (0xA0, 0xA1)
+        if not fine:
+            return 0
+    enough = {0x02: len(tags) >= 6 and size >= 32, 0x30: len(tags) >= 3, 0x04: True}
+    return end if len(tags) > 1 and enough[tags[1]] else 0
+
+
+def _named(data: Encoded | Plain, start: int, end: int) -> bool:
+    """Whether elements that fill data[start:end] begin with an object identifier."""
+    first, n = None, 0
     while start < end:
-        found = _der(data, start)
-        if found is None or found[2] > end:
-            return None
-        out.append(found)
-        start = found[2]
-    return out
+        found = _der(data, start, end)
+        if found is None or n == _MOST_ELEMENTS:
+            return False
+        first, start, n = found[0] if first is None else first, found[2], n + 1
+    return first == 0x06
+
+
+_MAGIC = b"openssh-key-v1\x00"
+
+
+def _ssh_key(data: Encoded | Plain) -> int:
+    """Bytes of the OpenSSH private key at the start of data, 0 if there is none: magic, then three fields, a number of public keys, these and the private part, each with its length before it."""
+    if data.read(0, len(_MAGIC)) != _MAGIC:
+        return 0
+    at, fields, number = len(_MAGIC), 3, None
+    while fields:
+        size = data.read(at, 4)
+        if len(size) < 4:
+            return 0
+        at += 4 + int.from_bytes(size, "big")
+        fields -= 1
+        if not fields and number is None:
+            count = data.read(at, 4)
+            number = int.from_bytes(count, "big")
+            if len(count) < 4 or not 1 <= number <= 16:
+                return 0
+            at, fields = at + 4, number + 1
+    return at if at <= len(data) else 0
 
 
 def is_der_key(data: bytes) -> bool:
-    """Whether data is one DER sequence shaped as a private key: an integer version first, then key numbers, a named algorithm with an octet string, or an EC octet string."""
-    whole = _der(data, 0)
-    if whole is None or whole[0] != 0x30 or whole[2] != len(data):
-        return False
-    inner = _children(data, whole[1], whole[2])
-    if not inner or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1:
-        return False
-    tags = [t for t, _, _ in inner]
-    if len(tags) >= 6 and set(tags) <= {0x02, 0x30}:
-        return sum(e - s for t, s, e in inner) >= 32
-    if tags[1:3] == [0x30, 0x04]:
-        algorithm = _children(data, *inner[1][1:])
-        return bool(algorithm) and algorithm[0][0] == 0x06
-    return tags[1:2] == [0x04] and inner[1][2] - inner[1][1] >= 20 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    """Whether data is a private key in DER, and nothing else."""
+    return bool(data) and _der_key(Plain(data)) == len(data)
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Whether data is an OpenSSH private key: magic, then length-prefixed fields that fill it."""
-    magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
-        return False
-    at, sizes = len(magic), []
-    for _ in range(3):
-        if at + 4 > len(data):
-            return False
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + size
-        sizes.append(size)
-    if at + 4 > len(data) or not 1 <= int.from_bytes(data[at : at + 4], "big") <= 16:
-        return False
-    at += 4
-    while at < len(data):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+    """Whether data is an OpenSSH private key, and nothing else."""
+    return bool(data) and _ssh_key(Plain(data)) == len(data)
+
+
+_STANDARD = str.maketrans("-_", "+/")
 
 
 def _b64(text: str) -> bytes | None:
-    text = text.translate(str.maketrans("-_", "+/")).rstrip("=")
+    text = text.translate(_STANDARD).rstrip("=")
     if len(text) % 4 == 1:
         return None
     try:
@@ -148,30 +216,8 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
-def _key_size(head: bytes) -> int:
-    """Bytes of the key that begins with ``head``, by its own lengths; 0 if it doesn't say."""
-    if head[:1] == b"\x30" and len(head) > 1:
-        n = head[1] & 0x7F if head[1] >= 0x80 else 0
-        return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
-    at, fields = 15, 3
-    while fields:
-        if at + 4 > len(head):
-            return 0
-        at += 4 + int.from_bytes(head[at : at + 4], "big")
-        fields -= 1
-    public = int.from_bytes(head[at : at + 4], "big")
-    if at + 4 > len(head) or not 1 <= public <= 16:
-        return 0
-    at += 4
-    for _ in range(public + 1):  # the public keys and the private part
-        if at + 4 > len(head):
-            return 0
-        at += 4 + int.from_bytes(head[at : at + 4], "big")
-    return at
-
-
-def _hidden_keys(text: str, start: int, end: int, gaps: re.Pattern, head: re.Pattern, code: Callable[[str], bytes | None], bits: int, least: int) -> Iterator[Span]:
-    """Keys inside the run text[start:end] of encoded characters with ``gaps`` between: each place that looks like a key's head is decoded for as long as its lengths say."""
+def _hidden_keys(text: str, start: int, end: int, gaps: re.Pattern, head: re.Pattern, bits: int, least: int) -> Iterator[Span]:
+    """Keys inside the run text[start:end] of encoded characters with ``gaps`` between: from each place that looks like a key's head, nested lengths are followed to the key's end."""
     pieces, places, offsets, size = [], [], [], 0
     for gap_start, gap_end in [*((g.start(), g.end()) for g in gaps.finditer(text, start, end)), (end, end)]:
         if gap_start > start:
@@ -183,39 +229,31 @@ def _hidden_keys(text: str, start: int, end: int, gaps: re.Pattern, head: re.Pat
     if size < least:
         return
     run = "".join(pieces)
-    if bits == 4:
-        run = run.lower()
+    run = run.lower() if bits == 4 else run.translate(_STANDARD)
     place = lambda i: (k := bisect_right(offsets, i) - 1, places[k] + i - offsets[k])[1]
     at = 0
     while m := head.search(run, at):
         at = m.start() + 1
-        der = run[m.start()] in "M3"
-        # Twelve bytes hold the head of a sequence; the fields of an OpenSSH key lie anywhere.
-        first = code(run[m.start() : m.start() + 96 // bits]) if der else code(_even(run[m.start() :], bits))
-        chars = -(-_key_size(first or b"") * 8 // bits)
-        if least <= chars <= size - m.start() and (kind := _key_kind(code(run[m.start() : m.start() + chars]))):
+        data, der = Encoded(run, m.start(), bits), run[m.start()] in "M3"
+        chars = -(-(_der_key(data) if der else _ssh_key(data)) * 8 // bits)
+        if chars >= least:
             at = m.start() + chars
-            yield kind, place(m.start()), place(at - 1) + 1
-
-
-def _even(run: str, bits: int) -> str:
-    """The run cut to whole bytes."""
-    return run[: len(run) // 4 * 4] if bits == 6 else run[: len(run) // 2 * 2]
+            yield "der_key" if der else "ssh_key", place(m.start()), place(at - 1) + 1
 
 
 def _pem_body(body: str) -> str:
     """The encoded part of a PEM block: line ends that were written out are lines, string literals are joined, headers end at the blank line after them."""
-    body = re.sub(r"\\+r\\+n|\\+[nr]|\r\n?", "\n", re.sub(r"\\+/", "/", body))
-    body = re.sub(r"""["'][^\S\n]*[+,.\\]?\s*["']""", "", body).replace("\\t", " ")
+    body = re.sub(r"\\{1,8}r\\{1,8}n|\\{1,8}[nr]|\r\n?", "\n", re.sub(r"\\{1,8}/", "/", body))
+    body = re.sub(r"""["'][^\S\n]*+(?:[+,.\\]\s*+)?["']""", "", body).replace("\\t", " ")
     lines = [x.strip(" \t\"'\\") for x in body.split("\n")]
     heads = [i for i, x in enumerate(lines) if ":" in x]
     if not heads:
         return "".join("".join(lines).split())
     rest = lines[heads[-1] + 1 :]
-    for i, x in enumerate(rest):
-        if not x and any(rest[i:]):
-            rest = rest[i:]
-            break
+    while rest and not rest[-1]:
+        rest.pop()
+    if "" in rest:
+        rest = rest[rest.index("") :]
     return "".join("".join(rest).split()) or "".join(x for x in body.split() if len(x) >= 32 and ":" not in x)
 
 
@@ -236,36 +274,79 @@ def confirmed_spans(text: str) -> list[Span]:
     """Candidates that parse."""
     out: list[Span] = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = _b64(_pem_body(m[2]))
-            if _key_kind(data) or data and "ENCRYPTED" in (m[1] + m[2]):
-                out.append(("pem_key", m.start(), m.end()))
+        out += _armoured(text)
     for m in _B64.finditer(text):
-        for kind, start, end in _hidden_keys(text, m.start(), m.end(), _GAPS, _B64_HEAD, _b64, 6, _B64_LEAST):
+        for kind, start, end in _hidden_keys(text, m.start(), m.end(), _GAPS, _B64_HEAD, 6, _B64_LEAST):
             padding = len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
             out.append((kind, start, end + padding))
     for m in _HEX_ANY.finditer(text):
         if m.end() - m.start() >= _HEX_LEAST:
-            out += _hidden_keys(text, m.start(), m.end(), _HEX_GAPS, _HEX_HEAD, bytes.fromhex, 4, _HEX_LEAST)
+            out += _hidden_keys(text, m.start(), m.end(), _HEX_GAPS, _HEX_HEAD, 4, _HEX_LEAST)
     if "." in text and ("ey" in text or "ew" in text):
         out += _tokens(text)
     return out
 
 
+def _armoured(text: str) -> Iterator[Span]:
+    """PEM blocks that hold a key, or say that it is encrypted: each from the last header before its end."""
+    opened = None
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            opened = m
+            continue
+        if opened and opened[2] == m[2]:
+            body = text[opened.end() : m.start()]
+            data = _b64(_pem_body(body)) if _ARMOURED.fullmatch(body) else None
+            if _key_kind(data) or data and "ENCRYPTED" in (m[2] + body):
+                yield "pem_key", opened.start(), m.end()
+        opened = None
+
+
 def _tokens(text: str) -> Iterator[Span]:
     """Signed tokens that begin at any place of a segment where a JSON object may."""
     done = 0
     for m in _TOKEN.finditer(text):
-        if m.start() < done or not _TOKEN_HEAD.search(m[0]) or not _is_object(m[1]):
+        if m.start() < done:
             continue
-        for head in _TOKEN_HEAD.finditer(m[0]):
-            start, end = m.start() + head.start(), m.end(2)
-            if m.end() - start >= 10 and is_signed_token(text[start:end]):
-                yield "signed_token", start, end
-                done = end
+        for start in _headers(m[0]):
+            if not _is_object(m[1]):
+                break
+            if len(m[0]) - start >= 10 and is_signed_token(text[m.start() + start : m.end(2)]):
+                yield "signed_token", m.start() + start, m.end(2)
+                done = m.end(2)
                 break
 
 
+def _headers(part: str) -> Iterator[int]:
+    """Places from which part, decoded, is a JSON object up to its end. Places four characters apart share one decoding."""
+    decoded: dict[int, str] = {}
+    for m in _TOKEN_HEAD.finditer(part):
+        phase, at = m.start() % 4, m.start() // 4 * 3
+        if phase not in decoded:
+            decoded[phase] = (_b64(part[phase:]) or b"").decode("latin-1").rstrip(" \t\r\n")
+        data = decoded[phase]
+        if not data.endswith("}") or '"alg"' not in data and "\\u" not in data or not _OBJECT.match(data, at):
+            continue
+        try:
+            if _fills(data, at):
+                yield m.start()
+        except RecursionError:  # nested deeper than any header
+            return
+
+
+def _fills(data: str, at: int) -> bool:
+    """Whether data[at:] is one JSON object. Errors are looked for in a growing window, as each costs time in proportion to it."""
+    size = 512
+    while True:
+        part = data[at : at + size]
+        try:
+            return _JSON.raw_decode(part)[1] == len(data) - at
+        except json.JSONDecodeError as e:
+            if len(part) < size or e.pos < size - 16 and not e.msg.startswith("Unterminated"):
+                return False
+        size *= 4
+
+
 def _is_object(part: str) -> bool:
     try:
         return isinstance(json.loads(_b64(part) or b""), dict)
