@@ -323,9 +323,10 @@ def _headers(part: str) -> Iterator[int]:
     for m in _TOKEN_HEAD.finditer(part):
         phase, at = m.start() % 4, m.start() // 4 * 3
         if phase not in decoded:
-            decoded[phase] = (_b64(part[phase:]) or b"").decode("latin-1").rstrip(" \t\r\n")
+            data = (_b64(part[phase:]) or b"").decode("latin-1").rstrip(" \t\r\n")
+            decoded[phase] = data if data.endswith("}") and ('"alg"' in data or "\\u" in data) else ""
         data = decoded[phase]
-        if not data.endswith("}") or '"alg"' not in data and "\\u" not in data or not _OBJECT.match(data, at):
+        if not _OBJECT.match(data, at):
             continue
         try:
             if _fills(data, at):
