@@ -6,15 +6,18 @@ that a pair at the similarity threshold exceeds it with a chance below 1e-6. By
 the threshold agrees, in one of the signature's chunks, but for as many symbols as errors are allowed there; every way
 to leave out that many symbols of a chunk is indexed, so all pairs within the threshold meet in a bucket.
 
-Buckets are read in order, large ones in blocks: signatures filter the pairs, and each task gives a spanning forest of
-the pairs it found near, not the pairs. Components of these forests are clusters; every link lies inside one. A
-cluster's shingle sets then meet once, in blocks, where near pairs that aren't connected yet are confirmed on the full
-sets; again only a spanning forest of links is given. A pair that is left out is one whose documents are connected
-already, so the components are those of all links.
-
-Scale: texts are read twice and shuffled once; index rows are 24 bytes and only those of shared buckets carry a
-signature; rows made are at most in proportion to documents, whatever a group's size. Components are found by star
-rounds over tables in the shared folder; nothing is collected. Blocks bound what a task holds.
+Buckets are read in order: a leader's near members form its tree, the triangle inequality of signature distances passes
+over most other pairs, and each task gives a spanning forest of the pairs it found near, not the pairs. Components of
+these forests are clusters; every link lies inside one. A cluster's shingle sets then meet once, where near pairs that
+aren't connected yet are confirmed on the full sets; again only a spanning forest of links is given. A pair that is left
+out is one whose documents are connected already, so the components are those of all links.
+
+Scale: texts are read twice and shuffled once; index rows are 16 bytes and only those of shared buckets carry a
+signature. Buckets and clusters beyond a block are cut into blocks; their largest trees are joined by their leaders, and
+only members outside a group's largest component visit other blocks. So a group of copies makes rows in proportion to
+its members; what grows faster are blocks full of documents that share a key and nothing else. Components are found by
+star rounds over tables in the shared folder; nothing is collected. Blocks bound what a task holds. A document is known
+by a 64-bit hash of its id and text.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; fewer words than a shingle
 make one shingle; null ``doc_id`` rows are classes of their own if blank, else take part under the smallest id of
@@ -24,7 +27,7 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import comb
 
@@ -37,8 +40,10 @@ from latticeworks.llm._store import materialize, parts
 from latticeworks.llm._text import gram_hashes, mix64, odd_constants, text_slices, words_of
 
 SYMBOLS = 64
-#: Members of a bucket, documents and shingles of a cluster that are compared as one block.
-BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 512, 1024, 1 << 21
+#: Members of a bucket, documents and shingles of a cluster that meet in one block.
+BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 1 << 15, 1 << 14, 1 << 22
+#: Members of a group whose pairs are all looked at.
+SMALL = 48
 #: Ids that a task joins before it gives its edges and begins anew.
 FOREST_IDS = 1 << 20
 _U = np.uint64
@@ -152,18 +157,17 @@ def bucket_keys(sig: np.ndarray, chunks: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _index(classes: DataFrame, like: Similarity) -> DataFrame:
-    """(bucket, slot, id) for every key of every class; slot numbers the keys of a signature."""
+    """(bucket, id) for every key of every class."""
     chunks = like.chunks
-    slots = np.arange(SYMBOLS, dtype=np.int8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 ids = np.repeat(part.column("id").to_numpy(), SYMBOLS)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(_sigs(part), chunks).ravel().view(np.int64)), pa.array(np.tile(slots, part.num_rows)), pa.array(ids)], names=["bucket", "slot", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(_sigs(part), chunks).ravel().view(np.int64)), pa.array(ids)], names=["bucket", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "bucket long, slot byte, id long")
+    return classes.select("id", "sig").mapInArrow(run, "bucket long, id long")
 
 
 def _sigs(batch) -> np.ndarray:
@@ -221,43 +225,60 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _near_forest(members: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:
-    """(a, b): for each task a spanning forest of the pairs that share a bucket, are near by signature and alike in size.
+def near_edges(sig: np.ndarray, size: np.ndarray, limit: int, percent: int) -> tuple[list[int], list[int]]:
+    """Edges that connect all pairs within ``limit`` differing symbols and alike in size, without looking at most of them.
 
-    A pair that shares several buckets counts in the one of its lowest slot only. Buckets are cut into blocks of at
-    most BUCKET_BLOCK members, and each pair of blocks is a group of its own.
+    The first row left leads: rows near it form its tree. Distances obey the triangle inequality, so a row further than
+    ``limit`` from the leader can only be near a member whose own distance makes up the difference; all others are
+    passed over. Then the rows outside the tree go on with a leader among them.
     """
-    limit, percent, chunks = like.distance, like.percent, like.chunks
-    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")), "bucket")
-    own = sized.withColumn("blocks", F.ceil(F.col("k") / BUCKET_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.select("bucket", "slot", "id", "block", other.alias("with")).select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "slot", "id", "block")
-    dealt = dealt.join(classes.select("id", "n_shingles", "sig"), "id").repartition(parts(members) * 2, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    alike = lambda i, to: np.minimum(size[i], size[to]) * 100 >= np.maximum(size[i], size[to]) * percent
+    a, b, rest = [], [], np.arange(len(sig))
+    while len(rest) > 1:
+        first, others = rest[0], rest[1:]
+        d = (sig[others] != sig[first]).sum(axis=1)
+        near = (d <= limit) & alike(first, others)
+        tree, reach, rest, far = others[near], d[near], others[~near], d[~near]
+        a += [first] * len(tree)
+        b += tree.tolist()
+        for k in np.flatnonzero(far <= limit + reach.max(initial=-limit - 1)):
+            to = tree[reach >= far[k] - limit]
+            to = to[((sig[to] != sig[rest[k]]).sum(axis=1) <= limit) & alike(rest[k], to)]
+            if len(to):
+                a.append(rest[k])
+                b.append(to[0])
+    return a, b
+
+
+def _near_forest(dealt: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b): for each task a spanning forest of the pairs that are near by signature and alike in size, among the ids of each (key, block)."""
+    limit, percent = like.distance, like.percent
+    dealt = dealt.select("key", "block", "id").join(classes.select("id", "n_shingles", "sig"), "id").repartition(parts(dealt) * 2, "key", "block").sortWithinPartitions("key", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for table in _groups(batches, ["bucket", "i", "j"]):
-            bucket, i, j, slot, ids, block, size = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "slot", "id", "block", "n_shingles"))
+        for table in _groups(batches, ["key", "block"]):
+            key, block, ids, size = (table.column(c).to_numpy() for c in ("key", "block", "id", "n_shingles"))
             sig = _sigs(table)
-            keys = bucket_keys(sig, chunks)
-            group = np.cumsum(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-            for d in range(1, 2 * BUCKET_BLOCK * 8):
-                if d >= len(ids):
-                    break
-                a = np.flatnonzero(group[d:] == group[:-d])
-                if not len(a):
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+            ends = np.append(starts[1:], len(ids))
+            # Small groups side by side, row by row further apart; larger ones by leaders.
+            span = np.where(ends - starts <= SMALL, ends, starts).repeat(ends - starts)
+            for d in range(1, SMALL):
+                x = np.flatnonzero(np.arange(len(ids)) + d < span)
+                if not len(x):
                     break
-                for at in range(0, len(a), 65_536):
-                    x = a[at : at + 65_536]
-                    y = x + d
-                    x, y = (v[(i[x] == j[x]) | (block[x] != block[y])] for v in (x, y))
-                    alike = (np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent) & (ids[x] != ids[y])
-                    x, y = x[alike], y[alike]
-                    near = (sig[x] != sig[y]).sum(axis=1) <= limit
-                    x, y = x[near], y[near]
-                    first = (keys[x] == keys[y]).argmax(axis=1) == slot[x]
-                    for p, q in zip(ids[x[first]].tolist(), ids[y[first]].tolist(), strict=True):
-                        forest.join(p, q)
+                for at in range(0, len(x), 65_536):
+                    p = x[at : at + 65_536]
+                    q = p + d
+                    p, q = (v[np.minimum(size[p], size[q]) * 100 >= np.maximum(size[p], size[q]) * percent] for v in (p, q))
+                    near = (sig[p] != sig[q]).sum(axis=1) <= limit
+                    for u, v in zip(ids[p[near]].tolist(), ids[q[near]].tolist(), strict=True):
+                        forest.join(u, v)
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if e - s > SMALL:
+                    for u, v in zip(*near_edges(sig[s:e], size[s:e], limit, percent), strict=True):
+                        forest.join(int(ids[s + u]), int(ids[s + v]))
             if len(forest.up) > FOREST_IDS:
                 yield forest.batch()
                 forest.up.clear()
@@ -266,6 +287,27 @@ def _near_forest(members: DataFrame, classes: DataFrame, like: Similarity) -> Da
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _connected(members: DataFrame, edges: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """(a, b) that connect all related ids of each key; ``members`` has key, id, block and blocks, ``edges`` relates the ids of each (key, block).
+
+    A key is cut into blocks of bounded size, and most need one. Of those with more, the largest trees of the blocks are
+    related by their leaders first; then the ids of a key's largest component stay in their blocks, and only the others
+    visit all blocks. So a group of near copies makes a row for each, and none for each pair of blocks.
+    """
+    inside = materialize(edges(members), f"{name}-inside")
+    hot = materialize(members.where("blocks > 1"), f"{name}-hot")
+    if hot.isEmpty():
+        return inside
+    ids = hot.select("id").distinct()
+    largest = lambda by, found: found.groupBy(*by, "comp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).groupBy(*by).agg(F.max(F.struct("n", "comp", "id")).alias("top"))
+    trees = largest(["key", "block"], hot.join(components(ids, inside), "id"))
+    led = materialize(edges(trees.select("key", F.lit(0).alias("block"), F.col("top.id").alias("id"))), f"{name}-led")
+    found = materialize(hot.join(components(ids, inside.union(led)), "id"), f"{name}-found")
+    movers = found.join(largest(["key"], found).select("key", F.col("top.comp").alias("stay")), "key").where("comp <> stay")
+    visits = movers.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id")
+    return inside.union(led).union(materialize(edges(hot.select("key", "block", "id").union(visits).distinct()), f"{name}-across"))
+
+
 def _thinned(edges: DataFrame) -> DataFrame:
     """Fewer edges with the same components: neighbouring tasks' forests are read together and made one."""
 
@@ -279,55 +321,57 @@ def _thinned(edges: DataFrame) -> DataFrame:
                 forest.up.clear()
         yield forest.batch()
 
-    return materialize(edges, "neardup-forest").coalesce(max(1, parts(edges) // 8)).mapInArrow(run, "a long, b long")
+    return edges.coalesce(max(1, parts(edges) // 8)).mapInArrow(run, "a long, b long")
 
 
 def _links(clusters: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     """(a, b): spanning forests of the links, confirmed on full sets made anew from the texts of clustered documents."""
-    limit, percent = like.distance, like.percent
     sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("k")).where("k > 1")
     sizes = materialize(sizes, "neardup-sizes")  # a plain join follows, whose hot clusters can be split
-    own = clusters.join(sizes, "cluster").select("id", "cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    own = clusters.join(sizes, "cluster").select(F.col("cluster").alias("key"), "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    return _connected(own, lambda dealt: _confirmed(dealt, texts, like), "neardup-links")
+
+
+def _confirmed(dealt: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b): for each (key, block) a spanning forest of the links among its ids."""
+    limit, percent = like.distance, like.percent
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             grams, offsets = shingles(words_of(batch.column("text"), lower=True), like.words)
             raw = [grams[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "cluster", "blocks", "block")] + [pa.array(raw, pa.binary())], names=["id", "cluster", "blocks", "block", "grams"])
-
-    made = texts.join(own, "id").dropDuplicates(["id"]).select("id", "cluster", "blocks", "block", "text").mapInArrow(sets, "id long, cluster long, blocks int, block int, grams binary")
-    dealt = made.select("id", "cluster", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "block", "grams")
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "key", "block")] + [pa.array(raw, pa.binary())], names=["id", "key", "block", "grams"])
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        cross = key[1].as_py() != key[2].as_py()
-        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
         own = [np.frombuffer(x, _U) for x in table.column("grams").to_pylist()]
         sizes = np.array([len(x) for x in own], np.int64)
         ends = np.cumsum(sizes)
         flat = np.concatenate(own)
         sig = signatures(flat, np.append(0, ends))
         tree = np.arange(len(ids))  # label of each document's tree
-        a, b = [], []
+        trees, a, b = len(ids), [], []
         for r in range(len(ids)):
-            open_ = (tree[r + 1 :] != tree[r]) & (np.minimum(sizes[r], sizes[r + 1 :]) * 100 >= np.maximum(sizes[r], sizes[r + 1 :]) * percent)
-            if cross:
-                open_ &= block[r + 1 :] != block[r]
-            to = np.flatnonzero(open_) + r + 1
+            if trees == 1:
+                break
+            to = np.flatnonzero(tree[r + 1 :] != tree[r]) + r + 1
+            to = to[np.minimum(sizes[r], sizes[to]) * 100 >= np.maximum(sizes[r], sizes[to]) * percent]
             to = to[(sig[to] != sig[r]).sum(axis=1) <= limit]
-            if not len(to):
-                continue
-            grams = np.concatenate([own[t] for t in to])
-            at = np.minimum(np.searchsorted(own[r], grams), sizes[r] - 1)
-            shared = np.add.reduceat((own[r][at] == grams).astype(np.int64), np.cumsum(sizes[to]) - sizes[to])
-            for t in to[shared * 100 >= (sizes[r] + sizes[to] - shared) * percent]:
-                if tree[t] != tree[r]:
-                    a.append(ids[r])
-                    b.append(ids[t])
-                    tree[tree == tree[t]] = tree[r]
+            for at in range(0, len(to), 1024):
+                part = to[at : at + 1024]
+                grams = np.concatenate([own[t] for t in part])
+                place = np.minimum(np.searchsorted(own[r], grams), sizes[r] - 1)
+                shared = np.add.reduceat((own[r][place] == grams).astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+                for t in part[shared * 100 >= (sizes[r] + sizes[part] - shared) * percent]:
+                    if tree[t] != tree[r]:
+                        a.append(ids[r])
+                        b.append(ids[t])
+                        tree[tree == tree[t]] = tree[r]
+                        trees -= 1
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    made = texts.join(dealt.select("key", "block", "id"), "id").dropDuplicates(["id", "key", "block"]).select("id", "key", "block", "text").mapInArrow(sets, "id long, key long, block int, grams binary")
+    return made.groupBy("key", "block").applyInArrow(run, "a long, b long")
 
 
 def components(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -363,9 +407,11 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     full = all_docs.where("n_shingles > 0")
     classes = materialize(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.min("uid").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "neardup-classes")
     index = _index(classes, like)
-    shared = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    members = materialize(index.join(shared, "bucket", "left_semi"), "neardup-members")
-    clusters = components(classes.select("id", "n_shingles"), _thinned(_near_forest(members, classes, like))).withColumnRenamed("comp", "cluster")
+    shared = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = index.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("k") / BUCKET_BLOCK).cast("int"))
+    members = materialize(members.select(F.col("bucket").alias("key"), "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks"), "neardup-members")
+    near = _connected(members, lambda dealt: _near_forest(dealt, classes, like), "neardup-near")
+    clusters = components(classes.select("id", "n_shingles"), _thinned(near)).withColumnRenamed("comp", "cluster")
     texts = base.select(F.col("uid").alias("id"), "text")
     comps = components(classes.select("id"), _links(materialize(clusters, "neardup-clusters"), texts, like))
 

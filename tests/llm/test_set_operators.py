@@ -263,6 +263,47 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert by_row((r.doc_id, r.n_shingles, r.component_id) for r in got) == by_row(near_brute(rows, 3, 85))
 
 
+@pytest.mark.parametrize("spread", [2, 9, 30, 64])
+def test_leaders_connect_all_near_pairs(spread):
+    """Groups around a few centres, tight or wide: the forest has the components of all near pairs."""
+    rng = np.random.default_rng(spread)
+    centres = rng.integers(0, 2**16, (4, neardup.SYMBOLS), dtype=np.uint16)
+    sig = centres[rng.integers(0, 4, 300)]
+    for x in sig:
+        at = rng.choice(neardup.SYMBOLS, rng.integers(0, spread + 1), replace=False)
+        x[at] = rng.integers(0, 2**16, len(at), dtype=np.uint16)
+    size = rng.integers(80, 120, 300)
+    forest, all_pairs = neardup.Forest(), neardup.Forest()
+    for a, b in zip(*neardup.near_edges(sig, size, 24, 85), strict=True):
+        assert (sig[a] != sig[b]).sum() <= 24 and min(size[a], size[b]) * 100 >= max(size[a], size[b]) * 85
+        forest.join(int(a), int(b))
+    for a in range(300):
+        for b in range(a):
+            if (sig[a] != sig[b]).sum() <= 24 and min(size[a], size[b]) * 100 >= max(size[a], size[b]) * 85:
+                all_pairs.join(a, b)
+    assert [forest.root(x) for x in range(300)] == [all_pairs.root(x) for x in range(300)]
+
+
+def test_rows_of_a_large_group_are_in_proportion(spark, monkeypatch):
+    """Of 20,000 near copies in twenty blocks, each is compared in its own block, and few visit others."""
+    dealt = []
+    rng = np.random.default_rng(4)
+    sig = np.tile(rng.integers(0, 2**16, neardup.SYMBOLS, dtype=np.uint16), (20_000, 1))
+    sig[np.arange(20_000), rng.integers(0, neardup.SYMBOLS, 20_000)] = rng.integers(0, 2**16, 20_000)
+    sig[:40] = rng.integers(0, 2**16, (40, neardup.SYMBOLS), dtype=np.uint16)  # near nothing
+    classes = spark.createDataFrame([(i, 200, x.tobytes()) for i, x in enumerate(sig)], "id long, n_shingles long, sig binary").cache()
+    members = classes.selectExpr("1L as key", "id", "int(id % 20) as block", "20 as blocks")
+
+    def edges(df):
+        dealt.append(df.count())
+        return neardup._near_forest(df, classes, neardup.Similarity(3, 85))
+
+    found = neardup._connected(members, edges, "test")
+    comps = neardup.components(classes.select("id"), found)
+    assert comps.groupBy("comp").count().count() == 41
+    assert sum(dealt) <= 2.1 * 20_000
+
+
 def test_pigeonhole_covers_every_pair_within_the_distance():
     like = neardup.Similarity(3, 85)
     rng = np.random.default_rng(0)
