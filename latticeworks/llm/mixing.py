@@ -2,11 +2,12 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to). Each pattern offers its words once
 at no cost, a second time at cost 1, a third time at cost 3: convex, so that nothing is repeated before everything in
-reach was used. Successive shortest paths route this capacity to the sources' quotas. A pattern's flow is then turned
-into documents: whole repetitions for all of them, and a seeded choice for the rest.
+reach was used. Successive shortest paths route this capacity to the sources' quotas; where no document is shared
+between sources, the flow of least cost is known without them. A pattern's flow is then turned into documents: whole
+repetitions for all of them, and a seeded choice for the rest.
 
-Scale: one pass over the texts that keeps a few numbers a document; the graph has a node for each pattern and source,
-not for documents. The choice compares seeded hashes: sums over hash buckets say which bucket the limit falls in, and
+Scale: one pass over the texts that keeps a few numbers a document; the graph has a node for each pattern of shared
+documents and its sources, not for documents; the driver holds a row a pattern, and the plan is broadcast only if small. The choice compares seeded hashes: sums over hash buckets say which bucket the limit falls in, and
 only that bucket's few thousand documents are looked at one by one. No source, however large, meets in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
@@ -31,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Documents of a source expected in a hash bucket.
 BUCKET_ROWS = 2048
+#: Patterns whose plan is broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MAX_REPEATS, total: int | None = None) -> list[float]:
@@ -105,6 +108,20 @@ def flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[float], most:
     return [{to[e] - n: room[e ^ 1] for e in arcs[i] if e % 2 == 0 and room[e ^ 1] > eps} for i in range(n)]
 
 
+def shares(patterns: list[tuple[tuple[int, ...], int]], quotas: list[float], most: int = MAX_REPEATS) -> list[float]:
+    """Words that each pattern gives in all. Sources that no document shares need no flow: they take their quota, as far as their words go. The flow is solved over the patterns of the others."""
+    shared = {s for members, _ in patterns if len(members) > 1 for s in members}
+    out = [float(min(quotas[members[0]], most * size)) if members and members[0] not in shared else 0.0 for members, size in patterns]
+    rest = [i for i, (members, _) in enumerate(patterns) if members and members[0] in shared]
+    if rest:
+        names = sorted(shared)
+        number = {s: i for i, s in enumerate(names)}
+        given = flow([(tuple(number[s] for s in patterns[i][0]), patterns[i][1]) for i in rest], [quotas[s] for s in names], most)
+        for i, words in zip(rest, given, strict=True):
+            out[i] = sum(words.values())
+    return out
+
+
 def sizes_of(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``size``, the number of words; the text is dropped."""
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("size", T.LongType())])
@@ -117,6 +134,11 @@ def sizes_of(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """The table, to be broadcast if it has BROADCAST_ROWS or less; else the optimizer chooses by its size."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def _choose(sized: DataFrame, rest: list[tuple[int, float]], rows: dict[int, int], seed: int) -> DataFrame:
     """Adds ``extra``: 1 for documents chosen so that each pattern's chosen sizes come near its rest, else 0.
 
@@ -124,13 +146,13 @@ def _choose(sized: DataFrame, rest: list[tuple[int, float]], rows: dict[int, int
     bucket they are taken in hash order as long as they fit, and one more if that comes nearer.
     """
     spark = sized.sparkSession
-    wanted = spark.createDataFrame([(p, r, max(1, min(1 << 20, rows[p] // BUCKET_ROWS))) for p, r in rest if r > 0], "pattern int, rest double, buckets long")
-    keyed = sized.join(F.broadcast(wanted), "pattern", "left").withColumn("h", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 40)))
+    wanted = spark.createDataFrame([(p, r, max(1, rows[p] // BUCKET_ROWS)) for p, r in rest if r > 0], "pattern int, rest double, buckets long")
+    keyed = sized.join(_small(wanted, len(rest)), "pattern", "left").withColumn("h", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 40)))
     keyed = keyed.withColumn("bucket", F.when(F.col("rest").isNotNull(), F.floor(F.col("h").cast("double") / float(1 << 40) * F.col("buckets"))).cast("long"))
     upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = keyed.where("bucket is not null").groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("size")).withColumn("seen", F.sum("size").over(upto))
     limit = sums.where("seen > rest and seen - size <= rest").select("pattern", F.col("bucket").alias("at"), (F.col("rest") - F.col("seen") + F.col("size")).alias("gap"))
-    keyed = keyed.join(F.broadcast(limit), "pattern", "left")  # a row for each pattern at most
+    keyed = keyed.join(_small(limit, len(rest)), "pattern", "left")  # a row for each pattern at most
     below = F.col("bucket").isNotNull() & (F.col("at").isNull() | (F.col("bucket") < F.col("at")))
     sure = keyed.where("at is null or bucket is null or bucket <> at").withColumn("extra", below.cast("int"))
 
@@ -187,16 +209,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_R
         for s in own:
             sizes[s] += n
     quotas = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(names))], most, sum(n for _, n in patterns))
-    given = flow(patterns, quotas, most)
+    given = shares(patterns, quotas, most)
     plan, rest, rows = [], [], {}
     for i, x in enumerate(found):
-        words, (own, size) = sum(given[i].values()), patterns[i]
+        words, (own, size) = given[i], patterns[i]
         whole = min(most, int(words // size)) if size else 0
         first = min(own, default=None)
         plan.append((i, x.own, sizes[first] if own else None, quotas[first] if own else None, whole))
         rest.append((i, words - whole * size if whole < most else 0.0))
         rows[i] = x["rows"]
-    table = F.broadcast(spark.createDataFrame(plan, "pattern int, own string, source_size long, target double, whole int"))
+    table = _small(spark.createDataFrame(plan, "pattern int, own string, source_size long, target double, whole int"), len(plan))
     chosen = _choose(sized.join(table, "own"), rest, rows, seed)
     repeats = F.col("whole") + F.col("extra")
     return chosen.select("doc_id", "sources", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), *(["row"] if keep_rows else []))
