@@ -58,8 +58,9 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An audit drill: every record of ``pages``, against a replica that a fixed rule has damaged."""
-    return fixity.audit(_table(spark, sf_dir, "pages"), fixity.damaged())
+    """An audit drill: every record of ``pages``, against a second store of the same pages that a fixed rule has damaged in a few places."""
+    pages = _table(spark, sf_dir, "pages")
+    return fixity.audit(pages, fixity.damaged(pages))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -123,7 +124,7 @@ WITH r AS (
       || octet_length(encode(coalesce(html, ''))) || '\r\n\r\n' || coalesce(html, '') || '\r\n\r\n' AS record FROM pages),
 h AS (
   SELECT page_id, sha256(record) AS hash, octet_length(encode(record)) AS length,
-    CAST('0x' || substr(md5(coalesce(url, '')), 1, 8) AS BIGINT) % 64 < 2 AS corrupt FROM r),
+    CAST('0x' || substr(md5(coalesce(url, '')), 1, 8) AS BIGINT) % 256 < 2 AS corrupt FROM r),
 f AS (
   SELECT *, CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || hash), 1, 8) AS BIGINT)
     % greatest(1, (SELECT (count(*) + 4095) // 4096 FROM h)) AS file FROM h),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -168,6 +169,27 @@ def test_flow_shares_overlapping_sources_at_least_cost():
     assert [sum(g.values()) for g in got] == pytest.approx([20, 20])
 
 
+def test_shares_equal_the_flow_and_take_many_sources():
+    rng = random.Random(3)
+    patterns = [((i,), rng.randrange(0, 900)) for i in range(12)] + [((0, 1), 300), ((1, 2), 50), ((8, 9, 10), 70)]
+    sizes = [sum(n for own, n in patterns if s in own) for s in range(12)]
+    quotas = mixing.targets(sizes, [5, 2, 1] * 4, 3, sum(n for _, n in patterns))
+    whole = [sum(x.values()) for x in mixing.flow(patterns, quotas)]
+    assert sum(mixing.shares(patterns, quotas)) == pytest.approx(sum(whole))
+    assert mixing.shares(patterns, quotas)[3:8] == pytest.approx(whole[3:8]) and mixing.shares(patterns, quotas)[11] == pytest.approx(whole[11])
+    many = [((i,), 10 + i % 977) for i in range(100_000)]
+    start = time.process_time()
+    quotas = mixing.targets([n for _, n in many], [(5, 2, 1)[i % 3] for i in range(len(many))])
+    given = mixing.shares(many, quotas)
+    assert time.process_time() - start < 10 and sum(given) == pytest.approx(sum(n for _, n in many))
+
+
+def test_mix_without_broadcasts(spark, messy, monkeypatch):
+    want = by_row(map(tuple, mixing.mix(messy).drop("sources").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert by_row(map(tuple, mixing.mix(messy).drop("sources").collect())) == want
+
+
 def test_mix(spark, messy, nothing):
     got = mixing.mix(messy, keep_rows=True).collect()
     rows = messy_rows()
@@ -335,20 +357,39 @@ def test_audit_finds_exactly_the_corruption(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, f"http://h/{i}", prose(rng, rng.randint(0, 30))) for i in range(400)] + [(None, None, None), (7, "http://h/7", "again"), (7, "http://h/7", "again")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit("clash"))
-    bad = F.when(F.col("page_id").isin(3, 77), F.concat("record", F.lit("x"))).when(F.col("page_id") != 200, F.col("record")).when(F.col("page_id").isNull(), F.col("record"))
-    got = fixity.audit(pages, bad).collect()
-    assert len(got) == 403 and {r.page_id for r in got if r.corrupt} == {3, 77, 200} and sum(r.corrupt for r in got) == 3
+    other = [(i, u, t + "x" if i in (3, 77) else t) for i, u, t in rows if i != 200]
+    other.remove((7, "http://h/7", "again"))  # one of two equal records is lost
+    replica = spark.createDataFrame([*other, (7, "http://h/7", "more"), (999, "u", "extra"), (None, None, "extra")], "page_id long, url string, html string")
+    got = fixity.audit(pages, replica).collect()
+    assert len(got) == 403 and sorted(r.page_id for r in got if r.corrupt) == [3, 7, 77, 200]
+    assert {r.page_id: r.records for r in fixity.extra(pages, replica).collect()} == {999: 1, None: 1}
     ends = defaultdict(list)
     for r in got:
         ends[r.file].append((r.leaf, r.start, r.end))
     for x in ends.values():
         x.sort()
         assert [a for a, _, _ in x] == list(range(len(x))) and x[0][1] == 0 and all(p[2] == q[1] for p, q in zip(x, x[1:], strict=False))
-    assert not any(r.corrupt for r in fixity.audit(pages, F.col("record")).collect())
+    assert not any(r.corrupt for r in fixity.audit(pages, pages).collect())
+    assert all(r.corrupt for r in fixity.audit(pages, pages.limit(0)).collect())
 
 
 def test_audit_of_nothing(spark):
-    assert fixity.audit(spark.createDataFrame([], "page_id long, url string, html string"), F.col("record")).count() == 0
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert fixity.audit(none, none).count() == fixity.extra(none, none).count() == 0
+    assert fixity.audit(none, spark.createDataFrame([(1, "u", "h")], none.schema)).count() == 0
+
+
+def test_descent_reads_only_below_differing_nodes(spark):
+    """Of 65,536 leaves under one root and one damaged leaf, each level compares sixteen nodes."""
+    leaves = spark.range(1 << 16).select(F.lit(0).cast("long").alias("file"), F.col("id").alias("node"), F.md5(F.col("id").cast("string")).alias("hash"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"))
+    other = leaves.withColumn("hash", F.when(F.col("node") == 4711, F.lit("damaged")).otherwise(F.col("hash")))
+    one, two = fixity.tree(leaves), fixity.tree(other)
+    read = []
+    for level in range(4, 0, -1):
+        bad = fixity.differing(one[level:], two[level:]).select("file", F.col("node").alias("up"))
+        read.append(one[level - 1].withColumn("up", F.floor(F.col("node") / fixity.FANOUT)).join(bad, ["file", "up"], "left_semi").count())
+    assert read == [16] * 4
+    assert [tuple(r) for r in fixity.differing(one, two).collect()] == [(0, 4711)]
 
 
 # --- SQL and pipeline ----------------------------------------------------------------------------------------------
