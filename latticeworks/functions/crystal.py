@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import pi
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +12,14 @@ def cell_volume(a: Column, b: Column, c: Column, al: Column, be: Column, ga: Col
     return a * b * c * F.sqrt(F.greatest(1 - x * x - y * y - z * z + 2 * x * y * z, F.lit(1e-12)))
 
 
+def reciprocal(a: Column, b: Column, c: Column, al: Column, be: Column, ga: Column) -> dict[str, Column]:
+    """The reciprocal cell, without a factor of two pi: lengths ``ra``, ``rb``, ``rc`` and the cosines of its angles, for cells of any angles in degrees."""
+    x, y, z = (F.cos(F.radians(g)) for g in (al, be, ga))
+    sx, sy, sz = (F.sin(F.radians(g)) for g in (al, be, ga))
+    v = cell_volume(a, b, c, al, be, ga)
+    return {"ra": b * c * sx / v, "rb": a * c * sy / v, "rc": a * b * sz / v, "cos_ra": (y * z - x) / (sy * sz), "cos_rb": (x * z - y) / (sx * sz), "cos_rc": (x * y - z) / (sx * sy)}
+
+
 def bragg(wavelength: Column, d: Column) -> Column:
     """Two theta in degrees; null where the reflection can't be reached."""
     s = wavelength / (2 * d)
@@ -29,18 +35,16 @@ def fwhm(two_theta: Column, u: float, v: float, w: float, size_nm: Column, strai
     """Instrument (Caglioti), size (Scherrer, K = 0.9) and strain widths in squares, within [0.03, 2] degrees."""
     t = F.radians(two_theta / 2)
     tan = F.tan(t)
-    instrument = F.greatest(u * tan * tan + v * tan + w, F.lit(0.0))
+    instrument = F.greatest(u * tan * tan + v * tan + w, F.lit(1e-6))
     size = F.degrees(0.9 * wavelength / (10 * size_nm * F.cos(t)))
     widening = F.degrees(4 * strain * tan)
     return F.least(F.greatest(F.sqrt(instrument + size * size + widening * widening), F.lit(0.03)), F.lit(2.0))
 
 
 def pseudo_voigt(x: Column, centre: Column, width: Column, eta: Column) -> Column:
-    """Unit-area mixture of a Lorentzian (share eta) and a Gaussian of one width at half maximum."""
-    u = (x - centre) / width
-    lorentz = 2 / (pi * width * (1 + 4 * u * u))
-    gauss = F.sqrt(4 * F.ln(F.lit(2.0)) / pi) / width * F.exp(-4 * F.ln(F.lit(2.0)) * u * u)
-    return eta * lorentz + (1 - eta) * gauss
+    """Mixture of a Lorentzian (share eta) and a Gaussian, both of height 1 and of one width at half maximum."""
+    u = (x - centre) / (width / 2)
+    return eta / (1 + u * u) + (1 - eta) * F.exp(-F.ln(F.lit(2.0)) * u * u)
 
 
 def march_dollase(alpha: Column, r: Column) -> Column:
@@ -50,7 +54,7 @@ def march_dollase(alpha: Column, r: Column) -> Column:
 
 def shifted(two_theta: Column, zero: Column, displacement: Column) -> Column:
     """Position after zero shift and sample displacement."""
-    return two_theta + zero + displacement * F.cos(F.radians(two_theta / 2))
+    return two_theta + zero - displacement * F.cos(F.radians(two_theta / 2))
 
 
 def chebyshev(x: Column, coefficients: list[Column]) -> Column:

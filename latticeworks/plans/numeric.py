@@ -33,9 +33,15 @@ def cell_volume(t):
     return _cells(t).select("p_partkey", F.round(v, 5).alias("volume"), F.round(F.ln(v), 6).alias("log_volume"))
 
 
-@query(f"SELECT p_partkey, round(1 / a, 6) AS ra, round(1 / (a * sin(radians(ga))), 6) AS ra_oblique, round(1 / c, 6) AS rc FROM ({_CELL_SQL})")
+_RECIPROCAL_SQL = f"""SELECT p_partkey, round(b * c * sin(radians(al)) / v, 6) AS ra, round(a * c * sin(radians(be)) / v, 6) AS rb, round(a * b * sin(radians(ga)) / v, 6) AS rc,
+  round((cos(radians(be)) * cos(radians(ga)) - cos(radians(al))) / (sin(radians(be)) * sin(radians(ga))), 6) AS cos_ra, round((cos(radians(al)) * cos(radians(ga)) - cos(radians(be))) / (sin(radians(al)) * sin(radians(ga))), 6) AS cos_rb,
+  round((cos(radians(al)) * cos(radians(be)) - cos(radians(ga))) / (sin(radians(al)) * sin(radians(be))), 6) AS cos_rc FROM (SELECT *, {_VOLUME} AS v FROM ({_CELL_SQL}))"""
+
+
+@query(_RECIPROCAL_SQL)
 def reciprocal_vectors(t):
-    return _cells(t).select("p_partkey", F.round(1 / F.col("a"), 6).alias("ra"), F.round(1 / (F.col("a") * F.sin(F.radians("ga"))), 6).alias("ra_oblique"), F.round(1 / F.col("c"), 6).alias("rc"))
+    own = X.reciprocal(*(F.col(c) for c in ("a", "b", "c", "al", "be", "ga")))
+    return _cells(t).select("p_partkey", *(F.round(v, 6).alias(n) for n, v in own.items()))
 
 
 _HKL_SQL = """h AS (SELECT h, k, l, h*h + k*k + l*l AS n FROM (SELECT unnest(range(-3, 4)) AS h), (SELECT unnest(range(-3, 4)) AS k), (SELECT unnest(range(-3, 4)) AS l) WHERE h <> 0 OR k <> 0 OR l <> 0)"""
@@ -108,13 +114,13 @@ def form_factor_interp(t):
 _TT = "(20.0::DOUBLE + p_size)"
 
 
-@query(f"""SELECT p_partkey, round(least(greatest(sqrt(greatest(2e-3 * pow(tan(radians({_TT} / 2)), 2) - 1e-3 * tan(radians({_TT} / 2)) + 3e-3, 0) + pow(degrees(0.9 * 1.5406 / (10 * (20.0::DOUBLE + p_size % 9) * cos(radians({_TT} / 2)))), 2) + pow(degrees(4 * 1e-3 * tan(radians({_TT} / 2))), 2)), 0.03), 2.0), 6) AS fwhm FROM part""")
+@query(f"""SELECT p_partkey, round(least(greatest(sqrt(greatest(2e-3 * pow(tan(radians({_TT} / 2)), 2) - 1e-3 * tan(radians({_TT} / 2)) + 3e-3, 1e-6) + pow(degrees(0.9 * 1.5406 / (10 * (20.0::DOUBLE + p_size % 9) * cos(radians({_TT} / 2)))), 2) + pow(degrees(4 * 1e-3 * tan(radians({_TT} / 2))), 2)), 0.03), 2.0), 6) AS fwhm FROM part""")
 def fwhm_model(t):
     w = X.fwhm(20.0 + F.col("p_size"), 2e-3, -1e-3, 3e-3, 20.0 + F.col("p_size") % 9, F.lit(1e-3), F.lit(1.5406))
     return t.part.select("p_partkey", F.round(w, 6).alias("fwhm"))
 
 
-@query("SELECT p_partkey, round(0.4 * 2 / (pi() * 0.5 * (1 + 4 * pow((p_size / 50.0::DOUBLE - 0.5) / 0.5, 2))) + 0.6 * sqrt(4 * ln(2) / pi()) / 0.5 * exp(-4 * ln(2) * pow((p_size / 50.0::DOUBLE - 0.5) / 0.5, 2)), 6) AS y FROM part")
+@query("SELECT p_partkey, round(0.4 / (1 + pow((p_size / 50.0::DOUBLE - 0.5) / 0.25, 2)) + 0.6 * exp(-ln(2) * pow((p_size / 50.0::DOUBLE - 0.5) / 0.25, 2)), 6) AS y FROM part")
 def pseudo_voigt(t):
     return t.part.select("p_partkey", F.round(X.pseudo_voigt(F.col("p_size") / 50.0, F.lit(0.5), F.lit(0.5), F.lit(0.4)), 6).alias("y"))
 
@@ -126,7 +132,7 @@ def march_dollase(t):
 
 @query(f"SELECT p_partkey, round({_TT} + 0.02 - 0.05 * cos(radians({_TT} / 2)), 6) AS position FROM part")
 def peak_shift(t):
-    return t.part.select("p_partkey", F.round(X.shifted(20.0 + F.col("p_size"), F.lit(0.02), F.lit(-0.05)), 6).alias("position"))
+    return t.part.select("p_partkey", F.round(X.shifted(20.0 + F.col("p_size"), F.lit(0.02), F.lit(0.05)), 6).alias("position"))
 
 
 @query("WITH x AS (SELECT p_partkey, p_size / 25.0::DOUBLE - 1 AS x FROM part) SELECT p_partkey, round(greatest(0.1 + 0.05 * x - 0.08 * (2*x*x - 1) + 0.02 * (4*x*x*x - 3*x), 0), 6) AS background FROM x")
@@ -150,26 +156,33 @@ def _structures(t):
     numbers = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     a = 4 + F.col("p_size") / 25.0
     sites = numbers([0, 0, 0, 0.5, 0.5, 0.5])
-    return t.part.groupBy("p_size").agg(F.min("p_partkey").alias("p_partkey")).select("p_partkey", F.array(a, a, a, F.lit(90.0), F.lit(90.0), F.lit(90.0)).alias("cell"), sites.alias("sites"), F.array(F.lit("Na"), F.lit("Cl")).alias("elements"), F.array(*(F.lit(v) for op in cubic for v in op)).alias("rotations"), F.lit(1.5406).alias("wavelength"))
+    one = t.part.groupBy("p_size").agg(F.min("p_partkey").alias("p_partkey"))  # parts of one size are one structure
+    mode = {"lambda_1": F.lit(1.540562), "lambda_2": F.when(F.col("p_size") % 2 == 0, F.lit(1.544398)), "x_min": F.lit(5.0), "x_max": F.lit(90.0), "step": F.lit(0.02), "family": F.when(F.col("p_size") % 3 == 0, "broad").otherwise("narrow")}
+    cell = F.array(a, a, a, F.lit(90.0), F.lit(90.0), F.lit(90.0))
+    return one.select("p_partkey", cell.alias("cell"), sites.alias("sites"), F.array(F.lit("Na"), F.lit("Cl")).alias("elements"), F.array(*(F.lit(float(v)) for op in cubic for v in op)).alias("rotations"), *(v.alias(n) for n, v in mode.items()))
 
 
 @query()
 def generator(t):
-    """A simulated pattern for each different structure, seeded by its id."""
-    return R.simulate(_structures(t), "p_partkey").select("p_partkey", "seed", "status", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 3).alias("area"), F.size("y").alias("bins"))
+    """A simulated pattern for each different structure, seeded by its id; every second one has a second wavelength, every third a broad instrument."""
+    return R.simulate(_structures(t), "p_partkey").select("p_partkey", "seed", "status", "n_peaks", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 3).alias("counts"), F.size("y").alias("bins"))
+
+
+def _bins(t):
+    own = R.simulate(_structures(t), "p_partkey").withColumn("top", F.array_max("y"))
+    return own.select("p_partkey", "top", F.explode(F.arrays_zip("x", "y")).alias("p")).select("p_partkey", "top", "p.x", "p.y")
 
 
 @query()
 def counting_noise(t):
     """Bins of the simulated patterns over half of the maximum."""
-    return R.simulate(_structures(t), "p_partkey").select("p_partkey", F.posexplode("y").alias("bin", "y")).where("y > 0.5")
+    return _bins(t).where("y > 0.5 * top").select("p_partkey", F.round("x", 2).alias("x"), "y")
 
 
 @query()
 def profile_integration(t):
-    """Where the pattern's mass lies: the mean over ten-degree bands."""
-    y = R.simulate(_structures(t), "p_partkey").select("p_partkey", F.posexplode("y").alias("bin", "y"))
-    return y.groupBy("p_partkey", F.floor(F.col("bin") / 455).alias("band")).agg(F.avg("y").alias("mean"))
+    """Where the pattern's mass lies: the mean count over ten-degree bands."""
+    return _bins(t).groupBy("p_partkey", F.floor(F.col("x") / 10).alias("band")).agg(F.avg("y").alias("mean"))
 
 
 def _domains(t):

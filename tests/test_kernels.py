@@ -245,9 +245,67 @@ def test_cubic_reflections_have_known_multiplicities():
     np.testing.assert_allclose(d, 4 / np.sqrt((hkl**2).sum(axis=1)))
 
 
-def test_profile_keeps_area_and_generator_repeats():
-    y = R.integrate(np.array([40.0]), np.array([2.0]), np.array([0.3]), np.array([0.5]))
-    assert y.sum() * (K.GRID[1] - K.GRID[0]) == pytest.approx(2.0, rel=0.02)
-    args = (np.array([5.0, 5, 5, 90, 90, 90]), np.array([[0, 0, 0], [0.5, 0.5, 0.5]]), ["Na", "Cl"], np.eye(3, dtype=int)[None], 1.5406)
-    np.testing.assert_array_equal(R.generate(*args, 7), R.generate(*args, 7))
-    assert (R.generate(*args, 7) != R.generate(*args, 8)).any()
+CELL, SITES, ELEMENTS, ONE = np.array([5.0, 5, 5, 90, 90, 90]), np.array([[0, 0, 0], [0.5, 0.5, 0.5]]), ["Na", "Cl"], np.eye(3, dtype=int)[None]
+
+
+def test_profile_is_the_mean_of_peaks_over_bins():
+    grid = np.arange(10, 80, 0.05)
+    centres, amps, widths = np.array([30.0, 30.2, 60]), np.array([2.0, 1.0, 0.5]), np.array([0.1, 0.3, 0.2])
+    got = R.integrate(centres, amps, widths, 0.4, grid)
+    want = np.zeros(len(grid))
+    for i, g in enumerate(grid):
+        x = np.linspace(g - 0.05, g, 101)[1:]
+        for c, a, w in zip(centres, amps, widths, strict=True):
+            u = (x - c) / (w / 2)
+            want[i] += (a * (0.4 / (1 + u**2) + 0.6 * np.exp(-np.log(2) * u**2)) * (np.abs(x - c) < 25 * w)).mean()
+    np.testing.assert_allclose(got[1:], want[1:], atol=0.12 * want.max())
+    assert got.sum() == pytest.approx(want.sum(), rel=0.01)
+    assert not R.integrate(np.empty(0), np.empty(0), np.empty(0), 0.5, grid).any()
+
+
+def test_generator_repeats_and_follows_its_mode():
+    mode = R.Mode(1.5406, None, 5, 90, 0.02)
+    one, two = (R.generate(CELL, SITES, ELEMENTS, ONE, mode, 7) for _ in range(2))
+    np.testing.assert_array_equal(one[1], two[1])
+    assert (one[1] != R.generate(CELL, SITES, ELEMENTS, ONE, mode, 8)[1]).any()
+    assert len(one[0]) == 4251 and one[1].min() >= 0 and 10**1.9 <= one[2]["counts"] <= 10**3.1
+    both = R.Mode(1.5406, 1.5444, 5, 90, 0.02)
+    assert R.generate(CELL, SITES, ELEMENTS, ONE, both, 7)[2]["n_peaks"] > one[2]["n_peaks"]
+    assert 10**3 <= R.generate(CELL, SITES, ELEMENTS, ONE, R.Mode(1.5406, None, 5, 90, 0.02, "broad"), 7)[2]["counts"] <= 10**4
+    for bad in (R.Mode(1.5406, None, 5, 90, 0.0), R.Mode(1.5406, None, 5, 5.01, 0.02), R.Mode(1.5406, None, 5, 90, float("nan"))):
+        with pytest.raises(ValueError):
+            R.generate(CELL, SITES, ELEMENTS, ONE, bad, 7)
+
+
+def test_peaks_have_the_positions_widths_and_heights_of_their_terms():
+    mode = R.Mode(1.5406, 1.5444, 20, 80, 0.02)
+    for seed in range(20):
+        centres, amps, widths, drawn = R.peaks(CELL, SITES, ELEMENTS, ONE, mode, np.random.default_rng(seed))
+        assert 10 <= drawn["size"] <= 200 and 0 <= drawn["strain"] <= 3e-3 and 0.75 <= drawn["texture"] <= 1.35 and abs(drawn["zero_shift"]) <= 0.04 and abs(drawn["displacement"]) <= 0.06
+        lines = {round(np.degrees(2 * np.arcsin(w * np.sqrt(n) / 10)), 6) for w in (1.5406, 1.5444) for n in range(1, 60) if w * np.sqrt(n) < 10}
+        assert {round(c, 6) for c in centres} <= lines and ((centres >= 18.5) & (centres <= 81.5)).all()
+        size = np.degrees(0.9 * 1.5406 / (10 * drawn["size"] * np.cos(np.radians(centres / 2))))
+        strain = np.degrees(4 * drawn["strain"] * np.tan(np.radians(centres / 2)))
+        assert (widths >= np.minimum(np.hypot(size, strain), 2) * 0.999).all() and (widths >= 0.03).all() and (widths <= 2).all()
+
+
+def test_thermal_motion_and_factor_tables():
+    hkl, d, mult = R.reflections(CELL, ONE, 1.5406, 60)
+    fixed, drawn = R.intensities(hkl, d, mult, SITES, ELEMENTS, 1.5406), R.intensities(hkl, d, mult, SITES, ELEMENTS, 1.5406, np.random.default_rng(1))
+    s2 = 1 / (4 * d * d)
+    b = np.random.default_rng(1).uniform(0.5, 3.0, 2)  # chlorine, then sodium
+    f = {e: R.STRENGTH[e] * np.interp(s2, R.FACTOR_NODES, np.exp(-3 * R.FACTOR_NODES)) for e in ELEMENTS}
+    sign = np.cos(np.pi * hkl.sum(axis=1))
+    t = np.arcsin(1.5406 / (2 * d))
+    lp = mult * (1 + np.cos(2 * t) ** 2) / (np.sin(t) ** 2 * np.cos(t))
+    np.testing.assert_allclose(fixed, lp * ((f["Na"] + sign * f["Cl"]) * np.exp(-1.5 * s2)) ** 2)
+    np.testing.assert_allclose(drawn, lp * (f["Na"] * np.exp(-b[1] * s2) + sign * f["Cl"] * np.exp(-b[0] * s2)) ** 2)
+    flat = R.intensities(hkl, d, mult, SITES, ELEMENTS, 1.5406, factors={"Na": np.full(601, 2.0), "Cl": np.full(601, 1.0)})
+    np.testing.assert_allclose(flat, lp * ((2 + sign) * np.exp(-1.5 * s2)) ** 2)
+
+
+def test_noise_saturates_and_strikes_as_often_as_it_should():
+    y, rng = np.full(500, 1.0), np.random.default_rng(0)
+    made = [R.noisy(y, rng, 1e4) for _ in range(600)]
+    assert 0.08 < np.mean([m.min() == m.max() or np.sum(m == np.sort(m)[-5]) > 50 for m in made]) < 0.17
+    assert 0.10 < np.mean([m.max() > 1.25e4 for m in made]) < 0.20 and max((m > 1.25e4).sum() for m in made) <= 2
