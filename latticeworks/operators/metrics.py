@@ -49,4 +49,4 @@ def roc_auc(df: DataFrame, score: str, positive: Column, *keys: str) -> DataFram
     """Area under the ROC curve by ranks; ties count half."""
     v = by_value(df, score, positive, *keys)
     wins = F.sum(F.col("n1") * (F.col("c0") - F.col("n0") + F.col("n0") / 2))
-    return v.groupBy(*keys).agg((wins / (F.max("t1") * F.max("t0"))).alias("auc"), F.max("t1").alias("n1"), F.max("t0").alias("n0"))
+    return v.groupBy(*keys).agg((wins / F.nullif(F.max("t1") * F.max("t0"), F.lit(0))).alias("auc"), F.max("t1").alias("n1"), F.max("t0").alias("n0"))

@@ -45,3 +45,22 @@ def take_by_hash(df: DataFrame, digest: str, ties: Sequence[str], quota: Callabl
     ranked = placed.where(edge).withColumn(flag, F.col("_before") + rank <= F.col("_quota"))
     whole = placed.where(~edge).withColumn(flag, F.col("_before") + F.col("_k") <= F.col("_quota"))
     return whole.unionByName(ranked).select(*df.columns, flag)
+
+
+def percentiles(df: DataFrame, value: str, points: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles, interpolated between neighbours, of each key: a row a key, a column a point; nulls are left out.
+
+    Distinct values are counted first and ordered in buckets; only those at the wanted ranks are kept, two a point.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    upto = running_sums(counts, "_v", {"_to": F.col("_c")}, keys)
+    upto = upto.join(totals, list(keys)) if keys else upto.join(F.broadcast(totals))
+    # A value takes the ranks from _to - _c up to _to; rank r is at (n - 1) * p.
+    at = {n: (F.col("_n") - 1) * F.lit(float(x)) for n, x in points.items()}
+    holds = lambda r: (F.col("_to") - F.col("_c") <= r) & (r < F.col("_to"))
+    low, high = ({n: holds(f(r)) for n, r in at.items()} for f in (F.floor, F.ceil))
+    wanted = upto.where(F.greatest(*(F.greatest(low[n], high[n]) for n in points))) if len(points) > 1 else upto.where(next(iter(low.values())) | next(iter(high.values())))
+    pick = lambda cond: F.max(F.when(cond, F.col("_v")))
+    out = wanted.groupBy(*keys).agg(*((pick(low[n]) + (pick(high[n]) - pick(low[n])) * F.max(at[n] - F.floor(at[n]))).alias(n) for n in points))
+    return out

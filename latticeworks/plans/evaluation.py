@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from latticeworks.operators import metrics as E
 from latticeworks.operators.metrics import by_value, masked_mean, masked_median, micro_f1, set_counts
-from latticeworks.operators.ranks import running_sums
+from latticeworks.operators.ranks import percentiles, running_sums
 from latticeworks.plans.common import PRED_SQL, hash_mod, hash_unit, predictions
 from latticeworks.registry import query
 
@@ -167,11 +167,15 @@ def model_comparison_long(t):
     return a.unionByName(b).select("model", "regime", "scope", "acc")
 
 
-@query(f"WITH {_P}, o(lang, k) AS (VALUES ('en', 0), ('de', 1), ('fr', 2), ('es', 3), ('it', 4)) SELECT k, lang, count(*) AS n, round(avg(CAST((p >= 0.5) = (truth = 1) AS INTEGER)), 6) AS acc, round(avg(abs(p - truth)), 6) AS mae, round(quantile_cont(abs(p - truth), 0.5), 6) AS mae_median FROM p JOIN o USING (lang) GROUP BY k, lang")
+@query(f"WITH {_P}, o(lang, k) AS (VALUES ('en', 0), ('de', 1), ('fr', 2), ('es', 3), ('it', 4)) SELECT coalesce(k, 5) AS k, lang, count(*) AS n, round(avg(CAST((p >= 0.5) = (truth = 1) AS INTEGER)), 6) AS acc, round(avg(abs(p - truth)), 6) AS mae, round(quantile_cont(abs(p - truth), 0.5), 6) AS mae_median FROM p LEFT JOIN o USING (lang) GROUP BY 1, 2")
 def system_breakdown(t):
+    """Known classes in their order, all others after them."""
     order = t.spark.createDataFrame([("en", 0), ("de", 1), ("fr", 2), ("es", 3), ("it", 4)], "lang string, k int")
-    e = F.abs(F.col("p") - F.col("truth"))
-    return predictions(t).join(F.broadcast(order), "lang").groupBy("k", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(((F.col("p") >= 0.5) == (F.col("truth") == 1)).cast("int")), 6).alias("acc"), F.round(F.avg(e), 6).alias("mae"), F.round(F.percentile(e, F.lit(0.5)), 6).alias("mae_median"))
+    own = predictions(t).withColumn("e", F.abs(F.col("p") - F.col("truth"))).join(F.broadcast(order), "lang", "left").withColumn("k", F.coalesce("k", F.lit(5)))
+    plain = own.groupBy("k", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(((F.col("p") >= 0.5) == (F.col("truth") == 1)).cast("int")), 6).alias("acc"), F.round(F.avg("e"), 6).alias("mae"))
+    median = percentiles(own, "e", {"mae_median": 0.5}, ["k", "lang"]).withColumnsRenamed({"k": "_k", "lang": "_lang"})
+    both = plain.join(median, (F.col("k") == F.col("_k")) & F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    return both.select("k", "lang", "n", "acc", "mae", F.round("mae_median", 6).alias("mae_median"))
 
 
 @query("""WITH s AS (SELECT o_custkey % 2 = 0 AS side, o_totalprice AS v FROM orders), c AS (SELECT v, count(*) FILTER (WHERE side) AS n1, count(*) FILTER (WHERE NOT side) AS n0 FROM s GROUP BY v),
@@ -204,17 +208,23 @@ def roc_curve(t):
     return v.select("v", at("c1", "n1", "t1").alias("tpr"), at("c0", "n0", "t0").alias("fpr"))
 
 
-@query(f"WITH {_P} SELECT doc_id, round(CASE WHEN truth = 1 THEN -ln(greatest(p, 1e-6::DOUBLE)) ELSE -ln(greatest(1 - p, 1e-6::DOUBLE)) END, 6) AS bce, round(CASE WHEN abs(p - truth) < 1 THEN 0.5 * (p - truth) * (p - truth) ELSE abs(p - truth) - 0.5 END, 6) AS smooth_l1 FROM p WHERE toxic = 0")
+_LOSS_SQL = """SELECT doc_id, CASE WHEN truth = 1 THEN -ln(greatest(p, 1e-6::DOUBLE)) ELSE -ln(greatest(1 - p, 1e-6::DOUBLE)) END AS bce, {l1} AS smooth_l1, {angle} AS angle, {volume} AS volume FROM p WHERE toxic = 0"""
+_L1 = "CASE WHEN abs({e}) < 1 THEN 0.5 * ({e}) * ({e}) ELSE abs({e}) - 0.5 END"
+
+
+@query(f"WITH {_P}, l AS ({_LOSS_SQL.format(l1=_L1.format(e='p - truth'), angle=_L1.format(e='3 * (p - truth)'), volume=_L1.format(e='p - truth / 2'))}) SELECT doc_id, round(bce, 6) AS bce, round(smooth_l1, 6) AS smooth_l1, round(bce + smooth_l1 + 2.0 * angle + 0.5 * volume, 6) AS total FROM l")
 def masked_losses(t):
+    """Binary cross-entropy and smoothed absolute errors of rows with the mask, and their sum, in which angles weigh 2 and volumes 0.5."""
     p, y = F.col("p"), F.col("truth")
-    d = F.abs(p - y)
     bce = F.when(y == 1, -F.ln(F.greatest(p, F.lit(1e-6)))).otherwise(-F.ln(F.greatest(1 - p, F.lit(1e-6))))
-    return predictions(t).where("toxic = 0").select("doc_id", F.round(bce, 6).alias("bce"), F.round(F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5), 6).alias("smooth_l1"))
+    l1 = lambda e: F.when(F.abs(e) < 1, 0.5 * e * e).otherwise(F.abs(e) - 0.5)
+    total = bce + l1(p - y) + 2.0 * l1(3 * (p - y)) + 0.5 * l1(p - y / 2)
+    return predictions(t).where("toxic = 0").select("doc_id", F.round(bce, 6).alias("bce"), F.round(l1(p - y), 6).alias("smooth_l1"), F.round(total, 6).alias("total"))
 
 
-@query("SELECT vec_id, CAST(list_position(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)), list_max(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)))) - 1 AS BIGINT) AS k, round(list_max(list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE)))) / list_sum(list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE)))), 6) AS p FROM embeddings")
+@query("SELECT vec_id, CAST(list_position(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_max(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) - 1 AS BIGINT) AS k, round(list_max(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)))) / list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)))), 6) AS p FROM embeddings")
 def softmax_argmax(t):
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     own = t.embeddings.select("vec_id", v.alias("v")).withColumn("e", F.transform("v", lambda x: F.exp(x - F.array_max("v"))))
     return own.select("vec_id", (F.array_position("v", F.array_max("v")) - 1).cast("long").alias("k"), F.round(F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 6).alias("p"))
 
@@ -247,17 +257,27 @@ def in_distribution_gap(t):
     return predictions(t).agg(F.round(masked_mean(ok, F.col("fold") < 4) - masked_mean(ok, F.col("fold") == 4), 6).alias("gap"))
 
 
-@query(f"WITH f AS ({_FOLDS_SQL}) SELECT fold, candidate, round(coalesce(score / 100000, 0) + 0.5 * coalesce(epoch, 0) - 0.05 * coalesce(nullif(epoch, 7), 0), 6) AS selection FROM f")
+#: The weight of each metric in the selection score.
+SELECTION = {"sys_acc": 1.0, "el_f1_micro": 1.0, "mae_a": -0.05, "mae_ang": -0.02, "sg_acc": 0.50, "sg_top5": 0.25}
+
+
+@query(f"""WITH f AS ({_FOLDS_SQL}), m AS (SELECT fold, candidate, score / 200000 AS sys_acc, nullif(epoch, 7) / 30.0::DOUBLE AS el_f1_micro, epoch / 5.0::DOUBLE AS mae_a, CASE WHEN epoch % 2 = 0 THEN epoch / 3.0::DOUBLE END AS mae_ang, score / 400000 AS sg_acc, score / 300000 AS sg_top5 FROM f)
+SELECT fold, candidate, round({" + ".join(f"{w} * coalesce({n}, 0)" for n, w in SELECTION.items())}, 6) AS selection FROM m""")
 def selection_score(t):
     """A weighted sum of metrics in which missing ones count 0."""
-    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    return _folds(t).select("fold", "candidate", F.round(zero(F.col("score") / 100_000) + 0.5 * zero(F.col("epoch")) - 0.05 * zero(F.nullif("epoch", F.lit(7))), 6).alias("selection"))
+    epoch, score = F.col("epoch"), F.col("score")
+    metrics = {"sys_acc": score / 200_000, "el_f1_micro": F.nullif(epoch, F.lit(7)) / 30.0, "mae_a": epoch / 5.0, "mae_ang": F.when(epoch % 2 == 0, epoch / 3.0), "sg_acc": score / 400_000, "sg_top5": score / 300_000}
+    zero = lambda c: F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c)
+    return _folds(t).select("fold", "candidate", F.round(sum(F.lit(w) * zero(metrics[n].cast("double")) for n, w in SELECTION.items()), 6).alias("selection"))
 
 
-@query(f"WITH {_P} SELECT source, round(avg(p), 6) AS auc, CASE WHEN avg(p) < 0.45 THEN 'close' WHEN avg(p) < 0.55 THEN 'moderate' ELSE 'far' END AS verdict FROM p GROUP BY source")
+@query(f"""WITH {_P}, c AS (SELECT source, round(p, 2) AS v, count(*) FILTER (WHERE truth = 1) AS n1, count(*) FILTER (WHERE truth = 0) AS n0 FROM p GROUP BY 1, 2), u AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY source ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM c),
+a AS (SELECT source, sum(n1 * (under + n0 / 2.0::DOUBLE)) / nullif(sum(n1) * sum(n0), 0) AS auc FROM u GROUP BY source) SELECT source, round(auc, 6) AS auc, CASE WHEN auc < 0.65 THEN 'small' WHEN auc < 0.90 THEN 'visible' WHEN auc IS NOT NULL THEN 'large' END AS verdict FROM a""")
 def verdict_bands(t):
-    a = F.avg("p")
-    return predictions(t).groupBy("source").agg(F.round(a, 6).alias("auc"), F.when(a < 0.45, "close").when(a < 0.55, "moderate").otherwise("far").alias("verdict"))
+    """How well a score tells two sides apart in each source: a small gap below an AUC of 0.65, a visible one below 0.90, else a large one."""
+    a = E.roc_auc(predictions(t).withColumn("v", F.round("p", 2)), "v", F.col("truth") == 1, "source")
+    auc = F.col("auc")
+    return a.select("source", F.round(auc, 6).alias("auc"), F.when(auc < 0.65, "small").when(auc < 0.90, "visible").when(auc.isNotNull(), "large").alias("verdict"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, round(abs(l_quantity - p_size), 6) AS error, round(abs(l_quantity - p_size) / greatest(p_size, 1e-6::DOUBLE), 6) AS relative FROM lineitem JOIN part ON l_partkey = p_partkey")
@@ -267,18 +287,18 @@ def error_metrics(t):
     return own.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", F.round(e, 6).alias("error"), F.round(e / F.greatest(F.col("p_size").cast("double"), F.lit(1e-6)), 6).alias("relative"))
 
 
-@query("""WITH l AS (SELECT vec_id, label, pos, CAST(x AS DOUBLE) AS v FROM (SELECT vec_id, label, unnest(embedding[1:6]) AS x, unnest(range(1, 7)) AS pos FROM embeddings)),
+@query("""WITH l AS (SELECT vec_id, label, pos, CAST(x AS DOUBLE) AS v FROM (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)),
 c AS (SELECT pos, v, count(*) FILTER (WHERE label % 2 = 0) AS n1, count(*) FILTER (WHERE label % 2 = 1) AS n0 FROM l GROUP BY ALL),
 u AS (SELECT pos, sum(n1) OVER w / sum(n1) OVER (PARTITION BY pos)::DOUBLE AS f1, sum(n0) OVER w / sum(n0) OVER (PARTITION BY pos)::DOUBLE AS f0 FROM c WINDOW w AS (PARTITION BY pos ORDER BY v ROWS UNBOUNDED PRECEDING)),
 k AS (SELECT pos, max(abs(f1 - f0)) AS ks FROM u GROUP BY pos) SELECT pos, round(ks, 6) AS ks FROM k ORDER BY k.ks DESC, pos LIMIT 3""")
 def top_k_features(t):
     """Features ranked by KS distance between two domains."""
-    long = t.embeddings.select("label", F.posexplode(F.slice("embedding", 1, 6)).alias("pos", "v")).select("label", (F.col("pos") + 1).cast("long").alias("pos"), F.col("v").cast("double").alias("v"))
+    long = t.embeddings.select("label", F.posexplode("embedding").alias("pos", "v")).select("label", (F.col("pos") + 1).cast("long").alias("pos"), F.col("v").cast("double").alias("v"))
     return E.ks_statistic(long, "v", F.col("label") % 2 == 0, "pos").orderBy(F.desc("ks"), "pos").limit(3).select("pos", F.round("ks", 6).alias("ks"))
 
 
 @query("""WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer), m AS (SELECT quantile_cont(v, 0.5) AS m FROM f) SELECT c_custkey, round(coalesce(v, m), 4) AS filled, coalesce(v, -1) AS flagged FROM f, m""")
 def impute(t):
     f = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("v"))
-    m = f.agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    m = percentiles(f, "v", {"m": 0.5})
     return f.join(F.broadcast(m)).select("c_custkey", F.round(F.coalesce("v", "m"), 4).alias("filled"), F.coalesce("v", F.lit(-1.0)).alias("flagged"))

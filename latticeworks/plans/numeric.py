@@ -186,8 +186,8 @@ def profile_integration(t):
 
 
 def _domains(t):
-    """Two domains told apart by label parity, eight features each."""
-    f = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    """Two domains told apart by label parity, a feature for each vector component."""
+    f = F.transform("embedding", lambda x: x.cast("double"))
     return t.embeddings.select("vec_id", (F.col("label") % 2).cast("double").alias("label"), array_to_vector(f).alias("features"), f.alias("f"))
 
 
@@ -227,10 +227,10 @@ def permutation_importance(t):
     return auc.join(F.broadcast(whole)).groupBy("k").agg(F.round(F.avg(F.col("whole") - F.col("auc")), 6).alias("loss"))
 
 
-@query("""WITH l AS (SELECT label % 2 AS side, vec_id % 3 AS pair, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings), c AS (SELECT pair, v, count(*) FILTER (WHERE side = 1) AS n1, count(*) FILTER (WHERE side = 0) AS n0 FROM l GROUP BY ALL),
-u AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY pair ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM c)
-SELECT pair, round(sum(n1 * (under + n0 / 2.0::DOUBLE)) / (sum(n1) * sum(n0)), 6) AS auc, CAST(sum(n1) AS BIGINT) AS n_real, CAST(sum(n0) AS BIGINT) AS n_synth FROM u GROUP BY pair HAVING sum(n1) >= 10 AND sum(n0) >= 10""")
+@query("""WITH l AS (SELECT label % 2 AS side, vec_id % 3 AS pair, k, CAST(x AS DOUBLE) AS v FROM (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k FROM embeddings)), c AS (SELECT pair, k, v, count(*) FILTER (WHERE side = 1) AS n1, count(*) FILTER (WHERE side = 0) AS n0 FROM l GROUP BY ALL),
+u AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY pair, k ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM c)
+SELECT pair, k, round(sum(n1 * (under + n0 / 2.0::DOUBLE)) / (sum(n1) * sum(n0)), 6) AS auc, CAST(sum(n1) AS BIGINT) AS n_real, CAST(sum(n0) AS BIGINT) AS n_synth FROM u GROUP BY pair, k HAVING sum(n1) >= 10 AND sum(n0) >= 10""")
 def domain_report(t):
-    """AUC of one feature for each pair of domains with enough rows."""
-    own = t.embeddings.select((F.col("label") % 2 == 1).alias("side"), (F.col("vec_id") % 3).alias("pair"), F.col("embedding")[0].cast("double").alias("v"))
-    return roc_auc(own, "v", F.col("side"), "pair").where("n1 >= 10 and n0 >= 10").select("pair", F.round("auc", 6).alias("auc"), F.col("n1").alias("n_real"), F.col("n0").alias("n_synth"))
+    """AUC of every feature for each pair of domains with enough rows."""
+    long = t.embeddings.select((F.col("label") % 2 == 1).alias("side"), (F.col("vec_id") % 3).alias("pair"), F.posexplode("embedding").alias("k", "v")).withColumns({"k": F.col("k").cast("long"), "v": F.col("v").cast("double")})
+    return roc_auc(long, "v", F.col("side"), "pair", "k").where("n1 >= 10 and n0 >= 10").select("pair", "k", F.round("auc", 6).alias("auc"), F.col("n1").alias("n_real"), F.col("n0").alias("n_synth"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from latticeworks.operators.ranks import percentiles
 from latticeworks.operators.relational import flag_membership, keep_one, one_to_one_left
 from latticeworks.plans.common import hash_mod, hash_unit
 from latticeworks.registry import query
@@ -62,7 +63,7 @@ def band_pair_select(t):
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= (SELECT quantile_cont(c_acctbal, 0.95) FROM customer)")
 def coverage_filters(t):
-    limit = t.customer.agg(F.percentile("c_acctbal", F.lit(0.95)).alias("limit"))
+    limit = percentiles(t.customer, "c_acctbal", {"limit": 0.95})
     return t.customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).join(F.broadcast(limit), F.col("c_acctbal") >= F.col("limit")).select("c_custkey", "c_mktsegment")
 
 
@@ -203,8 +204,10 @@ def proportions(t):
 
 @query("SELECT event_type, count(value) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75 FROM events GROUP BY 1")
 def profile_summary(t):
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return t.events.groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"))
+    """Plain aggregates a type, joined by its percentiles, which few types with many rows don't gather in one task."""
+    plain = t.events.groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
+    q = percentiles(t.events, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["event_type"])
+    return plain.join(q.select("event_type", *(F.round(c, 6).alias(c) for c in ("q25", "q50", "q75"))), "event_type", "left")
 
 
 @query("SELECT n_regionkey, CASE WHEN count(c_acctbal) > 1 THEN round(stddev_pop(c_acctbal), 6) END AS sd_pop, round(stddev_samp(ln(c_acctbal)) FILTER (WHERE c_acctbal > 0), 6) AS sd_log FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -266,7 +269,7 @@ def seeded_sample_cap(t):
 
 @query("SELECT event_id, value FROM events WHERE value < (SELECT quantile_cont(value, 0.995) FROM events)")
 def quantile_trim(t):
-    limit = t.events.agg(F.percentile("value", F.lit(0.995)).alias("limit"))
+    limit = percentiles(t.events, "value", {"limit": 0.995})
     return t.events.select("event_id", "value").join(F.broadcast(limit), F.col("value") < F.col("limit")).drop("limit")
 
 

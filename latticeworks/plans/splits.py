@@ -77,7 +77,7 @@ SELECT c_custkey, CAST(fold AS INTEGER) AS fold FROM customer JOIN f ON c_nation
 def group_kfold(t):
     """Five folds of whole groups: largest group first into the lightest fold."""
     folds = group_folds(t.customer, "c_nationkey", 5)
-    return t.customer.join(F.broadcast(folds), "c_nationkey").select("c_custkey", "fold")
+    return t.customer.join(folds, "c_nationkey").select("c_custkey", "fold")
 
 
 _ATTEMPTS_SQL = """WITH g AS (SELECT DISTINCT c_nationkey AS key FROM customer), a AS (SELECT attempt, key, row_number() OVER (PARTITION BY attempt ORDER BY md5(attempt || '|' || key), key) AS r FROM g, (SELECT unnest(range(0, 30)) AS attempt)),

@@ -101,12 +101,13 @@ def multi_hot_roundtrip(t):
     return hot.select("l_orderkey", F.array_join(F.transform("bits", lambda x: x.cast("string")), "").alias("hot"), F.array_join(back, ",").alias("back"))
 
 
-@query("SELECT vec_id, round(CAST(list_max(list_transform(embedding, lambda x: sqrt(greatest(CAST(x AS DOUBLE), 0)))) AS DOUBLE), 6) AS top, round(list_sum(list_transform(embedding, lambda x: least(sqrt(greatest(CAST(x AS DOUBLE), 0)) / sqrt(CAST(list_max(embedding) AS DOUBLE)), 1))), 5) AS total FROM embeddings WHERE list_max(embedding) > 0")
+@query("SELECT vec_id, round(CAST(list_max(list_transform(embedding, lambda x: sqrt(greatest(CAST(x AS DOUBLE), 0)))) AS DOUBLE), 6) AS top, round(CASE WHEN list_max(embedding) > 0 THEN list_sum(list_transform(embedding, lambda x: least(sqrt(greatest(CAST(x AS DOUBLE), 0)) / sqrt(CAST(list_max(embedding) AS DOUBLE)), 1))) ELSE 0.0::DOUBLE END, 5) AS total FROM embeddings")
 def sqrt_normalise(t):
+    """Square roots over their maximum; a vector without a positive value is all zero."""
     roots = F.transform("embedding", lambda x: F.sqrt(F.greatest(x.cast("double"), F.lit(0.0))))
-    own = t.embeddings.where(F.array_max("embedding") > 0).select("vec_id", roots.alias("y"))
-    total = F.aggregate("y", F.lit(0.0), lambda a, x: a + F.least(x / F.array_max("y"), F.lit(1.0)))
-    return own.select("vec_id", F.round(F.array_max("y"), 6).alias("top"), F.round(total, 5).alias("total"))
+    own = t.embeddings.select("vec_id", roots.alias("y")).withColumn("_top", F.array_max("y"))
+    total = F.aggregate("y", F.lit(0.0), lambda a, x: a + F.least(x / F.col("_top"), F.lit(1.0)))
+    return own.select("vec_id", F.round("_top", 6).alias("top"), F.round(F.when(F.col("_top") > 0, total).otherwise(0.0), 5).alias("total"))
 
 
 @query("SELECT coalesce(nullif(lower(trim(CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN '  ' ELSE c_mktsegment END)), ''), 'missing') AS category, count(*) AS n FROM customer GROUP BY 1")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import os
+import sqlite3
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -64,7 +69,7 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content").to_pylist():
                 try:
                     x, y = two_rows(np.load(io.BytesIO(content), allow_pickle=False))
-                    rows.append((x.astype(float).tolist(), y.astype(float).tolist(), "ok"))
+                    rows.append((x.astype(float), y.astype(float), "ok"))
                 except (ValueError, EOFError, OSError) as e:
                     rows.append((None, None, f"error:{type(e).__name__}"))
             series = pa.list_(pa.float64())
@@ -74,6 +79,77 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.md5("content").alias("md5"), "content").mapInArrow(run, "path string, md5 string, x array<double>, y array<double>, status string")
 
 
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, ranges: int = 8) -> DataFrame:
+    """A table of an SQLite file that all executors see, read in ranges of its row numbers; write it as Parquet once and look rows up there."""
+    own = spark.createDataFrame([], schema).schema
+    columns = ", ".join(f'"{f.name}"' for f in own.fields)
+    connect = f"file:{path}?mode=ro"
+    with contextlib.closing(sqlite3.connect(connect, uri=True)) as db:
+        low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
+    if low is None:
+        return spark.createDataFrame([], own)
+    width = -(-(high - low + 1) // ranges)
+    kind = to_arrow_schema(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                with contextlib.closing(sqlite3.connect(connect, uri=True)) as db:
+                    rows = db.execute(f'SELECT {columns} FROM "{table}" WHERE rowid >= ? AND rowid < ?', (low + k * width, low + (k + 1) * width))
+                    while part := rows.fetchmany(4096):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), kind, strict=True)], schema=kind)
+
+    return spark.range(0, ranges, 1, ranges).mapInArrow(run, own)
+
+
+def lookup(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of a table by key, one for each id asked for that the table has."""
+    return table.join(ids.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi").dropDuplicates([key])
+
+
+def matrix_rows(ids: DataFrame, path: str, columns: int, kind: str = "float32", key: str = "row_idx") -> DataFrame:
+    """``values``, the row of a row-major matrix file that all executors see, for each row number; null beyond its ends. Only the rows asked for are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = np.memmap(path, np.dtype(kind), "r").reshape(-1, columns) if os.path.getsize(path) else np.empty((0, columns))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [np.asarray(matrix[i], np.float64) if i is not None and 0 <= i < len(matrix) else None for i in part.column(key).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*part.schema.names, "values"])
+
+    schema = T.StructType([*ids.schema.fields, T.StructField("values", T.ArrayType(T.DoubleType()))])
+    return ids.mapInArrow(run, schema)
+
+
+def log_progress(done: DataFrame, path: str, key: str, reason: Column) -> None:
+    """Appends to a progress log: the key of each row that was dealt with, why it was skipped (null: it wasn't) and when."""
+    done.select(F.col(key).cast("string").alias("key"), reason.cast("string").alias("reason"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+def still_to_do(todo: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """Rows that no log entry names, skipped ones included."""
+    return todo.join(log.select(F.col("key").alias("_done")).distinct(), F.col(key).cast("string") == F.col("_done"), "left_anti")
+
+
+def skip_reasons(log: DataFrame) -> DataFrame:
+    """reason and n: how many keys were skipped for each reason, by their last entry; what follows a colon is left out."""
+    last = log.groupBy("key").agg(F.max_by("reason", "at").alias("reason"))
+    return last.where("reason is not null").groupBy(F.substring_index("reason", ":", 1).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cached_ids(ids: DataFrame, path: str, key: str) -> DataFrame:
+    """The distinct ids as text, one a row: written once, read from there ever after."""
+    spark = ids.sparkSession
+    try:
+        return spark.read.schema("id string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    ids.select(F.col(key).cast("string").alias("id")).where("id is not null").distinct().write.parquet(path)
+    return spark.read.schema("id string").parquet(path)
+
+
 def sampled_buckets(df: DataFrame, key: Column, buckets: int, keep: int, seed: str = "sample") -> DataFrame:
     """The rows in ``keep`` of ``buckets`` hash buckets of a key: a repeatable sample without a sort."""
     bucket = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(buckets))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticeworks.registry import Tables, query
 
@@ -14,7 +16,7 @@ def event_stream(spark: SparkSession, folder: str, max_files: int = 4, glob: str
     """Events as a stream over a folder of Parquet files, a few files at a time. Their time has no zone, which watermarks refuse, so it is read as UTC time."""
     like = spark.read.option("pathGlobFilter", glob).parquet(folder)
     stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(folder)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
 
 
 def windowed_counts(stream: DataFrame, length: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -49,15 +51,36 @@ def merge_retries(old: DataFrame, new: DataFrame, key: str, failed: str) -> Data
     return old.join(retry, key, "left").select(key, *(F.when(use, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in columns))
 
 
-@query()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, named by ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs on one machine."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="latticeworks-")
+    return place.rstrip("/")
+
+
+def latest(stream: DataFrame, keys: list[str], target: str, checkpoint: str) -> DataFrame:
+    """Runs a stream of updates to its end and gives each key's last state. Updates are written as files under the number of their batch, so a batch that is run again replaces itself."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    own = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", target).parquet(f"{target}/batch=*")
+    values = [c for c in stream.columns if c not in keys]
+    return own.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in values))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(t: Tables) -> DataFrame:
-    """Daily counts by type, computed by the stream over the events file to its end."""
-    name = f"counts_{id(t)}"
+    """Daily counts by type, computed by the stream over the events file to its end; state older than the watermark is dropped."""
+    place = f"{shared_dir(t.spark)}/window-counts-{uuid.uuid4().hex}"
     stream = windowed_counts(event_stream(t.spark, t.sf_dir, glob="events.parquet"))
-    place = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="latticeworks-")
-    run = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{place}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.table(name)
+    found = latest(stream, ["start", "event_type"], f"{place}/out", f"{place}/state")
+    return found.withColumn("start", F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("start").cast("timestamp_ntz")))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 10 = 3 AND event_id % 4 <> 0 THEN round(value * 2, 4) ELSE round(value, 4) END AS value, event_id % 10 = 3 AND event_id % 4 = 0 AS failed FROM events")

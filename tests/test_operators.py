@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from latticeworks.functions import crystal as X
 from latticeworks.functions import strings as S
 from latticeworks.operators.clustering import cluster_values
-from latticeworks.operators.folds import group_folds
+from latticeworks.operators.folds import group_folds, turns
 from latticeworks.operators.metrics import ks_statistic, micro_f1, roc_auc, set_counts
+from latticeworks.operators.ranks import percentiles
 from latticeworks.operators.relational import assert_disjoint, columns_missing, first_match, keep_one, null_safe_join, one_to_one_left
 from latticeworks.schema import SAMPLE, systems
 from latticeworks.sources import files
@@ -98,7 +99,7 @@ def test_physics_expressions(spark):
     assert one(spark, X.bragg(F.lit(2.0), F.lit(0.5))) is None and one(spark, X.bragg(F.lit(1.0), F.lit(1.0))) == pytest.approx(60)
     assert one(spark, X.symop_rotation(F.lit("-x, y-x, z+1/2"))) == [-1, 0, 0, -1, 1, 0, 0, 0, 1]
     assert one(spark, X.march_dollase(F.lit(0.3), F.lit(1.0))) == pytest.approx(1)
-    assert one(spark, F.crc32(F.lit("cod:7").cast("binary"))) == __import__("zlib").crc32(b"cod:7")
+    assert one(spark, F.crc32(F.lit("demo:7").cast("binary"))) == __import__("zlib").crc32(b"demo:7")
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -144,3 +145,79 @@ def test_stream_append_resume_and_retries(spark, tmp_path):
     merged = incremental.merge_retries(old, new, "k", "failed")
     assert sorted(map(tuple, merged.collect())) == [(1, "z", False), (2, "y", False)]
     assert sorted(map(tuple, incremental.merge_retries(merged, new, "k", "failed").collect())) == [(1, "z", False), (2, "y", False)]
+
+
+def test_database_matrix_log_and_id_cache(spark, tmp_path):
+    import sqlite3
+
+    place = str(tmp_path / "s.db")
+    with sqlite3.connect(place) as db:
+        db.execute("create table cells (id text, a real, n integer)")
+        db.executemany("insert into cells values (?, ?, ?)", [(f"s{i}", i / 2, None if i == 3 else i) for i in range(100)])
+        db.execute("create table none (id text)")
+    cells = files.read_sqlite(spark, place, "cells", "id string, a double, n long", 7)
+    assert cells.count() == 100 and cells.where("n is null").first().id == "s3"
+    assert files.read_sqlite(spark, place, "none", "id string").count() == 0
+    asked = spark.createDataFrame([("s4",), ("s4",), ("other",), (None,)], "id string")
+    assert [tuple(r) for r in files.lookup(cells, asked, "id").collect()] == [("s4", 2.0, 4)]
+
+    np.arange(12, dtype=np.float32).reshape(4, 3).tofile(tmp_path / "m.bin")
+    rows = files.matrix_rows(spark.createDataFrame([(2, "x"), (9, "y"), (None, "z")], "row_idx long, k string"), str(tmp_path / "m.bin"), 3).collect()
+    assert {r.k: r["values"] for r in rows} == {"x": [6.0, 7.0, 8.0], "y": None, "z": None}
+
+    log, todo = str(tmp_path / "log"), spark.range(10)
+    files.log_progress(todo.where("id < 4"), log, "id", F.when(F.col("id") < 2, F.concat(F.lit("big:"), F.col("id").cast("string"))))
+    files.log_progress(todo.where("id = 5"), log, "id", F.lit("short"))
+    seen = spark.read.parquet(log)
+    assert sorted(r.id for r in files.still_to_do(todo, seen, "id").collect()) == [4, 6, 7, 8, 9]
+    assert {tuple(r) for r in files.skip_reasons(seen).collect()} == {("big", 2), ("short", 1)}
+
+    ids = str(tmp_path / "ids")
+    assert files.cached_ids(spark.range(5), ids, "id").count() == 5
+    assert files.cached_ids(spark.range(99), ids, "id").count() == 5
+
+
+def test_turns_equal_the_sequential_rule():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(400):
+        k = rng.randint(1, 6)
+        loads = [rng.randint(0, 40) for _ in range(k)]
+        plain, size, n = list(loads), rng.randint(1, 9), rng.randint(1, 60)
+        want = []
+        for _ in range(n):
+            f = plain.index(min(plain))
+            want.append(f)
+            plain[f] += size
+        runs = turns(loads, size, n)
+        got = [folds[(i - first) % len(folds)] for (first, folds), end in zip(runs, [*(a for a, _ in runs[1:]), n], strict=True) for i in range(first, end)]
+        assert got == want and loads == plain
+    loads = [0, 10**12, 5]
+    assert len(turns(loads, 1, 10**12)) < 20  # no loop over groups
+
+
+def test_percentiles_equal_those_of_the_whole_table(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 900), rng.integers(0, 200, 900), strict=True)] + [(0, None), (7, 1.5), (8, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    for keys in ([], ["k"]):
+        got = {tuple(r[c] for c in keys): (r.a, r.b, r.c) for r in percentiles(df, "v", {"a": 0.0, "b": 0.37, "c": 0.995}, keys).collect()}
+        groups = {}
+        for k, v in rows:
+            if v is not None:
+                groups.setdefault((k,) if keys else (), []).append(v)
+        assert set(got) == set(groups)
+        for g, v in groups.items():
+            assert got[g] == pytest.approx(tuple(np.percentile(v, [0, 37, 99.5])))
+    assert [r.a for r in percentiles(df.where("k > 99"), "v", {"a": 0.5}).collect()] == [None]
+
+
+def test_stream_keeps_the_last_state_of_each_key(spark, tmp_path):
+    rows = spark.sql("select id as event_id, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id) as ts, 'a' as event_type from range(72)")
+    for n in range(3):  # three files in order of time, each a batch of its own
+        rows.where(f"event_id between {n * 24 - 6} and {n * 24 + 17}").coalesce(1).write.parquet(str(tmp_path / "in" / f"f{n}"))
+    stream = incremental.event_stream(spark, str(tmp_path / "in" / "*"), max_files=1)
+    got = incremental.latest(incremental.windowed_counts(stream, delay="2 days"), ["start", "event_type"], str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(r.n for r in got.collect()) == [18, 24, 24]
+    assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
