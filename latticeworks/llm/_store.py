@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs on one machine."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
         place = spark.conf.get("latticeworks.local.shared", None)
         if not place:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             place = "file://" + tempfile.mkdtemp(prefix="latticeworks-")
             spark.conf.set("latticeworks.local.shared", place)
     return place.rstrip("/")
@@ -34,3 +36,11 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def parts(df: DataFrame) -> int:
     """Number of partitions for a shuffle of this session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def remove(table: DataFrame) -> None:
+    """Deletes the files of a table that ``materialize`` wrote and that nothing reads any more."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)

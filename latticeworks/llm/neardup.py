@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeworks.llm._store import materialize, parts
+from latticeworks.llm._store import materialize, parts, remove
 from latticeworks.llm._text import gram_hashes, mix64, odd_constants, text_slices, words_of
 
 SYMBOLS = 64
@@ -386,9 +386,11 @@ def components(ids: DataFrame, links: DataFrame) -> DataFrame:
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         new = materialize(small, "neardup-edges")
         state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state(new) == state(edges):
-            break
+        done = state(new) == state(edges)
+        remove(edges)  # only the round before was read from it
         edges = new
+        if done:
+            break
     return ids.join(edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
