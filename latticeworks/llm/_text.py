@@ -99,14 +99,28 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, dtype=_U) | _U(1)
 
 
+class Rolling:
+    """Rolling hashes of a sequence of 64-bit values: a running polynomial, whose differences are brought to a common power. One pass serves runs of every length."""
+
+    def __init__(self, values: np.ndarray, seed: int = 17):
+        base = odd_constants(1, seed)[0]
+        power = lambda x: np.concatenate([np.ones(1, _U), np.multiply.accumulate(np.full(len(values), x, _U))])
+        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(values.astype(_U, copy=False) * power(base)[:-1], dtype=_U)])
+        self.back = power(_U(pow(int(base), -1, 2**64)))
+
+    def grams(self, n: int) -> np.ndarray:
+        """Hash of each run of n consecutive values, document borders ignored; len(values) - n + 1 of them."""
+        if len(self.sums) <= n:
+            return np.empty(0, _U)
+        return mix64((self.sums[n:] - self.sums[:-n]) * self.back[: len(self.sums) - n] + _U(n))
+
+    def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of values[start:end] for each run."""
+        return mix64((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(_U))
+
+
 def gram_hashes(values: np.ndarray, n: int, seed: int = 17) -> np.ndarray:
-    """Hash of each run of n consecutive values, document borders ignored; len(values) - n + 1 of them."""
-    if len(values) < n:
-        return np.empty(0, _U)
-    total = np.zeros(len(values) - n + 1, _U)
-    for j, c in enumerate(odd_constants(n, seed)):
-        total += values[j : len(values) - n + 1 + j].astype(_U, copy=False) * c
-    return mix64(total)
+    return Rolling(values, seed).grams(n)
 
 
 def gram_valid(offsets: np.ndarray, n: int, total: int) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Quality rules by repetition coverage.
 
-For several n-gram lengths, rolling hashes of the word sequence find the n-grams that occur more than once in a
+For several n-gram lengths, rolling hashes of the word sequence (one running polynomial serves all lengths) find the n-grams that occur more than once in a
 document; the share of the document's word characters inside such n-grams is its coverage at that length. Lines
 that repeat an earlier line are measured likewise. Equal hashes are confirmed on the words themselves.
 
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeworks.llm._text import cover, gram_hashes, gram_valid, mix64, per_doc, text_slices, words_of
+from latticeworks.llm._text import Rolling, cover, gram_valid, mix64, per_doc, text_slices, words_of
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = " \t\n\v\f\r"
@@ -48,13 +48,13 @@ class Rules:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, max_gram_coverage double, dup_line_chars long"
 
 
-def repeated(ids: np.ndarray, offsets: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Mask of the words inside n-grams that occur at least twice in their document, the first included."""
+def repeated(hashes: Rolling, ids: np.ndarray, offsets: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Mask of the words inside n-grams that occur at least twice in their document, the first included; ``hashes`` are those of the words."""
     total = len(ids)
     starts = np.flatnonzero(gram_valid(offsets, n, total))
     if len(starts) < 2:
         return np.zeros(total, bool)
-    keys = mix64(gram_hashes(ids.astype(np.uint64) + np.uint64(1), n)[starts] ^ (doc[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    keys = mix64(hashes.grams(n)[starts] ^ (doc[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     order = np.argsort(keys, kind="stable")
     same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
     left, right = starts[order[same]], starts[order[same + 1]]
@@ -87,11 +87,12 @@ def judge(batch: pa.RecordBatch, rules: Rules) -> dict[str, np.ndarray]:
     raw = text.to_pylist()
     lines = np.array([repeated_lines(t) for t in raw], np.int64).reshape(len(raw), 3)
     symbols = np.array([len(b) - len(b.translate(None, _SYMBOLS)) for b in (t.encode("utf-8", "surrogatepass") for t in raw)], np.int64)
-    n_repeat = per_doc(repeated(ids, offsets, doc, rules.base_window), offsets)
+    hashes = Rolling(mix64(ids.astype(np.uint64) + np.uint64(1)))
+    n_repeat = per_doc(repeated(hashes, ids, offsets, doc, rules.base_window), offsets)
     failed = (n_words < rules.min_words) | (100 * n_repeat > rules.base_percent * n_words)
     bad, most = np.zeros(len(raw), bool), np.zeros(len(raw))
     for n, limit in rules.gram_limits:
-        share = per_doc(chars * repeated(ids, offsets, doc, n), offsets) / np.maximum(word_chars, 1)
+        share = per_doc(chars * repeated(hashes, ids, offsets, doc, n), offsets) / np.maximum(word_chars, 1)
         bad |= share > limit
         most = np.maximum(most, share)
     all_chars = np.maximum(pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64), 1)

@@ -12,8 +12,8 @@ the next search may jump, one that reaches the window reports it. The matching s
 reported intervals. They are joined back to the documents, which lose the covered words.
 
 Scale: fragments with equal words are indexed once, or twice if they occur more often, so groups of copies and shared
-passages don't gather in a shard. A minimizer with more than HOT different fragments is split: its windows are routed
-one by one by their own hash. Texts are read twice and shuffled once; what else moves is about 40 bytes a fragment,
+passages don't gather in a shard. A minimizer with more than HOT different fragments is split: the windows of each
+different fragment are routed one by one by their own hash, with the number of its copies. Texts are read twice and shuffled once; what else moves is about 40 bytes a fragment,
 one for each dozen words.
 
 Defined results: a null or empty text has no words and keeps none; documents shorter than a window are kept as they
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeworks.llm._store import materialize
-from latticeworks.llm._text import gram_hashes, gram_valid, mix64, text_slices, words_of
+from latticeworks.llm._text import Rolling, gram_valid, text_slices, words_of
 
 WIDTH, GRAM = 35, 8
 #: Fragments of one minimizer that one shard takes; words in a shard.
@@ -44,9 +44,8 @@ _U = np.uint64
 # --- fragments -----------------------------------------------------------------------------------------------------
 
 
-def window_minimizers(values: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """The smallest gram hash inside each window, by window start; document borders ignored."""
-    low = gram_hashes(values, gram)
+def window_minimizers(low: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """The smallest of the gram hashes inside each window, by window start; document borders ignored."""
     span, size = width - gram + 1, 1
     while size < span:
         step = min(size, span - size)
@@ -62,26 +61,20 @@ def fragments(values: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     if not len(starts):
         return {"doc": none, "start": none, "n": none, "m": np.empty(0, _U), "f": np.empty(0, _U), "again": np.empty(0, bool)}
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    own, at = window_minimizers(values, width, gram)[starts], doc[starts]
+    hashes = Rolling(values)
+    grams = hashes.grams(gram)
+    own, at = window_minimizers(grams, width, gram)[starts], doc[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(starts)))
     start, m = starts[first], own[first]
     # Gram positions of each run, laid end to end.
-    grams, size = gram_hashes(values, gram), n + width - gram
+    size = n + width - gram
     ends = np.cumsum(size)
     place = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(start, size)
     again = np.add.reduceat((grams[place] == np.repeat(m, size)).astype(np.int32), ends - size) > 1
-    return {"doc": at[first], "start": start, "n": n, "m": m, "f": run_hashes(values, start, start + n + width - 1), "again": again}
-
-
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each run: differences of a running polynomial, brought to a common power."""
-    base, inverse = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-    power = lambda x: np.concatenate([np.ones(1, _U), np.multiply.accumulate(np.full(len(values), x, _U))])
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(values * power(base)[:-1], dtype=_U)])
-    return mix64((sums[ends] - sums[starts]) * power(inverse)[starts] + (ends - starts).astype(_U))
+    return {"doc": at[first], "start": start, "n": n, "m": m, "f": hashes.runs(start, start + n + width - 1), "again": again}
 
 
 # --- FM-index ------------------------------------------------------------------------------------------------------
@@ -219,7 +212,7 @@ def shard_matches(texts: pa.Array, copies: np.ndarray, width: int) -> list[list[
 
 _PROFILE = "uid long, doc_id long, n_words long, sha string, runs array<struct<m:long,f:long,start:int,n:int,again:boolean>>"
 _RUN = pa.struct([("m", pa.int64()), ("f", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
-_PIECE = "key long, f long, uid long, start int, hot boolean, copies long, n_words int, words string"
+_PIECE = "key long, f long, m0 long, f0 long, start int, hot boolean, copies long, n_words int, words string"
 _SPANS = "array<struct<a:int,b:int>>"
 
 
@@ -244,27 +237,27 @@ def profiles(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _pieces(docs: DataFrame, width: int) -> DataFrame:
-    """Texts to index from documents with ``asked`` fragments: whole fragments, and single windows of hot ones."""
+    """Texts to index from documents with ``asked`` fragments: whole fragments, and single windows of hot ones, which name their fragment (m0, f0) and where in it they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             out: list[tuple] = []
-            for uid, text, asked in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+            for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 for x in asked:
                     a, n = x["start"], x["n"]
                     if not x["hot"]:
-                        out.append((x["m"], x["f"], uid, a, False, x["copies"], n + width - 1, b" ".join(words[a : a + n + width - 1]).decode("utf-8", "surrogatepass")))
+                        out.append((x["m"], x["f"], x["m"], x["f"], 0, False, x["copies"], n + width - 1, b" ".join(words[a : a + n + width - 1]).decode("utf-8", "surrogatepass")))
                         continue
                     for i in range(a, a + n):
                         window = b" ".join(words[i : i + width])
                         key = int.from_bytes(hashlib.blake2b(window, digest_size=16).digest()[:8], "big", signed=True)
-                        out.append((key, key, uid, i, True, x["copies"], width, window.decode("utf-8", "surrogatepass")))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.string())
+                        out.append((key, key, x["m"], x["f"], i - a, True, x["copies"], width, window.decode("utf-8", "surrogatepass")))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.string())
             columns = zip(*out, strict=True) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _PIECE.split(", ")])
 
-    return docs.select("uid", "text", "asked").mapInArrow(run, _PIECE)
+    return docs.select("text", "asked").mapInArrow(run, _PIECE)
 
 
 def _matched(pieces: DataFrame, width: int) -> DataFrame:
@@ -311,25 +304,23 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tup
     occurrences = materialize(runs.join(often, "m", "left_semi").drop("again"), "substring-occurrences")
     distinct = occurrences.groupBy("m", "f").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "start", "n")).alias("rep"))
     distinct = materialize(distinct, "substring-distinct")
-    hot = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("m")
-    # One document of each different fragment gives its text; of hot minimizers every occurrence does, window by window.
-    # Repeated rows share a uid and meet in one set: an occurrence carries how many rows have it.
-    piece = lambda start, n, is_hot, copies: F.struct("m", "f", start.alias("start"), n.alias("n"), F.lit(is_hot).alias("hot"), copies.alias("copies")).alias("x")
-    asked = distinct.join(hot, "m", "left_anti").select("rep.uid", piece(F.col("rep.start"), F.col("rep.n"), False, F.col("copies")))
-    many = occurrences.join(hot, "m", "left_semi").groupBy("uid", "m", "f", "start", "n").agg(F.count(F.lit(1)).alias("rows"))
-    many = many.select("uid", piece(F.col("start"), F.col("n"), True, F.col("rows")))
+    hot = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("m", F.lit(True).alias("hot"))
+    # One document of each different fragment gives its text for all that have it; of hot minimizers window by window.
+    piece = F.struct("m", "f", F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot"), "copies").alias("x")
+    asked = distinct.join(hot, "m", "left").select("rep.uid", piece)
     others = occurrences.select("uid", F.lit(None).cast(asked.schema["x"].dataType).alias("x"))
-    asked = asked.unionByName(many).unionByName(others).groupBy("uid").agg(F.collect_set("x").alias("asked"))
+    asked = asked.unionByName(others).groupBy("uid").agg(F.collect_set("x").alias("asked"))
     texts = materialize(base.select("uid", "text").join(asked, "uid").dropDuplicates(["uid"]), "substring-texts")
     pieces = materialize(_pieces(texts.where(F.size("asked") > 0), width), "substring-pieces")
     each = pieces.groupBy("key", "f").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"), F.first("n_words").alias("n_words"))
     words = pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     n_shards = max(1, -(-words // SHARD_WORDS))
     matched = materialize(_matched(each.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards))), width), "substring-matches")
-    cold = occurrences.join(matched.withColumnRenamed("key", "m"), ["m", "f"]).select("uid", "start", "spans")
-    warm = pieces.where("hot").select("key", "f", "uid", "start").join(matched, ["key", "f"]).select("uid", "start", "spans")
-    moved = F.transform("spans", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))
-    spans = cold.unionByName(warm).select("uid", moved.alias("spans")).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    shifted = lambda by: F.transform("spans", lambda x: F.struct((x["a"] + F.col(by)).alias("a"), (x["b"] + F.col(by)).alias("b")))
+    cold = matched.select(F.col("key").alias("m"), "f", "spans")
+    warm = pieces.where("hot").select("key", "f", "m0", "f0", "start").join(matched, ["key", "f"]).select(F.col("m0").alias("m"), F.col("f0").alias("f"), shifted("start").alias("spans"))
+    warm = warm.groupBy("m", "f").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a fragment's windows
+    spans = occurrences.join(cold.unionByName(warm), ["m", "f"]).select("uid", shifted("start").alias("spans")).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return all_docs, texts, spans
 
 

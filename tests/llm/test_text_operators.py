@@ -53,6 +53,54 @@ def test_quality_measures(spark, messy, nothing):
     assert quality.quality_rules(nothing).count() == quality.filter_quality(nothing).count() == 0
 
 
+def coverage_brute(text, rules):
+    """Largest share of word characters in repeated n-grams, the characters of repeated lines, and the verdict, counted plainly."""
+    text = text or ""
+    w = words(text)
+    chars = sum(map(len, w))
+    shares = []
+    for n, limit in rules.gram_limits:
+        grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        count, inside = Counter(grams), set()
+        for i, g in enumerate(grams):
+            if count[g] > 1:
+                inside |= set(range(i, i + n))
+        shares.append((sum(len(w[i]) for i in inside) / max(chars, 1), limit))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    bad = any(s > limit for s, limit in shares) or len(re.findall(r"[#*$%&|<>]", text)) > rules.symbols_per_word * len(w)
+    bad |= len(again) > rules.line_limit * max(len(lines), 1) and sum(map(len, again)) > rules.line_char_limit * max(len(text), 1)
+    return max(s for s, _ in shares), sum(map(len, again)), not bad and not quality_brute(text)[-1]
+
+
+def test_coverage_and_verdict_equal_brute_force(spark, messy):
+    rng = random.Random(21)
+    rows = [(r[0], r[1]) for r in messy_rows()]
+    for i in range(150):
+        base = prose(rng, rng.randint(10, 80))
+        part = " ".join(words(base)[: rng.randint(3, 30)])
+        rows.append((1000 + i, rng.choice([" ", "\n", " %% # "]).join([base] + [part] * rng.randint(0, 3) + ["one line again"] * rng.randint(0, 2))))
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [coverage_brute(t, quality.Rules()) for _, t in rows]
+    assert by_row((r.doc_id, round(r.max_gram_coverage, 9), r.dup_line_chars, r.kept) for r in got) == by_row((d, round(a, 9), b, c) for (d, _), (a, b, c) in zip(rows, want, strict=True))
+    assert 30 < sum(r.kept for r in got) < len(rows) - 30
+
+
+def test_rolling_hashes_tell_runs_apart():
+    from latticeworks.llm._text import Rolling
+
+    values = np.random.default_rng(0).integers(0, 3, 4000).astype(np.uint64)
+    own = Rolling(values)
+    for n in (1, 2, 5, 9, 16):
+        grams = own.grams(n)
+        assert len(grams) == 4001 - n and (grams == own.runs(np.arange(4001 - n), np.arange(4001 - n) + n)).all()
+        by = {}
+        for i, h in enumerate(grams.tolist()):
+            assert by.setdefault(h, tuple(values[i : i + n])) == tuple(values[i : i + n])
+        assert len(by) == len({tuple(values[i : i + n]) for i in range(4001 - n)})
+    assert len(own.grams(4001)) == 0
+
+
 def test_quality_verdicts(spark):
     rng = random.Random(2)
     clean, line = prose(rng, 300), prose(rng, 12).replace("\n", " ")
