@@ -43,7 +43,7 @@ _SPECIAL = "<|endoftext|>"
 def _encoder(json_path: str, ranks_path: str):
     """Two readers of one vocabulary: the tokenizer, and its merge ranks, which give the same ids four times faster.
 
-    The tests compare both on every code point in several surroundings.
+    A test compares both on every seventh code point below the surrogates and on samples beyond them.
     """
     import public_tokenizers
     import tiktoken
