@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,17 @@ def roc_auc(df: DataFrame, score: str, positive: Column, *keys: str) -> DataFram
     v = by_value(df, score, positive, *keys)
     wins = F.sum(F.col("n1") * (F.col("c0") - F.col("n0") + F.col("n0") / 2))
     return v.groupBy(*keys).agg((wins / F.nullif(F.max("t1") * F.max("t0"), F.lit(0))).alias("auc"), F.max("t1").alias("n1"), F.max("t0").alias("n0"))
+
+
+def calibrated_threshold(scored: DataFrame, p: str, positive: Column, least: float, fallback: float, thresholds: Sequence[float]) -> DataFrame:
+    """One row: the first threshold at which the share of positives among rows with p above it reaches ``least``, its precision, and whether there is none and ``fallback`` stands in.
+
+    Rows are counted by the number of thresholds they exceed, so a handful of counts says all.
+    """
+    marks = sorted(thresholds)
+    level = F.size(F.filter(F.array(*(F.lit(float(t)) for t in marks)), lambda t: t < F.col(p)))
+    counts = scored.where(F.col(p).isNotNull()).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("right"))
+    above = lambda c, k: F.coalesce(F.sum(F.when(F.col("level") > k, F.col(c))), F.lit(0))
+    swept = counts.agg(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), (above("right", k) / F.greatest(above("n", k), F.lit(1))).alias("precision")) for k, t in enumerate(marks))).alias("all"))
+    first = F.try_element_at(F.filter("all", lambda x: x["precision"] >= least), F.lit(1))
+    return swept.select(first.alias("f")).select(F.coalesce("f.threshold", F.lit(fallback)).alias("threshold"), F.col("f.precision").alias("precision"), F.col("f").isNull().alias("is_fallback"))

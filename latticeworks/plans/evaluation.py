@@ -96,11 +96,36 @@ def threshold_sweep(t):
     return c.groupBy("th").agg(ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision_"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), F.round(F.avg(((F.col("fp") == 0) & (F.col("fn") == 0)).cast("int")), 6).alias("exact"))
 
 
-@query("""WITH d AS (SELECT doc_id, source, CAST('0x' || substr(md5('p|' || doc_id), 1, 6) AS BIGINT) / 16777216.0::DOUBLE AS p, CAST('0x' || substr(md5('f|' || doc_id), 1, 4) AS BIGINT) % 5 AS k FROM documents)
-SELECT doc_id, CASE WHEN p >= 0.9 THEN k END AS pseudo_class, CASE WHEN p >= 0.9 THEN round(p, 6) END AS confidence, p < 0.2 AS is_fallback FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+#: The thresholds that calibration tries, the precision it asks for, and the threshold without it.
+CALIBRATION, PRECISION, FALLBACK = [0.50 + 0.02 * i for i in range(25)], 0.95, 0.85
+
+_FREE_SQL = """d AS (SELECT doc_id, CAST('0x' || substr(md5('p|' || doc_id), 1, 6) AS BIGINT) / 16777216.0::DOUBLE AS p, CAST('0x' || substr(md5('f|' || doc_id), 1, 4) AS BIGINT) % 5 AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"""
+_THRESHOLD_SQL = f"""c AS (SELECT i, sum(CAST(p > 0.5::DOUBLE + 0.02::DOUBLE * i AND truth = 1 AS INTEGER)) / greatest(sum(CAST(p > 0.5::DOUBLE + 0.02::DOUBLE * i AS INTEGER)), 1)::DOUBLE AS pr FROM p, (SELECT unnest(range(0, 25)) AS i) GROUP BY i),
+th AS (SELECT coalesce(min(0.5::DOUBLE + 0.02::DOUBLE * i) FILTER (WHERE pr >= {PRECISION}), {FALLBACK}::DOUBLE) AS th, count(*) FILTER (WHERE pr >= {PRECISION}) = 0 AS is_fallback FROM c)"""
+
+
+def _free(t):
+    """Documents without a label, with a hashed confidence and class."""
+    return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti").select("doc_id", hash_unit("p", "doc_id").alias("p"), hash_mod("f", "doc_id", 5).alias("k"))
+
+
+def _threshold(t):
+    return E.calibrated_threshold(predictions(t), "p", F.col("truth") == 1, PRECISION, FALLBACK, CALIBRATION)
+
+
+@query(f"WITH {_P}, {_FREE_SQL}, {_THRESHOLD_SQL} SELECT doc_id, CASE WHEN p > th THEN k END AS pseudo_class, CASE WHEN p > th THEN round(p, 6) END AS confidence, is_fallback FROM d, th")
 def pseudo_label_assign(t):
-    free = t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti").select("doc_id", hash_unit("p", "doc_id").alias("p"), hash_mod("f", "doc_id", 5).alias("k"))
-    return free.select("doc_id", F.when(F.col("p") >= 0.9, F.col("k")).alias("pseudo_class"), F.when(F.col("p") >= 0.9, F.round("p", 6)).alias("confidence"), (F.col("p") < 0.2).alias("is_fallback"))
+    """A class for unlabelled rows beyond the threshold that labelled ones calibrate; is_fallback tells where none reaches the precision."""
+    sure = F.col("p") > F.col("threshold")
+    return _free(t).join(F.broadcast(_threshold(t))).select("doc_id", F.when(sure, F.col("k")).alias("pseudo_class"), F.when(sure, F.round("p", 6)).alias("confidence"), "is_fallback")
+
+
+@query(f"WITH {_P}, {_FREE_SQL}, {_THRESHOLD_SQL} SELECT th AS threshold, is_fallback, count(*) AS total_unlabeled, count(*) FILTER (WHERE p > th) AS labeled_any, count(*) FILTER (WHERE p > th AND k = 0) AS class_0, count(DISTINCT CASE WHEN p > th THEN k END) AS classes FROM d, th GROUP BY 1, 2")
+def pseudo_label_registry(t):
+    """The registry of an assignment: its threshold, and how many rows it covers."""
+    sure = F.col("p") > F.col("threshold")
+    own = _free(t).join(F.broadcast(_threshold(t)))
+    return own.groupBy("threshold", "is_fallback").agg(F.count(F.lit(1)).alias("total_unlabeled"), F.count_if(sure).alias("labeled_any"), F.count_if(sure & (F.col("k") == 0)).alias("class_0"), F.count_distinct(F.when(sure, F.col("k"))).alias("classes"))
 
 
 # Fold metrics: folds from orders, candidates from priorities, score the mean price share.

@@ -15,6 +15,9 @@ s AS ({SERIES_SQL}),
 d AS (SELECT user_id, x, x - lag(x) OVER (PARTITION BY user_id ORDER BY i) AS dx FROM s),
 g AS (SELECT user_id, count(*) AS n_points, min(x) AS x_min, max(x) AS x_max, quantile_cont(dx, 0.5) FILTER (WHERE dx > 0) AS step FROM d GROUP BY user_id)"""
 
+#: Slices of [0, 1) in which drawn numbers meet the modes' intervals.
+SLICES = 1024
+
 
 def grid_stats(t: Tables):
     d = series(t).withColumn("dx", F.col("x") - F.lag("x").over(by_user()))
@@ -132,11 +135,15 @@ def angle_window_flag(t):
 u AS (SELECT c_custkey, CAST('0x' || substr(md5('draw|' || c_custkey), 1, 6) AS BIGINT) / 16777216.0::DOUBLE AS u FROM customer)
 SELECT c_custkey, min(mode_id) AS mode_id FROM u JOIN c ON u < hi + 1e-12 GROUP BY c_custkey""")
 def weighted_mode_draw(t):
-    """Inverse-distribution draw: each row's hashed number falls into one mode's interval. The mode table is small by nature."""
-    cumulative = F.sum("fraction_all").over(Window.orderBy("mode_id").rowsBetween(Window.unboundedPreceding, 0))
-    cdf = modes(t).withColumn("hi", cumulative).agg(F.sort_array(F.collect_list(F.struct("hi", "mode_id"))).alias("cdf"))
-    hit = F.element_at(F.filter("cdf", lambda m: F.col("u") < m["hi"] + 1e-12), 1)["mode_id"]
-    return t.customer.select("c_custkey", hash_unit("draw", "c_custkey").alias("u")).join(F.broadcast(cdf)).select("c_custkey", hit.alias("mode_id"))
+    """Inverse-distribution draw: each row's hashed number falls into one mode's interval. Intervals and numbers meet by slices of [0, 1), so that a row sees a few modes, however many there are."""
+    by_id = Window.orderBy("mode_id").rowsBetween(Window.unboundedPreceding, 0)  # the mode table, a row a mode
+    hi = F.sum("fraction_all").over(by_id) + 1e-12
+    cut = modes(t).select("mode_id", hi.alias("hi"), (hi - F.col("fraction_all")).alias("lo"))
+    cut = cut.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("mode_id")), F.lit(0.0)))
+    of = lambda c: F.least(F.floor(c * SLICES), F.lit(SLICES - 1))
+    sliced = cut.select("mode_id", "lo", "hi", F.explode(F.sequence(of(F.col("lo")), of(F.col("hi")))).alias("slice"))
+    drawn = t.customer.select("c_custkey", hash_unit("draw", "c_custkey").alias("u")).withColumn("slice", of(F.col("u")))
+    return drawn.join(sliced, "slice").where("lo <= u and u < hi").select("c_custkey", "mode_id")
 
 
 @query(f"""WITH s AS ({SERIES_SQL}), r AS (SELECT user_id, x, y, row_number() OVER (PARTITION BY user_id, round_even(x, 0) ORDER BY i) AS turn FROM s) SELECT user_id, round(x, 6) AS x, y FROM r WHERE turn = 1""")

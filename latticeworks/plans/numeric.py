@@ -196,7 +196,7 @@ def domain_gbt(t):
     """A boosted-tree classifier of the two domains, trained on hashed three quarters; its AUC on the rest."""
     own = _domains(t)
     test = F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0
-    model = GBTClassifier(maxIter=5, maxDepth=3, seed=0).fit(own.where(~test))
+    model = GBTClassifier(maxIter=20, maxDepth=3, seed=0).fit(own.where(~test))
     auc = BinaryClassificationEvaluator().evaluate(model.transform(own.where(test)))
     return t.spark.createDataFrame([(float(auc), model.getNumTrees)], "auc double, trees int")
 

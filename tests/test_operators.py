@@ -8,7 +8,7 @@ from latticeworks.functions import crystal as X
 from latticeworks.functions import strings as S
 from latticeworks.operators.clustering import cluster_values
 from latticeworks.operators.folds import group_folds, turns
-from latticeworks.operators.metrics import ks_statistic, micro_f1, roc_auc, set_counts
+from latticeworks.operators.metrics import calibrated_threshold, ks_statistic, micro_f1, roc_auc, set_counts
 from latticeworks.operators.ranks import percentiles
 from latticeworks.operators.relational import assert_disjoint, columns_missing, first_match, keep_one, null_safe_join, one_to_one_left
 from latticeworks.schema import SAMPLE, systems
@@ -221,3 +221,15 @@ def test_stream_keeps_the_last_state_of_each_key(spark, tmp_path):
     got = incremental.latest(incremental.windowed_counts(stream, delay="2 days"), ["start", "event_type"], str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r.n for r in got.collect()) == [18, 24, 24]
     assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
+
+
+def test_calibrated_threshold_and_its_fallback(spark):
+    marks = [0.5 + 0.1 * i for i in range(5)]
+    rows = [(i / 1000, i >= 720 or i % 3 == 0) for i in range(1000)] + [(None, True)]
+    df = spark.createDataFrame(rows, "p double, right boolean")
+    first = next(t for t in marks if (lambda xs: sum(xs) / max(len(xs), 1))([r for p, r in rows if p is not None and p > t]) >= 0.9)
+    got = calibrated_threshold(df, "p", F.col("right"), 0.9, 0.85, marks).first()
+    assert got.threshold == first and got.precision >= 0.9 and not got.is_fallback
+    none = calibrated_threshold(df.withColumn("right", F.lit(False)), "p", F.col("right"), 0.9, 0.85, marks).first()
+    assert (none.threshold, none.precision, none.is_fallback) == (0.85, None, True)
+    assert calibrated_threshold(df.limit(0), "p", F.col("right"), 0.9, 0.85, marks).first().is_fallback
