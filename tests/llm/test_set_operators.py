@@ -102,8 +102,9 @@ def test_sharding_of_equal_rows(spark):
 @pytest.mark.parametrize("keep", [True, False])
 def test_packing(spark, messy, keep):
     slow = packing._encoder(*queries.vocabulary())[0]
-    rows = [(r[0], r[1]) for r in messy_rows()] + [(500, "a <|endoftext|> b")]
-    docs = messy.select("doc_id", "text").unionByName(spark.createDataFrame(rows[-1:], "doc_id long, text string"))
+    more = [(500, "a <|endoftext|> b"), (501, prose(random.Random(5), 60_000)), (502, "x" * 300_000)]
+    rows = [(r[0], r[1]) for r in messy_rows()] + more
+    docs = messy.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     want = []
     for d, t in rows:
         ids = [*slow.encode(t or "", add_special_tokens=False).ids, 2]
