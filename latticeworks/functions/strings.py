@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +14,19 @@ ELEMENTS = (
     "Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr"
 ).split()
 
-#: Accented letters and their plain forms, for the common Latin ones.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _plain_letters() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters and digits beyond ASCII whose compatibility decomposition without marks, in lower case, is plain: those that become one character, and those that become several."""
+    one, many = {}, {}
+    for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]:
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if x in string.ascii_lowercase + string.digits)
+        if plain:
+            (one if len(plain) == 1 else many)[c] = plain
+    return one, many
+
+
+_ONE, _MANY = _plain_letters()
 
 #: Last space-group number of each crystal system, in order.
 SYSTEM_BOUNDS = ((2, "triclinic"), (15, "monoclinic"), (74, "orthorhombic"), (142, "tetragonal"), (167, "trigonal"), (194, "hexagonal"), (230, "cubic"))
@@ -53,8 +67,11 @@ def float_list(items: Column) -> Column:
 
 
 def plain_name(name: Column) -> Column:
-    """Lower case, common accents removed, only letters a-z and digits kept."""
-    return F.regexp_replace(F.translate(F.lower(name), ACCENTED, PLAIN), "[^a-z0-9]", "")
+    """Compatibility decomposition (NFKD) in lower case, of which only letters a-z and digits are kept: accents, widths, styles and ligatures are made plain."""
+    spelled = F.create_map(*(F.lit(x) for pair in _MANY.items() for x in pair))
+    by_char = F.array_join(F.transform(F.split(name, ""), lambda c: F.coalesce(F.element_at(spelled, c), c)), "")
+    whole = F.when(name.rlike(f"[{''.join(_MANY)}]"), by_char).otherwise(name)
+    return F.regexp_replace(F.lower(F.translate(whole, "".join(_ONE), "".join(_ONE.values()))), "[^a-z0-9]", "")
 
 
 def exact_name(name: Column) -> Column:

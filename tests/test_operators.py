@@ -233,3 +233,12 @@ def test_calibrated_threshold_and_its_fallback(spark):
     none = calibrated_threshold(df.withColumn("right", F.lit(False)), "p", F.col("right"), 0.9, 0.85, marks).first()
     assert (none.threshold, none.precision, none.is_fallback) == (0.85, None, True)
     assert calibrated_threshold(df.limit(0), "p", F.col("right"), 0.9, 0.85, marks).first().is_fallback
+
+
+def test_plain_names_are_decomposed(spark):
+    import unicodedata
+
+    names = ["Écran-Ü (x)", "Žižka ŁÓDŹ", "ﬁve ﬂoors Ⅷ", "Ａｂｃ１２", "x² + H₂O", "ǅ ǆ", "𝔸𝒷𝕔 𝟙", "ｶﾞ µ ß ø æ", "İstanbul", "", "plain name 7", "e\u0301a\u0308", "Ångström \u212b", "½ ¼", "№ ㎏"]
+    got = [r.v for r in spark.createDataFrame(list(enumerate(names)), "i int, n string").orderBy("i").select(S.plain_name(F.col("n")).alias("v")).collect()]
+    assert got == ["".join(c for c in unicodedata.normalize("NFKD", n).lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789") for n in names]
+    assert spark.range(1).select(S.plain_name(F.lit(None).cast("string")).alias("v")).first().v is None
