@@ -78,7 +78,10 @@ def latest(stream: DataFrame, keys: list[str], target: str, checkpoint: str) ->
 def stream_window_counts(t: Tables) -> DataFrame:
     """Daily counts by type, computed by the stream over the events file to its end; state older than the watermark is dropped."""
     place = f"{shared_dir(t.spark)}/window-counts-{uuid.uuid4().hex}"
-    stream = windowed_counts(event_stream(t.spark, t.sf_dir, glob="events.parquet"))
+    folder = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").inputFiles()[0].rsplit("/", 1)[0]
+    # The table is one file beside others, or a folder of its own.
+    own = event_stream(t.spark, folder) if folder.endswith("events.parquet") else event_stream(t.spark, t.sf_dir, glob="events.parquet")
+    stream = windowed_counts(own)
     found = latest(stream, ["start", "event_type"], f"{place}/out", f"{place}/state")
     return found.withColumn("start", F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("start").cast("timestamp_ntz")))
 

@@ -22,10 +22,18 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+#: Queries that join one row, or a fixed few (thresholds, orbits, intervals), to every row without a key.
+ONE_OR_FEW_ROWS = set(
+    "bragg_positions coverage_filters impute ks_statistic permutation_importance pseudo_label_assign pseudo_label_registry quantile_trim roc_auc roc_curve sg_system_range_join standardise_train_only structure_factor threshold_calibration".split()
+)
+
+
 @tables
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"stream_window_counts", "domain_gbt"}))
 def test_no_cross_products(spark, name):
-    assert "CartesianProduct" not in plan(catalog.queries()[name](spark, SF))
+    text = plan(catalog.queries()[name](spark, SF))
+    assert "CartesianProduct" not in text
+    assert "BroadcastNestedLoopJoin" not in text or name in ONE_OR_FEW_ROWS
 
 
 @tables
