@@ -120,3 +120,13 @@ def reduced_formula(counts: Column) -> Column:
     gcd = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, F.lit(1)).otherwise(s["b"])).alias("b"))), lambda s: s["a"])
     divisor = F.aggregate(F.transform(counts, lambda x: x["n"].cast("long")), F.lit(0).cast("long"), lambda a, n: gcd(a, n))
     return F.array_join(F.transform(F.array_sort(counts), lambda x: F.concat(x["el"], F.when(x["n"] / divisor == 1, "").otherwise((x["n"] / divisor).cast("long").cast("string")))), "")
+
+
+#: Fixed value: what a second draw's seed is combined with.
+SECOND_SEED = 0x9E3779B9
+
+
+def row_seed(source: str, key: str, second: bool = False) -> Column:
+    """A number that the names of a row's source and its key decide: their checksum, or for a second draw that with other bits."""
+    seed = F.crc32(F.concat_ws(":", F.col(source).cast("string"), F.col(key).cast("string")))
+    return seed.bitwiseXOR(F.lit(SECOND_SEED).cast("long")) if second else seed

@@ -35,4 +35,4 @@ def cluster_values(df: DataFrame, value: str, weight: str, atol: float, rtol: fl
     rows = rows.join(distinct, "value")
     top = rows.groupBy("cluster").agg(F.max("w").alias("top"))
     best = rows.join(top, "cluster").where("w = top").groupBy("cluster").agg(F.percentile("value", F.lit(0.5)).alias("representative"))
-    return rows.join(F.broadcast(best), "cluster").select("value", "cluster", "representative")
+    return rows.join(best, "cluster").select("value", "cluster", "representative")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeworks.operators.ranks import running_sums
+from latticeworks.operators.relational import null_safe_join
 
 
 def masked_mean(value: Column, mask: Column) -> Column:
@@ -15,10 +16,6 @@ def masked_mean(value: Column, mask: Column) -> Column:
     return F.avg(F.when(mask, value.cast("double")))
 
 
-def masked_median(value: Column, mask: Column) -> Column:
-    return F.percentile(F.when(mask, value.cast("double")), F.lit(0.5))
-
-
 def micro_f1(tp: Column, fp: Column, fn: Column) -> Column:
     """F1 from summed counts, with denominators kept off zero."""
     p = F.sum(tp) / F.greatest(F.sum(tp + fp), F.lit(1))
@@ -39,12 +36,12 @@ def by_value(df: DataFrame, value: str, side: Column, *keys: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(side).alias("n1"), F.count_if(~side).alias("n0"))
     totals = counts.groupBy(*keys).agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
     run = running_sums(counts, value, {"c1": F.col("n1"), "c0": F.col("n0")}, keys)
-    return run.join(totals, list(keys)) if keys else run.join(F.broadcast(totals))
+    return null_safe_join(run, totals, keys, "inner") if keys else run.join(F.broadcast(totals))
 
 
 def ks_statistic(df: DataFrame, value: str, side: Column, *keys: str) -> DataFrame:
-    """Largest distance of the two sides' distribution functions."""
-    return by_value(df, value, side, *keys).groupBy(*keys).agg(F.max(F.abs(F.col("c1") / F.col("t1") - F.col("c0") / F.col("t0"))).alias("ks"), F.max("t1").alias("n1"), F.max("t0").alias("n0"))
+    """Largest distance of the two sides' distribution functions; null where a side has no rows."""
+    return by_value(df, value, side, *keys).groupBy(*keys).agg(F.max(F.abs(F.col("c1") / F.nullif("t1", F.lit(0)) - F.col("c0") / F.nullif("t0", F.lit(0)))).alias("ks"), F.max("t1").alias("n1"), F.max("t0").alias("n0"))
 
 
 def roc_auc(df: DataFrame, score: str, positive: Column, *keys: str) -> DataFrame:

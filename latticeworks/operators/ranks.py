@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticeworks.operators.relational import null_safe_join
+
 
 def value_bounds(df: DataFrame, value: str, n: int = 64) -> list[float]:
     """At most n - 1 bounds that cut the values into about equal parts: one sketch, whatever the input."""
@@ -19,14 +21,15 @@ def value_bounds(df: DataFrame, value: str, n: int = 64) -> list[float]:
 
 
 def running_sums(df: DataFrame, value: str, sums: dict[str, Column], keys: Sequence[str] = (), ties: Sequence[str] = (), n: int = 64) -> DataFrame:
-    """Adds sums up to and including each row, in rising order of value and then ties, for each key."""
+    """Adds sums up to and including each row, in rising order of value and then ties, for each key; null keys are a key of their own."""
     bounds = F.array(*(F.lit(b) for b in value_bounds(df, value, n))).cast("array<double>")
     cut = df.withColumns({"_bucket": F.size(F.filter(bounds, lambda b: b <= F.col(value))), **{f"_{k}": c for k, c in sums.items()}})
     totals = cut.groupBy(*keys, "_bucket").agg(*(F.sum(f"_{k}").alias(f"_t_{k}") for k in sums))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_s_{k}") for k in sums))
     own = Window.partitionBy(*keys, "_bucket").orderBy(value, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.withColumns({k: F.sum(f"_{k}").over(own) for k in sums}).join(starts, [*keys, "_bucket"])
+    run = cut.withColumns({k: F.sum(f"_{k}").over(own) for k in sums})
+    out = null_safe_join(run, starts, [*keys, "_bucket"], "inner") if keys else run.join(starts, "_bucket")
     return out.select(*df.columns, *((F.col(k) + F.col(f"_s_{k}")).alias(k) for k in sums))
 
 
@@ -39,7 +42,8 @@ def take_by_hash(df: DataFrame, digest: str, ties: Sequence[str], quota: Callabl
     sizes = own.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_k"))
     upto = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_k").over(upto), F.lit(0)), "_n": F.sum("_k").over(Window.partitionBy(*strata))})
-    placed = own.join(F.broadcast(sizes) if not strata else sizes, [*strata, "_bucket"]).withColumn("_quota", quota(F.col("_n")))  # 4,096 buckets
+    placed = null_safe_join(own, sizes, [*strata, "_bucket"], "inner") if strata else own.join(F.broadcast(sizes), "_bucket")
+    placed = placed.withColumn("_quota", quota(F.col("_n")))  # 4,096 buckets
     edge = (F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_k") > F.col("_quota"))
     rank = F.row_number().over(Window.partitionBy(*strata, "_bucket").orderBy(digest, *ties))
     ranked = placed.where(edge).withColumn(flag, F.col("_before") + rank <= F.col("_quota"))
@@ -55,7 +59,7 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], keys: Seque
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     upto = running_sums(counts, "_v", {"_to": F.col("_c")}, keys)
-    upto = upto.join(totals, list(keys)) if keys else upto.join(F.broadcast(totals))
+    upto = null_safe_join(upto, totals, keys, "inner") if keys else upto.join(F.broadcast(totals))
     # A value takes the ranks from _to - _c up to _to; rank r is at (n - 1) * p.
     at = {n: (F.col("_n") - 1) * F.lit(float(x)) for n, x in points.items()}
     holds = lambda r: (F.col("_to") - F.col("_c") <= r) & (r < F.col("_to"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticeworks.operators import metrics as E
-from latticeworks.operators.metrics import by_value, masked_mean, masked_median, micro_f1, set_counts
+from latticeworks.operators.metrics import by_value, masked_mean, micro_f1, set_counts
 from latticeworks.operators.ranks import percentiles, running_sums
+from latticeworks.operators.relational import null_safe_join
 from latticeworks.plans.common import PRED_SQL, hash_mod, hash_unit, predictions
 from latticeworks.registry import query
 
@@ -23,7 +24,11 @@ def masked_accuracy(t):
 def masked_mae_median(t):
     e, mask = F.abs(F.col("p") - F.col("truth")), F.col("toxic") == 0
     relative = e / F.greatest(F.abs("truth").cast("double"), F.lit(1e-6))
-    return predictions(t).groupBy("lang").agg(F.round(masked_mean(e, mask), 6).alias("mae"), F.round(masked_median(e, mask), 6).alias("mae_median"), F.round(masked_median(relative, mask & (F.col("truth") > 0)), 6).alias("mape_median"))
+    own = predictions(t).select("lang", F.when(mask, e).alias("mae_median"), F.when(mask & (F.col("truth") > 0), relative).alias("mape_median"))
+    out = own.groupBy("lang").agg(F.round(F.avg("mae_median"), 6).alias("mae"))
+    for c in ("mae_median", "mape_median"):
+        out = null_safe_join(out, percentiles(own, c, {c: 0.5}, ["lang"]), ["lang"])
+    return out.select("lang", "mae", F.round("mae_median", 6).alias("mae_median"), F.round("mape_median", 6).alias("mape_median"))
 
 
 # True set: return flags of an order's lines. Predicted set: flags whose hashed score with the order passes a threshold.
@@ -198,9 +203,8 @@ def system_breakdown(t):
     order = t.spark.createDataFrame([("en", 0), ("de", 1), ("fr", 2), ("es", 3), ("it", 4)], "lang string, k int")
     own = predictions(t).withColumn("e", F.abs(F.col("p") - F.col("truth"))).join(F.broadcast(order), "lang", "left").withColumn("k", F.coalesce("k", F.lit(5)))
     plain = own.groupBy("k", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(((F.col("p") >= 0.5) == (F.col("truth") == 1)).cast("int")), 6).alias("acc"), F.round(F.avg("e"), 6).alias("mae"))
-    median = percentiles(own, "e", {"mae_median": 0.5}, ["k", "lang"]).withColumnsRenamed({"k": "_k", "lang": "_lang"})
-    both = plain.join(median, (F.col("k") == F.col("_k")) & F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    return both.select("k", "lang", "n", "acc", "mae", F.round("mae_median", 6).alias("mae_median"))
+    median = percentiles(own, "e", {"mae_median": 0.5}, ["k", "lang"])
+    return null_safe_join(plain, median, ["k", "lang"]).select("k", "lang", "n", "acc", "mae", F.round("mae_median", 6).alias("mae_median"))
 
 
 @query("""WITH s AS (SELECT o_custkey % 2 = 0 AS side, o_totalprice AS v FROM orders), c AS (SELECT v, count(*) FILTER (WHERE side) AS n1, count(*) FILTER (WHERE NOT side) AS n0 FROM s GROUP BY v),
@@ -270,10 +274,29 @@ def comparison_tables(t):
     return z.join(u, "metric", "full").select("metric", F.round("zero_shot", 6).alias("zero_shot"), F.round("tuned", 6).alias("tuned"), F.round(F.col("tuned") - F.col("zero_shot"), 6).alias("gain"))
 
 
-@query(f"WITH {_P} SELECT lang || '->' || CASE WHEN lang = 'en' THEN 'other' ELSE 'en' END AS direction, count(*) AS n, round(avg(CAST((p >= 0.5) = (truth = 1) AS INTEGER)), 6) AS acc, round(avg(abs(p - truth)), 6) AS mae FROM p GROUP BY 1")
+_TRANSFER_SQL = f"""WITH {_P}, r AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || '|' || n) DESC) AS r FROM p, (SELECT unnest(range(0, 25)) AS n)),
+f AS (SELECT doc_id, unnest(['A', 'N', 'R']) AS f FROM p),
+b AS (SELECT doc_id, CAST('0x' || substr(md5(f || '|' || doc_id), 1, 6) AS BIGINT) / 16777216.0::DOUBLE > 0.4 AS guess, CAST('0x' || substr(md5('t' || f || '|' || doc_id), 1, 4) AS BIGINT) % 2 = 1 AS there FROM f),
+s AS (SELECT doc_id, count(*) FILTER (WHERE guess AND there) AS tp, count(*) FILTER (WHERE guess AND NOT there) AS fp, count(*) FILTER (WHERE there AND NOT guess) AS fn FROM b GROUP BY doc_id)
+SELECT lang || '->' || CASE WHEN lang = 'en' THEN 'other' ELSE 'en' END AS direction, count(*) AS n, round(avg(CAST((p >= 0.5) = (truth = 1) AS INTEGER)), 6) AS acc, round(avg(abs(p - truth)), 6) AS mae,
+  round(avg(CAST(r <= 1 AS INTEGER)), 6) AS top1, round(avg(CAST(r <= 5 AS INTEGER)), 6) AS top5, round(2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))::DOUBLE, 6) AS f1, round(avg(CAST(fp + fn = 0 AS INTEGER)), 6) AS exact
+FROM p JOIN r USING (doc_id) JOIN s USING (doc_id) WHERE n = doc_id % 25 GROUP BY 1"""
+
+
+@query(_TRANSFER_SQL)
 def transfer_metrics(t):
+    """By direction of a transfer: accuracy, error, top-k of 25 classes, and how well sets are met. Scores are arrays of a row, so one aggregation is all that shuffles."""
     direction = F.concat("lang", F.lit("->"), F.when(F.col("lang") == "en", "other").otherwise("en"))
-    return predictions(t).groupBy(direction.alias("direction")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(((F.col("p") >= 0.5) == (F.col("truth") == 1)).cast("int")), 6).alias("acc"), F.round(F.avg(F.abs(F.col("p") - F.col("truth"))), 6).alias("mae"))
+    scores = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda n: F.struct(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), n.cast("string"))).alias("s"), n.alias("n")))
+    rank = F.array_position(F.transform(F.reverse(F.array_sort(scores)), lambda s: s["n"]), (F.col("doc_id") % 25).cast("int"))
+    guess = F.array_compact(F.array(*(F.when(hash_unit(f, "doc_id") > 0.4, f) for f in "ANR")))
+    there = F.array_compact(F.array(*(F.when(hash_mod(f"t{f}", "doc_id", 2) == 1, f) for f in "ANR")))
+    own = predictions(t).withColumns({"direction": direction, "rank": rank, **dict(zip(("tp", "fp", "fn"), set_counts(guess, there), strict=True))})
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    return own.groupBy("direction").agg(
+        F.count(F.lit(1)).alias("n"), share((F.col("p") >= 0.5) == (F.col("truth") == 1)).alias("acc"), F.round(F.avg(F.abs(F.col("p") - F.col("truth"))), 6).alias("mae"),
+        share(F.col("rank") <= 1).alias("top1"), share(F.col("rank") <= 5).alias("top5"), F.round(micro_f1(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("f1"), share(F.col("fp") + F.col("fn") == 0).alias("exact"),
+    )
 
 
 @query(f"WITH {_P} SELECT round(avg(CAST((p >= 0.5) = (truth = 1) AS INTEGER)) FILTER (WHERE fold < 4) - avg(CAST((p >= 0.5) = (truth = 1) AS INTEGER)) FILTER (WHERE fold = 4), 6) AS gap FROM p")

@@ -66,16 +66,33 @@ def moving_average(t):
     return series(t).select("user_id", "i", F.round(F.sum("y").over(by_user().rowsBetween(-3, 3)) / 7, 6).alias("mean7"))
 
 
-@query(f"""WITH {_S}, n AS (SELECT user_id, count(*) AS n, list(y ORDER BY i) AS ys FROM s GROUP BY 1), k AS (SELECT user_id, n, ys, unnest(range(1, n + 1)) AS i FROM n)
-SELECT user_id, i, round(list_sum(list_transform(range(i - 3, i + 4), lambda j: ys[CASE WHEN j < 1 THEN 1 - j WHEN j > n THEN 2 * n + 1 - j ELSE j END])) / 7, 6) AS mean7 FROM k""")
+def _reflected_sql(size: int) -> str:
+    h = size // 2
+    return f"""WITH {_S}, n AS (SELECT user_id, count(*) AS n, list(y ORDER BY i) AS ys FROM s GROUP BY 1), k AS (SELECT user_id, n, ys, unnest(range(1, n + 1)) AS i FROM n)
+SELECT user_id, i, round(list_sum(list_transform(range(i - {h} - 1, i + {h}), lambda j: ys[CASE WHEN (j % (2 * n) + 2 * n) % (2 * n) < n THEN (j % (2 * n) + 2 * n) % (2 * n) + 1 ELSE 2 * n - (j % (2 * n) + 2 * n) % (2 * n) END])) / {size}, 6) AS mean{size} FROM k"""
+
+
+def _reflected_mean(t, size: int):
+    """Centred mean with the ends mirrored, edge points repeated, however short the series: a window frame for rows far from the ends; near them positions are folded back."""
+    h = size // 2
+    i, n = F.col("i"), F.col("n")
+    s = series(t).withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("user_id")), "total": F.sum("y").over(by_user().rowsBetween(-h, h))})
+    near = (i <= h) | (i > n - h)
+    place = F.pmod(F.col("j") - 1, 2 * n)
+    folded = s.where(near).select("user_id", "i", "n", F.explode(F.sequence(i - h, i + h)).alias("j")).select("user_id", "i", F.when(place < n, place + 1).otherwise(2 * n - place).alias("j"))
+    times = folded.groupBy("user_id", "i", "j").agg(F.count(F.lit(1)).alias("k"))
+    ends = times.join(s.select("user_id", F.col("i").alias("j"), "y"), ["user_id", "j"]).groupBy("user_id", "i").agg(F.sum(F.col("k") * F.col("y")).alias("total"))
+    return s.where(~near).select("user_id", "i", "total").unionByName(ends).select("user_id", "i", F.round(F.col("total") / size, 6).alias(f"mean{size}"))
+
+
+@query(_reflected_sql(7))
 def moving_average_reflect(t):
-    """Seven-point mean with the ends mirrored, edge points repeated: positions beyond an end are folded back."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    s = series(t).withColumn("n", n)
-    spread = s.select("user_id", "i", "n", F.explode(F.sequence(F.col("i") - 3, F.col("i") + 3)).alias("j"))
-    at = F.when(F.col("j") < 1, 1 - F.col("j")).when(F.col("j") > F.col("n"), 2 * F.col("n") + 1 - F.col("j")).otherwise(F.col("j"))
-    values = s.select("user_id", F.col("i").alias("j"), "y")
-    return spread.select("user_id", "i", at.alias("j")).join(values, ["user_id", "j"]).groupBy("user_id", "i").agg(F.round(F.sum("y") / 7, 6).alias("mean7"))
+    return _reflected_mean(t, 7)
+
+
+@query(_reflected_sql(181))
+def moving_average_reflect_wide(t):
+    return _reflected_mean(t, 181)
 
 
 @query(f"""WITH {_S}, g AS (SELECT user_id, CASE WHEN lag(y) OVER ({_W}) IS NULL THEN lead(y) OVER ({_W}) - y WHEN lead(y) OVER ({_W}) IS NULL THEN y - lag(y) OVER ({_W}) ELSE (lead(y) OVER ({_W}) - lag(y) OVER ({_W})) / 2 END AS g FROM s) SELECT user_id, round(max(abs(g)), 6) AS steepest FROM g GROUP BY 1""")

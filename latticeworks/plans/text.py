@@ -81,6 +81,19 @@ def path_normalise(t):
     return t.orders.select("o_orderkey", F.regexp_replace(F.concat(F.lit("raw\\"), "o_orderpriority", F.lit("\\x.npy")), r"\\", "/").alias("path"), F.substring_index("o_orderpriority", "-", -1).alias("suffix"))
 
 
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'processed/train' WHEN 'O' THEN 'processed/test' ELSE 'raw' END || '/' || o_custkey || '/' || o_orderkey || '.npy' AS path FROM orders")
+def role_path(t):
+    """The path of a row's file, made anew from its role and ids."""
+    root = F.when(F.col("o_orderstatus") == "F", "processed/train").when(F.col("o_orderstatus") == "O", "processed/test").otherwise("raw")
+    return t.orders.select("o_orderkey", F.concat_ws("/", root, F.col("o_custkey").cast("string"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".npy"))).alias("path"))
+
+
+@query()
+def row_seed(t):
+    """Seeds of each row for two independent draws."""
+    return t.documents.select("doc_id", S.row_seed("source", "doc_id").alias("seed"), S.row_seed("source", "doc_id", second=True).alias("second"))
+
+
 @query("SELECT s_suppkey, round_even(s_acctbal, 0) AS whole, round_even(s_acctbal / 8, 2) AS cents FROM supplier")
 def half_even_rounding(t):
     return t.supplier.select("s_suppkey", F.bround("s_acctbal", 0).alias("whole"), F.bround(F.col("s_acctbal") / 8, 2).alias("cents"))

@@ -1,15 +1,20 @@
 from __future__ import annotations
 
+import os
+import signal
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from latticeworks.functions import crystal as X
 from latticeworks.functions import strings as S
+from latticeworks.functions.isolated import isolated
 from latticeworks.operators.clustering import cluster_values
 from latticeworks.operators.folds import group_folds, turns
 from latticeworks.operators.metrics import calibrated_threshold, ks_statistic, micro_f1, roc_auc, set_counts
-from latticeworks.operators.ranks import percentiles
+from latticeworks.operators.ranks import percentiles, running_sums, take_by_hash
 from latticeworks.operators.relational import assert_disjoint, columns_missing, first_match, keep_one, null_safe_join, one_to_one_left
 from latticeworks.schema import SAMPLE, systems
 from latticeworks.sources import files
@@ -242,3 +247,31 @@ def test_plain_names_are_decomposed(spark):
     got = [r.v for r in spark.createDataFrame(list(enumerate(names)), "i int, n string").orderBy("i").select(S.plain_name(F.col("n")).alias("v")).collect()]
     assert got == ["".join(c for c in unicodedata.normalize("NFKD", n).lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789") for n in names]
     assert spark.range(1).select(S.plain_name(F.lit(None).cast("string")).alias("v")).first().v is None
+
+
+def test_null_keys_are_a_key(spark):
+    rows = [(k, float(v), i) for i, (k, v) in enumerate([(None, 3), (None, 1), ("a", 2), ("a", 8), (None, 5), ("b", 4)])]
+    df = spark.createDataFrame(rows, "k string, v double, i int")
+    assert {r.i: r.s for r in running_sums(df, "v", {"s": F.lit(1)}, ["k"]).collect()} == {1: 1, 0: 2, 4: 3, 2: 1, 3: 2, 5: 1}
+    assert {r.k: r.m for r in percentiles(df, "v", {"m": 0.5}, ["k"]).collect()} == {None: 3.0, "a": 5.0, "b": 4.0}
+    taken = take_by_hash(df.withColumn("d", F.md5(F.col("i").cast("string"))), "d", ["i"], lambda n: F.least(n, F.lit(1)), ["k"])
+    assert taken.count() == 6 and sorted(str(r.k) for r in taken.where("taken").collect()) == ["None", "a", "b"]
+    assert {r.k: r.n1 for r in ks_statistic(df, "v", F.col("i") % 2 == 0, "k").collect()} == {None: 2, "a": 1, "b": 0}
+
+
+def test_only_the_row_at_fault_is_lost(spark):
+    def f(row):
+        if row["i"] in (0, 7, 8, 39):
+            os.kill(os.getpid(), signal.SIGKILL)
+        return {"square": [row["i"] ** 2] * 2} if row["i"] != 3 else {"square": [1 // 0]}
+
+    got = {r.i: (r.value and r.value.square, r.status) for r in isolated(spark.range(40).selectExpr("cast(id as int) as i").repartition(2), f, "i", "struct<square:array<long>>").collect()}
+    assert got == {i: (None, "died") if i in (0, 7, 8, 39) else (None, "error:ZeroDivisionError") if i == 3 else ([i * i] * 2, "ok") for i in range(40)}
+    assert isolated(spark.range(0), lambda row: 1, "id", "long").count() == 0
+
+
+def test_row_seeds(spark):
+    df = spark.createDataFrame([("src", 12), (None, 5), ("é", None)], "s string, i long")
+    got = [(r.a, r.b) for r in df.select(S.row_seed("s", "i").alias("a"), S.row_seed("s", "i", second=True).alias("b")).collect()]
+    want = [zlib.crc32(x.encode()) for x in ("src:12", "5", "é")]
+    assert got == [(x, x ^ 0x9E3779B9) for x in want]
