@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticeworks.llm import fixity, mixing, neardup, packing, quality, resample, scoring, secrets, sharding, substrings, topk
+from latticeworks.llm import fixity, mixing, neardup, packing, pii, quality, resample, scoring, secrets, sharding, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +63,16 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(pages, fixity.damaged(pages))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(_table(spark, sf_dir, "documents")))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_top_k, op2_secret_scan, op3_context_mixing_score, op4_quality_rules, op5_substring_dedup, op6_mix_sources, op7_best_fit_packing, op8_sharding, op9_minhash_near_dedup, op10_merkle_audit, op12_importance_resampling]
+    own = [op1_exact_top_k, op2_secret_scan, op3_context_mixing_score, op4_quality_rules, op5_substring_dedup, op6_mix_sources, op7_best_fit_packing, op8_sharding, op9_minhash_near_dedup, op10_merkle_audit, op11_personal_data, op12_importance_resampling]
     return {f.__name__: f for f in own}
 
 
