@@ -26,8 +26,8 @@ def test_entry_works_without_the_subpackage_and_the_pipeline(tmp_path):
 
 
 def test_entry_registers_every_operator():
-    """Where the subpackage is there, so are its ten queries and, with its file, the pipeline."""
+    """Where the subpackage is there, so are its twelve queries and, with its file, the pipeline."""
     names = listed(REPO)
     if os.path.isdir(os.path.join(REPO, "latticeworks", "llm")):
-        assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+        assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 13))
         assert ("pipeline" in names) == os.path.exists(os.path.join(REPO, "corpus_pipeline.py"))
