@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 import logging
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeworks.streaming.incremental import shared_dir
+from latticeworks.sources.scratch import new_path
 
 log = logging.getLogger("jobs")
 
@@ -51,10 +50,6 @@ def table_source(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str]
     return (folder, "*.parquet") if folder.endswith(f"{name}.parquet") else (sf_dir, f"{name}.parquet")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def arguments(description: str, *names: str):
     """Paths that a job is given, and its settings file."""
     import argparse

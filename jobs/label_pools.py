@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import arguments, counted, log, new_folder, read, settings, written
+from jobs.common import arguments, counted, log, read, settings, written
 from latticeworks.operators.folds import group_folds
 from latticeworks.operators.ranks import take_by_hash
+from latticeworks.sources.scratch import new_path
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of ASCII characters other than digits and letters.
@@ -79,7 +80,7 @@ def run(spark: SparkSession, documents: str, labels: str, out: str, config: dict
 
 def job1_label_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over the whole tables into one new folder: the second finds everything there and leaves it the same."""
-    out, config = new_folder(spark, "job1"), settings("label_pools")
+    out, config = new_path(spark, "job1"), settings("label_pools")
     for _ in range(2):
         pool = run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet", out, config)
     return pool

@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import arguments, log, new_folder, settings, table_source
+from jobs.common import arguments, log, settings, table_source
+from latticeworks.sources.scratch import new_path
 
 POINT = "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, angle double, batch long, reason string, day string"
 PROFILE = "user_id long, n_points long, n_failed long, first_angle double, last_angle double, step double, sparse boolean, least double, most double, mean double, spread double, day string"
@@ -95,7 +96,7 @@ def run(spark: SparkSession, events: str, out: str, checkpoint: str, config: dic
 
 def job2_series_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over the whole table into one new folder: the second finds nothing new."""
-    place = new_folder(spark, "job2")
+    place = new_path(spark, "job2")
     folder, pattern = table_source(spark, sf_dir, "events")
     for _ in range(2):
         profile = run(spark, folder, f"{place}/out", f"{place}/checkpoint", settings("series_store") | {"pattern": pattern})

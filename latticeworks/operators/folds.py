@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from latticeworks.operators.ranks import running_sums
+from latticeworks.sources.scratch import written
 
 
 def turns(loads: list[int], size: int, groups: int) -> list[tuple[int, list[int]]]:
@@ -45,18 +45,16 @@ def group_folds(df: DataFrame, key: str, k: int) -> DataFrame:
 
     The rule is sequential, but groups of one size differ only in their turn. So the driver goes over the different
     sizes (n rows have fewer than the root of 2 n), and each group finds its turn by its rank among those of its size.
+    Keys may be numbers or texts: ranks are found in ranges of bounded size.
     """
     spark = df.sparkSession
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    sizes = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("size")), "group-sizes")
     loads, runs = [0] * k, []
     for row in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect():
         made = turns(loads, row["size"], row["n"])
         runs.append((row["size"], [{"first": a, "folds": f} for a, f in made]))
     table = spark.createDataFrame(runs, "size long, runs array<struct<first:long,folds:array<int>>>")
-    if isinstance(sizes.schema[key].dataType, T.NumericType):
-        ranked = running_sums(sizes, key, {"rank": F.lit(1)}, ["size"]).withColumn("rank", F.col("rank") - 1)
-    else:
-        ranked = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy(key)) - 1)
+    ranked = running_sums(sizes, key, {"rank": F.lit(1)}, ["size"]).withColumn("rank", F.col("rank") - 1)
     own = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1)
     turn = own["folds"][F.pmod(F.col("rank") - own["first"], F.size(own["folds"])).cast("int")]
     return ranked.join(table, "size").select(key, turn.alias("fold"))

@@ -1,7 +1,7 @@
 """Running sums, ranks and hash quotas over whole tables without a window that holds one.
 
-A table is cut into value or hash buckets; sums of buckets, a short table, say where each bucket begins, and windows
-run inside buckets only.
+A table is cut into ranges or hash buckets, as many as its size asks for; their sums, a short table, say where each
+begins, and windows run inside them only.
 """
 
 from __future__ import annotations
@@ -12,25 +12,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeworks.operators.relational import null_safe_join
+from latticeworks.sources.scratch import written
 
 
-def value_bounds(df: DataFrame, value: str, n: int = 64) -> list[float]:
-    """At most n - 1 bounds that cut the values into about equal parts: one sketch, whatever the input."""
-    row = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000)).first()
-    return sorted({float(x) for x in row[0] or []})
+#: Rows of a range, about: as many as one task orders without effort.
+RANGE_ROWS = 1_000_000
 
 
-def running_sums(df: DataFrame, value: str, sums: dict[str, Column], keys: Sequence[str] = (), ties: Sequence[str] = (), n: int = 64) -> DataFrame:
-    """Adds sums up to and including each row, in rising order of value and then ties, for each key; null keys are a key of their own."""
-    bounds = F.array(*(F.lit(b) for b in value_bounds(df, value, n))).cast("array<double>")
-    cut = df.withColumns({"_bucket": F.size(F.filter(bounds, lambda b: b <= F.col(value))), **{f"_{k}": c for k, c in sums.items()}})
-    totals = cut.groupBy(*keys, "_bucket").agg(*(F.sum(f"_{k}").alias(f"_t_{k}") for k in sums))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_s_{k}") for k in sums))
-    own = Window.partitionBy(*keys, "_bucket").orderBy(value, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    run = cut.withColumns({k: F.sum(f"_{k}").over(own) for k in sums})
-    out = null_safe_join(run, starts, [*keys, "_bucket"], "inner") if keys else run.join(starts, "_bucket")
-    return out.select(*df.columns, *((F.col(k) + F.col(f"_s_{k}")).alias(k) for k in sums))
+def ordered_ranges(df: DataFrame, by: Sequence[Column | str], rows: int | None = None, least: int = 1) -> DataFrame:
+    """The table, written, cut into ranges of about half ``rows`` rows at most in the order of ``by``; ``_part`` rises with the order.
+
+    Spark's own range exchange draws the splitters, for any types that can be ordered, a hundred samples a range. Rows
+    that are equal in ``by`` must not be many: callers put a key that tells them apart at its end.
+    """
+    n = df.count()
+    parts = max(least, -(-2 * n // (rows or RANGE_ROWS)))
+    dealt = df.repartitionByRange(parts, *by) if parts > 1 else df.coalesce(1)
+    return written(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def running_sums(df: DataFrame, value: str, sums: dict[str, Column], keys: Sequence[str] = (), ties: Sequence[str] = (), n: int = 1, rows: int | None = None) -> DataFrame:
+    """Adds sums up to and including each row, in rising order of value and then ties, for each key; null keys are a key of their own, null values come first.
+
+    Equal rows are one row with their number first. The different ones are cut into ranges of bounded size (``n`` at
+    least) by key, value, ties and a hash of the row, so that a value which is half of the table is many ranges. Windows
+    run inside ranges; sums of ranges, a short table, say where each begins. Values of any ordered type will do.
+    """
+    own = [f"_{k}" for k in sums]
+    one = written(df.withColumns({f"_{k}": c for k, c in sums.items()}).groupBy(*df.columns, *own).agg(F.count(F.lit(1)).alias("_m")), "different")
+    one = one.withColumn("_h", F.xxhash64(*df.columns))
+    cut = ordered_ranges(one, [*keys, value, *ties, "_h"], rows, n)
+    totals = cut.groupBy(*keys, "_part").agg(*(F.sum(F.col(f"_{k}") * F.col("_m")).alias(f"_t_{k}") for k in sums))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_part", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_s_{k}") for k in sums))
+    inside = Window.partitionBy(*keys, "_part").orderBy(value, *ties, "_h").rowsBetween(Window.unboundedPreceding, 0)
+    run = cut.withColumns({f"_r_{k}": F.sum(F.col(f"_{k}") * F.col("_m")).over(inside) for k in sums})
+    out = null_safe_join(run, starts, [*keys, "_part"], "inner")
+    copies = out.withColumn("_after", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    return copies.select(*df.columns, *((F.col(f"_s_{k}") + F.col(f"_r_{k}") - F.col("_after") * F.col(f"_{k}")).alias(k) for k in sums))
 
 
 def take_by_hash(df: DataFrame, digest: str, ties: Sequence[str], quota: Callable[[Column], Column], strata: Sequence[str] = (), flag: str = "taken") -> DataFrame:

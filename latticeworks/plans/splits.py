@@ -80,6 +80,13 @@ def group_kfold(t):
     return t.customer.join(folds, "c_nationkey").select("c_custkey", "fold")
 
 
+@query(_FOLD_SQL.replace("c_nationkey", "p_name").replace("customer", "part").replace("c_custkey", "p_partkey").replace("-1, -1, -1", "-1, '', -1").replace("SELECT 0, -1", "SELECT 0, ''"))
+def group_kfold_text(t):
+    """The same over texts as keys, most of them groups of one or two rows."""
+    folds = group_folds(t.part, "p_name", 5)
+    return t.part.join(folds, "p_name").select("p_partkey", "fold")
+
+
 _ATTEMPTS_SQL = """WITH g AS (SELECT DISTINCT c_nationkey AS key FROM customer), a AS (SELECT attempt, key, row_number() OVER (PARTITION BY attempt ORDER BY md5(attempt || '|' || key), key) AS r FROM g, (SELECT unnest(range(0, 30)) AS attempt)),
 v AS (SELECT attempt, count(DISTINCT c_mktsegment || n_regionkey) AS coverage FROM a JOIN customer ON c_nationkey = key JOIN nation ON n_nationkey = key WHERE r <= 5 GROUP BY attempt)
 SELECT attempt, coverage FROM v ORDER BY coverage DESC, attempt LIMIT 1"""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticeworks.registry import Tables, query
+from latticeworks.sources.scratch import new_path
 
 
 def event_stream(spark: SparkSession, folder: str, max_files: int = 4, glob: str = "*") -> DataFrame:
@@ -51,16 +49,6 @@ def merge_retries(old: DataFrame, new: DataFrame, key: str, failed: str) -> Data
     return old.join(retry, key, "left").select(key, *(F.when(use, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in columns))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, named by ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs on one machine."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="latticeworks-")
-    return place.rstrip("/")
-
-
 def latest(stream: DataFrame, keys: list[str], target: str, checkpoint: str) -> DataFrame:
     """Runs a stream of updates to its end and gives each key's last state. Updates are written as files under the number of their batch, so a batch that is run again replaces itself."""
     spark = stream.sparkSession
@@ -77,7 +65,7 @@ def latest(stream: DataFrame, keys: list[str], target: str, checkpoint: str) ->
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(t: Tables) -> DataFrame:
     """Daily counts by type, computed by the stream over the events file to its end; state older than the watermark is dropped."""
-    place = f"{shared_dir(t.spark)}/window-counts-{uuid.uuid4().hex}"
+    place = new_path(t.spark, "window-counts")
     folder = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").inputFiles()[0].rsplit("/", 1)[0]
     # The table is one file beside others, or a folder of its own.
     own = event_stream(t.spark, folder) if folder.endswith("events.parquet") else event_stream(t.spark, t.sf_dir, glob="events.parquet")
