@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from latticeworks.functions import kernels as K
+from latticeworks.operators import peaks
 from latticeworks.plans.common import SERIES_SQL, by_user, series
 from latticeworks.registry import query
 
@@ -115,6 +116,57 @@ def local_maxima(t):
     return _peaks(t).select("user_id", "i", F.round("x", 6).alias("x"), "y")
 
 
+_TOPS_SQL = f"""{_S}, flat AS (SELECT user_id, i, y FROM (SELECT *, lag(y) OVER ({_W}) AS b FROM s) WHERE b IS NULL OR y <> b),
+k AS (SELECT user_id, (i + "end" - 1) // 2 AS i, y FROM (SELECT *, lead(i) OVER ({_W}) AS "end", lag(y) OVER ({_W}) AS a, lead(y) OVER ({_W}) AS b FROM flat) WHERE y > a AND y > b)"""
+
+# Greedy, so in SQL a recursion over each user's peaks from the highest down.
+_APART_SQL = f"""{_TOPS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY y DESC, i DESC) AS r FROM k),
+g(user_id, r, kept) AS (
+  SELECT user_id, r, [i] FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.user_id, o.r, CASE WHEN len(list_filter(kept, lambda q: abs(q - o.i) < 3)) > 0 THEN kept ELSE list_append(kept, o.i) END FROM g JOIN o ON o.user_id = g.user_id AND o.r = g.r + 1),
+d AS (SELECT user_id, unnest(max_by(kept, r)) AS i FROM g GROUP BY user_id), t AS (SELECT user_id, i, y FROM d JOIN k USING (user_id, i))"""
+
+_HEIGHT_SQL = """
+h AS (
+  SELECT t.user_id, t.i, t.y, coalesce((SELECT max(s.i) FROM s WHERE s.user_id = t.user_id AND s.i < t.i AND s.y > t.y), 0) AS l,
+    coalesce((SELECT min(s.i) FROM s WHERE s.user_id = t.user_id AND s.i > t.i AND s.y > t.y), 1000000000) AS r FROM {peaks} t),
+p AS (
+  SELECT h.user_id, h.i, h.y, h.y - greatest(min(s.y) FILTER (WHERE s.i <= h.i), min(s.y) FILTER (WHERE s.i >= h.i)) AS prominence
+  FROM h JOIN s ON s.user_id = h.user_id AND s.i > l AND s.i < r GROUP BY h.user_id, h.i, h.y)"""
+
+
+def _points(t):
+    return series(t).select(F.col("user_id").alias("s"), "i", "y")
+
+
+@query(f"WITH {_TOPS_SQL}, {_HEIGHT_SQL.format(peaks='k')} SELECT user_id, i, y, round(prominence, 6) AS prominence FROM p")
+def peak_prominence(t):
+    """Every local maximum with its height over its surroundings: up to the nearest higher point on either side, found through blocks of blocks."""
+    points = _points(t)
+    found = peaks.prominences(peaks.blocks(points), peaks.local_maxima(points))
+    return found.select(F.col("s").alias("user_id"), "i", "y", F.round("prominence", 6).alias("prominence"))
+
+
+@query(f"WITH RECURSIVE {_APART_SQL} SELECT user_id, i, y FROM t")
+def peak_distance(t):
+    """The peaks left when higher ones take the place of those nearer than three points."""
+    return peaks.suppress(peaks.local_maxima(_points(t)), 3).select(F.col("s").alias("user_id"), "i", "y")
+
+
+@query(f"""WITH RECURSIVE {_APART_SQL}, {_HEIGHT_SQL.format(peaks='t')},
+q AS (SELECT *, y - prominence * 0.5 AS line FROM p WHERE prominence >= 20),
+e AS (
+  SELECT *, (SELECT max(s.i) FROM s WHERE s.user_id = q.user_id AND s.i < q.i AND s.y <= line) AS l, (SELECT min(s.i) FROM s WHERE s.user_id = q.user_id AND s.i > q.i AND s.y <= line) AS r FROM q)
+SELECT e.user_id, e.i, e.y, round(prominence, 6) AS prominence,
+  round(r - CASE WHEN b.y < line THEN (line - b.y) / (b1.y - b.y) ELSE 0 END - (l + CASE WHEN a.y < line THEN (line - a.y) / (a1.y - a.y) ELSE 0 END), 6) AS width
+FROM e JOIN s a ON a.user_id = e.user_id AND a.i = l JOIN s a1 ON a1.user_id = e.user_id AND a1.i = l + 1 JOIN s b ON b.user_id = e.user_id AND b.i = r JOIN s b1 ON b1.user_id = e.user_id AND b1.i = r - 1""")
+def peak_widths(t):
+    """Peaks three points apart that stand out by twenty, with their widths at half that height."""
+    found = peaks.find_peaks(_points(t), 20.0, 3)
+    return found.select(F.col("s").alias("user_id"), "i", "y", F.round("prominence", 6).alias("prominence"), F.round("width", 6).alias("width"))
+
+
 @query(f"WITH {_PEAKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY y DESC, i) AS r, max(y) OVER (PARTITION BY user_id) AS top FROM k) SELECT user_id, i, y, r AS rank FROM r WHERE r <= 5 AND y >= 0.05 * top")
 def top_n_peaks(t):
     own = Window.partitionBy("user_id")
@@ -130,11 +182,15 @@ def adjacent_gap_fraction(t):
 
 @query(f"WITH {_PEAKS_SQL} SELECT k.user_id, k.i, count(s.x) FILTER (WHERE s.y / k.y BETWEEN 0.25 AND 0.75) > 0 AS shoulder FROM k LEFT JOIN s ON s.user_id = k.user_id AND s.x BETWEEN k.x + 0.5 AND k.x + 2.5 GROUP BY k.user_id, k.i")
 def shoulder_probe(t):
-    """A point at a quarter to three quarters of the peak's height, just after it. The probe is a range frame over x in millionths, not a join."""
-    near = Window.partitionBy("user_id").orderBy(F.round(F.col("x") * 1_000_000).cast("long"))
-    after = F.collect_list("y").over(near.rangeBetween(500_000, 2_500_000))
-    p = series(t).withColumns({"a": F.lag("y").over(by_user()), "b": F.lead("y").over(by_user()), "after": after}).where("y > a and y > b")
-    return p.select("user_id", "i", F.exists("after", lambda v: (v / F.col("y")).between(0.25, 0.75)).alias("shoulder"))
+    """A point at a quarter to three quarters of the peak's height, just after it: a band join by slices as wide as the band, so that a peak looks into two, and a semi join, so that the first point found is enough."""
+    low, high = 0.5, 2.5
+    of = lambda x: F.floor(x / (high - low))
+    s = series(t)
+    tops = _peaks(t).withColumn("slice", F.explode(F.array_distinct(F.array(of(F.col("x") + low), of(F.col("x") + high)))))
+    after = s.select(F.col("user_id").alias("u"), of(F.col("x")).alias("at"), F.col("x").alias("px"), F.col("y").alias("py"))
+    on = (F.col("user_id") == F.col("u")) & (F.col("slice") == F.col("at")) & F.col("px").between(F.col("x") + low, F.col("x") + high) & F.try_divide("py", "y").between(0.25, 0.75)
+    found = tops.join(after, on, "left_semi").select("user_id", "i").distinct().withColumn("shoulder", F.lit(True))
+    return _peaks(t).select("user_id", "i").join(found, ["user_id", "i"], "left").select("user_id", "i", F.coalesce("shoulder", F.lit(False)).alias("shoulder"))
 
 
 @query(f"""WITH {_S}, h AS (SELECT user_id, max(CAST(floor(x / 3) AS INTEGER)) AS top FROM s GROUP BY 1), b AS (SELECT user_id, CAST(floor(x / 3) AS INTEGER) AS bin, avg(y) AS y FROM s GROUP BY 1, 2), p AS (SELECT a.user_id AS one, c.user_id AS other, corr(a.y, c.y) AS r, count(*) AS n FROM b a JOIN b c ON a.bin = c.bin AND c.user_id = a.user_id + 1 GROUP BY 1, 2) SELECT one, other, round(r, 6) AS r, n FROM p""")
