@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,12 @@ def window_minimizers(low: np.ndarray, width: int, gram: int) -> np.ndarray:
     return low
 
 
+def digests(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A digest of each run of word hashes. Unlike a running polynomial of 64 bits it has no patterns of words that any base maps to one value."""
+    data = memoryview(np.ascontiguousarray(values)).cast("B")
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), _U, len(starts))
+
+
 def fragments(values: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
     """Runs of windows with one minimizer: document, first word (in the batch), number of windows, minimizer, hash of the words, and whether the minimizer lies in the run more than once."""
     none = np.empty(0, np.int64)
@@ -74,7 +81,7 @@ def fragments(values: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     ends = np.cumsum(size)
     place = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(start, size)
     again = np.add.reduceat((grams[place] == np.repeat(m, size)).astype(np.int32), ends - size) > 1
-    return {"doc": at[first], "start": start, "n": n, "m": m, "f": hashes.runs(start, start + n + width - 1), "again": again}
+    return {"doc": at[first], "start": start, "n": n, "m": m, "f": digests(values, start, start + n + width - 1), "again": again}
 
 
 # --- FM-index ------------------------------------------------------------------------------------------------------

@@ -532,3 +532,18 @@ def test_held_out_bits(spark):
         pytest.skip("no tables")
     got = queries.op3_context_mixing_score(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("-sum(score) / log10(2) / sum(n_bytes) as b", "sum(score) as s", "sum(base_score) as u").first()
     assert got.b < 2.5 and got.s > got.u
+
+
+def test_documents_that_differ_by_a_pattern_are_not_taken_for_one(spark):
+    """Two words that follow the Thue-Morse sequence in one document and its complement in the other: a polynomial hash modulo 2^64 can't tell the two apart, whatever its base. No window occurs twice, so no word goes."""
+    shared = " ".join(f"common{i}" for i in range(8))
+    texts = ["", ""]
+    for block in range(512):
+        odd = bin(block).count("1") % 2
+        alone = " ".join(f"only{block}x{i}" for i in range(7))
+        for k in range(2):
+            texts[k] += f"{shared} {('pp', 'qq')[odd ^ k]} {alone} "
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.n_words, r.n_removed) for r in got] == [(8192, 0)] * 2
+    thrice = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, texts[1])], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(thrice).collect()} == {0: 0, 1: 8192, 2: 8192}
