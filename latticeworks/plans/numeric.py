@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from latticeworks.functions import crystal as X
 from latticeworks.functions import profile as R
+from latticeworks.operators import domains
 from latticeworks.operators.metrics import roc_auc
 from latticeworks.operators.ranks import running_sums
 from latticeworks.registry import query
@@ -234,3 +235,13 @@ def domain_report(t):
     """AUC of every feature for each pair of domains with enough rows."""
     long = t.embeddings.select((F.col("label") % 2 == 1).alias("side"), (F.col("vec_id") % 3).alias("pair"), F.posexplode("embedding").alias("k", "v")).withColumns({"k": F.col("k").cast("long"), "v": F.col("v").cast("double")})
     return roc_auc(long, "v", F.col("side"), "pair", "k").where("n1 >= 10 and n0 >= 10").select("pair", "k", F.round("auc", 6).alias("auc"), F.col("n1").alias("n_real"), F.col("n0").alias("n_synth"))
+
+
+@query()
+def domain_model_report(t):
+    """Pairs of domains told apart by boosted trees over all vector components: AUC over folds, rows on either side, the five features that carry it."""
+    size = 64  # components of these vectors
+    features = [f"f{k:02}" for k in range(size)]
+    rows = t.embeddings.select((F.col("vec_id") % 2).alias("pair"), F.col("vec_id").alias("id"), (F.col("label") % 2 == 1).alias("side"), *(F.get("embedding", F.lit(k)).cast("double").alias(f) for k, f in enumerate(features)))
+    found = domains.report(rows, features, folds=2, repeats=3, trees=8, depth=3, least=20)
+    return found.select("pair", F.round("auc", 6).alias("auc"), F.col("n1").alias("n_real"), F.col("n0").alias("n_synth"), "top_features", "verdict")

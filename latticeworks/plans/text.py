@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticeworks.functions import strings as S
+from latticeworks.operators import symbols as symbol_table
 from latticeworks.registry import query
 
 _CELL_SQL = "SELECT p_partkey, 'a: ' || p_retailprice || '(3) b: ' || p_size || ' alpha: 90 beta: 99.65(1) gamma: ' || p_size || ' crystal system: ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' c: 7.5' ELSE '' END AS cell FROM part"
@@ -150,6 +151,33 @@ def symbol_resolve(t):
     return own.join(table, "symbol", "left").select("p_partkey", "number", S.crystal_system(F.col("number")).alias("system"))
 
 
+_SPELLED_SQL = """
+w AS (SELECT p_partkey AS key, [p_name, '_' || p_brand || ' ' || p_size % 9, p_type] AS symbols FROM part),
+v AS (SELECT key, flatten(list_transform(symbols, lambda s: [s, replace(s, '_', ''), regexp_replace(replace(s, '_', ''), '\\s+', '', 'g')])) AS all_of FROM w),
+u AS (SELECT key, unnest(all_of) AS candidate, unnest(range(1, len(all_of) + 1)) AS i FROM v),
+f AS (SELECT key, candidate, min(i) AS i FROM u GROUP BY ALL), c AS (SELECT key, candidate, CAST(row_number() OVER (PARTITION BY key ORDER BY i) AS INTEGER) AS rank FROM f)"""
+
+
+def _spelled(t):
+    """Each part's name, brand (with a size in subscript digits and marks) and, in parentheses, type."""
+    size = F.translate((F.col("p_size") % 9).cast("string"), "0123456789", "₀₁₂₃₄₅₆₇₈₉")
+    return t.part.select("p_partkey", F.concat("p_name", F.lit(" | _"), "p_brand", F.lit(" "), size, F.lit(" ("), "p_type", F.lit(")")).alias("text"))
+
+
+@query(f"WITH {_SPELLED_SQL} SELECT key AS p_partkey, rank, candidate FROM c")
+def symbol_candidates(t):
+    """The spellings to try for each part, in turn, by the table function."""
+    return symbol_table.candidates(_spelled(t), "p_partkey", "text").select(F.col("key").alias("p_partkey"), "rank", "candidate")
+
+
+@query(f"""WITH {_SPELLED_SQL}, d AS (SELECT DISTINCT replace(p_brand, '_', '') || p_size % 9 AS symbol, 10 * (p_size % 9) + length(p_brand) AS number FROM part WHERE p_size % 9 < 7)
+SELECT key AS p_partkey, arg_min(number, rank) AS number, arg_min(candidate, rank) AS candidate FROM c JOIN d ON symbol = candidate GROUP BY key""")
+def symbol_lookup(t):
+    """The first spelling that a table of symbols has, with its number."""
+    table = t.part.where("p_size % 9 < 7").select(F.concat(F.regexp_replace("p_brand", "_", ""), (F.col("p_size") % 9).cast("string")).alias("symbol"), (10 * (F.col("p_size") % 9) + F.length("p_brand")).cast("long").alias("number")).distinct()
+    return symbol_table.resolve(_spelled(t), "p_partkey", "text", table).select(F.col("key").alias("p_partkey"), "number", "candidate")
+
+
 @query("""WITH c AS (SELECT p_partkey, p_size % 4 + 1.0::DOUBLE AS a, p_size % 3 + 1.0::DOUBLE AS b, p_size % 2 + 1.0::DOUBLE AS c, CASE WHEN p_size % 5 = 0 THEN 100 ELSE 90 END AS be, CASE WHEN p_size % 7 = 0 THEN 120 ELSE 90 END AS ga FROM part)
 SELECT p_partkey, CASE WHEN be = 90 AND ga = 90 AND a = b AND b = c THEN 'cubic' WHEN be = 90 AND ga = 90 AND a = b THEN 'tetragonal' WHEN be = 90 AND ga = 90 THEN 'orthorhombic' WHEN a = b AND be = 90 AND ga = 120 THEN 'hexagonal' WHEN ga = 90 AND be <> 90 THEN 'monoclinic' ELSE 'triclinic' END AS system FROM c""")
 def lattice_system_case(t):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticeworks.registry import Tables, query
+from latticeworks.sources import indexed
+from latticeworks.sources.indexed import merge_in_place
 from latticeworks.sources.scratch import new_path
 
 
@@ -83,6 +85,34 @@ def retry_merge(t: Tables) -> DataFrame:
     return merge_retries(old, new, "event_id", "failed").select("event_id", F.round("value", 4).alias("value"), "failed")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 10 = 3 AND event_id % 4 <> 0 THEN round(value * 2, 4) ELSE round(value, 4) END AS value, event_id % 10 = 3 AND event_id % 4 = 0 AS failed FROM events")
+def retry_merge_in_place(t: Tables) -> DataFrame:
+    """The same against a store by day: only the days with retries are written again."""
+    path, bad = new_path(t.spark, "store"), F.col("event_id") % 10 == 3
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    t.events.select("event_id", "value", bad.alias("failed"), day).write.partitionBy("day").parquet(path)
+    new = t.events.where(bad & (F.col("event_id") % 4 != 0)).select("event_id", (F.col("value") * 2).alias("value"), F.lit(False).alias("failed"), day)
+    merge_in_place(t.spark, path, new, "event_id", F.col("failed"), "day")
+    return t.spark.read.parquet(path).select("event_id", F.round("value", 4).alias("value"), "failed")
+
+
+@query("SELECT * FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM (SELECT DISTINCT o_orderkey FROM orders) ORDER BY md5('k|' || o_orderkey), o_orderkey LIMIT 100)")
+def point_lookup(t: Tables) -> DataFrame:
+    """A hundred orders by key out of the whole table, written in order with Bloom filters."""
+    path = new_path(t.spark, "orders")
+    indexed.write_indexed(t.orders, path, "o_orderkey", files=8)
+    keys = t.orders.select("o_orderkey").distinct().orderBy(F.md5(F.concat(F.lit("k|"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(100)
+    return indexed.point_lookup(t.spark, path, "o_orderkey", [r[0] for r in keys.collect()])
+
+
+@query("SELECT shard, count(*) AS rows, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey, o_custkey) - 1) // 400 AS shard FROM orders) GROUP BY shard")
+def shard_index(t: Tables) -> DataFrame:
+    """Orders in numbered shards of 400 rows, and what each holds."""
+    path = new_path(t.spark, "shards")
+    indexed.write_shards(t.orders, path, "o_orderkey", 400, ["o_custkey"])
+    return indexed.shard_index(t.spark, path, "o_orderkey")
+
+
 @query("SELECT user_id, count(*) AS events, count(*) FILTER (WHERE gap > 86400) + 1 AS sessions FROM (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000000.0 AS gap FROM events) GROUP BY user_id")
 def sessions(t: Tables) -> DataFrame:
     """Runs of a user's events without a gap over a day."""
