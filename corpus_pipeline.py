@@ -6,7 +6,7 @@ stage's docs. All but the last return the columns of ``documents``; later stages
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeworks.llm import mixing, neardup, packing, quality, secrets
@@ -23,9 +23,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each group of near duplicates: the one with the smallest id (nulls last), of equal ids the one with the smallest uid, and of repeated rows one."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
     kept = neardup.near_duplicates(docs).groupBy("component").agg(first.alias("first")).select("first.uid")
-    keyed = docs.select(neardup.row_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(kept, "uid")
-    one = F.row_number().over(Window.partitionBy("uid").orderBy("uid"))
-    return keyed.withColumn("turn", one).where("turn = 1").select("row.*")
+    # Repeated rows are one before they meet, so that a row which is a third of all is a few in each partition's share.
+    keyed = docs.select(neardup.row_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).dropDuplicates(["uid"])
+    return keyed.join(kept, "uid").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
