@@ -74,3 +74,26 @@ def symop_rotation(op: Column) -> Column:
     parts = F.transform(F.split(F.lower(F.regexp_replace(op, r"\s", "")), ","), lambda p: p)
     sign = lambda p, a: F.when(p.rlike(rf"-{a}"), -1).when(p.rlike(a), 1).otherwise(0)
     return F.flatten(F.transform(parts, lambda p: F.array(*(sign(p, a) for a in "xyz"))))
+
+
+def symop_translation(op: Column) -> Column:
+    """Three shifts of an operator like ``x,-y+1/4,z+0.5``: fractions or decimals, 0 where there is none."""
+    parts = F.split(F.regexp_replace(op, r"\s", ""), ",")
+    fraction = r"([+-]?\d+)/(\d+)"
+    whole = lambda p: F.try_divide(F.regexp_extract(p, fraction, 1).try_cast("double"), F.regexp_extract(p, fraction, 2).try_cast("double"))
+    return F.transform(parts, lambda p: F.coalesce(whole(p), F.regexp_extract(p, r"([+-]?\d*\.\d+)", 1).try_cast("double"), F.lit(0.0)))
+
+
+def inverse_d_squared(h: Column, k: Column, l: Column, r: dict[str, Column]) -> Column:  # noqa: E741
+    """1 / d^2 of a reflection from the reciprocal cell that ``reciprocal`` gives."""
+    a, b, c = r["ra"], r["rb"], r["rc"]
+    mixed = k * l * b * c * r["cos_ra"] + h * l * a * c * r["cos_rb"] + h * k * a * b * r["cos_rc"]
+    return h * h * a * a + k * k * b * b + l * l * c * c + 2 * mixed
+
+
+def interpolate(nodes: Column, position: Column) -> Column:
+    """Linear interpolation in an array of nodes at positions 0, 1, 2, ...; beyond either end the last value holds."""
+    at = F.least(F.greatest(position, F.lit(0.0)), (F.size(nodes) - 1).cast("double"))
+    k = F.least(F.floor(at), (F.size(nodes) - 2).cast("long")).cast("int")
+    w = at - k
+    return F.when(F.size(nodes) == 1, F.get(nodes, F.lit(0))).otherwise(F.get(nodes, k) * (1 - w) + F.get(nodes, k + 1) * w)

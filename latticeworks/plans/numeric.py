@@ -12,6 +12,7 @@ from latticeworks.functions import profile as R
 from latticeworks.operators import domains
 from latticeworks.operators.metrics import roc_auc
 from latticeworks.operators.ranks import running_sums
+from latticeworks.operators.reflections import reflections
 from latticeworks.registry import query
 
 #: Shuffles of each feature that permutation importance averages over.
@@ -64,9 +65,46 @@ def _orbits(spark):
     return _hkl(spark).select(key.alias("key"), "n").groupBy(F.col("key")[2].alias("h"), F.col("key")[1].alias("k"), F.col("key")[0].alias("l"), "n").agg(F.count(F.lit(1)).alias("multiplicity"))
 
 
-@query(f"WITH {_ORBIT_SQL} SELECT h, k, l, multiplicity FROM u")
+#: Rotations of three classes of structures: none but the identity, a fourfold axis, a threefold axis along the diagonal.
+_OPS = (
+    ((1, 0, 0, 0, 1, 0, 0, 0, 1),),
+    ((1, 0, 0, 0, 1, 0, 0, 0, 1), (0, -1, 0, 1, 0, 0, 0, 0, 1), (-1, 0, 0, 0, -1, 0, 0, 0, 1), (0, 1, 0, -1, 0, 0, 0, 0, 1)),
+    ((1, 0, 0, 0, 1, 0, 0, 0, 1), (0, 0, 1, 1, 0, 0, 0, 1, 0), (0, 1, 0, 0, 0, 1, 1, 0, 0)),
+)
+
+_STRUCTURE_SQL = f"""
+c AS (
+  SELECT p_partkey AS id, p_size % 3 AS class, 3 + p_size / 25.0::DOUBLE AS a, 3 + (p_size + CASE WHEN p_size % 3 = 0 THEN p_size % 7 ELSE 0 END) / 25.0::DOUBLE AS b,
+    3 + (p_size + CASE WHEN p_size % 3 < 2 THEN p_size % 5 ELSE 0 END) / 25.0::DOUBLE AS c, CASE WHEN p_size % 3 = 0 THEN 85.0 + p_size % 4 ELSE 90 END::DOUBLE AS be FROM part),
+o AS (SELECT c.*, CASE class {" ".join(f"WHEN {k} THEN {[list(r) for r in ops]}" for k, ops in enumerate(_OPS))} END AS ops, a * b * c * sin(radians(be)) AS v, 1.5406 / (2 * sin(radians(30))) AS least FROM c),
+t AS (SELECT * FROM (SELECT *, unnest(range(-CAST(floor(a / least) AS INTEGER), CAST(floor(a / least) AS INTEGER) + 1)) AS h FROM o)),
+t2 AS (SELECT *, unnest(range(-CAST(floor(b / least) AS INTEGER), CAST(floor(b / least) AS INTEGER) + 1)) AS k FROM t),
+t3 AS (SELECT *, unnest(range(-CAST(floor(c / least) AS INTEGER), CAST(floor(c / least) AS INTEGER) + 1)) AS l FROM t2),
+s AS (
+  SELECT *, 1 / sqrt(pow(h / (a * sin(radians(be))), 2) + pow(k / b, 2) + pow(l / (c * sin(radians(be))), 2) - 2 * h * l * cos(radians(be)) / (a * c * pow(sin(radians(be)), 2))) AS d
+  FROM t3 WHERE h <> 0 OR k <> 0 OR l <> 0),
+i AS (
+  SELECT *, list_transform(ops, lambda r: [r[1] * h + r[2] * k + r[3] * l, r[4] * h + r[5] * k + r[6] * l, r[7] * h + r[8] * k + r[9] * l]) AS images
+  FROM s WHERE d >= least AND d <= 1.5406 / (2 * sin(radians(5)))),
+r AS (SELECT *, list_distinct(list_concat(images, list_transform(images, lambda x: [-x[1], -x[2], -x[3]]))) AS orbit FROM i)"""
+
+
+def structures(t):
+    """(id, cell, ops): a structure for each part, of one of three classes by its size."""
+    size, kind = F.col("p_size"), F.col("p_size") % 3
+    edge = lambda extra: 3 + (size + extra) / 25.0
+    listed = [F.array(*(F.array(*(F.lit(x) for x in r)) for r in ops)) for ops in _OPS]
+    ops = F.when(kind == 0, listed[0]).when(kind == 1, listed[1]).otherwise(listed[2])
+    b, c = edge(F.when(kind == 0, size % 7).otherwise(0)), edge(F.when(kind < 2, size % 5).otherwise(0))
+    right = F.lit(90.0)
+    return t.part.select(F.col("p_partkey").alias("id"), edge(0).alias("a"), b.alias("b"), c.alias("c"), right.alias("al"), F.when(kind == 0, 85.0 + size % 4).otherwise(90.0).alias("be"), right.alias("ga"), ops.alias("ops"))
+
+
+@query(f"WITH {_STRUCTURE_SQL} SELECT id AS p_partkey, h, k, l, len(orbit) AS multiplicity, round(d, 6) AS d, round(degrees(2 * asin(1.5406 / (2 * d))), 5) AS two_theta FROM r WHERE [h, k, l] = list_max(orbit)")
 def hkl_enumeration(t):
-    return _orbits(t.spark).select("h", "k", "l", "multiplicity")
+    """The reflections of every part's structure between 10 and 60 degrees, one triple an orbit."""
+    found = reflections(structures(t), 1.5406, 10.0, 60.0)
+    return found.select(F.col("id").alias("p_partkey"), *(F.col(c).cast("long").alias(c) for c in "hkl"), "multiplicity", F.round("d", 6).alias("d"), F.round("two_theta", 5).alias("two_theta"))
 
 
 _BRAGG_SQL = f"{_ORBIT_SQL}, d AS (SELECT DISTINCT 3 + p_size / 10.0::DOUBLE AS a FROM part), b AS (SELECT a, h, k, l, n, multiplicity, a / sqrt(n) AS d, 1.5406 / (2 * a / sqrt(n)) AS s FROM d, u)"
@@ -112,6 +150,17 @@ def form_factor_interp(t):
     return t.part.select("p_partkey", F.round(18 * (1 - w) * node(k) + 18 * w * node(k + 1), 6).alias("f"))
 
 
+@query("""WITH n AS (SELECT DISTINCT p_brand, CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) AS z FROM part), q AS (SELECT p_partkey, p_brand, p_retailprice % 700 AS pos FROM part)
+SELECT p_partkey, round(CASE WHEN pos >= 600 THEN z * exp(-3.0) ELSE z * exp(-3.0 * (floor(pos) / 600)) * (1 - (pos - floor(pos))) + z * exp(-3.0 * ((floor(pos) + 1) / 600)) * (pos - floor(pos)) END, 6) AS f FROM q JOIN n USING (p_brand)""")
+def form_factor_table(t):
+    """Interpolation in a table that the caller gives: 601 nodes for each element (here a curve for each brand), joined by element."""
+    z = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(600)), lambda i: z * F.exp(-3.0 * (i / 600.0)))
+    table = t.part.select("p_brand").distinct().select("p_brand", nodes.alias("nodes"))
+    own = t.part.select("p_partkey", "p_brand", (F.col("p_retailprice") % 700).alias("at")).join(table, "p_brand")
+    return own.select("p_partkey", F.round(X.interpolate(F.col("nodes"), F.col("at")), 6).alias("f"))
+
+
 _TT = "(20.0::DOUBLE + p_size)"
 
 
@@ -146,10 +195,32 @@ def halo(t):
     return t.part.select("p_partkey", F.round(X.gaussian_halo(F.col("p_size").cast("double"), F.lit(24.0), F.lit(6.0), F.lit(0.3)), 6).alias("halo"))
 
 
-@query("""SELECT op, array_to_string(r, ',') AS rotation FROM (VALUES ('x,y,z', [1,0,0,0,1,0,0,0,1]), ('-x, -y, z+1/2', [-1,0,0,0,-1,0,0,0,1]), ('y,x,-z', [0,1,0,1,0,0,0,0,-1]), ('x-y,x,z+1/6', [1,-1,0,1,0,0,0,0,1])) v(op, r)""")
+_OP_SQL = """
+p AS (SELECT p_partkey, ['x', 'y', 'z'] AS axes, p_partkey % 3 AS turn, p_size FROM part),
+o AS (
+  SELECT p_partkey, array_to_string(list_transform([1, 2, 3], lambda i: CASE WHEN (p_size + i) % 3 = 0 THEN '-' ELSE '' END || axes[(turn + i) % 3 + 1]
+    || CASE WHEN (p_size + i) % 4 = 0 THEN ' + 1/2' WHEN (p_size + i) % 4 = 1 THEN '-1/' || (p_partkey % 5 + 2) WHEN (p_size + i) % 7 = 0 THEN '+0.25' ELSE '' END), ', ') AS op FROM p)"""
+
+
+def _operators(t):
+    """An operator for each part, written with signs, fractions, decimals and blanks."""
+    axis = lambda i: F.get(F.array(F.lit("x"), F.lit("y"), F.lit("z")), ((F.col("p_partkey") % 3 + i) % 3).cast("int"))
+    at = lambda i: F.col("p_size") + i
+    shift = lambda i: F.when(at(i) % 4 == 0, " + 1/2").when(at(i) % 4 == 1, F.concat(F.lit("-1/"), (F.col("p_partkey") % 5 + 2).cast("string"))).when(at(i) % 7 == 0, "+0.25").otherwise("")
+    parts = [F.concat(F.when(at(i) % 3 == 0, "-").otherwise(""), axis(i), shift(i)) for i in (1, 2, 3)]
+    return t.part.select("p_partkey", F.concat_ws(", ", *parts).alias("op"))
+
+
+@query(f"""WITH {_OP_SQL}, c AS (SELECT p_partkey, op, unnest(string_split(replace(op, ' ', ''), ',')) AS c, unnest([1, 2, 3]) AS i FROM o),
+v AS (
+  SELECT p_partkey, op, i, array_to_string(list_transform(['x', 'y', 'z'], lambda a: CASE WHEN contains(c, '-' || a) THEN '-1' WHEN contains(c, a) THEN '1' ELSE '0' END), ',') AS row,
+    CASE WHEN contains(c, '/') THEN CAST(regexp_extract(c, '([+-][0-9]+)/', 1) AS DOUBLE) / CAST(regexp_extract(c, '/([0-9]+)', 1) AS DOUBLE) WHEN contains(c, '.') THEN 0.25 ELSE 0 END AS shift FROM c)
+SELECT p_partkey, op, string_agg(row, ',' ORDER BY i) AS rotation, round(sum(shift), 6) AS shift, round(max(shift), 6) AS most FROM v GROUP BY p_partkey, op""")
 def symop_parse(t):
-    ops = t.spark.createDataFrame([(o,) for o in ("x,y,z", "-x, -y, z+1/2", "y,x,-z", "x-y,x,z+1/6")], "op string")
-    return ops.select("op", F.array_join(F.transform(X.symop_rotation(F.col("op")), lambda v: v.cast("string")), ",").alias("rotation"))
+    """Rotations and shifts of the operators of all parts."""
+    shifts = X.symop_translation(F.col("op"))
+    rotation = F.array_join(F.transform(X.symop_rotation(F.col("op")), lambda v: v.cast("string")), ",")
+    return _operators(t).select("p_partkey", "op", rotation.alias("rotation"), F.round(F.aggregate(shifts, F.lit(0.0), lambda a, v: a + v), 6).alias("shift"), F.round(F.array_max(shifts), 6).alias("most"))
 
 
 def _structures(t):

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticeworks.operators.ranks import running_sums
@@ -54,6 +54,16 @@ def shard_index(spark: SparkSession, path: str, order: str) -> DataFrame:
     return table.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("first"), F.max(order).alias("last"))
 
 
+def sample_shards(spark: SparkSession, path: str, shards: int, rows: int, ties: Sequence[str], seed: str = "sample") -> DataFrame:
+    """``rows`` random rows of each of ``shards`` random shards of a table that ``write_shards`` wrote: the same for the same seed. Shards are chosen before any row is read, so what is read follows the sample, not the table."""
+    table = spark.read.parquet(path)
+    digest = lambda *c: F.md5(F.concat_ws("|", F.lit(seed), *(F.col(x).cast("string") for x in c)))
+    chosen = [r["shard"] for r in table.select("shard").distinct().orderBy(digest("shard"), "shard").limit(shards).collect()]
+    own = table.where(F.col("shard").isin(chosen)) if chosen else table.where("false")
+    turn = F.row_number().over(Window.partitionBy("shard").orderBy(digest(*ties), *ties))
+    return own.withColumn("_turn", turn).where(F.col("_turn") <= rows).drop("_turn")
+
+
 def merge_in_place(spark: SparkSession, path: str, retries: DataFrame, key: str, failed: Column, by: str) -> None:
     """Replaces failed rows of a table partitioned by ``by`` with their retries, where there are any; a second merge changes nothing.
 

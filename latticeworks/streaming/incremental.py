@@ -113,6 +113,15 @@ def shard_index(t: Tables) -> DataFrame:
     return indexed.shard_index(t.spark, path, "o_orderkey")
 
 
+@query("""WITH s AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey, o_custkey) - 1) // 400 AS shard FROM orders), c AS (SELECT DISTINCT shard FROM s ORDER BY md5('sample|' || shard), shard LIMIT 3)
+SELECT shard, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY md5('sample|' || o_orderkey || '|' || o_custkey), o_orderkey, o_custkey) AS r FROM s JOIN c USING (shard)) WHERE r <= 20""")
+def row_group_sample(t: Tables) -> DataFrame:
+    """Twenty orders of each of three random shards; the other shards are not read."""
+    path = new_path(t.spark, "shards")
+    indexed.write_shards(t.orders, path, "o_orderkey", 400, ["o_custkey"])
+    return indexed.sample_shards(t.spark, path, 3, 20, ["o_orderkey", "o_custkey"]).select(F.col("shard").cast("long").alias("shard"), "o_orderkey", "o_totalprice")
+
+
 @query("SELECT user_id, count(*) AS events, count(*) FILTER (WHERE gap > 86400) + 1 AS sessions FROM (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000000.0 AS gap FROM events) GROUP BY user_id")
 def sessions(t: Tables) -> DataFrame:
     """Runs of a user's events without a gap over a day."""
