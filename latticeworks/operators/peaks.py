@@ -19,15 +19,25 @@ from pyspark.sql import functions as F
 from latticeworks.sources.scratch import written
 
 #: Points of a block, and blocks of a block of blocks.
-BLOCK = 256
+BLOCK = 64
 
 
-def local_maxima(points: DataFrame) -> DataFrame:
-    """(s, i, y): runs of equal values that are higher than the values on either side, by their middle point."""
+def turns(points: DataFrame) -> DataFrame:
+    """(s, i, y, middle, top): where a series turns or ends, runs of equal values by their first point. A top is higher than the values on either side; its middle stands for it."""
     by = Window.partitionBy("s").orderBy("i")
     runs = points.dropna(subset=["s", "i", "y"]).select("s", "i", "y", F.lag("y").over(by).alias("b")).where("b is null or y <> b")
     runs = runs.select("s", "i", "y", F.lead("i").over(by).alias("end"), F.lag("y").over(by).alias("a"), F.lead("y").over(by).alias("b"))
-    return runs.where("y > a and y > b").select("s", F.floor((F.col("i") + F.col("end") - 1) / 2).alias("i"), "y")
+    turned = runs.where("a is null or b is null or (y > a) = (y > b)")
+    return turned.select("s", "i", "y", F.floor((F.col("i") + F.col("end") - 1) / 2).alias("middle"), F.coalesce(F.expr("y > a and y > b"), F.lit(False)).alias("top"))
+
+
+def tops_of(turned: DataFrame) -> DataFrame:
+    return turned.where("top").select("s", F.col("middle").alias("i"), "y")
+
+
+def local_maxima(points: DataFrame) -> DataFrame:
+    """(s, i, y): runs of equal values that are higher than the values on either side, by their middle point."""
+    return tops_of(turns(points))
 
 
 def suppress(peaks: DataFrame, distance: int) -> DataFrame:
@@ -75,8 +85,7 @@ def nearest(levels: list[DataFrame], queries: DataFrame, above: bool, left: bool
 
     def look(df: DataFrame, level: DataFrame, block: Column, limit: bool) -> DataFrame:
         """Looks through a block: ``near`` is the nearest entry beyond v, ``passed`` the least value on the way."""
-        own = df.withColumnsRenamed({"s": "_s"}).withColumn("_b", block)
-        met = own.join(level, (F.col("_s") == F.col("s")) & (F.col("_b") == F.col("b"))).drop("_s", "_b")
+        met = df.withColumn("b", block).join(level, ["s", "b"], "left")  # a block without entries is passed over
         side = F.filter("es", lambda e: before(e["k"], F.col("at"))) if limit else F.col("es")
         hits = F.transform(F.filter("side", beyond), lambda e: e["k"])
         met = met.withColumn("side", side).withColumn("near", F.array_max(hits) if left else F.array_min(hits))
@@ -99,23 +108,30 @@ def nearest(levels: list[DataFrame], queries: DataFrame, above: bool, left: bool
 
 
 def prominences(levels: list[DataFrame], peaks: DataFrame) -> DataFrame:
-    """Adds ``prominence``: the height over the higher of the two least values up to the nearest higher points (or the series' ends)."""
+    """Adds ``prominence``: the height over the higher of the two least values up to the nearest higher points (or the series' ends). The points where the series turns or ends are enough: the least values are among them."""
     asked = peaks.withColumn("v", F.col("y"))
     low = lambda left, name: nearest(levels, asked, True, left).select("s", "i", F.coalesce(F.least("y", "low"), "y").alias(name))
     both = low(True, "_l").join(low(False, "_r"), ["s", "i"])
     return peaks.join(both, ["s", "i"]).select(*peaks.columns, (F.col("y") - F.greatest("_l", "_r")).alias("prominence"))
 
 
-def widths(levels: list[DataFrame], points: DataFrame, peaks: DataFrame, share: float = 0.5) -> DataFrame:
-    """Adds ``width``, in points: between the two places where the series, interpolated, falls to ``share`` of the prominence below the peak."""
+def _values(level: DataFrame, df: DataFrame, at: str, name: str, size: int) -> DataFrame:
+    """Adds the value at a place of the series, from its block; null where there is none."""
+    own = df.withColumn("_b", F.floor(F.col(at) / size))
+    met = own.join(level.select("s", F.col("b").alias("_b"), "es"), ["s", "_b"], "left")
+    return met.withColumn(name, F.get(F.filter("es", lambda e: e["k"] == F.col(at)), F.lit(0))["most"]).drop("_b", "es")
+
+
+def widths(levels: list[DataFrame], peaks: DataFrame, share: float = 0.5, size: int | None = None) -> DataFrame:
+    """Adds ``width``, in points: between the two places where the series, interpolated, falls to ``share`` of the prominence below the peak. The levels are those of all points."""
+    size = size or BLOCK
     asked = peaks.withColumn("v", F.col("y") - F.col("prominence") * share)
 
     def edge(left: bool) -> DataFrame:
         step = 1 if left else -1
         own = nearest(levels, asked, False, left).select("s", "i", "v", F.coalesce("at", "i").alias("at"))
-        at = points.select("s", F.col("i").cast("long").alias("at"), F.col("y").alias("_at"))
-        inner = points.select("s", (F.col("i") - step).cast("long").alias("at"), F.col("y").alias("_in"))
-        met = own.join(at, ["s", "at"]).join(inner, ["s", "at"], "left")
+        own = own.withColumn("_next", F.col("at") + step)
+        met = _values(levels[0], _values(levels[0], own, "at", "_at", size), "_next", "_in", size)
         part = F.when(F.col("_at") < F.col("v"), (F.col("v") - F.col("_at")) / (F.col("_in") - F.col("_at"))).otherwise(F.lit(0.0))
         return met.select("s", "i", (F.col("at") + step * part).alias("_left" if left else "_right"))
 
@@ -123,8 +139,13 @@ def widths(levels: list[DataFrame], points: DataFrame, peaks: DataFrame, share:
     return peaks.join(both, ["s", "i"]).select(*peaks.columns, (F.col("_right") - F.col("_left")).alias("width"))
 
 
-def find_peaks(points: DataFrame, prominence: float, distance: int = 1) -> DataFrame:
-    """(s, i, y, prominence, width) of the peaks that are left by distance and then stand out by ``prominence``."""
-    levels = blocks(points)
-    tall = written(prominences(levels, suppress(local_maxima(points), distance)).where(F.col("prominence") >= prominence), "peaks")
-    return widths(levels, points, tall)
+def find_peaks(points: DataFrame, prominence: float | DataFrame, distance: int = 1) -> DataFrame:
+    """(s, i, y, prominence, width) of the peaks that are left by distance and then stand out by ``prominence``: a number, or a table (s, least) of one for each series."""
+    turned = written(turns(points), "turns")
+    tall = prominences(blocks(turned.select("s", "i", "y")), suppress(tops_of(turned), distance))
+    if isinstance(prominence, DataFrame):
+        tall = tall.join(prominence.select("s", "least"), "s").where("prominence >= least").drop("least")
+    else:
+        tall = tall.where(F.col("prominence") >= prominence)
+    tall = written(tall, "peaks")
+    return widths(blocks(points), tall)

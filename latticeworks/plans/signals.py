@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from latticeworks.functions import kernels as K
-from latticeworks.operators import peaks
+from latticeworks.operators import peaks, regrid, series_features
 from latticeworks.plans.common import SERIES_SQL, by_user, series
 from latticeworks.registry import query
+from latticeworks.sources.scratch import written
 
 _S = f"s AS ({SERIES_SQL})"
 _W = "PARTITION BY user_id ORDER BY i"
@@ -143,8 +143,8 @@ def _points(t):
 @query(f"WITH {_TOPS_SQL}, {_HEIGHT_SQL.format(peaks='k')} SELECT user_id, i, y, round(prominence, 6) AS prominence FROM p")
 def peak_prominence(t):
     """Every local maximum with its height over its surroundings: up to the nearest higher point on either side, found through blocks of blocks."""
-    points = _points(t)
-    found = peaks.prominences(peaks.blocks(points), peaks.local_maxima(points))
+    turned = written(peaks.turns(_points(t)), "turns")
+    found = peaks.prominences(peaks.blocks(turned), peaks.tops_of(turned))
     return found.select(F.col("s").alias("user_id"), "i", "y", F.round("prominence", 6).alias("prominence"))
 
 
@@ -202,36 +202,70 @@ def profile_correlation(t):
     return a.join(c, ["other", "bin"]).groupBy("one", "other").agg(F.round(F.corr("a", "c"), 6).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-# --- kernels in numpy: no relational form --------------------------------------------------------------------------
+# --- series on the common grid ---------------------------------------------------------------------------------------
 
 
-def _arrays(t):
-    """One row a series with sorted x and y arrays."""
-    return series(t).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p")).select("user_id", F.transform("p", lambda p: p["x"]).alias("x"), F.transform("p", lambda p: p["y"]).alias("y"))
+def _end_sql(a: str, b: str, near: str, far: str) -> str:
+    own = f"((2 * {a} + {b}) * {near} - {a} * {far}) / ({a} + {b})"
+    return f"CASE WHEN {own} * {near} <= 0 THEN 0 WHEN {near} * {far} <= 0 AND abs({own}) > 3 * abs({near}) THEN 3 * {near} ELSE {own} END"
 
 
-@query()
+_GRIDDED_SQL = f"""{_S},
+c AS (SELECT user_id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY user_id, x ORDER BY i) AS r FROM s WHERE isfinite(x) AND isfinite(y)) WHERE r = 1),
+h AS (
+  SELECT user_id, count(*) AS n, count(*) FILTER (WHERE x BETWEEN 0 AND 90) AS n_in, min(x) FILTER (WHERE x BETWEEN 0 AND 90) AS x_min, max(x) FILTER (WHERE x BETWEEN 0 AND 90) AS x_max,
+    max(sqrt(greatest(y, 0))) FILTER (WHERE x BETWEEN 0 AND 90) AS top FROM c GROUP BY 1),
+k AS (SELECT user_id, x, CASE WHEN top > 0 THEN sqrt(greatest(y, 0)) / top ELSE 0 END AS y FROM c JOIN h USING (user_id) WHERE x BETWEEN 0 AND 90 AND n_in >= 2),
+p AS (
+  SELECT *, lag(x, 2) OVER w AS xz, lag(x) OVER w AS xa, lead(x) OVER w AS xb, lead(x, 2) OVER w AS xc, lag(y, 2) OVER w AS yz, lag(y) OVER w AS ya, lead(y) OVER w AS yb, lead(y, 2) OVER w AS yc
+  FROM k WINDOW w AS (PARTITION BY user_id ORDER BY x)),
+q AS (SELECT *, xa - xz AS hz, x - xa AS ha, xb - x AS hb, xc - xb AS hc, (ya - yz) / (xa - xz) AS dz, (y - ya) / (x - xa) AS da, (yb - y) / (xb - x) AS db, (yc - yb) / (xc - xb) AS dc FROM p),
+m AS (
+  SELECT *, CASE WHEN xa IS NULL THEN CASE WHEN xc IS NULL THEN db ELSE {_end_sql("hb", "hc", "db", "dc")} END WHEN xb IS NULL THEN CASE WHEN xz IS NULL THEN da ELSE {_end_sql("ha", "hz", "da", "dz")} END
+    WHEN da * db > 0 THEN 3 * (ha + hb) / ((2 * hb + ha) / da + (hb + 2 * ha) / db) ELSE 0 END AS m FROM q),
+i AS (SELECT *, lead(m) OVER (PARTITION BY user_id ORDER BY x) AS mb FROM m),
+b AS (SELECT *, unnest(range(CAST(floor(x / (90.0::DOUBLE / 4095)) AS BIGINT), least(CAST(ceil(xb / (90.0::DOUBLE / 4095)) AS BIGINT), 4095) + 1)) AS bin FROM i WHERE xb IS NOT NULL),
+u AS (SELECT *, (g - x) / hb AS u FROM (SELECT *, CASE WHEN bin = 4095 THEN 90.0::DOUBLE ELSE bin * (90.0::DOUBLE / 4095) END AS g FROM b) WHERE g >= x AND (g < xb OR xc IS NULL AND g <= xb)),
+v AS (
+  SELECT user_id, CAST(bin AS INTEGER) AS bin, CAST(CAST(least(greatest(y * (1 + 2 * u) * (1 - u) * (1 - u) + hb * m * u * (1 - u) * (1 - u) + yb * u * u * (3 - 2 * u) + hb * mb * u * u * (u - 1), 0), 1) AS FLOAT) AS DOUBLE) AS value FROM u)"""
+
+
+def gridded(t):
+    """Every user's series on the common grid: heads and values."""
+    return regrid.on_grid(series(t).select(F.col("user_id").alias("s"), "i", "x", "y"))
+
+
+@query(f"""WITH {_GRIDDED_SQL}, t AS (SELECT user_id, min(bin) AS lo, max(bin) AS hi, round(avg(value), 6) AS level, round(max(value), 6) AS most FROM v GROUP BY 1)
+SELECT user_id, CASE WHEN n_in >= 2 THEN n ELSE 0 END AS n, CASE WHEN n_in >= 2 THEN round(x_min, 6) END AS x_min, CASE WHEN n_in >= 2 THEN round(x_max, 6) END AS x_max, coalesce(lo, 0) AS lo, coalesce(hi, -1) AS hi, lo IS NULL AS failed, level, most
+FROM h LEFT JOIN t USING (user_id)""")
 def preprocess_series(t):
-    return K.preprocess(_arrays(t), "user_id")
+    """What becomes of each series: its points, ends and places on the grid, whether it failed, mean and maximum of its values."""
+    heads, values = gridded(t)
+    sums = values.groupBy("s").agg(F.round(F.avg("value"), 6).alias("level"), F.round(F.max("value"), 6).alias("most"))
+    return heads.join(sums, "s", "left").select(F.col("s").alias("user_id"), "n", F.round("x_min", 6).alias("x_min"), F.round("x_max", 6).alias("x_max"), "lo", "hi", "failed", "level", "most")
 
 
-@query()
+@query(f"WITH {_GRIDDED_SQL} SELECT user_id, bin, round(value, 5) AS value FROM v WHERE value > 0.00001")
 def regrid_pchip(t):
     """The regridded series in long form: every value of the common grid that is not zero."""
-    own = K.preprocess(_arrays(t), "user_id")
-    return own.select("user_id", F.posexplode("y").alias("bin", "value")).where("value > 0")
+    return gridded(t)[1].where("value > 0.00001").select(F.col("s").alias("user_id"), "bin", F.round("value", 5).alias("value"))
+
+
+def _features(t, make):
+    heads, values = gridded(t)
+    return make(heads, written(values, "gridded")).withColumnRenamed("s", "user_id")
 
 
 @query()
 def feature_set_a(t):
-    return K.features(K.preprocess(_arrays(t), "user_id"), "user_id", "a")
+    return _features(t, series_features.features_a)
 
 
 @query()
 def feature_set_b(t):
-    return K.features(K.preprocess(_arrays(t), "user_id"), "user_id", "b")
+    return _features(t, series_features.features_b)
 
 
 @query()
 def feature_set_c(t):
-    return K.features(K.preprocess(_arrays(t), "user_id"), "user_id", "c")
+    return _features(t, series_features.features_c)

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from latticeworks.functions import kernels as K
+import array_kernels as K
 from latticeworks.functions import profile as R
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from latticeworks import catalog
-from latticeworks.functions import kernels as K
+import array_kernels as K
 from latticeworks.operators.ranks import running_sums, take_by_hash
 
 SF = "/root/testdata/sf0.001"
