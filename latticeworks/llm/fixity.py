@@ -12,7 +12,8 @@ hundred bytes a record, and each comparison reads the level below the mismatches
 a few thousand at a time.
 
 Defined results: a null url or html is empty text, a null id is written as an empty id; repeated rows are records of
-their own, in any order among themselves; extra columns are ignored; an empty table gives an empty result.
+their own, in any order among themselves; pages of any length are one record, hashed whole; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

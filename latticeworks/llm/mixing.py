@@ -2,16 +2,18 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to). Each pattern offers its words once
 at no cost, a second time at cost 1, a third time at cost 3: convex, so that nothing is repeated before everything in
-reach was used. Successive shortest paths route this capacity to the sources' quotas; where no document is shared
-between sources, the flow of least cost is known without them. A pattern's flow is then turned into documents: whole
-repetitions for all of them, and a seeded choice for the rest.
+reach was used. Successive shortest paths route this capacity to the sources' quotas, in each connected part of the
+graph of patterns and sources by itself. A pattern's flow is then turned into documents: whole repetitions for all of
+them, and a seeded choice for the rest.
 
-Scale: one pass over the texts that keeps a few numbers a document; the graph has a node for each pattern of shared
-documents and its sources, not for documents; the driver holds a row a pattern, and the plan is broadcast only if small. The choice compares seeded hashes: sums over hash buckets say which bucket the limit falls in, and
+Scale: one pass over the texts that keeps a few numbers a document; the graph has a node for each pattern and source,
+not for documents, and its parts are as small as sources are apart; the driver holds a row a pattern, and the plan is broadcast only if small. The choice compares seeded hashes: sums over hash buckets say which bucket the limit falls in, and
 only that bucket's few thousand documents are looked at one by one. No source, however large, meets in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
-taken 0 words; null or repeated ``doc_id`` rows are documents of their own; an empty table gives an empty result.
+taken 0 words; null or repeated ``doc_id`` rows are documents of their own; of repeated rows, which have equal hashes, any
+may be the ones taken once more; texts of any length are counted whole; extra columns are ignored, or come along in
+``row``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,16 +110,34 @@ def flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[float], most:
     return [{to[e] - n: room[e ^ 1] for e in arcs[i] if e % 2 == 0 and room[e ^ 1] > eps} for i in range(n)]
 
 
+def connected(patterns: list[tuple[tuple[int, ...], int]], sources: int) -> list[list[int]]:
+    """Patterns that share sources, directly or through others, as lists of their numbers; those of no source are left out."""
+    up = list(range(sources))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            up[top(s)] = top(members[0])
+    out: dict[int, list[int]] = {}
+    for i, (members, _) in enumerate(patterns):
+        if members:
+            out.setdefault(top(members[0]), []).append(i)
+    return list(out.values())
+
+
 def shares(patterns: list[tuple[tuple[int, ...], int]], quotas: list[float], most: int = MAX_REPEATS) -> list[float]:
-    """Words that each pattern gives in all. Sources that no document shares need no flow: they take their quota, as far as their words go. The flow is solved over the patterns of the others."""
-    shared = {s for members, _ in patterns if len(members) > 1 for s in members}
-    out = [float(min(quotas[members[0]], most * size)) if members and members[0] not in shared else 0.0 for members, size in patterns]
-    rest = [i for i, (members, _) in enumerate(patterns) if members and members[0] in shared]
-    if rest:
-        names = sorted(shared)
-        number = {s: i for i, s in enumerate(names)}
-        given = flow([(tuple(number[s] for s in patterns[i][0]), patterns[i][1]) for i in rest], [quotas[s] for s in names], most)
-        for i, words in zip(rest, given, strict=True):
+    """Words that each pattern gives in all: a flow of least cost over all patterns. Parts of the graph that share no source have nothing to do with one another, so each is solved by itself; where no document has two sources a part is one pattern and its quota."""
+    out = [0.0] * len(patterns)
+    for part in connected(patterns, len(quotas)):
+        names = sorted({s for i in part for s in patterns[i][0]})
+        number = {s: k for k, s in enumerate(names)}
+        given = flow([(tuple(number[s] for s in patterns[i][0]), patterns[i][1]) for i in part], [quotas[s] for s in names], most)
+        for i, words in zip(part, given, strict=True):
             out[i] = sum(words.values())
     return out
 

@@ -185,6 +185,25 @@ def test_shares_equal_the_flow_and_take_many_sources():
     assert time.process_time() - start < 10 and sum(given) == pytest.approx(sum(n for _, n in many))
 
 
+def test_every_pattern_of_the_query_goes_through_the_flow(spark, messy, monkeypatch):
+    """Single sources too: their words are what the flow routes, part by part."""
+    real, seen = mixing.flow, []
+
+    def spy(patterns, quotas, most=mixing.MAX_REPEATS):
+        given = real(patterns, quotas, most)
+        seen.extend((size, sum(g.values())) for (_, size), g in zip(patterns, given, strict=True))
+        return given
+
+    monkeypatch.setattr(mixing, "flow", spy)
+    rows = mixing.mix(messy).collect()
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r.sources[0], []).append(r)
+    assert sorted(size for size, _ in seen) == sorted(sum(r["size"] for r in own) for own in by_source.values())
+    assert sorted(round(words, 6) for _, words in seen) == sorted(round(own[0].target, 6) for own in by_source.values())
+    assert mixing.connected([((0,), 1), ((1, 2), 1), ((), 1), ((2, 4), 1), ((3,), 1), ((4,), 1)], 5) == [[0], [1, 3, 5], [4]]
+
+
 def test_mix_without_broadcasts(spark, messy, monkeypatch):
     want = by_row(map(tuple, mixing.mix(messy).drop("sources").collect()))
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
