@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of ``documents``; later stages work on all that earlier ones kept.
+
+Defined results of every stage: a null text is an empty one; null and repeated ids are documents of their own; texts of any
+length are taken whole; columns besides ``doc_id`` and ``text`` (and ``source``, for mixing) come along unread, whatever
+their names; an empty table gives an empty result. Repeated rows stay apart but in near-dedup, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from latticeworks.llm.queries import vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: those with an empty text go."""
     return quality.filter_quality(docs)
 
 
@@ -29,18 +33,18 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark; a null text stays null."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as many times as it takes it."""
+    """The documents that the mix takes, each as many times as it takes it; those without a word aren't taken."""
     taken = mixing.mix(docs, keep_rows=True).where("repeats > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "repeats"))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their token ids, and their places in sequences of at most 1,024 tokens."""
+    """Pieces of all documents with their token ids, and their places in sequences of at most 1,024 tokens; an empty text is a piece of its end token."""
     return packing.pack(docs, *vocabulary())
 
 
