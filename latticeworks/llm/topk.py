@@ -25,6 +25,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ from latticeworks.llm._store import materialize
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 1_024, 256
 #: Vectors in the sample that the top of the tree is fitted on, at most; root boxes in a page.
 SAMPLE_ROWS, PAGE_SHARDS = 1 << 16, 2_048
+#: Blocks of queries that meet a page in one task.
+SLICE_BLOCKS = 16
 _SUB = 1 << 20
 _HITS = "quid long, query_id long, vec_id long, score long"
 
@@ -182,10 +185,12 @@ def _row(schema: str, **values) -> pa.Table:
 def _dealt(ints: DataFrame, rows: int, shard_rows: int) -> DataFrame:
     """``ints`` with ``shard``: parts of space of about ``shard_rows`` vectors; fuller ones are dealt on by hash."""
     every = max(1, -(-rows // SAMPLE_ROWS))
-    sample: dict[int, list] = {}
-    for x in ints.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).select("dim", "v").collect():  # about SAMPLE_ROWS
-        sample.setdefault(x.dim, []).append(x.v)
-    splits = {dim: Splits(np.array(v, np.int64).reshape(len(v), -1), -(-len(v) * every // shard_rows)) for dim, v in sample.items()}
+    sample = ints.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).select("dim", "v").toArrow()  # about SAMPLE_ROWS, as arrays
+    splits = {}
+    for dim in pc.unique(sample.column("dim")).to_pylist():
+        own = sample.filter(pc.equal(sample.column("dim"), dim))
+        splits[dim] = Splits(_matrix(own), -(-own.num_rows * every // shard_rows))
+    del sample
 
     def find(batches):
         for batch in batches:
@@ -269,8 +274,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     pages = trees.select("shard", "dim", "box").withColumn("page", F.pmod(F.xxhash64("shard"), F.lit(n_pages))).groupBy("dim", "page").applyInArrow(page_up, page_schema)
     pages = materialize(pages, "topk-pages")
 
+    # Each block meets each page. Their pairs are what there is to do; they are dealt by page and by a slice of the blocks, so that no key has more than a few.
+    slices = max(1, -(-n_blocks // SLICE_BLOCKS))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    held = pages.withColumn("slice", upto(slices))
+    meet = lambda own: own.withColumn("page", upto(n_pages)).withColumn("slice", F.pmod("block", F.lit(slices))).join(held, ["dim", "page", "slice"])
+
     # First the shard with the best bound, in blocks of the queries that share it, to learn the kth scores; then the others.
-    best = blocks.join(pages, "dim").mapInArrow(nearest, "uid long, shard long, bound double").groupBy("uid").agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard"))
+    best = meet(blocks).mapInArrow(nearest, "uid long, shard long, bound double").groupBy("uid").agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard"))
     best = materialize(best, "topk-nearest")
     crowd = best.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("parts"))
     one = queries.join(best, "uid").join(crowd, "shard").withColumn("block", F.col("shard") * F.lit(1 << 20) + deal(F.col("parts")))
@@ -279,7 +290,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     kth = firsts.groupBy("quid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
     kth = best.withColumnRenamed("uid", "quid").join(kth, "quid", "left").select("quid", "shard", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(-(2**63))).alias("kth"))
     known = kth.groupBy(F.pmod(F.xxhash64("quid"), F.lit(n_blocks)).cast("long").alias("block")).agg(F.collect_list(F.struct("quid", "kth", "shard")).alias("known"))  # a block's queries
-    rest = blocks.join(known, "block", "left").join(pages, "dim").mapInArrow(visits, visit_schema)
+    rest = meet(blocks.join(known, "block", "left")).mapInArrow(visits, visit_schema)
     others = materialize(rest.join(trees.drop("box"), ["shard", "dim"]).mapInArrow(answer, _HITS), "topk-others")
     order = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id")
     return firsts.unionByName(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

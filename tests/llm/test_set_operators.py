@@ -53,6 +53,26 @@ def test_top_k(spark, monkeypatch, shard_rows, scale):
     assert by_row(map(tuple, got)) == by_row(want)
 
 
+def test_blocks_meet_pages_by_slices(spark, monkeypatch):
+    """All vectors have one dimension; blocks of queries and pages of boxes still have many keys to meet by, a few rows each."""
+    for name, value in {"SHARD_ROWS": 40, "BLOCK_ROWS": 2, "LEAF_ROWS": 8, "PAGE_SHARDS": 4, "SLICE_BLOCKS": 3}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(0, 3000, 2)]
+    joined = []
+    real = type(spark.range(0)).join
+
+    def spy(self, other, on=None, how=None):
+        if on == ["dim", "page", "slice"]:
+            joined.append((self.groupBy(*on).count().agg(F.max("count"), F.count(F.lit(1))).first()[:], other.groupBy(*on).count().agg(F.max("count")).first()[0]))
+        return real(self, other, on, how)
+
+    monkeypatch.setattr(type(spark.range(0)), "join", spy)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert by_row(map(tuple, got)) == by_row(top_brute(rows, 10))
+    assert len(joined) == 2 and all(most <= 8 and keys >= 12 and pages == 1 for (most, keys), pages in joined)
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
