@@ -13,6 +13,7 @@ ends of a series are no peaks; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,3 +150,37 @@ def find_peaks(points: DataFrame, prominence: float | DataFrame, distance: int =
         tall = tall.where(F.col("prominence") >= prominence)
     tall = written(tall, "peaks")
     return widths(blocks(points), tall)
+
+
+# --- peaks of arrays of bounded length -------------------------------------------------------------------------------
+
+
+def peaks_of(y: np.ndarray, least: float, distance: int) -> list[tuple[int, float, float, float]]:
+    """``find_peaks`` inside a task, for a series that is an array of bounded length, such as one on a grid: (i, y, prominence, width), places from 0. A peak costs a pass over the array."""
+    step = np.flatnonzero(np.diff(y)) + 1
+    if len(step) < 2:
+        return []
+    first, end, value = step[:-1], step[1:], y[step[:-1]]  # runs of equal values but for those at the ends
+    top = (value > y[first - 1]) & (value > y[end])
+    at = (first[top] + end[top] - 1) // 2
+    kept = np.zeros(len(y) + 2 * distance, bool)
+    for k in np.lexsort((at, y[at]))[::-1]:
+        near = kept[at[k] + 1 : at[k] + 2 * distance]  # places nearer than the distance
+        near[distance - 1] = not near.any()
+    out = []
+    for i in at[kept[at + distance]].tolist():
+        before, after = y[i::-1], y[i:]
+        lows = []
+        for side in (before, after):
+            higher = side > y[i]
+            upto = int(higher.argmax())
+            lows.append(side[: upto if higher[upto] else len(side)].min())
+        prominence = float(y[i] - max(lows))
+        if prominence < least:
+            continue
+        line, width = y[i] - prominence * 0.5, 0.0
+        for side in (before, after):
+            k = int((side <= line).argmax())
+            width += k - ((line - side[k]) / (side[k - 1] - side[k]) if side[k] < line else 0.0)
+        out.append((i, float(y[i]), prominence, float(width)))
+    return out

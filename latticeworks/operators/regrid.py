@@ -8,6 +8,10 @@ range, or if no place of the grid lies between its ends.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ from latticeworks.operators.relational import keep_one
 BINS, TOP = 4096, 90.0
 STEP = TOP / (BINS - 1)
 
+#: Series whose values are made at once.
+SERIES = 64
+
 
 def place(b: Column) -> Column:
     """x of a place of the grid."""
@@ -52,8 +59,17 @@ def _slopes(points: DataFrame) -> DataFrame:
     return m.withColumn("m1", F.lead("m").over(by))
 
 
-def on_grid(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(s, n, x_min, x_max, lo, hi, failed) of every series, and (s, bin, value) at the places between a series' ends: roots over their maximum."""
+_POINT = ("x", "y", "m", "x1", "y1", "m1")
+
+
+def _curve(x, y, m, x1, y1, m1, g):
+    """Value at ``g`` between a point and the next one: for columns and for numpy's arrays alike."""
+    h, u = x1 - x, (g - x) / (x1 - x)
+    return y * (1 + 2 * u) * (1 - u) * (1 - u) + h * m * u * (1 - u) * (1 - u) + y1 * u * u * (3 - 2 * u) + h * m1 * u * u * (u - 1)
+
+
+def _intervals(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(s, n, x_min, x_max, lo, hi, failed) of every series, and (s, x, y, m, x1, y1, m1, first, last): each point but the last with the next one and the places of the grid from it up to the next."""
     clean = cleaned(points)
     inside = F.col("x").between(0.0, TOP)
     root = F.sqrt(F.greatest("y", F.lit(0.0)))
@@ -61,21 +77,59 @@ def on_grid(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     fine = heads.where("n_in >= 2")
     scaled = clean.where(inside).join(fine.select("s", "top"), "s").select("s", "x", F.when(F.col("top") > 0, root / F.col("top")).otherwise(0.0).alias("y"))
     cut = _slopes(scaled).where("x1 is not null")
-    near = F.sequence(F.floor(F.col("x") / STEP), F.least(F.ceil(F.col("x1") / STEP), F.lit(BINS - 1)))
-    g = cut.withColumn("bin", F.explode(near)).withColumn("g", place(F.col("bin")))
-    g = g.where((F.col("g") >= F.col("x")) & ((F.col("g") < F.col("x1")) | F.col("x2").isNull() & (F.col("g") <= F.col("x1"))))
-    h, u = F.col("x1") - F.col("x"), (F.col("g") - F.col("x")) / (F.col("x1") - F.col("x"))
-    v = F.col("y") * (1 + 2 * u) * (1 - u) * (1 - u) + h * F.col("m") * u * (1 - u) * (1 - u) + F.col("y1") * u * u * (3 - 2 * u) + h * F.col("m1") * u * u * (u - 1)
-    values = g.select("s", F.col("bin").cast("int").alias("bin"), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)).cast("float").cast("double").alias("value"))
-    lo, hi = F.ceil(F.col("x_min") / STEP), F.floor(F.col("x_max") / STEP)
     # A quotient may come out beside the place that it is.
+    below, above = F.floor(F.col("x") / STEP), F.least(F.ceil(F.col("x1") / STEP), F.lit(BINS - 1))
+    holds = lambda b: (place(b) < F.col("x1")) | F.col("x2").isNull() & (place(b) <= F.col("x1"))
+    first = F.when(place(below) >= F.col("x"), below).otherwise(below + 1)
+    last = F.when(holds(above), above).when(holds(above - 1), above - 1).otherwise(above - 2)
+    cut = cut.select("s", "x", "y", "m", "x1", "y1", "m1", first.cast("int").alias("first"), last.cast("int").alias("last")).where("first <= last")
+    lo, hi = F.ceil(F.col("x_min") / STEP), F.floor(F.col("x_max") / STEP)
     lo = F.when(place(lo - 1) >= F.col("x_min"), lo - 1).when(place(lo) < F.col("x_min"), lo + 1).otherwise(lo)
     hi = F.when((hi < BINS - 1) & (place(hi + 1) <= F.col("x_max")), hi + 1).when(place(hi) > F.col("x_max"), hi - 1).otherwise(hi)
     ok = (F.col("n_in") >= 2) & (lo <= hi)
     spans = {"lo": F.when(ok, lo).otherwise(0).cast("int"), "hi": F.when(ok, hi).otherwise(-1).cast("int")}
     kept = lambda c: F.when(F.col("n_in") >= 2, F.col(c)).alias(c)
     heads = heads.withColumns(spans).select("s", F.when(F.col("n_in") >= 2, F.col("n")).otherwise(0).alias("n"), kept("x_min"), kept("x_max"), "lo", "hi", (F.col("hi") < 0).alias("failed"))
-    return heads, values
+    return heads, cut
+
+
+def on_grid(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(s, n, x_min, x_max, lo, hi, failed) of every series, and (s, bin, value) at the places between a series' ends: roots over their maximum."""
+    heads, cut = _intervals(points)
+    g = cut.withColumn("bin", F.explode(F.sequence("first", "last")))
+    v = _curve(*(F.col(c) for c in _POINT), place(F.col("bin")))
+    return heads, g.select("s", "bin", F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)).cast("float").cast("double").alias("value"))
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns lists of intervals (cut) into lists of their values (v), a few series at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SERIES):
+            part = batch.slice(at, SERIES)
+            cut = part.column("cut").flatten()
+            of = lambda c: cut.field(c).to_numpy()  # noqa: E731, B023
+            sizes = of("last").astype(np.int64) - of("first") + 1
+            ends = np.cumsum(sizes)
+            bins = np.arange(ends[-1]) + np.repeat(of("first") - (ends - sizes), sizes)
+            g = np.where(bins == BINS - 1, TOP, bins * STEP)
+            v = np.clip(_curve(*(np.repeat(of(c), sizes) for c in _POINT), g), 0.0, 1.0).astype(np.float32).astype(np.float64)
+            offsets = np.concatenate([[0], np.cumsum(part.column("n").to_numpy())]).astype(np.int32)
+            kept = [c for c in part.schema.names if c != "cut"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(offsets, v)], names=[*kept, "v"])
+
+
+def arrays_on_grid(points: DataFrame, low: int = 0, high: int = BINS - 1) -> DataFrame:
+    """(s, lo, hi, a, n, v): the n values between places ``low`` and ``high`` of each series that has any, the first at place a, as one array, which is no longer than the grid.
+
+    Only intervals that hold a place of the grid are gathered, so there are no more of them than places; their values are
+    made in the row, so that the points are all that is exchanged.
+    """
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads, cut = _intervals(points.repartition(parts, "s"))  # a number, as few bytes here are much work later
+    cut = cut.withColumns({"first": F.greatest("first", F.lit(low)), "last": F.least("last", F.lit(high))}).where("first <= last")
+    own = cut.groupBy("s").agg(F.min("first").alias("a"), F.sum(F.col("last") - F.col("first") + 1).cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("first", "last", *_POINT))).alias("cut"))
+    own = own.join(heads.select("s", "lo", "hi"), "s").select("s", "lo", "hi", "a", "n", "cut")
+    return own.mapInArrow(_filled, f"s {own.schema['s'].dataType.simpleString()}, lo int, hi int, a int, n int, v array<double>")
 
 
 def dense(heads: DataFrame, values: DataFrame) -> DataFrame:

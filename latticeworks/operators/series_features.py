@@ -1,5 +1,5 @@
-"""Three sets of features of gridded series, as plans over rows (s, bin, v): windows over neighbours, aggregates over a
-series, peaks by ``operators.peaks``. A series has at most the grid's places, so an exact percentile holds that many.
+"""Three sets of features of gridded series, as expressions on one array a series (s, lo, hi, a, n, v), no longer than the
+grid: ``operators.arrays``, and peaks by ``operators.peaks``. No set exchanges a value of the grid.
 
 Each set has a row for every series it applies to; a feature that isn't defined is null. Values near the ends of a moving
 mean are those of the mirrored series in sets A and C, and zeros beyond the ends in set B.
@@ -7,225 +7,153 @@ mean are those of the mirrored series in sets A and C, and zeros beyond the ends
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeworks.operators import peaks as P
-from latticeworks.operators.regrid import BINS, STEP, place
-from latticeworks.sources.scratch import written
+from latticeworks.operators import arrays as A
+from latticeworks.operators.peaks import peaks_of
+from latticeworks.operators.regrid import BINS, SERIES, STEP, place
 
 #: Fixed value: the window in which sets A and C look.
 WINDOW = (10.0, 70.0)
 
 
-def _by() -> Window:
-    return Window.partitionBy("s").orderBy("bin")
-
-
-def _frame(h: int) -> Window:
-    return _by().rowsBetween(-h, h)
-
-
-def _moving(df: DataFrame, h: int, name: str) -> DataFrame:
-    """Adds the mean over h places on either side, nothing beyond the ends being zero. A wide one is a difference of running sums, which costs the same for any width."""
-    if h <= 8:
-        return df.withColumn(name, F.sum("v").over(_frame(h)) / (2 * h + 1))
-    run = df.withColumns({"_run": F.sum("v").over(_by().rowsBetween(Window.unboundedPreceding, 0)), "_total": F.sum("v").over(Window.partitionBy("s"))})
-    upto, below = F.coalesce(F.lead("_run", h).over(_by()), "_total"), F.coalesce(F.lag("_run", h + 1).over(_by()), F.lit(0.0))
-    return run.withColumn(name, (upto - below) / (2 * h + 1)).drop("_run", "_total")
-
-
-def _at(ordered: Column, p: float) -> Column:
-    """The percentile of an array in order, interpolated; null of an empty one."""
-    at = (F.size(ordered) - 1) * F.lit(p)
-    k = F.greatest(F.floor(at), F.lit(0)).cast("int")
-    low = F.get(ordered, k)
-    return low + (F.coalesce(F.get(ordered, k + 1), low) - low) * (at - k)
-
-
-def _q(value: Column | str, p: float) -> Column:
-    """An exact percentile as an aggregate."""
-    return _at(F.sort_array(F.collect_list(value)), p)
-
-
-def _spread(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
-    """(s, ...): percentiles of a column of each series."""
-    own = df.groupBy("s").agg(F.sort_array(F.collect_list(value)).alias("o"))
-    return own.select("s", *(_at(F.col("o"), p).alias(n) for n, p in points.items()))
-
-
-def _mirrored(rows: DataFrame, h: int, name: str) -> DataFrame:
-    """(s, bin, v, name): the mean over h places on either side, the series mirrored at its ends."""
-    own = rows.select("s", "bin", "v", *(f("bin").over(Window.partitionBy("s")).alias(c) for c, f in (("a", F.min), ("z", F.max))))
-    at = F.col("bin")
-    copies = F.array(at, F.when(at < F.col("a") + h, 2 * F.col("a") - 1 - at), F.when(at > F.col("z") - h, 2 * F.col("z") + 1 - at))
-    every = own.select("s", "v", "a", "z", F.explode(F.array_compact(copies)).alias("bin"))
-    return _moving(every, h, name).where("bin between a and z").select("s", "bin", "v", name)
+def window_places() -> tuple[int, int]:
+    """First and last place of the grid in the window."""
+    inside = [b for b in range(BINS) if WINDOW[0] <= b * STEP <= WINDOW[1]]
+    return inside[0], inside[-1]
 
 
-def _gini(rows: DataFrame, empty: Column) -> DataFrame:
-    """(s, gini): from ranks; ``empty`` where nothing is above zero."""
-    rank = F.row_number().over(Window.partitionBy("s").orderBy("v"))
-    sums = rows.withColumn("r", rank).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("t"), F.sum(F.col("v") * F.col("r")).alias("tr"))
-    # The sum of running sums counts the value of rank r for n + 1 - r of them.
-    running = ((F.col("n") + 1) * F.col("t") - F.col("tr")) / F.col("t")
-    return sums.select("s", F.when(F.col("t") > 0, (F.col("n") + 1 - 2 * running) / F.col("n")).otherwise(empty).alias("gini"))
+def listed(heads: DataFrame, values: DataFrame, low: int = 0, high: int = BINS - 1) -> DataFrame:
+    """(s, lo, hi, a, n, v) from rows (s, bin, value), as ``regrid.arrays_on_grid`` gives it from points."""
+    v = F.transform(F.sort_array(F.collect_list(F.struct("bin", "value"))), lambda e: e["value"])
+    own = values.where(F.col("bin").between(low, high)).groupBy("s").agg(F.min("bin").alias("a"), F.count(F.lit(1)).cast("int").alias("n"), v.alias("v"))
+    return own.join(heads.select("s", "lo", "hi"), "s")
 
 
-def _corr(a: str, b: str, flat: Column) -> Column:
-    """Correlation of two columns; ``flat`` where one of them doesn't vary."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    sd = lambda c: F.stddev_pop(F.when(both, F.col(c)))
-    return F.when((sd(a) >= 1e-12) & (sd(b) >= 1e-12), F.try_divide(F.covar_pop(a, b), sd(a) * sd(b))).otherwise(flat)
+def features_a(heads: DataFrame, values: DataFrame) -> DataFrame:
+    return set_a(listed(heads, values, *window_places()))
 
 
-def _steps(rows: DataFrame) -> DataFrame:
-    """Adds steps (d, the next one dn, bend) and the slope at each place, one-sided at the ends."""
-    a, b = F.lag("v").over(_by()), F.lead("v").over(_by())
-    slope = F.when(a.isNull(), b - F.col("v")).when(b.isNull(), F.col("v") - a).otherwise((b - a) / 2)
-    return rows.withColumns({"d": F.col("v") - a, "dn": b - F.col("v"), "bend": F.abs(b - 2 * F.col("v") + a), "slope": F.abs(slope), "v1": b, "v3": F.lead("v", 3).over(_by())})
+def features_b(heads: DataFrame, values: DataFrame) -> DataFrame:
+    return set_b(listed(heads, values))
 
 
-def _deviation(steps: DataFrame) -> DataFrame:
-    """(s, mad): the median distance of steps from their median."""
-    own = steps.groupBy("s").agg(F.sort_array(F.collect_list("d")).alias("o")).withColumn("m", _at(F.col("o"), 0.5))
-    return own.select("s", F.sort_array(F.transform("o", lambda x: F.abs(x - F.col("m")))).alias("o")).select("s", _at(F.col("o"), 0.5).alias("mad"))
+def features_c(heads: DataFrame, values: DataFrame) -> DataFrame:
+    return set_c(listed(heads, values, *window_places()))
 
 
-def _found(rows: DataFrame, value: str, least: DataFrame | float, distance: int) -> DataFrame:
-    """(s, bin, y, prominence, width, fwhm, at) of the peaks of a column."""
-    points = rows.select("s", F.col("bin").cast("long").alias("i"), F.col(value).alias("y"))
-    found = P.find_peaks(points, least, distance)
-    return found.select("s", F.col("i").alias("bin"), "y", "prominence", "width", (F.col("width") * STEP).alias("fwhm"), place(F.col("i")).alias("at"))
+def _shaped(series: DataFrame, means: dict[str, tuple[int, bool]], of: str, least: Callable[[float], float], distance: int) -> DataFrame:
+    """Adds the median distance of steps from their median (mad), moving means by name, and the peaks (tops) of one of the arrays that stand out by ``least(mad)``; then the values in order (o) and steps (d)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SERIES):
+                part = batch.slice(first, SERIES)
+                mads, found, arrays = [], [], {name: [] for name in means}
+                for values in part.column("v"):
+                    v = values.values.to_numpy()
+                    own = {"v": v} | {name: A.moving(v, *how) for name, how in means.items()}
+                    d = np.diff(v)
+                    mads.append(float(np.median(np.abs(d - np.median(d)))))
+                    found.append(peaks_of(own[of], least(mads[-1]), distance))
+                    for name in means:
+                        arrays[name].append(own[name])
+                peak = pa.struct([("i", pa.int64()), ("y", pa.float64()), ("prominence", pa.float64()), ("width", pa.float64())])
+                found = [[dict(zip(("i", "y", "prominence", "width"), t, strict=True)) for t in own] for own in found]
+                added = {"mad": pa.array(mads, pa.float64()), **{name: pa.array(rows, pa.list_(pa.float64())) for name, rows in arrays.items()}, "found": pa.array(found, pa.list_(peak))}
+                yield pa.RecordBatch.from_arrays([*part.columns, *added.values()], names=[*part.schema.names, *added])
 
-def _median(value: Column | str, cond: Column | None = None, least: int = 1) -> Column:
-    """Median over the rows with ``cond``, if there are ``least``."""
-    value = F.col(value) if isinstance(value, str) else value
-    kept = value if cond is None else F.when(cond, value)
-    return F.when(F.count(kept) >= least, _q(kept, 0.5))
+    kinds = ", ".join(f"{c} {kind}" for c, kind in (*series.dtypes, ("mad", "double"), *((name, "array<double>") for name in means), ("found", "array<struct<i:bigint,y:double,prominence:double,width:double>>")))
+    out = series.mapInArrow(run, kinds)
+    return out.withColumns({"o": F.sort_array("v"), "d": A.steps(F.col("v")), "tops": F.transform("found", _top)}).drop("found")
 
 
-def _all(first: DataFrame, *others: DataFrame) -> DataFrame:
-    for other in others:
-        first = first.join(other, "s", "left")
-    return first
+def _top(t: Column) -> Column:
+    """A peak with its place and its width at half its prominence, both in degrees."""
+    return F.struct(t["i"].alias("i"), t["y"].alias("y"), t["prominence"].alias("prominence"), place(F.col("a") + t["i"]).alias("at"), (t["width"] * STEP).alias("fwhm"))
 
 
-def _inside(values: DataFrame) -> DataFrame:
-    x = place(F.col("bin"))
-    return values.where((x >= WINDOW[0]) & (x <= WINDOW[1])).select("s", "bin", F.col("value").alias("v"))
+def _each(tops: Column | str, name: str) -> Column:
+    return F.transform(tops, lambda t: t[name])
 
 
-def window_places() -> tuple[int, int]:
-    """First and last place of the grid in the window."""
-    inside = [b for b in range(BINS) if WINDOW[0] <= b * STEP <= WINDOW[1]]
-    return inside[0], inside[-1]
+def _steepest() -> Column:
+    """The steepest slope, one-sided at the ends."""
+    inner = A.let(A.steps(F.col("v"), 2), lambda two: F.greatest(F.array_max(two), -F.array_min(two)) / 2)
+    return F.greatest(F.abs(F.get("d", F.lit(0))), F.abs(F.element_at("d", -1)), inner)
 
 
-def features_a(heads: DataFrame, values: DataFrame) -> DataFrame:
+def set_a(series: DataFrame) -> DataFrame:
     """The part of the window that a series covers, at least 100 places."""
     lo, hi = window_places()
-    rows = _inside(values)
-    enough = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("bin").alias("a"), F.max("bin").alias("z")).where("n >= 100")
-    rows = written(rows.join(enough.select("s"), "s"), "features-a")
-    steps = _steps(rows)
-    mad = written(_deviation(steps), "features-mad")
-    p = _spread(rows, "v", {"p0": 0.05, "p1": 0.25, "p2": 0.5, "p3": 0.95, "p4": 0.999})
-    skew, kurt, sd = F.coalesce(F.skewness("v"), F.lit(0.0)), F.coalesce(F.kurtosis("v") + 3, F.lit(0.0)), F.stddev_pop("v")
-    share = lambda c: F.avg(c.cast("double"))
-    v = F.col("v")
-    sums = rows.groupBy("s").agg(
-        F.sum("v").alias("t"), (skew * F.pow(sd / (sd + 1e-6), 3)).alias("int_skew"), (kurt * F.pow(sd / (sd + 1e-6), 4)).alias("int_kurtosis"),
-        share(v > 0.1).alias("frac_gt_01"), share(v > 0.3).alias("frac_gt_03"), share(v > 0.5).alias("frac_gt_05"), share(v < 0.01).alias("sparsity"),
-    )
-    moves = steps.groupBy("s").agg(_corr("d", "dn", F.lit(None).cast("double")).alias("noise_lag1_autocorr"), F.max(F.abs("d")).alias("sharp"), F.sum(F.abs("d")).alias("moved"))
-    wide = _mirrored(rows, 100, "w").groupBy("s").agg(F.max("w").alias("w_max"), _q("w", 0.1).alias("w_low"))
-    tops = _found(_mirrored(rows, 3, "w"), "w", mad.select("s", (5 * (1.4826 * F.col("mad") + 1e-6)).alias("least")), 3)
-    tops = tops.withColumn("fine", (F.col("fwhm") > 0.005) & (F.col("fwhm") < 5))
-    far = F.col("at") >= 40
-    gaps = tops.where(F.col("fine") & far).withColumn("gap", F.col("at") - F.lag("at").over(_by())).where("gap is not null").groupBy("s").agg(share((F.col("gap") > 0.05) & (F.col("gap") < 0.4)).alias("doublet_frac"))
-    peaks = tops.groupBy("s").agg(F.count(F.lit(1)).alias("peaks"), _median("fwhm", F.col("fine")).alias("fwhm_median"), _median("fwhm", F.col("fine") & ~far, 3).alias("fwhm_lo"), _median("fwhm", F.col("fine") & far, 3).alias("fwhm_hi"))
-    out = _all(heads.select("s", "lo", "hi").join(enough, "s"), mad, p, sums, moves, wide, peaks, gaps, _gini(rows, F.lit(0.0)))
-    level, width = F.col("p2") + 1e-6, place(F.col("z")) - place(F.col("a"))
-    return out.select(
-        "s", ((F.col("hi") + 1 - F.col("lo")) / BINS).alias("coverage"), (1.4826 * F.col("mad") / level).alias("noise_roughness"), "noise_lag1_autocorr", (F.col("sharp") / level).alias("peak_sharpness"),
-        (F.col("moved") / (F.col("t") + 1e-6)).alias("total_variation"), *((F.col(c) / level).alias(n) for c, n in (("p0", "bg_p05"), ("p1", "bg_p25"), ("p2", "int_median"), ("p3", "int_p95"))), "int_skew", "int_kurtosis",
-        "frac_gt_01", "frac_gt_03", "frac_gt_05", "gini", "sparsity", (F.coalesce("peaks", F.lit(0)) / (width + 1e-6)).alias("peak_density"), "fwhm_median", "fwhm_lo", "fwhm_hi",
-        (F.col("fwhm_hi") - F.col("fwhm_lo")).alias("fwhm_trend"), ((F.col("w_max") - F.col("w_low")) / level).alias("halo_strength"), F.coalesce("doublet_frac", F.lit(0.0)).alias("doublet_frac"),
-        (F.col("p4") / (F.col("p0") + 1e-6)).alias("dyn_range"), (F.col("n") / (hi - lo + 1)).alias("win_cover"),
+    v, d, n, none = F.col("v"), F.col("d"), F.col("n"), F.lit(None).cast("double")
+    own = _shaped(series.where("n >= 100"), {"wide": (100, True), "near": (3, True)}, "near", lambda mad: 5 * (1.4826 * mad + 1e-6), 3)
+    own = own.withColumn("fine", F.filter("tops", lambda t: (t["fwhm"] > 0.005) & (t["fwhm"] < 5)))
+    own = own.withColumns({"sides": F.struct(F.filter("fine", lambda t: t["at"] < 40).alias("lo"), F.filter("fine", lambda t: t["at"] >= 40).alias("hi")), "sd": A.deviation(v)})
+    own = own.withColumns({f"p{k}": A.at(F.col("o"), p) for k, p in enumerate((0.05, 0.25, 0.5, 0.95, 0.999))})
+    own = own.withColumns({"level": F.col("p2") + 1e-6, "fwhm_lo": A.median(_each("sides.lo", "fwhm"), 3), "fwhm_hi": A.median(_each("sides.hi", "fwhm"), 3)})
+    level = F.col("level")
+    width = place(F.col("a") + n - 1) - place(F.col("a"))
+    doublet = A.share(A.steps(_each("sides.hi", "at")), lambda gap: (gap > 0.05) & (gap < 0.4))
+    return own.select(
+        "s", ((F.col("hi") + 1 - F.col("lo")) / BINS).alias("coverage"), (1.4826 * F.col("mad") / level).alias("noise_roughness"), A.correlation(A.cut(d, 0, n - 2), A.cut(d, 1, n - 2), none).alias("noise_lag1_autocorr"),
+        (F.greatest(F.array_max("d"), -F.array_min("d")) / level).alias("peak_sharpness"), (A.total(d, F.abs) / (A.total(v) + 1e-6)).alias("total_variation"),
+        *((F.col(c) / level).alias(name) for c, name in (("p0", "bg_p05"), ("p1", "bg_p25"), ("p2", "int_median"), ("p3", "int_p95"))), *((A.moment(v, k) / F.pow(F.col("sd") + 1e-6, k)).alias(name) for k, name in ((3, "int_skew"), (4, "int_kurtosis"))),
+        *(A.share(v, lambda x, least=least: x > least).alias(name) for least, name in ((0.1, "frac_gt_01"), (0.3, "frac_gt_03"), (0.5, "frac_gt_05"))), A.gini(F.col("o"), F.lit(0.0)).alias("gini"), A.share(v, lambda x: x < 0.01).alias("sparsity"),
+        (F.size("tops") / (width + 1e-6)).alias("peak_density"), A.median(_each("fine", "fwhm")).alias("fwhm_median"), "fwhm_lo", "fwhm_hi", (F.col("fwhm_hi") - F.col("fwhm_lo")).alias("fwhm_trend"),
+        ((F.array_max("wide") - A.q(F.col("wide"), 0.1)) / level).alias("halo_strength"), F.coalesce(doublet, F.lit(0.0)).alias("doublet_frac"), (F.col("p4") / (F.col("p0") + 1e-6)).alias("dyn_range"), (n / (hi - lo + 1)).alias("win_cover"),
     )
 
 
-def features_b(heads: DataFrame, values: DataFrame) -> DataFrame:
+def set_b(series: DataFrame) -> DataFrame:
     """All places that a series covers, at least 20."""
-    n_of = values.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("bin").alias("a"), F.max("bin").alias("z")).where("n >= 20")
-    rows = written(values.select("s", "bin", F.col("value").alias("v")).join(n_of, "s"), "features-b")
-    steps = _steps(rows)
-    size = lambda degrees: max(3, round(degrees / STEP) // 2 * 2 + 1)
-    smooth = _moving(_moving(rows, size(0.5) // 2, "narrow"), size(4.0) // 2, "wide").withColumn("at", F.col("bin") - F.col("a"))
-    third = F.greatest(F.lit(3), F.floor(F.col("n") / 3))
-    low = lambda c, cond=None: _q(F.when(cond, F.col(c)) if cond is not None else F.col(c), 0.1)
-    means = smooth.groupBy("s").agg(
-        F.stddev_pop(F.col("v") - F.col("narrow")).alias("hf_noise"), low("narrow").alias("bg_p10"), (low("narrow", F.col("at") < third) - low("narrow", F.col("at") >= F.col("n") - third)).alias("bg_curvature"),
-        ((F.max("wide") - low("wide")) / F.greatest(_q("wide", 0.5), F.lit(1e-6))).alias("halo_bump"),
-    )
+    v, d, n, none = F.col("v"), F.col("d"), F.col("n"), F.lit(None).cast("double")
+    half = lambda degrees: max(3, round(degrees / STEP) // 2 * 2 + 1) // 2
+    own = _shaped(series.where("n >= 20"), {"narrow": (half(0.5), False), "wide": (half(4.0), False)}, "v", lambda mad: 0.05, 3)
+    own = own.withColumn("bend", F.transform(A.steps(d), F.abs))
     names = {"p05": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    share = lambda c: F.avg(c.cast("double"))
-    sums = rows.groupBy("s").agg(
-        F.avg("v").alias("mean_i"), F.stddev_pop("v").alias("std_i"), F.skewness("v").alias("skew_i"), F.kurtosis("v").alias("kurt_i"), share(F.col("v") > 0.1).alias("frac_gt_01"), share(F.col("v") > 0.3).alias("frac_gt_03"),
-    )
-    moves = steps.groupBy("s").agg(F.avg(F.abs("d")).alias("total_variation"), F.max("slope").alias("max_slope"), F.avg(F.col("d") * F.col("d")).alias("d2"))
-    bends = steps.join(_spread(steps, "bend", {"bm": 0.5}), "s").where("bend <= bm").groupBy("s").agg(_median("bend", None, 11).alias("flat"))
-    tops = _found(rows, "v", 0.05, 3)
-    three = F.count(F.lit(1)) >= 3
-    peaks = tops.groupBy("s").agg(
-        F.count(F.lit(1)).alias("peaks"), _median("fwhm", None, 3).alias("median_fwhm"), F.when(three, _q("fwhm", 0.9)).alias("p90_fwhm"),
-        F.when(three & (F.stddev_pop("at") > 1), _corr("at", "fwhm", F.lit(None).cast("double"))).alias("fwhm_theta_corr"),
-    )
-    out = _all(n_of, _spread(rows, "v", names), sums, moves, bends, means, peaks, _gini(rows, F.lit(None).cast("double")))
-    count, width = F.coalesce("peaks", F.lit(0)), place(F.col("z")) - place(F.col("a"))
-    by_noise = F.greatest(F.col("n") * 0.5 / (F.pi() * F.sqrt(F.col("d2") + 1e-12)), F.lit(1.0))
-    return out.select(
-        "s", *names, "mean_i", "std_i", "skew_i", "kurt_i", "frac_gt_01", "frac_gt_03", "total_variation", (1.4826 * F.col("flat") / F.greatest("p50", F.lit(1e-6))).alias("roughness"), "hf_noise", "max_slope", "bg_p10",
-        "bg_curvature", "gini", (10 * count / F.greatest(width, F.lit(1.0))).alias("n_peaks"), (count / by_noise).alias("peak_density_ratio"), "median_fwhm", "p90_fwhm", "fwhm_theta_corr", "halo_bump", (F.col("n") / BINS).alias("mask_frac"),
+    own = own.withColumns({name: A.at(F.col("o"), p) for name, p in names.items()} | {"sd": A.deviation(v), "third": F.greatest(F.lit(3), F.floor(n / 3)).cast("int"), "fwhm": _each("tops", "fwhm"), "at": _each("tops", "at"), "peaks": F.size("tops")})
+    narrow, wide, sd, third, peaks = (F.col(c) for c in ("narrow", "wide", "sd", "third", "peaks"))
+    flat = A.let(A.median(F.col("bend")), lambda m: A.median(F.filter("bend", lambda x: x <= m), 11))
+    width = place(F.col("a") + n - 1) - place(F.col("a"))
+    by_noise = F.greatest(n * 0.5 / (F.pi() * F.sqrt(A.mean(d, lambda x: x * x) + 1e-12)), F.lit(1.0))
+    return own.select(
+        "s", *names, A.mean(v).alias("mean_i"), sd.alias("std_i"), F.when(sd > 0, A.moment(v, 3) / F.pow(sd, 3)).alias("skew_i"), F.when(sd > 0, A.moment(v, 4) / F.pow(sd, 4) - 3).alias("kurt_i"),
+        A.share(v, lambda x: x > 0.1).alias("frac_gt_01"), A.share(v, lambda x: x > 0.3).alias("frac_gt_03"), A.mean(d, F.abs).alias("total_variation"), (1.4826 * flat / F.greatest("p50", F.lit(1e-6))).alias("roughness"),
+        A.deviation(F.zip_with(v, narrow, lambda x, y: x - y)).alias("hf_noise"), _steepest().alias("max_slope"), A.q(narrow, 0.1).alias("bg_p10"), (A.q(A.cut(narrow, 0, third), 0.1) - A.q(A.cut(narrow, n - third, third), 0.1)).alias("bg_curvature"),
+        A.gini(F.col("o"), none).alias("gini"), (10 * peaks / F.greatest(width, F.lit(1.0))).alias("n_peaks"), (peaks / by_noise).alias("peak_density_ratio"), A.median(F.col("fwhm"), 3).alias("median_fwhm"), F.when(peaks >= 3, A.q(F.col("fwhm"), 0.9)).alias("p90_fwhm"),
+        F.when((peaks >= 3) & (A.deviation(F.col("at")) > 1), A.correlation(F.col("at"), F.col("fwhm"), none)).alias("fwhm_theta_corr"),
+        A.let(F.sort_array(wide), lambda o: (F.array_max(o) - A.at(o, 0.1)) / F.greatest(A.at(o, 0.5), F.lit(1e-6))).alias("halo_bump"), (n / BINS).alias("mask_frac"),
     )
 
 
-def features_c(heads: DataFrame, values: DataFrame) -> DataFrame:
+def set_c(series: DataFrame) -> DataFrame:
     """The whole window, which a series must cover."""
     lo, hi = window_places()
-    n = hi - lo + 1
-    covered = heads.where((F.col("lo") <= lo) & (F.col("hi") >= hi)).select("s")
-    rows = written(_inside(values).join(covered, "s"), "features-c")
-    steps = _steps(rows)
-    noise = _deviation(steps).select("s", (1.4826 * F.col("mad") / F.sqrt(F.lit(2.0)) + 1e-9).alias("noise_pt"))
-    noise = written(noise, "features-noise")
-    p = _spread(rows, "v", {"p0": 0.1, "p1": 0.25, "p2": 0.5, "p3": 0.75, "p4": 0.95})
-    quarter = n // 4
-    part = lambda cond: _q(F.when(cond, F.col("v")), 0.1)
-    sums = rows.groupBy("s").agg(F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurtosis"), (part(F.col("bin") < lo + quarter) - part(F.col("bin") > hi - quarter)).alias("bg_curv"))
-    lows = rows.join(p.select("s", "p0"), "s").groupBy("s").agg(F.avg((F.col("v") < 1.3 * F.col("p0")).cast("double")).alias("frac_low"))
-    moves = steps.groupBy("s").agg(F.avg(F.abs("d")).alias("roughness_tv"), F.max("slope").alias("max_slope"), _corr("v", "v1", F.lit(0.0)).alias("autocorr_1"), _corr("v", "v3", F.lit(0.0)).alias("autocorr_3"))
-    nine = written(_mirrored(rows, 4, "w"), "features-nine")
-    high = nine.groupBy("s").agg(F.greatest(F.max("w"), F.lit(1e-6)).alias("top"), _q("w", 0.995).alias("peak"))
-    wide = _mirrored(rows, 90, "w").groupBy("s").agg((F.max("w") - _q("w", 0.5)).alias("halo_height"), F.max("w").alias("w_max"))
-    tops = _found(nine, "w", noise.select("s", F.greatest(6 * F.col("noise_pt"), F.lit(0.01)).alias("least")), 5).join(high, "s")
-    tops = written(tops.withColumn("height", F.col("y") / F.col("top")), "features-tops")
-    far = F.col("at") >= 40
-    some = lambda c, q: _q(c, q)
-    peaks = tops.groupBy("s").agg(
-        F.count(F.lit(1)).alias("peaks"), some("fwhm", 0.5).alias("fwhm_median"), some("fwhm", 0.25).alias("fwhm_p25"), some("fwhm", 0.75).alias("fwhm_p75"), (_median("fwhm", far, 2) - _median("fwhm", ~far, 2)).alias("fwhm_trend"),
-        (F.avg("prominence") / F.max("top")).alias("mean_prom_rel"), F.avg("height").alias("peak_h_mean"), some("height", 0.25).alias("peak_h_p25"), F.count_if(F.col("prominence") / F.col("top") > 0.15).cast("double").alias("n_strong_peaks"),
-    )
+    n, v = hi - lo + 1, F.col("v")
+    noise_of = lambda mad: 1.4826 * mad / 2.0**0.5 + 1e-9
+    own = _shaped(series.where((F.col("lo") <= lo) & (F.col("hi") >= hi)), {"nine": (4, True), "wide": (90, True)}, "nine", lambda mad: max(6 * noise_of(mad), 0.01), 5)
+    own = own.withColumns({"noise_pt": noise_of(F.col("mad")), "top": F.greatest(F.array_max("nine"), F.lit(1e-6)), "w_max": F.array_max("wide"), "sd": A.deviation(v)})
+    own = own.withColumns({f"p{k}": A.at(F.col("o"), p) for k, p in enumerate((0.1, 0.25, 0.5, 0.75, 0.95))} | {"halo_height": F.col("w_max") - A.q(F.col("wide"), 0.5), "fwhm": _each("tops", "fwhm")})
+    own = own.withColumn("height", A.let(F.col("top"), lambda most: F.transform("tops", lambda t: t["y"] / most)))
+    sd, top, fwhm, noise, quarter = F.col("sd"), F.col("top"), F.col("fwhm"), F.col("noise_pt"), n // 4
     # Beside strong peaks at wide angles: the highest of at least three places between two distances after them.
     near, end = int(0.10 / STEP), int(0.45 / STEP)
-    strong = tops.where("height > 0.25 and at > 50").select("s", "bin", "y", F.explode(F.sequence(F.col("bin") + near, F.col("bin") + end)).alias("beside"))
-    beside = strong.join(nine.select("s", F.col("bin").cast("long").alias("beside"), "w"), ["s", "beside"], "left").groupBy("s", "bin", "y").agg(F.max("w").alias("most"), F.count("w").alias("seen"))
-    doublet = beside.groupBy("s").agg(F.avg(F.coalesce((F.col("seen") >= 3) & F.col("most").between(0.25 * F.col("y"), 0.75 * F.col("y")), F.lit(False)).cast("double")).alias("doublet_frac"))
-    out = _all(covered, noise, p, sums, lows, moves, high, wide, peaks, doublet, _gini(rows, F.lit(0.0)))
-    return out.select(
-        "s", "noise_pt", "roughness_tv", "autocorr_1", "autocorr_3", ((F.col("peak") - F.col("p0")) / F.col("noise_pt")).alias("snr"), F.col("p0").alias("bg_p10"), "bg_curv", "skew", "kurtosis", "gini", (F.col("p3") - F.col("p1")).alias("iqr"),
-        "frac_low", (F.coalesce("peaks", F.lit(0)) / (n * STEP)).alias("n_peaks_per_deg"), "fwhm_median", "fwhm_p25", "fwhm_p75", "fwhm_trend", "mean_prom_rel", "peak_h_mean", "peak_h_p25", "max_slope", "halo_height",
-        (F.col("halo_height") / F.greatest("w_max", F.lit(1e-6))).alias("halo_frac"), "doublet_frac", ((F.col("p4") - F.col("p2")) / (F.col("p2") + 1e-6)).alias("p95_p50"), F.coalesce("n_strong_peaks", F.lit(0.0)).alias("n_strong_peaks"),
+    beside = lambda t: A.cut(F.col("nine"), (t["i"] + near).cast("int"), end - near + 1)
+    strong = A.let(top, lambda most: F.filter("tops", lambda t: (t["y"] / most > 0.25) & (t["at"] > 50)))
+    doublet = A.share(strong, lambda t: (F.size(beside(t)) >= 3) & F.array_max(beside(t)).between(0.25 * t["y"], 0.75 * t["y"]))
+    trend = A.median(_each(F.filter("tops", lambda t: t["at"] >= 40), "fwhm"), 2) - A.median(_each(F.filter("tops", lambda t: t["at"] < 40), "fwhm"), 2)
+    one = lambda k: A.correlation(A.cut(v, 0, n - k), A.cut(v, k, n - k), F.lit(0.0))
+    return own.select(
+        "s", "noise_pt", A.mean(F.col("d"), F.abs).alias("roughness_tv"), one(1).alias("autocorr_1"), one(3).alias("autocorr_3"), ((A.q(F.col("nine"), 0.995) - F.col("p0")) / noise).alias("snr"), F.col("p0").alias("bg_p10"),
+        (A.q(A.cut(v, 0, quarter), 0.1) - A.q(A.cut(v, n - quarter, quarter), 0.1)).alias("bg_curv"), F.when(sd > 0, A.moment(v, 3) / F.pow(sd, 3)).alias("skew"), F.when(sd > 0, A.moment(v, 4) / F.pow(sd, 4) - 3).alias("kurtosis"),
+        A.gini(F.col("o"), F.lit(0.0)).alias("gini"), (F.col("p3") - F.col("p1")).alias("iqr"), A.let(F.col("p0"), lambda p: A.share(v, lambda x: x < 1.3 * p)).alias("frac_low"), (F.size("tops") / (n * STEP)).alias("n_peaks_per_deg"),
+        A.q(fwhm, 0.5).alias("fwhm_median"), A.q(fwhm, 0.25).alias("fwhm_p25"), A.q(fwhm, 0.75).alias("fwhm_p75"), trend.alias("fwhm_trend"), (A.mean(_each("tops", "prominence")) / top).alias("mean_prom_rel"), A.mean(F.col("height")).alias("peak_h_mean"),
+        A.q(F.col("height"), 0.25).alias("peak_h_p25"), _steepest().alias("max_slope"), "halo_height", (F.col("halo_height") / F.greatest("w_max", F.lit(1e-6))).alias("halo_frac"), doublet.alias("doublet_frac"),
+        ((F.col("p4") - F.col("p2")) / (F.col("p2") + 1e-6)).alias("p95_p50"), A.let(top, lambda most: F.size(F.filter("tops", lambda t: t["prominence"] / most > 0.15))).cast("double").alias("n_strong_peaks"),
     )

@@ -251,21 +251,21 @@ def regrid_pchip(t):
     return gridded(t)[1].where("value > 0.00001").select(F.col("s").alias("user_id"), "bin", F.round("value", 5).alias("value"))
 
 
-def _features(t, make):
-    heads, values = gridded(t)
-    return make(heads, written(values, "gridded")).withColumnRenamed("s", "user_id")
+def _features(t, make, low=0, high=regrid.BINS - 1):
+    points = series(t).select(F.col("user_id").alias("s"), "i", "x", "y")
+    return make(regrid.arrays_on_grid(points, low, high)).withColumnRenamed("s", "user_id")
 
 
 @query()
 def feature_set_a(t):
-    return _features(t, series_features.features_a)
+    return _features(t, series_features.set_a, *series_features.window_places())
 
 
 @query()
 def feature_set_b(t):
-    return _features(t, series_features.features_b)
+    return _features(t, series_features.set_b)
 
 
 @query()
 def feature_set_c(t):
-    return _features(t, series_features.features_c)
+    return _features(t, series_features.set_c, *series_features.window_places())

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import array_kernels as K
+from latticeworks import catalog
 from latticeworks.operators import regrid
 from latticeworks.operators import series_features as S
 
@@ -99,3 +100,46 @@ def test_nothing(spark):
 def test_grid_places(spark):
     places = [r[0] for r in spark.range(4096).select(regrid.place(F.col("id"))).collect()]
     assert places == K.GRID.tolist() and S.window_places() == (int(np.flatnonzero(K.GRID >= 10)[0]), int(np.flatnonzero(K.GRID <= 70)[-1]))
+
+
+def test_arrays_are_the_rows(spark):
+    """The array of a series holds what its rows on the grid do, to the last digit, and so in a part of the grid."""
+    rows = [(s, i, float(a), float(b)) for s, (x, y) in enumerate(patterns()) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    points = spark.createDataFrame(rows, "s int, i long, x double, y double").repartition(5)
+    heads, values = regrid.on_grid(points)
+    for low, high in ((0, 4095), S.window_places()):
+        got = {r.s: r.asDict() for r in regrid.arrays_on_grid(points, low, high).collect()}
+        want = {r.s: r.asDict() for r in S.listed(heads, values, low, high).collect()}
+        assert got == want and all(r["n"] == len(r["v"]) for r in got.values())
+        assert len(got) >= 10
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """A folder with events of forty users, sixty each."""
+    folder = str(tmp_path_factory.mktemp("events"))
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 1_000_003 * 1000).cast("timestamp_ntz")
+    spark.range(2400).select(F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 40).alias("user_id"), (F.rand(1) * 100).alias("value")).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def exchanged(spark, df) -> tuple[int, int]:
+    """Rows that a query exchanges, and rows that it writes aside, besides those of its result."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    none, quantiles = gateway.jvm.java.util.ArrayList(), gateway.new_array(gateway.jvm.double, 0)
+
+    def stages():
+        found = store.stageList(none, False, False, quantiles, none)
+        return {(s.stageId(), s.attemptId()): s for s in (found.apply(k) for k in range(found.size()))}
+
+    before = stages()
+    df().write.format("noop").mode("overwrite").save()
+    new = [s for k, s in stages().items() if k not in before]
+    return sum(s.shuffleWriteRecords() for s in new), sum(s.outputRecords() for s in new if s.outputBytes() > 0)
+
+
+@pytest.mark.parametrize("name", ["feature_set_b"])
+def test_feature_sets_exchange_points_only(spark, events, name):
+    """A series has up to 4,096 values on the grid: none of them is exchanged or written aside, only its points are."""
+    moved, written = exchanged(spark, lambda: catalog.queries()[name](spark, events))
+    assert 2400 <= moved <= 5 * 2400 and written == 0
