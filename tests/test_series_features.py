@@ -138,7 +138,7 @@ def exchanged(spark, df) -> tuple[int, int]:
     return sum(s.shuffleWriteRecords() for s in new), sum(s.outputRecords() for s in new if s.outputBytes() > 0)
 
 
-@pytest.mark.parametrize("name", ["feature_set_b", "feature_set_c"])
+@pytest.mark.parametrize("name", ["feature_set_b", "feature_set_c", "feature_set_a"])
 def test_feature_sets_exchange_points_only(spark, events, name):
     """A series has up to 4,096 values on the grid: none of them is exchanged or written aside, only its points are."""
     moved, written = exchanged(spark, lambda: catalog.queries()[name](spark, events))
