@@ -74,16 +74,16 @@ SELECT user_id, i, round(list_sum(list_transform(range(i - {h} - 1, i + {h}), la
 
 
 def _reflected_mean(t, size: int):
-    """Centred mean with the ends mirrored, edge points repeated, however short the series: a window frame for rows far from the ends; near them positions are folded back."""
+    """Centred mean with the ends mirrored, edge points repeated, however short the series: each point stands at all its places up to half the width beyond the ends, 2n apart and mirrored, so that one frame serves every point; only the series itself is exchanged."""
     h = size // 2
     i, n = F.col("i"), F.col("n")
-    s = series(t).withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("user_id")), "total": F.sum("y").over(by_user().rowsBetween(-h, h))})
-    near = (i <= h) | (i > n - h)
-    place = F.pmod(F.col("j") - 1, 2 * n)
-    folded = s.where(near).select("user_id", "i", "n", F.explode(F.sequence(i - h, i + h)).alias("j")).select("user_id", "i", F.when(place < n, place + 1).otherwise(2 * n - place).alias("j"))
-    times = folded.groupBy("user_id", "i", "j").agg(F.count(F.lit(1)).alias("k"))
-    ends = times.join(s.select("user_id", F.col("i").alias("j"), "y"), ["user_id", "j"]).groupBy("user_id", "i").agg(F.sum(F.col("k") * F.col("y")).alias("total"))
-    return s.where(~near).select("user_id", "i", "total").unionByName(ends).select("user_id", "i", F.round(F.col("total") / size, 6).alias(f"mean{size}"))
+    s = series(t).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
+    # The places a + 2nk between 1 - h and n + h, for a = i and, mirrored, a = 1 - i.
+    turns = lambda a: F.transform(F.sequence(F.ceil((1 - h - a) / (2 * n)), F.floor((n + h - a) / (2 * n))), lambda k: a + 2 * n * k)
+    back = F.when(F.floor((n + h - 1 + i) / (2 * n)) >= F.ceil((i - h) / (2 * n)), turns(1 - i))
+    places = s.select("user_id", "n", "y", F.explode(F.concat(turns(i), F.coalesce(back, F.array().cast("array<bigint>")))).alias("i"))
+    total = places.withColumn("total", F.sum("y").over(by_user().rowsBetween(-h, h)))
+    return total.where((i >= 1) & (i <= n)).select("user_id", "i", F.round(F.col("total") / size, 6).alias(f"mean{size}"))
 
 
 @query(_reflected_sql(7))

@@ -143,3 +143,23 @@ def test_feature_sets_exchange_points_only(spark, events, name):
     """A series has up to 4,096 values on the grid: none of them is exchanged or written aside, only its points are."""
     moved, written = exchanged(spark, lambda: catalog.queries()[name](spark, events))
     assert 2400 <= moved <= 5 * 2400 and written == 0
+
+
+def test_reflected_mean_takes_a_pass(spark, events):
+    """A wide mean of short series makes no row for each pair of places: of 60 points and 181 places, some four rows a point pass through the frame."""
+    from latticeworks.plans import signals
+    from latticeworks.registry import Tables
+
+    for size in (7, 181):
+        df = signals._reflected_mean(Tables(spark, events), size)
+        ys = {}
+        for r in signals.series(Tables(spark, events)).orderBy("user_id", "i").collect():
+            ys.setdefault(r.user_id, []).append(r.y)
+        got = {(r[0], r[1]): r[2] for r in df.collect()}
+        assert len(got) == 2400
+        for u, y in ys.items():
+            wide = np.pad(y, size // 2, mode="symmetric")
+            for i in range(len(y)):
+                assert got[u, i + 1] == pytest.approx(wide[i : i + size].mean(), abs=2e-6)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Aggregate") == 0
