@@ -15,6 +15,9 @@ from latticeworks.sources.scratch import written
 #: Values that Parquet compares one by one in a pushed filter; of a longer list only the range is pushed.
 PUSHED = 10
 
+#: Rows of a file that holds many shards, about.
+FILE_ROWS = 250_000
+
 
 def write_indexed(df: DataFrame, path: str, key: str, files: int, group_bytes: int = 16 << 20, page_rows: int = 2000) -> None:
     """Writes a table in order of key, with a Bloom filter over it in each row group, and pages of few rows with their bounds."""
@@ -40,11 +43,16 @@ def lookup_many(spark: SparkSession, path: str, keys: DataFrame, key: str) -> Da
     return table.where(F.col(key).between(span["a"], span["b"])).join(keys.select(key).distinct(), key, "left_semi")
 
 
-def write_shards(df: DataFrame, path: str, order: str, rows: int, ties: Sequence[str] = ()) -> None:
-    """Writes a table in numbered shards of ``rows`` rows in order, the last one shorter: a folder a shard. Numbers come from ranks, which are sums over ranges, so that they don't depend on who writes what; a second writing gives the same shards."""
+def write_shards(df: DataFrame, path: str, order: str, rows: int, ties: Sequence[str] = (), folders: bool = True) -> None:
+    """Writes a table in numbered shards of ``rows`` rows in order, the last one shorter: a folder a shard, or, without ``folders``, a row group a shard, many in a file, for tables of so many shards that files would be what costs. Numbers come from ranks, which are sums over ranges, so that they don't depend on who writes what; a second writing gives the same shards."""
     ranked = running_sums(df, order, {"_rank": F.lit(1)}, ties=ties)
     placed = ranked.withColumn("shard", F.floor((F.col("_rank") - 1) / rows))
     count = max(1, -(-df.count() // rows))
+    if not folders:
+        each = max(1, FILE_ROWS // rows)
+        dealt = placed.repartition(min(-(-count // each), 10_000), F.floor(F.col("shard") / each))
+        dealt.sortWithinPartitions("shard", "_rank").drop("_rank").write.mode("overwrite").option("parquet.block.row.count.limit", rows).parquet(path)
+        return
     placed.repartition(min(count, 10_000), "shard").sortWithinPartitions("shard", "_rank").drop("_rank").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 

@@ -109,7 +109,7 @@ def point_lookup(t: Tables) -> DataFrame:
 def shard_index(t: Tables) -> DataFrame:
     """Orders in numbered shards of 400 rows, and what each holds."""
     path = new_path(t.spark, "shards")
-    indexed.write_shards(t.orders, path, "o_orderkey", 400, ["o_custkey"])
+    indexed.write_shards(t.orders, path, "o_orderkey", 400, ["o_custkey"], folders=False)
     return indexed.shard_index(t.spark, path, "o_orderkey")
 
 
@@ -118,7 +118,7 @@ SELECT shard, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTIT
 def row_group_sample(t: Tables) -> DataFrame:
     """Twenty orders of each of three random shards; the other shards are not read."""
     path = new_path(t.spark, "shards")
-    indexed.write_shards(t.orders, path, "o_orderkey", 400, ["o_custkey"])
+    indexed.write_shards(t.orders, path, "o_orderkey", 400, ["o_custkey"], folders=False)
     return indexed.sample_shards(t.spark, path, 3, 20, ["o_orderkey", "o_custkey"]).select(F.col("shard").cast("long").alias("shard"), "o_orderkey", "o_totalprice")
 
 

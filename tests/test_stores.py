@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from latticeworks.operators import domains, symbols
@@ -68,6 +69,20 @@ def test_shards_are_numbered_and_repeatable(spark, tmp_path):
     assert content() == held and [r[1:] for r in held] == sorted((k, i) for k, i, _ in rows)
 
 
+def test_shards_as_row_groups(spark, tmp_path):
+    """Many shards make few files; each is one row group, and a sample is that of shards in folders."""
+    df = spark.range(10_050).select("id", (F.col("id") * 7).alias("v")).repartition(6)
+    for name, folders in (("folders", True), ("groups", False)):
+        indexed.write_shards(df, f"file://{tmp_path}/{name}", "id", 100, folders=folders)
+    found = list((tmp_path / "groups").rglob("*.parquet"))
+    assert len(found) == 1
+    meta = pq.ParquetFile(found[0]).metadata
+    assert [meta.row_group(k).num_rows for k in range(meta.num_row_groups)] == [100] * 100 + [50]
+    read = lambda name, f: sorted(tuple(r[c] for c in ("shard", "id", "v")) for r in f(f"file://{tmp_path}/{name}").collect())
+    for f in (spark.read.parquet, lambda path: indexed.sample_shards(spark, path, 3, 20, ["id"])):
+        assert read("groups", f) == read("folders", f)
+
+
 def test_merge_touches_only_partitions_with_retries(spark, tmp_path):
     path = f"file://{tmp_path}/m"
     rows = [(i, i % 5, None if i % 7 == 0 else float(i), i % 7 == 0) for i in range(100)]
