@@ -97,6 +97,23 @@ def gini(ordered: Column, empty: Column) -> Column:
     return let(total(ordered), of)
 
 
+def moments(v: np.ndarray) -> tuple[float, float, float]:
+    """``deviation`` and the third and fourth central ``moment`` of an array in one go. For use inside tasks."""
+    x = v - v.mean()
+    xx = x * x
+    return float(np.sqrt(xx.mean())) if v.min() < v.max() else 0.0, float((xx * x).mean()), float((xx * xx).mean())
+
+
+def lagged(v: np.ndarray, k: int) -> float | None:
+    """``correlation`` of an array with itself ``k`` places on, if both parts vary. For use inside tasks."""
+    a, b = v[:-k], v[k:]
+    if not len(a) or a.min() == a.max() or b.min() == b.max():
+        return None
+    a, b = a - a.mean(), b - b.mean()
+    sa, sb = np.sqrt((a * a).mean()), np.sqrt((b * b).mean())
+    return float((a * b).mean() / (sa * sb)) if min(sa, sb) >= 1e-12 else None
+
+
 def moving(v: np.ndarray, h: int, mirrored: bool) -> np.ndarray:
     """Means over ``h`` places on either side; beyond its ends an array is mirrored, or zero. For use inside tasks."""
     sums = np.concatenate([[0.0], np.cumsum(np.pad(v, h, mode="symmetric" if mirrored else "constant"))])

@@ -118,14 +118,19 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(offsets, v)], names=[*kept, "v"])
 
 
+def spread(points: DataFrame, s: str) -> DataFrame:
+    """Points by series, in partitions that aren't joined for the few bytes they hold. What orders a series' points needs no other exchange, if it comes after this one."""
+    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), s)
+
+
 def arrays_on_grid(points: DataFrame, low: int = 0, high: int = BINS - 1) -> DataFrame:
     """(s, lo, hi, a, n, v): the n values between places ``low`` and ``high`` of each series that has any, the first at place a, as one array, which is no longer than the grid.
 
     Only intervals that hold a place of the grid are gathered, so there are no more of them than places; their values are
-    made in the row, so that the points are all that is exchanged.
+    made in the row, so that the points are all that is exchanged: few bytes for much work, so they had better come by
+    ``spread``.
     """
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads, cut = _intervals(points.repartition(parts, "s"))  # a number, as few bytes here are much work later
+    heads, cut = _intervals(points)
     cut = cut.withColumns({"first": F.greatest("first", F.lit(low)), "last": F.least("last", F.lit(high))}).where("first <= last")
     own = cut.groupBy("s").agg(F.min("first").alias("a"), F.sum(F.col("last") - F.col("first") + 1).cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("first", "last", *_POINT))).alias("cut"))
     own = own.join(heads.select("s", "lo", "hi"), "s").select("s", "lo", "hi", "a", "n", "cut")

@@ -5,6 +5,8 @@ Series: each user's events in time order; x runs from 0 to 90 over thirty days,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,12 @@ SELECT user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 28800000000.
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events"""
 
 
-def series(t: Tables) -> DataFrame:
-    """(user_id, i, x, y): points of each user's series, i from 1."""
+def series(t: Tables, spread: Callable[[DataFrame, str], DataFrame] = lambda events, _: events) -> DataFrame:
+    """(user_id, i, x, y): points of each user's series, i from 1; ``spread`` may say how events are exchanged by user."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.select("user_id", (micros / 28_800_000_000.0).cast("double").alias("x"), F.col("value").alias("y"), F.row_number().over(order).cast("long").alias("i"))
+    events = spread(t.events.select("user_id", "event_id", "ts", "value"), "user_id")
+    return events.select("user_id", (micros / 28_800_000_000.0).cast("double").alias("x"), F.col("value").alias("y"), F.row_number().over(order).cast("long").alias("i"))
 
 
 def by_user() -> Window:

@@ -252,7 +252,7 @@ def regrid_pchip(t):
 
 
 def _features(t, make, low=0, high=regrid.BINS - 1):
-    points = series(t).select(F.col("user_id").alias("s"), "i", "x", "y")
+    points = series(t, regrid.spread).select(F.col("user_id").alias("s"), "i", "x", "y")
     return make(regrid.arrays_on_grid(points, low, high)).withColumnRenamed("s", "user_id")
 
 

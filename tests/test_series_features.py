@@ -145,6 +145,29 @@ def test_feature_sets_exchange_points_only(spark, events, name):
     assert 2400 <= moved <= 5 * 2400 and written == 0
 
 
+@pytest.mark.parametrize("name", ["feature_set_b", "feature_set_c", "feature_set_a"])
+def test_feature_sets_keep_their_partitions(spark, events, name):
+    """The points of many series are few bytes, but hours of work: their partitions aren't joined into one, nor exchanged twice."""
+    df = catalog.queries()[name](spark, events)
+    df.write.format("noop").mode("overwrite").save()
+    assert df.rdd.getNumPartitions() == 4
+    assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 1
+
+
+def test_moments_and_lags_are_those_of_columns(spark):
+    """The numbers worked out inside tasks are those of the expressions on arrays: of noise, a ramp, a flat array, short ones."""
+    from latticeworks.operators import arrays as A
+
+    own = [np.random.default_rng(1).random(500), np.linspace(0, 1, 50), np.full(9, 0.1), np.array([0.5, 0.25]), np.array([0.5])]
+    v, n = F.col("v"), F.size("v")
+    lag = lambda k: A.correlation(A.cut(v, 0, n - k), A.cut(v, k, n - k), F.lit(None).cast("double"))
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(own)], "i int, v array<double>")
+    rows = df.select("i", A.deviation(v), A.moment(v, 3), A.moment(v, 4), lag(1), lag(3)).orderBy("i").collect()
+    for row, a in zip(rows, own, strict=True):
+        for want, got in zip(row[1:], (*A.moments(a), A.lagged(a, 1), A.lagged(a, 3)), strict=True):
+            assert (got is None) == (want is None) and (want is None or got == pytest.approx(want, rel=1e-9, abs=1e-15))
+
+
 def test_reflected_mean_takes_a_pass(spark, events):
     """A wide mean of short series makes no row for each pair of places: of 60 points and 181 places, some four rows a point pass through the frame."""
     from latticeworks.plans import signals
