@@ -145,6 +145,31 @@ def test_feature_sets_exchange_points_only(spark, events, name):
     assert 2400 <= moved <= 5 * 2400 and written == 0
 
 
+def disk_bytes(spark, run):
+    """What ``run`` gives, and the bytes that it exchanges, spills and writes aside."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    none, quantiles = gateway.jvm.java.util.ArrayList(), gateway.new_array(gateway.jvm.double, 0)
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(none, False, False, quantiles, none)
+        return {(s.stageId(), s.attemptId()): s for s in (found.apply(k) for k in range(found.size()))}
+
+    before = stages()
+    out = run()
+    return out, sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for k, s in stages().items() if k not in before)
+
+
+def test_feature_set_c_takes_disk_by_points(spark, events, tmp_path):
+    """Copies of the events under other keys take so many bytes more as they have points, a few tens of bytes each, and every copy has the features of the first."""
+    own = spark.read.parquet(f"{events}/events.parquet").crossJoin(spark.range(5).withColumnRenamed("id", "k"))
+    own.selectExpr("event_id + 2400 * k AS event_id", "ts", "user_id + 40 * k AS user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    of = lambda folder: disk_bytes(spark, lambda: {r[0]: r[1:] for r in catalog.queries()["feature_set_c"](spark, folder).collect()})
+    (one, small), (five, large) = of(events), of(str(tmp_path))
+    assert 0 < small <= 100 * 2400 and large <= 5.5 * small
+    assert len(one) == 40 and five == {u + 40 * k: r for u, r in one.items() for k in range(5)}
+
+
 @pytest.mark.parametrize("name", ["feature_set_b", "feature_set_c", "feature_set_a"])
 def test_feature_sets_keep_their_partitions(spark, events, name):
     """The points of many series are few bytes, but hours of work: their partitions aren't joined into one, nor exchanged twice."""
